@@ -804,3 +804,255 @@ SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(median({c}), 4) AS m
 def q_quick_skew(spark, sf):
     from tablescope.operators import assoc
     return assoc.quick_skew(I.customer_orders(spark, sf), CO_NUM)
+
+
+# --------------------------------------------------------------------------- tests & categorical association
+
+def _chi2_sql(src: str, a: str, b: str, fill: str, yates: bool = True) -> str:
+    """SELECT feature1, feature2, n, rows, cols, chi2 (raw), dof, low_expected."""
+    core = f"""
+ct AS (SELECT coalesce(CAST({a} AS VARCHAR), '{fill}') AS a, coalesce(CAST({b} AS VARCHAR), '{fill}') AS b,
+              count(*) AS o FROM {src} GROUP BY 1, 2),
+rr AS (SELECT a, sum(o) AS R FROM ct GROUP BY a), cc AS (SELECT b, sum(o) AS C FROM ct GROUP BY b),
+sh AS (SELECT (SELECT count(*) FROM rr) AS nr, (SELECT count(*) FROM cc) AS nc, (SELECT sum(o) FROM ct) AS N,
+              (SELECT min(R) FROM rr) AS minR, (SELECT min(C) FROM cc) AS minC),
+cell AS (SELECT rr.a, cc.b, coalesce(ct.o, 0) AS o, rr.R * cc.C / sh.N AS e, sh.nr, sh.nc
+         FROM rr CROSS JOIN cc CROSS JOIN sh LEFT JOIN ct ON ct.a = rr.a AND ct.b = cc.b),
+x AS (SELECT CASE WHEN {str(yates).lower()} AND max(nr) = 2 AND max(nc) = 2
+                  THEN sum(pow(o + sign(e - o) * least(0.5, abs(e - o)) - e, 2) / e)
+                  ELSE sum(pow(o - e, 2) / e) END AS chi2 FROM cell)
+SELECT '{a}' AS feature1, '{b}' AS feature2, CAST(N AS BIGINT) AS n, CAST(nr AS BIGINT) AS rows,
+       CAST(nc AS BIGINT) AS cols, greatest(0.0, chi2) AS chi2, CAST((nr - 1) * (nc - 1) AS BIGINT) AS dof,
+       minR * minC / N < 5 AS low_expected FROM sh, x"""
+    return core
+
+
+def _even_dof_p(x: str, dof: str) -> str:
+    """Chi-square upper tail for even dof: exp(-x/2) * sum_{j < dof/2} (x/2)^j / j!."""
+    return (f"(exp(-({x}) / 2) * (SELECT sum(pow(({x}) / 2, j) / factorial(CAST(j AS INTEGER))) "
+            f"FROM range(CAST(({dof}) / 2 AS BIGINT)) t(j)))")
+
+
+def _chi_square_sql(src: str, a: str, b: str, fill: str, with_p: bool = True) -> str:
+    p = _even_dof_p("chi2", "dof")
+    pcols = f"round({p}, 6) AS p_value, {p} < 0.05 AS significant, " if with_p else ""
+    return f"""
+WITH {_chi2_sql(src, a, b, fill).strip().replace(chr(10) + "SELECT '", chr(10) + ", res AS (SELECT '", 1)})
+SELECT feature1, feature2, n, rows, cols, round(chi2, 4) AS chi2, dof, {pcols}
+       round(sqrt(chi2 / NULLIF(n * (least(rows, cols) - 1), 0)), 4) AS cramers_v, low_expected FROM res"""
+
+
+@register("chi_square", _chi_square_sql("orders", "o_orderstatus", "o_orderpriority", "Unknown"))
+def q_chi_square(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.chi_square(I.table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+@register("chi_square_flags", _chi_square_sql("lineitem", "l_returnflag", "l_linestatus", "Unknown"))
+def q_chi_square_flags(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.chi_square(I.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("chi_square_yates", _chi_square_sql("labels", "quality", "toxic", "Unknown", with_p=False))
+def q_chi_square_yates(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.chi_square(I.table(spark, sf, "labels"), "quality", "toxic").drop("p_value", "significant")
+
+
+@register("contingency", f"""
+WITH ct AS (SELECT coalesce(CAST(quality AS VARCHAR), 'Unknown') AS quality, coalesce(lang, 'Unknown') AS lang,
+                   count(*) AS n FROM {DL} GROUP BY 1, 2)
+SELECT quality, lang, CAST(n AS BIGINT) AS n, {PCT('n', 'sum(n) OVER (PARTITION BY quality)')} AS row_pct,
+       {PCT('n', 'sum(n) OVER (PARTITION BY lang)')} AS col_pct, {PCT('n', 'sum(n) OVER ()')} AS total_pct FROM ct""")
+def q_contingency(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.contingency(I.docs_labels(spark, sf), "quality", "lang")
+
+
+_OB = ("(SELECT o_orderstatus, o_orderpriority, CASE WHEN o_totalprice > 200000 THEN 'Yes' ELSE 'No' END AS big_order "
+       "FROM orders)")
+
+
+def _cat_deps_sql() -> str:
+    cols = ["o_orderstatus", "o_orderpriority", "big_order"]
+    parts = []
+    for i, a in enumerate(cols):
+        for b in cols[i + 1:]:
+            parts.append(f"SELECT * FROM ({_chi_square_sql(_OB, a, b, 'Missing')})")
+    return f"""
+WITH u AS ({U(parts)})
+SELECT feature1, feature2, cramers_v, chi2, p_value,
+       CASE WHEN cramers_v >= 0.5 THEN 'very_strong' WHEN cramers_v >= 0.3 THEN 'strong'
+            WHEN cramers_v >= 0.15 THEN 'moderate' WHEN cramers_v >= 0.05 THEN 'weak' ELSE 'negligible' END AS strength
+FROM u WHERE rows * cols >= 4 AND p_value < 0.05 AND cramers_v > 0.1
+ORDER BY cramers_v DESC, feature1, feature2 LIMIT 10"""
+
+
+@register("categorical_dependencies", _cat_deps_sql())
+def q_categorical_dependencies(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import stat_tests
+    o = I.table(spark, sf, "orders").select(
+        "o_orderstatus", "o_orderpriority",
+        F.when(F.col("o_totalprice") > 200000, "Yes").otherwise("No").alias("big_order"))
+    return stat_tests.categorical_dependencies(o, ["o_orderstatus", "o_orderpriority", "big_order"])
+
+
+def _group_effect_sql(src: str, g: str, x: str, kruskal: bool) -> str:
+    stat = ("round(h, 4)" if kruskal else "round((ssb_k / (k - 1)) / (ssw / (nk - k)), 4)")
+    ptail = f"round({_even_dof_p('h', 'k - 1')}, 6) AS p_value, {_even_dof_p('h', 'k - 1')} < 0.05 AS significant, " \
+        if kruskal else ""
+    return f"""
+WITH d AS (SELECT coalesce(CAST({g} AS VARCHAR), 'Missing') AS g, CAST({x} AS DOUBLE) AS x FROM {src} WHERE {x} IS NOT NULL),
+gs AS (SELECT g, count(*) AS n, avg(x) AS m, var_samp(x) AS v FROM d GROUP BY g),
+al AS (SELECT count(*) AS N, avg(x) AS M, var_samp(x) AS V FROM d),
+kept AS (SELECT * FROM gs WHERE n > 2),
+ks AS (SELECT count(*) AS k, sum(n) AS nk, sum(n * m) / sum(n) AS mk FROM kept),
+kd AS (SELECT d.* FROM d JOIN kept USING (g)),
+rk AS (SELECT g, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM kd),
+ties AS (SELECT sum(pow(t, 3) - t) AS tt FROM (SELECT count(*) AS t FROM kd GROUP BY x)),
+rs AS (SELECT sum(pow(R, 2) / ng) AS sr2 FROM (SELECT g, sum(r) AS R, count(*) AS ng FROM rk GROUP BY g)),
+s AS (SELECT al.N, ks.k, ks.nk,
+             (SELECT sum(n * pow(m - ks.mk, 2)) FROM kept) AS ssb_k,
+             (SELECT sum((n - 1) * coalesce(v, 0)) FROM kept) AS ssw,
+             (SELECT sum(n * pow(m - al.M, 2)) FROM kept) AS ssb_all, (al.N - 1) * al.V AS sst,
+             (12.0 / (ks.nk * (ks.nk + 1)) * rs.sr2 - 3 * (ks.nk + 1)) / (1 - ties.tt / (pow(ks.nk, 3) - ks.nk)) AS h
+      FROM al, ks, rs, ties)
+SELECT '{g}' AS categorical_feature, '{x}' AS numeric_feature, '{'kruskal_wallis' if kruskal else 'anova'}' AS test,
+       {stat} AS statistic, {ptail}
+       round(coalesce(ssb_all / NULLIF(sst, 0), 0.0), 4) AS eta_squared,
+       CASE WHEN coalesce(ssb_all / NULLIF(sst, 0), 0.0) >= 0.14 THEN 'large'
+            WHEN coalesce(ssb_all / NULLIF(sst, 0), 0.0) >= 0.06 THEN 'medium'
+            WHEN coalesce(ssb_all / NULLIF(sst, 0), 0.0) >= 0.01 THEN 'small' ELSE 'negligible' END AS effect,
+       CAST(k AS BIGINT) AS groups
+FROM s WHERE N >= 10 AND k >= 2"""
+
+
+@register("group_effect", _group_effect_sql("lineitem", "l_returnflag", "l_extendedprice", kruskal=False))
+def q_group_effect(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.group_effect(I.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice",
+                                   method="anova").drop("p_value", "significant")
+
+
+@register("group_effect_kruskal", _group_effect_sql("events", "event_type", "value", kruskal=True))
+def q_group_effect_kruskal(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.group_effect(I.table(spark, sf, "events"), "event_type", "value", method="kruskal")
+
+
+def _jb_sql(tbl: str, cols) -> str:
+    return U([f"""
+SELECT * FROM (WITH s AS (SELECT avg({c}) AS m FROM {tbl}),
+a AS (SELECT count({c}) AS n, avg(pow({c} - s.m, 3)) / pow(avg(pow({c} - s.m, 2)), 1.5) AS sk,
+             avg(pow({c} - s.m, 4)) / pow(avg(pow({c} - s.m, 2)), 2) - 3 AS ku FROM {tbl}, s),
+b AS (SELECT *, n / 6.0 * (sk * sk + ku * ku / 4.0) AS jb FROM a)
+SELECT '{c}' AS "column", CAST(n AS BIGINT) AS n, round(sk, 4) AS skewness, round(ku, 4) AS kurtosis,
+       round(jb, 4) AS jb_stat, round(exp(-jb / 2.0), 6) AS jb_pvalue, exp(-jb / 2.0) > 0.05 AS jb_normal FROM b)"""
+              for c in cols])
+
+
+@register("jarque_bera", _jb_sql("lineitem", LINEITEM_NUM))
+def q_jarque_bera(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.jarque_bera(I.table(spark, sf, "lineitem"), LINEITEM_NUM)
+
+
+@register("distribution_shape", f"""
+WITH j AS ({_jb_sql('orders', ['o_totalprice', 'o_custkey'])})
+SELECT "column", n, skewness, kurtosis,
+       CASE WHEN abs(skewness) < 0.5 THEN 'approximately_normal' WHEN skewness > 1 THEN 'right_skewed'
+            WHEN skewness < -1 THEN 'left_skewed' ELSE 'moderately_skewed' END AS shape, jb_normal,
+       abs(skewness) > 1 OR NOT jb_normal AS transformation_needed FROM j""")
+def q_distribution_shape(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.distribution_shape(I.table(spark, sf, "orders"), ["o_totalprice", "o_custkey"])
+
+
+@register("normality_test")
+def q_normality_test(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.normality_test(I.table(spark, sf, "orders"), "o_totalprice")
+
+
+# --------------------------------------------------------------------------- target suite
+
+def _decile_bin_sql(x: str, edges: str) -> str:
+    terms = [f"CASE WHEN {edges}[1] < {x} THEN 1 ELSE 0 END"] + [
+        f"CASE WHEN {edges}[{k}] > {edges}[{k - 1}] AND {edges}[{k}] < {x} THEN 1 ELSE 0 END" for k in range(2, 10)]
+    return f"CAST(({' + '.join(terms)}) AS VARCHAR)"
+
+
+_DEC = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+
+
+@register("mutual_information", f"""
+WITH e AS (SELECT quantile_cont(o_totalprice, {_DEC}) AS et, quantile_cont(o_custkey, {_DEC}) AS ec FROM orders),
+s AS (SELECT o_orderpriority AS y, 'o_totalprice' AS feature, 'numeric' AS type, {_decile_bin_sql('o_totalprice', 'et')} AS x
+      FROM orders, e WHERE o_totalprice IS NOT NULL
+      UNION ALL SELECT o_orderpriority, 'o_custkey', 'numeric', {_decile_bin_sql('o_custkey', 'ec')} FROM orders, e
+      WHERE o_custkey IS NOT NULL
+      UNION ALL SELECT o_orderpriority, 'o_orderstatus', 'categorical', o_orderstatus FROM orders),
+j AS (SELECT feature, type, x, y, count(*) AS nxy FROM s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+m AS (SELECT *, sum(nxy) OVER (PARTITION BY feature, x) AS nx, sum(nxy) OVER (PARTITION BY feature, y) AS ny,
+             sum(nxy) OVER (PARTITION BY feature) AS N FROM j)
+SELECT feature, type, CAST(max(N) AS BIGINT) AS n,
+       round(greatest(0.0, sum(nxy / N * ln(nxy * N / (nx * ny)))), 4) AS mi FROM m GROUP BY feature, type""")
+def q_mutual_information(spark, sf):
+    from tablescope.operators import target
+    o = I.table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return target.mutual_information(o, "o_orderpriority")
+
+
+_TA_NUM = ["c_acctbal", "total_spent", "avg_order"]
+
+
+@register("target_associations", f"""
+WITH p AS ({U([_pair_sql(CO, c, 'n_orders') for c in _TA_NUM])}),
+num AS (SELECT feature1 AS feature, n, CASE WHEN abs(coalesce(r, 0)) >= abs(coalesce(rho, 0)) THEN 'pearson'
+                                         ELSE 'spearman' END AS method,
+               CASE WHEN abs(coalesce(r, 0)) >= abs(coalesce(rho, 0)) THEN r ELSE rho END AS score FROM p WHERE n > 10),
+cv AS (SELECT * FROM ({_chi_square_sql(CO, 'c_mktsegment', 'n_orders', 'Missing', with_p=False)})),
+u AS (SELECT feature, CAST(n AS BIGINT) AS n, method, score FROM num
+      UNION ALL SELECT 'c_mktsegment', n, 'cramers_v', cramers_v FROM cv)
+SELECT feature, n, method, round(score, 4) AS score FROM u WHERE abs(score) > 0.1
+ORDER BY abs(score) DESC, feature LIMIT 10""")
+def q_target_associations(spark, sf):
+    from tablescope.operators import target
+    return target.target_associations(I.customer_orders(spark, sf), "n_orders",
+                                      _TA_NUM + ["c_mktsegment"])
+
+
+@register("feature_importance", f"""
+WITH p AS ({U([_pair_sql(CO, c, 'n_orders') for c in _TA_NUM])}),
+cv AS (SELECT * FROM ({_chi_square_sql(CO, 'c_mktsegment', 'n_orders', 'Missing', with_p=False)})),
+u AS (SELECT feature1 AS feature, 'abs_pearson' AS method, abs(r) AS importance FROM p WHERE n > 10
+      UNION ALL SELECT 'c_mktsegment', 'cramers_v', cramers_v FROM cv)
+SELECT feature, method, round(importance, 4) AS importance FROM u WHERE importance IS NOT NULL
+ORDER BY importance DESC, feature LIMIT 10""")
+def q_feature_importance(spark, sf):
+    from tablescope.operators import target
+    return target.feature_importance(I.customer_orders(spark, sf), "n_orders", _TA_NUM + ["c_mktsegment"])
+
+
+def _interaction_sql() -> str:
+    feats = ["c_acctbal", "total_spent", "avg_order", "n_orders"]
+    pairs = _pairs(feats)
+    singles = U([f"SELECT '{c}' AS f, abs(corr({c}, c_nationkey)) AS rs FROM {CO}" for c in feats])
+    inter = U([f"SELECT '{a}' AS feature1, '{b}' AS feature2, abs(corr({a} * {b}, c_nationkey)) AS ri FROM {CO}"
+               for a, b in pairs])
+    return f"""
+WITH s AS ({singles}), i AS ({inter}),
+t AS (SELECT i.*, greatest(coalesce(s1.rs, 0), coalesce(s2.rs, 0)) AS best FROM i
+      JOIN s s1 ON s1.f = i.feature1 JOIN s s2 ON s2.f = i.feature2 WHERE ri IS NOT NULL)
+SELECT feature1, feature2, round(ri, 4) AS interaction_corr, round(best, 4) AS best_single,
+       round(ri - best, 4) AS gain, ri - best > 0 AS beneficial FROM t
+ORDER BY ri DESC, feature1, feature2 LIMIT 15"""
+
+
+@register("interaction_strength", _interaction_sql())
+def q_interaction_strength(spark, sf):
+    from tablescope.operators import target
+    co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
+    return target.interaction_strength(co, "c_nationkey")
