@@ -1056,3 +1056,125 @@ def q_interaction_strength(spark, sf):
     from tablescope.operators import target
     co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
     return target.interaction_strength(co, "c_nationkey")
+
+
+@register("mi_bands")
+def q_mi_bands(spark, sf):
+    from tablescope.operators import target
+    o = I.table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return target.mi_bands(target.mutual_information(o, "o_orderpriority"))
+
+
+@register("interaction_bands")
+def q_interaction_bands(spark, sf):
+    from tablescope.operators import target
+    co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
+    return target.interaction_bands(target.interaction_strength(co, "c_nationkey"))
+
+
+# --------------------------------------------------------------------------- quality checks
+
+@register("format_checks", U([f"""
+SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count_if({c} <> trim({c})) AS BIGINT) AS padded,
+       CAST(count(DISTINCT {c}) - count(DISTINCT lower({c})) AS BIGINT) AS case_variants,
+       CAST(count_if(regexp_matches({c}, '[^\\w\\s\\-\\.\\,\\(\\)\\[\\]]')) AS BIGINT) AS unusual,
+       count_if(regexp_matches({c}, '[^\\w\\s\\-\\.\\,\\(\\)\\[\\]]')) > count({c}) * 0.1 AS encoding_issue,
+       CAST(count_if(regexp_matches({c}, '\\\\u[0-9a-fA-F]{{4}}|\\\\x[0-9a-fA-F]{{2}}')) AS BIGINT) AS escapes,
+       CAST(count_if(lower(trim({c})) IN ('null', 'none', 'na', 'n/a', 'nan', 'nil', 'undefined', '')) AS BIGINT) AS null_like,
+       count_if(regexp_matches({c}, '[,;|]')) > count({c}) * 0.3 AND
+       (CASE WHEN bool_or(contains({c}, ',')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains({c}, ';')) THEN 1 ELSE 0 END
+        + CASE WHEN bool_or(contains({c}, '|')) THEN 1 ELSE 0 END) > 1 AS mixed_separators
+FROM part""" for c in PART_STR]))
+def q_format_checks(spark, sf):
+    from tablescope.operators import quality
+    return quality.format_checks(I.table(spark, sf, "part"), PART_STR)
+
+
+_RR = "(SELECT o_totalprice, o_totalprice / 5000 - 20 AS customer_age, o_totalprice / 5000 AS discount_rate FROM orders)"
+
+
+@register("range_rules", f"""
+SELECT 'o_totalprice' AS "column", 'negative_money' AS rule, CAST(count_if(o_totalprice < 0) AS BIGINT) AS n_invalid FROM {_RR}
+UNION ALL SELECT 'customer_age', 'age_range', CAST(count_if(customer_age < 0 OR customer_age > 150) AS BIGINT) FROM {_RR}
+UNION ALL SELECT 'discount_rate', 'percent_range', CAST(count_if(discount_rate < 0 OR discount_rate > 100) AS BIGINT) FROM {_RR}""")
+def q_range_rules(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import quality
+    o = I.table(spark, sf, "orders").select("o_totalprice", (F.col("o_totalprice") / 5000 - 20).alias("customer_age"),
+                                            (F.col("o_totalprice") / 5000).alias("discount_rate"))
+    return quality.range_rules(o)
+
+
+_MDF = ("(SELECT CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%m/%d/%Y') "
+        "WHEN o_orderstatus = 'O' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%d.%m.%Y') END "
+        "AS mixed_dates, strftime(o_orderdate, '%Y-%m-%d') AS iso_dates FROM orders)")
+
+
+@register("mixed_date_formats", U([f"""
+SELECT '{c}' AS "column", array_to_string(list_sort(list_distinct(list(CASE WHEN contains({c}, '/') THEN 'slash_format'
+       WHEN contains({c}, '-') THEN 'dash_format' WHEN contains({c}, '.') THEN 'dot_format' END))), ',') AS formats,
+       len(list_distinct(list(CASE WHEN contains({c}, '/') THEN 'slash_format' WHEN contains({c}, '-') THEN 'dash_format'
+       WHEN contains({c}, '.') THEN 'dot_format' END))) > 1 AS inconsistent FROM {_MDF}""" for c in ["mixed_dates", "iso_dates"]]))
+def q_mixed_date_formats(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import quality
+    o = I.table(spark, sf, "orders")
+    d = o.select(F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "MM/dd/yyyy"))
+                 .when(F.col("o_orderstatus") == "O", F.date_format("o_orderdate", "yyyy-MM-dd"))
+                 .otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("mixed_dates"),
+                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso_dates"))
+    return quality.mixed_date_formats(d, ["mixed_dates", "iso_dates"])
+
+
+@register("warnings_report")
+def q_warnings_report(spark, sf):
+    from tablescope.operators import quality
+    return quality.warnings_report(I.docs_labels(spark, sf).drop("text"))
+
+
+@register("dataset_profile")
+def q_dataset_profile(spark, sf):
+    from tablescope.operators import quality
+    return quality.dataset_profile(I.docs_labels(spark, sf).drop("text"))
+
+
+@register("findings")
+def q_findings(spark, sf):
+    from tablescope.operators import findings
+    return findings.findings(I.table(spark, sf, "orders"), target="o_orderpriority")
+
+
+@register("key_findings")
+def q_key_findings(spark, sf):
+    from tablescope.operators import findings
+    return findings.key_findings(I.docs_labels(spark, sf).drop("text"))
+
+
+@register("action_items")
+def q_action_items(spark, sf):
+    from tablescope.operators import findings
+    return findings.action_items(I.docs_labels(spark, sf).drop("text"))
+
+
+@register("dataset_bands")
+def q_dataset_bands(spark, sf):
+    from tablescope.operators import findings
+    return findings.dataset_bands(I.table(spark, sf, "lineitem"))
+
+
+@register("complexity_score")
+def q_complexity_score(spark, sf):
+    from tablescope.operators import findings
+    return findings.complexity_score(I.table(spark, sf, "orders"))
+
+
+@register("investment_priority")
+def q_investment_priority(spark, sf):
+    from tablescope.operators import findings
+    return findings.investment_priority(I.table(spark, sf, "orders"), target="o_orderpriority")
+
+
+@register("quality_score")
+def q_quality_score(spark, sf):
+    from tablescope.operators import scores
+    return scores.quality_score(I.docs_labels(spark, sf).drop("text"))
