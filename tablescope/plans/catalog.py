@@ -1174,6 +1174,357 @@ def q_investment_priority(spark, sf):
     return findings.investment_priority(I.table(spark, sf, "orders"), target="o_orderpriority")
 
 
+# --------------------------------------------------------------------------- cleaning
+
+@register("impute_median", f"""
+SELECT c_custkey, c_acctbal, n_orders, round(coalesce(total_spent, (SELECT median(total_spent) FROM {CO})), 4) AS total_spent,
+       round(coalesce(avg_order, (SELECT median(avg_order) FROM {CO})), 4) AS avg_order FROM {CO}""")
+def q_impute_median(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import clean
+    co = I.customer_orders(spark, sf).select("c_custkey", "c_acctbal", "n_orders", "total_spent", "avg_order")
+    out = clean.impute_median(co, ["total_spent", "avg_order"])
+    return out.select("c_custkey", "c_acctbal", "n_orders", *[F.round(F.col(c) * 10000) / 10000
+                                                              for c in []],
+                      (F.round(F.col("total_spent") * 10000) / 10000).alias("total_spent"),
+                      (F.round(F.col("avg_order") * 10000) / 10000).alias("avg_order"))
+
+
+@register("impute_mean_mode", f"""
+WITH t AS (SELECT d.doc_id, d.lang, l.quality, CASE WHEN l.quality IS NULL THEN NULL ELSE d.source END AS source
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+md AS (SELECT source AS m FROM t WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)
+SELECT doc_id, lang, round(coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM t)), 4) AS quality,
+       coalesce(source, (SELECT m FROM md)) AS source FROM t""")
+def q_impute_mean_mode(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import clean
+    t = I.docs_labels(spark, sf).select("doc_id", "lang", "quality",
+                                         F.when(F.col("quality").isNull(), None).otherwise(F.col("source")).alias("source"))
+    out = clean.impute_mean_mode(t, ["quality"], ["source"])
+    return out.withColumn("quality", F.round(F.col("quality") * 10000) / 10000)
+
+
+@register("drop_sparse_rows", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_kept FROM {DL}
+WHERE ({' + '.join(f'CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END' for c in ['lang', 'quality', 'toxic'])}) >= 2""")
+def q_drop_sparse_rows(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import clean
+    return clean.drop_sparse_rows(I.docs_labels(spark, sf), ["lang", "quality", "toxic"], 0.5).agg(
+        F.count(F.lit(1)).cast("long").alias("rows_kept"))
+
+
+@register("drop_missing", f"""
+SELECT CAST(count(*) AS BIGINT) AS rows_before, CAST(count_if(quality IS NOT NULL AND toxic IS NOT NULL) AS BIGINT) AS rows_after,
+       CAST(count_if(quality IS NULL OR toxic IS NULL) AS BIGINT) AS rows_removed FROM {DL}""")
+def q_drop_missing(spark, sf):
+    return missing.drop_rows_report(I.docs_labels(spark, sf), ["quality", "toxic"])
+
+
+@register("fill_constant", f"""
+SELECT doc_id, coalesce(CAST(quality AS VARCHAR), 'Missing') AS quality FROM {DL}""")
+def q_fill_constant(spark, sf):
+    from tablescope.operators import clean
+    return clean.fill_constant(I.docs_labels(spark, sf).select("doc_id", "quality"), ["quality"])
+
+
+@register("coerce_numeric", """
+SELECT o_orderkey, try_cast(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS VARCHAR) ELSE o_orderpriority END AS DOUBLE)
+       AS mixed_text FROM orders""")
+def q_coerce_numeric(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import clean
+    o = I.table(spark, sf, "orders")
+    t = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string"))
+                 .otherwise(F.col("o_orderpriority")).alias("mixed_text"))
+    return clean.coerce_numeric(t, ["mixed_text"])
+
+
+@register("filter_top_categories", """
+WITH top AS (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 15)
+SELECT p_partkey, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM top)""")
+def q_filter_top_categories(spark, sf):
+    from tablescope.operators import clean
+    return clean.filter_top_categories(I.table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", 15)
+
+
+@register("filter_range", """
+SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20""")
+def q_filter_range(spark, sf):
+    from tablescope.operators import clean
+    li = I.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return clean.filter_range(li, "l_quantity", 10, 20)
+
+
+@register("filter_eq", """SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'""")
+def q_filter_eq(spark, sf):
+    from tablescope.operators import clean
+    return clean.filter_eq(I.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "F")
+
+
+@register("quartile_bin", """
+WITH q AS (SELECT quantile_cont(o_totalprice, [0.25, 0.5, 0.75]) AS e, min(o_totalprice) AS mn, max(o_totalprice) AS mx FROM orders)
+SELECT o_orderkey, CAST(len(list_filter(list_filter(list_distinct(e), lambda v: v > mn AND v < mx),
+                                        lambda v: v < o_totalprice)) AS INTEGER) AS o_totalprice_bin
+FROM orders, q""")
+def q_quartile_bin(spark, sf):
+    from tablescope.operators import clean
+    o = I.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return clean.quartile_bin(o, "o_totalprice").select("o_orderkey", "o_totalprice_bin")
+
+
+@register("zero_variance_guard", f"""
+WITH t AS (SELECT *, 1.0 AS constant FROM customer)
+{U([f"SELECT '{c}' AS \"column\", {SIG(f'var_samp({c})')} AS variance, coalesce(var_samp({c}) > 0, false) AS keep FROM t"
+    for c in ['c_acctbal', 'c_nationkey', 'constant']])}""")
+def q_zero_variance_guard(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.functions.exprs import sig
+    from tablescope.operators import clean
+    c = I.table(spark, sf, "customer").withColumn("constant", F.lit(1.0))
+    return clean.zero_variance_guard(c, ["c_acctbal", "c_nationkey", "constant"]).withColumn(
+        "variance", sig(F.col("variance")))
+
+
+@register("sample_n")
+def q_sample_n(spark, sf):
+    from tablescope.operators import clean
+    return clean.sample_n(I.table(spark, sf, "orders"), 1000)
+
+
+# --------------------------------------------------------------------------- scaling, encoding, segmentation
+
+_SEG_NUM = ["c_acctbal", "n_orders", "total_spent", "avg_order"]
+
+
+@register("scale_standard", f"""
+SELECT c_custkey, {', '.join(f"round(coalesce(({c} - (SELECT avg({c}) FROM customer)) / NULLIF((SELECT stddev_pop({c}) FROM customer), 0), 0.0), 4) AS {c}" for c in ['c_acctbal', 'c_nationkey'])}
+FROM customer""")
+def q_scale_standard(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import segment
+    c = I.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    s = segment.scale(c, ["c_acctbal", "c_nationkey"], "standard")
+    return s.select("c_custkey", *[(F.round(F.col(x) * 10000) / 10000).alias(x) for x in ["c_acctbal", "c_nationkey"]])
+
+
+@register("scale_minmax", f"""
+SELECT c_custkey, {', '.join(f"round(coalesce(({c} - (SELECT min({c}) FROM customer)) / NULLIF((SELECT max({c}) - min({c}) FROM customer), 0), 0.0), 4) AS {c}" for c in ['c_acctbal', 'c_nationkey'])}
+FROM customer""")
+def q_scale_minmax(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import segment
+    c = I.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    s = segment.scale(c, ["c_acctbal", "c_nationkey"], "minmax")
+    return s.select("c_custkey", *[(F.round(F.col(x) * 10000) / 10000).alias(x) for x in ["c_acctbal", "c_nationkey"]])
+
+
+@register("scale_robust", f"""
+SELECT c_custkey, {', '.join(f"round(coalesce(({c} - (SELECT median({c}) FROM customer)) / NULLIF((SELECT quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) FROM customer), 0), 0.0), 4) AS {c}" for c in ['c_acctbal', 'c_nationkey'])}
+FROM customer""")
+def q_scale_robust(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import segment
+    c = I.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    s = segment.scale(c, ["c_acctbal", "c_nationkey"], "robust")
+    return s.select("c_custkey", *[(F.round(F.col(x) * 10000) / 10000).alias(x) for x in ["c_acctbal", "c_nationkey"]])
+
+
+@register("label_encode", """
+SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS c_mktsegment FROM customer""")
+def q_label_encode(spark, sf):
+    from tablescope.operators import segment
+    return segment.label_encode(I.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+
+
+@register("one_hot", f"""
+SELECT c_custkey, {', '.join(f"CASE WHEN c_mktsegment = '{v}' THEN 1.0 ELSE 0.0 END AS c_mktsegment_{v}" for v in ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])}
+FROM customer""")
+def q_one_hot(spark, sf):
+    from tablescope.operators import segment
+    return segment.one_hot(I.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"])
+
+
+@register("pca_variance")
+def q_pca_variance(spark, sf):
+    from tablescope.operators import segment
+    return segment.pca(I.customer_orders(spark, sf), _SEG_NUM)["variance"]
+
+
+@register("pca_loadings")
+def q_pca_loadings(spark, sf):
+    from tablescope.operators import segment
+    return segment.pca(I.customer_orders(spark, sf), _SEG_NUM)["loadings"]
+
+
+@register("pca_summary")
+def q_pca_summary(spark, sf):
+    from tablescope.operators import segment
+    return segment.pca(I.customer_orders(spark, sf), _SEG_NUM)["summary"]
+
+
+@register("kmeans")
+def q_kmeans(spark, sf):
+    from tablescope.operators import segment
+    return segment.kmeans(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
+
+
+@register("elbow")
+def q_elbow(spark, sf):
+    from tablescope.operators import segment
+    return segment.elbow(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"])
+
+
+@register("silhouette")
+def q_silhouette(spark, sf):
+    from tablescope.operators import segment
+    return segment.silhouette(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
+
+
+@register("cluster_summary")
+def q_cluster_summary(spark, sf):
+    from tablescope.operators import segment
+    return segment.cluster_summary(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
+
+
+@register("cluster_centers")
+def q_cluster_centers(spark, sf):
+    from tablescope.operators import segment
+    return segment.cluster_centers(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
+
+
+@register("cluster_projection")
+def q_cluster_projection(spark, sf):
+    from tablescope.operators import segment
+    return segment.cluster_projection(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
+
+
+# --------------------------------------------------------------------------- chart data
+
+def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
+    return f"CAST(CASE WHEN {hi} = {lo} THEN 0 ELSE least(floor(({x} - {lo}) / ({hi} - {lo}) * {bins}), {bins - 1}) END AS INTEGER)"
+
+
+@register("histogram", f"""
+WITH m AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
+g AS (SELECT {_bin_sql('l_extendedprice', 'lo', 'hi', 30)} AS bin, lo, hi, count(*) AS cnt FROM lineitem, m
+      WHERE l_extendedprice IS NOT NULL GROUP BY ALL)
+SELECT bin, round(lo + bin * (hi - lo) / 30, 4) AS lower, round(lo + (bin + 1) * (hi - lo) / 30, 4) AS upper,
+       CAST(cnt AS BIGINT) AS count, round(cnt / (sum(cnt) OVER () * ((hi - lo) / 30)), 4) AS density,
+       round(cnt / sum(cnt) OVER (), 4) AS probability FROM g""")
+def q_histogram(spark, sf):
+    from tablescope.operators import charts
+    return charts.histogram(I.table(spark, sf, "lineitem"), "l_extendedprice", 30)
+
+
+@register("box_stats", """
+WITH q AS (SELECT l_returnflag AS g, quantile_cont(l_extendedprice, 0.25) AS q1, median(l_extendedprice) AS med,
+                  quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem WHERE l_returnflag IS NOT NULL
+                  AND l_extendedprice IS NOT NULL GROUP BY 1)
+SELECT q.g AS "group", CAST(count(*) AS BIGINT) AS n, round(q1, 4) AS q1, round(med, 4) AS median, round(q3, 4) AS q3,
+       round(min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END), 4) AS whisker_low,
+       round(max(CASE WHEN x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1) THEN x END), 4) AS whisker_high,
+       CAST(count_if(NOT (x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1))) AS BIGINT) AS fliers
+FROM (SELECT l_returnflag AS g, l_extendedprice AS x FROM lineitem WHERE l_extendedprice IS NOT NULL) d JOIN q USING (g)
+GROUP BY q.g, q1, med, q3""")
+def q_box_stats(spark, sf):
+    from tablescope.operators import charts
+    return charts.box_stats(I.table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
+
+
+@register("category_counts", f"""
+WITH g AS (SELECT CAST(p_brand AS VARCHAR) AS category, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1)
+SELECT category, CAST(n AS BIGINT) AS n, {PCT('n', '(SELECT sum(n) FROM g)')} AS pct,
+       CASE WHEN (SELECT count(*) FROM g) <= 10 THEN 'pie' ELSE 'bar' END AS chart
+FROM g ORDER BY n DESC, category LIMIT 15""")
+def q_category_counts(spark, sf):
+    from tablescope.operators import charts
+    return charts.category_counts(I.table(spark, sf, "part"), "p_brand")
+
+
+@register("class_balance_chart", f"""
+WITH g AS (SELECT o_orderpriority AS class, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1)
+SELECT class, CAST(n AS BIGINT) AS n, {PCT('n', '(SELECT sum(n) FROM g)')} AS pct FROM g ORDER BY n DESC, class LIMIT 15""")
+def q_class_balance_chart(spark, sf):
+    from tablescope.operators import charts
+    return charts.class_balance_chart(I.table(spark, sf, "orders"), "o_orderpriority")
+
+
+_TOPB = "(SELECT p_brand FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 15)"
+
+
+@register("count_by_target", f"""
+SELECT p_brand AS category, p_type AS target, CAST(count(*) AS BIGINT) AS n FROM part
+WHERE p_brand IN {_TOPB} GROUP BY 1, 2""")
+def q_count_by_target(spark, sf):
+    from tablescope.operators import charts
+    return charts.count_by_target(I.table(spark, sf, "part"), "p_brand", "p_type")
+
+
+@register("mean_target_by_category", f"""
+SELECT p_brand AS category, CAST(count(*) AS BIGINT) AS n, round(avg(p_retailprice), 4) AS mean_target FROM part
+WHERE p_brand IN {_TOPB} GROUP BY 1""")
+def q_mean_target_by_category(spark, sf):
+    from tablescope.operators import charts
+    return charts.mean_target_by_category(I.table(spark, sf, "part"), "p_brand", "p_retailprice")
+
+
+@register("bar_aggregate", """
+SELECT c_mktsegment AS category, round(median(c_acctbal), 4) AS median FROM customer GROUP BY 1""")
+def q_bar_aggregate(spark, sf):
+    from tablescope.operators import charts
+    return charts.bar_aggregate(I.table(spark, sf, "customer"), "c_mktsegment", "c_acctbal", "median")
+
+
+@register("pivot_heatmap", """
+SELECT l_returnflag AS x, l_linestatus AS y, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1, 2""")
+def q_pivot_heatmap(spark, sf):
+    from tablescope.operators import charts
+    return charts.pivot_heatmap(I.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
+
+
+@register("density_2d", f"""
+WITH m AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(l_discount) AS yl, max(l_discount) AS yh FROM lineitem)
+SELECT {_bin_sql('l_quantity', 'xl', 'xh', 20)} AS xbin, {_bin_sql('l_discount', 'yl', 'yh', 20)} AS ybin,
+       CAST(count(*) AS BIGINT) AS n FROM lineitem, m WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1, 2""")
+def q_density_2d(spark, sf):
+    from tablescope.operators import charts
+    return charts.density_2d(I.table(spark, sf, "lineitem"), "l_quantity", "l_discount")
+
+
+@register("stacked_counts", f"""
+WITH ct AS (SELECT coalesce(l_returnflag, 'Unknown') AS l_returnflag, coalesce(l_linestatus, 'Unknown') AS l_linestatus,
+                   count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT l_returnflag, l_linestatus, CAST(n AS BIGINT) AS n, {PCT('n', 'sum(n) OVER (PARTITION BY l_returnflag)')} AS row_pct,
+       {PCT('n', 'sum(n) OVER (PARTITION BY l_linestatus)')} AS col_pct, {PCT('n', 'sum(n) OVER ()')} AS total_pct FROM ct""")
+def q_stacked_counts(spark, sf):
+    from tablescope.operators import charts
+    return charts.stacked_counts(I.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@register("line_mean", """
+SELECT l_linenumber AS x, CAST(count(l_quantity) AS BIGINT) AS n, round(avg(l_quantity), 4) AS mean,
+       round(avg(l_quantity) - 1.96 * stddev_samp(l_quantity) / sqrt(count(l_quantity)), 4) AS ci_low,
+       round(avg(l_quantity) + 1.96 * stddev_samp(l_quantity) / sqrt(count(l_quantity)), 4) AS ci_high
+FROM lineitem GROUP BY 1""")
+def q_line_mean(spark, sf):
+    from tablescope.operators import charts
+    return charts.line_mean(I.table(spark, sf, "lineitem"), "l_linenumber", "l_quantity")
+
+
+@register("density_grid")
+def q_density_grid(spark, sf):
+    from tablescope.operators import charts
+    return charts.density_grid(I.table(spark, sf, "orders"), "o_totalprice")
+
+
+@register("point_sample")
+def q_point_sample(spark, sf):
+    from tablescope.operators import charts
+    return charts.point_sample(I.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+
+
 @register("quality_score")
 def q_quality_score(spark, sf):
     from tablescope.operators import scores
