@@ -116,6 +116,8 @@ def rnd(c: Column, digits: int = 0) -> Column:
     while most engines, and the reference's numpy values, round the binary value
     (0.00015 is 1.4999...e-4 -> 0.0001).  Scaling first makes both agree.
     """
+    if isinstance(c, str):
+        c = F.col(c)
     if digits == 0:
         return F.round(c.cast("double"))
     s = float(10 ** digits)
