@@ -21,8 +21,12 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
 
 def _probe_lines(spark: SparkSession, path: str, encoding: str, n: int = 20) -> list[str]:
     """The first non-empty lines of the file(s), decoded with ``encoding`` (a bounded peek)."""
-    raw = spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-    return [r[0] for r in raw.where(F.length(F.trim("value")) > 0).limit(n).collect()]
+    # the CSV reader honours ``encoding`` (the text reader is UTF-8 only); a separator and
+    # quote that never occur turn each line into one column
+    raw = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
+           .option("header", False).csv(path))
+    first = raw.columns[0]
+    return [r[0] for r in raw.where(F.length(F.trim(F.col(first))) > 0).limit(n).collect()]
 
 
 def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
