@@ -1525,6 +1525,35 @@ def q_point_sample(spark, sf):
     return charts.point_sample(I.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
 
 
+@register("dataset_overview", f"""
+WITH cs AS ({_column_summary_sql('orders', ORDERS_COLS)}),
+m AS ({U([f"SELECT '{c}' AS c, count(*) - count({c}) AS mc, count(*) AS r FROM orders" for c, _ in ORDERS_COLS])}),
+d AS (SELECT sum(n - 1) AS dup FROM (SELECT count(*) AS n FROM orders GROUP BY ALL_COLS))
+SELECT cs."column", cs.position, cs.data_type, CAST(m.mc AS BIGINT) AS missing_count, cs.missing_pct, cs.unique_values,
+       cs.sample_values, CAST(m.r AS BIGINT) AS "rows", CAST({len(ORDERS_COLS)} AS BIGINT) AS columns,
+       CAST(d.dup AS BIGINT) AS dataset_duplicate_rows
+FROM cs JOIN m ON cs."column" = m.c, d""".replace("ALL_COLS", ", ".join(c for c, _ in ORDERS_COLS)))
+def q_dataset_overview(spark, sf):
+    return profile.dataset_overview(I.table(spark, sf, "orders"))
+
+
+_DRS_COLS = ["l_orderkey"] + I.LINEITEM_DUP_KEY
+
+
+@register("duplicate_rows_subset", U([
+    f"SELECT '{name}' AS subset, * FROM ({_dup_sql('lineitem', cols)})"
+    for name, cols in [("all_columns", _DRS_COLS), ("without_id_columns", I.LINEITEM_DUP_KEY),
+                       ("without_last_column", _DRS_COLS[:-1])]]))
+def q_duplicate_rows_subset(spark, sf):
+    return profile.duplicate_rows_subset(I.table(spark, sf, "lineitem").select(*_DRS_COLS))
+
+
+@register("preview_shape", """SELECT CAST(count(*) AS BIGINT) AS "rows", 11 AS columns FROM lineitem""")
+def q_preview_shape(spark, sf):
+    from tablescope.sources import io
+    return io.preview(I.table(spark, sf, "lineitem"))[1]
+
+
 @register("quality_score")
 def q_quality_score(spark, sf):
     from tablescope.operators import scores
