@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import as_double, col, nan_to_null, pct, r4, rnd, strength_label, with_scalars
+from tablescope.functions.exprs import (
+    as_double, col, const_key, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
+)
 from tablescope.functions.stats import chi2_pvalue, f_pvalue
 from tablescope.operators.histogram import numeric_histogram, ranked_histogram
 
@@ -54,7 +56,7 @@ def _chi_square_core(labels: DataFrame, yates: bool = True) -> DataFrame:
                          cols.agg(F.count(F.lit(1)).alias("c"), F.min("C").alias("minC")))
     r, c = shape.select("r", "c").first()
     if yates and r == 2 and c == 2:
-        grid = (rows.withColumn("_k", F.lit(1)).join(cols.withColumn("_k", F.lit(1)), "_k")
+        grid = (rows.withColumn("_k", const_key(rows)).join(F.broadcast(cols.withColumn("_k", const_key(cols))), "_k")
                 .join(ct, ["a", "b"], "left").fillna(0, ["o"]))
         g = with_scalars(grid, shape.select("N"))
         e = F.col("R") * F.col("C") / F.col("N")
