@@ -125,16 +125,20 @@ def group_effect(df: DataFrame, cat: str, num: str, method: str = "auto") -> Dat
                  F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"),
                  F.sum(F.col("n") * F.pow(F.col("m") - F.col("_all_m"), 2)).alias("ssb_all"),
                  F.max((F.col("_all_n") - 1) * F.col("_all_v")).alias("sst"))
-    # Kruskal-Wallis from exact ranks of the kept rows
-    kd = d.join(kept.select("g"), "g", "left_semi")
-    hist = numeric_histogram(kd, ["x"], keys=["g"])
-    vals = hist.groupBy("column", "value").agg(F.sum("n").alias("n"))
-    ranked = ranked_histogram(vals, ["column"]).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
-    tie = ranked.agg(F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"))
-    rs = (hist.join(ranked.select("column", "value", "rank"), ["column", "value"])
-          .groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("R"), F.sum("n").alias("ng")))
-    hsum = rs.agg(F.sum(F.pow("R", 2) / F.col("ng")).alias("sr2"))
-    s = with_scalars(with_scalars(summ, hsum), tie)
+    if method == "anova":
+        # the rank statistic is not needed: skip the histogram and rank passes
+        s = summ.withColumn("sr2", F.lit(None).cast("double")).withColumn("ties", F.lit(None).cast("double"))
+    else:
+        # Kruskal-Wallis from exact ranks of the kept rows
+        kd = d.join(kept.select("g"), "g", "left_semi")
+        hist = numeric_histogram(kd, ["x"], keys=["g"])
+        vals = hist.groupBy("column", "value").agg(F.sum("n").alias("n"))
+        ranked = ranked_histogram(vals, ["column"]).withColumn("rank", F.col("below") + (F.col("n") + 1) / 2.0)
+        tie = ranked.agg(F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"))
+        rs = (hist.join(ranked.select("column", "value", "rank"), ["column", "value"])
+              .groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("R"), F.sum("n").alias("ng")))
+        hsum = rs.agg(F.sum(F.pow("R", 2) / F.col("ng")).alias("sr2"))
+        s = with_scalars(with_scalars(summ, hsum), tie)
     nk = F.col("Nk")
     h_raw = 12.0 / (nk * (nk + 1)) * F.col("sr2") - 3 * (nk + 1)
     h = F.try_divide(h_raw, 1 - F.col("ties") / (F.pow(nk, 3) - nk))

@@ -1554,6 +1554,12 @@ def q_preview_shape(spark, sf):
     return io.preview(I.table(spark, sf, "lineitem"))[1]
 
 
+@register("mixed_interactions")
+def q_mixed_interactions(spark, sf):
+    from tablescope.operators import stat_tests
+    return stat_tests.mixed_interactions(I.table(spark, sf, "events"), ["event_type"], ["value", "user_id"])
+
+
 @register("quality_score")
 def q_quality_score(spark, sf):
     from tablescope.operators import scores
