@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def byte_chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Ite
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         for a, b in slices(size, limit):
             yield batch.slice(a, b - a)
 
