@@ -60,7 +60,7 @@ def unpack(b: bytes) -> np.ndarray:
     kind = "<f8" if b[:1] == b"f" else f"<u{b[:1].decode()}"
     width = np.dtype(kind).itemsize
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
-    out = np.ascontiguousarray(raw.T).view(kind).ravel()
+    out = raw.T.copy().view(kind).ravel()  # a copy: callers write to it
     return out if kind in ("<f8", "<u8") else out.astype(np.int64)
 
 
