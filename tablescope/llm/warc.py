@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import as_bytes, work_path
+from tablescope.llm.common import as_bytes, staged, work_path
 
 #: Bytes of one archive (or one capture).
 ARCHIVE_BYTES = 4 << 20
@@ -203,14 +203,18 @@ def capture_summary(records: DataFrame) -> DataFrame:
         "capture_id", notes.alias("notes"), F.col("main.warc_type").alias("record_type"), F.col("main.refers_to").alias("refers"),
         F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.found_digest").alias("found_digest"), "times")
     rows = rows.withColumn("page_id", F.expr("try_cast(notes['page-id'] AS bigint)"))
-    full = rows.where("record_type = 'response'").select(F.col("capture_id").alias("full_id"), F.col("page_id").alias("full_page"),
-                                                          F.col("payload_bytes").alias("full_bytes"), F.col("found_digest").alias("full_digest"))
-    out = rows.join(full, F.col("refers") == F.col("full_id"), "left")
-    revisit = F.col("record_type") == "revisit"
-    return (out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-            .select("page_id", F.when(revisit, F.col("full_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-                    F.when(revisit, F.col("full_digest")).otherwise(F.col("found_digest")).alias("payload_digest"),
-                    "record_type", F.when(revisit, F.col("full_page")).alias("refers_to")))
+    # written first: then the join below deals both sides out afresh, and Spark can split a payload
+    # that very many captures revisit
+    rows = staged(rows.drop("notes").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))), "warc-captures")
+    full = (rows.where("record_type = 'response' AND copy = 1")
+            .select(F.col("capture_id").alias("full_id"), F.col("page_id").alias("full_page"),
+                    F.col("payload_bytes").alias("full_bytes"), F.col("found_digest").alias("full_digest")))
+    responses = rows.where("record_type = 'response'").select(
+        "page_id", "payload_bytes", F.col("found_digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = (rows.where("record_type = 'revisit'").join(full, F.col("refers") == F.col("full_id"), "left")
+                .select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("payload_digest"),
+                        "record_type", F.col("full_page").alias("refers_to")))
+    return responses.union(revisits)
 
 
 def warc_round_trip(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
