@@ -195,10 +195,11 @@ def pack(df: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_c
     combos, repeat = plan_sequences(histogram, window)
     # ranks of rests of one length: inside (length, salt), after the cells before
     before = Window.partitionBy("rest").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("rest", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    slots = _slots(combos, repeat, window)
+    starts = cells.select("rest", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = (salted.withColumn("inner", F.row_number().over(Window.partitionBy("rest", "salt").orderBy("row")))
-              .join(starts, ["rest", "salt"]).select("row", "rest", (F.col("base") + F.col("inner") - 1).alias("rank")))
-    placed = staged(ranked.mapInArrow(_place(_slots(combos, repeat, window)), "row long, rest int, sequence_id long, offset long"), "packing-plan")
+              .join(starts.drop("n"), ["rest", "salt"]).select("row", "rest", (F.col("base") + F.col("inner") - 1).alias("rank")))
+    placed = staged(ranked.mapInArrow(_place(slots), "row long, rest int, sequence_id long, offset long"), "packing-plan")
     # residual rests end to end: inside a group, after the groups before
     loose = placed.where("sequence_id < 0").withColumn("g", F.pmod(F.xxhash64("row"), F.lit(salts)))
     group_before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row for each group
@@ -213,6 +214,13 @@ def pack(df: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_c
     planned = (measured.select("row", "doc_id", "n", "rest_crc").join(placed.where("sequence_id >= 0"), "row")
                .select("doc_id", (F.col("n") - F.col("rest")).alias("start"), F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"),
                        F.col("n").alias("doc_tokens"), "sequence_id", "offset"))
-    residual = (measured.select("row", "doc_id", "n", "rest_ids").join(laid, "row").select("doc_id", "n", "at", "rest_ids")
+    # ranks rise with the salt, so residual rests have the salts from a length's first one with ranks
+    # to spare: a table of one row for each length keeps all other ids out of the join's shuffle
+    taken = spark.createDataFrame([(int(c), x[3]) for c, x in slots.items()], "rest int, taken long")
+    spare = (starts.join(F.broadcast(taken), "rest", "left").where(F.col("base") + F.col("n") > F.coalesce("taken", F.lit(0)))
+             .groupBy("rest").agg(F.min("salt").alias("first_salt")))
+    some = (measured.where("rest > 0").select("row", "doc_id", "n", "rest", "rest_ids").join(F.broadcast(spare), "rest")
+            .where(F.pmod(F.xxhash64("row"), F.lit(salts)) >= F.col("first_salt")))
+    residual = (some.join(laid, "row").select("doc_id", "n", "at", "rest_ids")
                 .mapInArrow(_cut(window, int(repeat.sum())), schema))
     return whole.union(planned).union(residual)
