@@ -234,13 +234,6 @@ def tall(df_one_row: DataFrame, names: Sequence[str], fields: Sequence[str],
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row aggregate to every row (equi-join on a constant key,
-    the small side broadcast)."""
-    return (df.withColumn("_one", const_key(df))
-            .join(F.broadcast(one_row.withColumn("_one", const_key(one_row))), "_one").drop("_one"))
-
-
-def const_key(df: DataFrame) -> Column:
-    """The value 1 computed from a column, so the optimizer cannot fold a join on it into
-    ``true``: the join stays a broadcast hash join (no shuffle) instead of a nested loop."""
-    return F.pmod(F.hash(*[F.col(q(c)) for c in df.columns]), F.lit(1)) + F.spark_partition_id() * 0 + 1
+    """Append the columns of a one-row aggregate to every row: the row is broadcast, nothing is
+    shuffled, and columns that are not used later are pruned from the scan."""
+    return df.crossJoin(F.broadcast(one_row))

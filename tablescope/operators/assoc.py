@@ -206,24 +206,27 @@ def corr_advanced_summary(df: DataFrame, cols: Sequence[str] | None = None) -> D
              ).drop("_top")
 
 
-def _components(edges: DataFrame, max_iter: int = 64) -> DataFrame:
-    """(node, component) by iterative min-label propagation on a small edge table."""
+def _components(edges: DataFrame) -> DataFrame:
+    """(node, component) by min-label propagation until nothing changes.
+
+    The edge table (columns squared at most) is checkpointed first, so that the base table is not
+    read again in every round, and so are the labels.
+    """
     from tablescope.session import reliable_checkpoint
+    edges = reliable_checkpoint(edges)
     und = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(
         edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     labels = und.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
-    for it in range(max_iter):
+    while True:
         prop = (und.join(labels.withColumnRenamed("node", "src"), "src")
                 .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("cand")))
-        new = (labels.join(prop, "node", "left")
-               .select("node", F.least("label", F.coalesce("cand", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if it % 8 == 7:
-            labels = reliable_checkpoint(labels)
-        if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+        new = reliable_checkpoint(
+            labels.join(prop, "node", "left")
+            .select("node", F.least("label", F.coalesce("cand", "label")).alias("label"),
+                    (F.col("cand") < F.col("label")).alias("moved")))
+        labels = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return labels.withColumnRenamed("label", "component")
 
 
 def multicollinearity_groups(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.8) -> DataFrame:

@@ -403,10 +403,10 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
     df = nan_to_null(df)
     counts = df.where(col(target).isNotNull()).groupBy(col(target)).agg(F.count(F.lit(1)).alias("n"))
     g = counts.agg(F.count(F.lit(1)).cast("long").alias("n_classes"), F.sum("n").cast("long").alias("n"),
-                   F.sum(F.col("n") * F.log2("n")).alias("_nlogn"), F.sum(F.col("n") * F.col("n")).alias("_n2"))
+                   F.sum(F.col("n") * F.log2("n")).alias("_nlogn"), F.sum(F.pow(F.col("n").cast("double"), 2)).alias("_n2"))
     n = F.col("n")
     return g.select("n_classes", "n", r4(F.log2(n) - F.col("_nlogn") / n).alias("entropy"),
-                    r4(1 - F.col("_n2") / (n * n)).alias("gini"))
+                    r4(1 - F.col("_n2") / F.pow(n.cast("double"), 2)).alias("gini"))
 
 
 def regression_target_profile(df: DataFrame, target: str) -> DataFrame:

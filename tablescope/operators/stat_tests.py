@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import (
-    as_double, col, const_key, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
+    as_double, col, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
 )
 from tablescope.functions.stats import chi2_pvalue, f_pvalue
 from tablescope.operators.histogram import numeric_histogram, ranked_histogram
@@ -56,22 +56,22 @@ def _chi_square_core(labels: DataFrame, yates: bool = True) -> DataFrame:
                          cols.agg(F.count(F.lit(1)).alias("c"), F.min("C").alias("minC")))
     r, c = shape.select("r", "c").first()
     if yates and r == 2 and c == 2:
-        grid = (rows.withColumn("_k", const_key(rows)).join(F.broadcast(cols.withColumn("_k", const_key(cols))), "_k")
+        grid = (rows.crossJoin(F.broadcast(cols))  # two by two
                 .join(ct, ["a", "b"], "left").fillna(0, ["o"]))
         g = with_scalars(grid, shape.select("N"))
-        e = F.col("R") * F.col("C") / F.col("N")
+        e = F.col("R").cast("double") * F.col("C") / F.col("N")
         diff = e - F.col("o")
         adj = F.col("o") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
         stat = g.agg(F.sum(F.pow(adj - e, 2) / e).alias("chi2"))
     else:
         g = with_scalars(ct.join(rows, "a").join(cols, "b"), shape.select("N"))
-        e = F.col("R") * F.col("C") / F.col("N")
+        e = F.col("R").cast("double") * F.col("C") / F.col("N")
         stat = g.agg((F.sum(F.pow(F.col("o") - e, 2) / e) + F.max("N") - F.sum(e)).alias("chi2"))
     out = with_scalars(shape, stat)
     return out.select(F.col("N").cast("long").alias("n"), F.col("r").cast("long").alias("rows"),
                       F.col("c").cast("long").alias("cols"), F.greatest(F.lit(0.0), F.col("chi2")).alias("chi2"),
                       ((F.col("r") - 1) * (F.col("c") - 1)).cast("long").alias("dof"),
-                      (F.col("minR") * F.col("minC") / F.col("N") < 5).alias("low_expected"))
+                      (F.col("minR").cast("double") * F.col("minC") / F.col("N") < 5).alias("low_expected"))
 
 
 def chi_square(df: DataFrame, a: str, b: str, fill: str = "Unknown", yates: bool = True) -> DataFrame:
@@ -139,7 +139,7 @@ def group_effect(df: DataFrame, cat: str, num: str, method: str = "auto") -> Dat
               .groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("R"), F.sum("n").alias("ng")))
         hsum = rs.agg(F.sum(F.pow("R", 2) / F.col("ng")).alias("sr2"))
         s = with_scalars(with_scalars(summ, hsum), tie)
-    nk = F.col("Nk")
+    nk = F.col("Nk").cast("double")
     h_raw = 12.0 / (nk * (nk + 1)) * F.col("sr2") - 3 * (nk + 1)
     h = F.try_divide(h_raw, 1 - F.col("ties") / (F.pow(nk, 3) - nk))
     fstat = F.try_divide(F.col("ssb_k") / (F.col("k") - 1), F.col("ssw") / (nk - F.col("k")))

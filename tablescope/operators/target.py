@@ -140,7 +140,7 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
     j = joint.join(px, ["feature", "x"]).join(py, ["feature", "_y"]).join(F.broadcast(tot), "feature")
     mi = j.groupBy("feature", "type").agg(
         F.max("N").cast("long").alias("n"),
-        F.sum(F.col("nxy") / F.col("N") * F.log(F.col("nxy") * F.col("N") / (F.col("nx") * F.col("ny")))).alias("mi"))
+        F.sum(F.col("nxy") / F.col("N") * F.log(F.col("nxy").cast("double") * F.col("N") / (F.col("nx").cast("double") * F.col("ny")))).alias("mi"))
     return mi.select("feature", "type", "n", r4(F.greatest(F.lit(0.0), F.col("mi"))).alias("mi"))
 
 
