@@ -27,14 +27,14 @@ from pyspark.sql import types as T
 from tablescope.llm.common import byte_chunks
 
 #: Labelled texts that the model is fitted on (whole texts; see ``fit_model``).
-TRAIN_TEXTS = 1_200
+TRAIN_TEXTS = 700
 EPOCHS = 6
 BATCH_TEXTS = 60
 BUCKETS = 1 << 17
 #: Words of each language's lexicon.
 LEXICON = 2_000
 #: Words whose scores a worker keeps.
-CACHE = 300_000
+CACHE = 120_000
 BLOCK = 64
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -288,7 +288,7 @@ def _predictions(shared, text: str, with_words: bool):
         model = shared.value
         scorer = _Scorer(model) if model else None
         names = np.array(model.languages if model else [], dtype=object)
-        for b in byte_chunks(batches, text, 3 << 20):
+        for b in byte_chunks(batches, text, 1 << 20):
             texts = b.column(text).to_pylist()
             labels, scores, tags = [], [], []
             use = [bool(t) and model is not None and _LETTER.search(t) is not None for t in texts]
