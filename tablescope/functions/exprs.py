@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.functions.constants import BOOLEAN_PAIRS, DATE_FORMATS
+from tablescope.functions.constants import BOOLEAN_PAIRS, DATE_FORMATS, WHITESPACE
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -105,6 +105,33 @@ def parse_timestamp(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS])
 
 
+def strip(c: Column | str) -> Column:
+    """The value without white space of any kind (tabs and newlines included) at its ends."""
+    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(WHITESPACE))
+
+
+def head(df: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows of an ordered frame; all rows when ``k`` is None."""
+    return df if k is None else df.limit(k)
+
+
+def ladder(c: Column, cuts: Sequence[tuple[float, object]], lowest) -> Column:
+    """Label of the first ``c >= cut`` in the given order."""
+    out = None
+    for cut, label in cuts:
+        out = F.when(c >= cut, label) if out is None else out.when(c >= cut, label)
+    return out.otherwise(lowest)
+
+
+def literal_rows(spark, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of literals (one row per column name and the like), small enough to be broadcast."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, fields)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
@@ -233,6 +260,12 @@ def tall(df_one_row: DataFrame, names: Sequence[str], fields: Sequence[str],
                              F.explode(F.array(*structs)).alias("_r")).select("_r.*", *shared)
 
 
+def scalar_structs(t: DataFrame, cols: Sequence[str], fields: Sequence[str], prefix: str = "__s") -> DataFrame:
+    """One row with a struct ``<prefix><i>`` of ``fields`` per column of a (column, fields...) table."""
+    return t.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.struct(*fields))).alias(f"{prefix}{i}")
+                             for i, c in enumerate(cols)])
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row: the row is broadcast, nothing is
     shuffled, and columns that are not used later are pruned from the scan."""

@@ -19,13 +19,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.constants import CORR_STRENGTH
 from tablescope.functions.exprs import (
     as_double, col, is_numeric, nan_to_null, r4, rnd, strength_label, tall_agg,
 )
 from tablescope.functions.stats import corr_pvalue
 from tablescope.operators.histogram import attach_rank_columns, exact_quantiles, wide_quantiles
 
-CORR_STRENGTH = [(0.9, "very_strong"), (0.7, "strong"), (0.5, "moderate"), (0.3, "weak")]
 PAIR_BATCH = 100
 
 

@@ -5,8 +5,12 @@ Everything the reference computes with ``value_counts`` / ``nunique`` / ``mode``
 with its count.  Building it is a map-side-combined aggregation, so a hot value costs
 one row per map task, never a skewed reducer.
 
-Exact ranks and quantiles come from a *ranked histogram*: for every (key, value) the
-number of rows with a smaller value.  A global ``Window.orderBy`` would pull a whole
+Quantiles of whole columns are *selected*: a mergeable sketch brackets each wanted rank
+within a small share of the rows, one aggregate counts what lies below the bracket, and
+only the values inside it are ranked.
+
+Exact ranks, and quantiles per group, come from a *ranked histogram*: for every (key,
+value) the number of rows with a smaller value.  A global ``Window.orderBy`` would pull a whole
 column into one task; instead values are cut into range buckets (approximate
 quantiles of the distinct values), ranked inside each (key, bucket) window, and the
 per-bucket offsets — a tiny table of ``#keys x #buckets`` rows — are added back.
@@ -20,12 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import as_double, as_string, col
+from tablescope.functions.exprs import as_double, as_string, col, with_scalars
 
 # Distinct values per window partition before the ranked histogram splits a key
 # into range buckets.
 VALUES_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
+# Accuracy of the sketch that brackets a quantile (its rank error is at most rows / accuracy) and
+# the number of equal cells a bracket is ranked in.
+SKETCH_ACCURACY = 10_000
+BRACKET_CELLS = 1024
 # Rows a side may hold to be broadcast when its size is only known at run time.
 BROADCAST_ROWS = 2_000_000
 
@@ -138,13 +146,72 @@ def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], probs: Sequenc
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """(keys..., column, p, q): exact quantiles of numeric columns, optionally per group."""
+    """(keys..., column, p, q): exact quantiles of numeric columns, optionally per group.
+
+    Columns without a value have no row.  ``buckets`` asks for the ranked histogram also without keys.
+    """
+    if not keys and buckets is None:
+        return _selected_quantiles(df, list(cols), [float(p) for p in probs])
     hist = numeric_histogram(df, cols, keys)
     allk = list(keys) + ["column"]
     ranked = ranked_histogram(hist, allk, buckets=buckets, small_keys=not keys)
     return quantiles_from_ranked(ranked, allk, probs, small_keys=not keys)
 
 
+def _selected_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(column, p, q) without ranking the columns: nothing runs before the result is used.
+
+    The sketch is off by at most rows / SKETCH_ACCURACY ranks, so three times that on either side
+    surely holds both order statistics of an interpolated quantile; columns of up to SKETCH_ACCURACY
+    values are bracketed whole.  A rank outside its bracket would be an error, never a wrong value.
+    """
+    margin = 3.0 / SKETCH_ACCURACY
+    points = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    v = [F.col(f"v{i}") for i in range(len(cols))]
+    x = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    aggs = []
+    for i in range(len(cols)):
+        aggs += [F.count(v[i]).alias(f"n{i}"), F.min(v[i]).alias(f"mn{i}"), F.max(v[i]).alias(f"mx{i}"),
+                 F.percentile_approx(v[i], points, SKETCH_ACCURACY).alias(f"e{i}")]
+    sketch = x.agg(*aggs)
+    marks = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    targets = sketch.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("tc"), F.lit(j).alias("tj"), F.lit(cols[i]).alias("column"), F.lit(probs[j]).alias("p"),
+                 ((F.col(f"n{i}") - 1) * probs[j]).alias("pos")) for i, j in marks]))).where(F.col("pos") >= 0)
+    bounds = sketch.select(*[F.struct(
+        F.when(F.col(f"n{i}") <= SKETCH_ACCURACY, F.col(f"mn{i}")).otherwise(F.col(f"e{i}")[2 * j]).alias("lo"),
+        F.when(F.col(f"n{i}") <= SKETCH_ACCURACY, F.col(f"mx{i}")).otherwise(F.col(f"e{i}")[2 * j + 1]).alias("hi"),
+    ).alias(f"b{i}_{j}") for i, j in marks])
+
+    def placed(i, j):
+        lo, hi = F.col(f"b{i}_{j}.lo"), F.col(f"b{i}_{j}.hi")
+        share = F.floor(F.try_divide(v[i] - lo, hi - lo) * BRACKET_CELLS)
+        cell = F.coalesce(F.least(share, F.lit(BRACKET_CELLS - 1)), F.lit(0)).cast("int")
+        # what lies below is only counted, in a cell of its own; what lies above is not needed
+        return F.when(v[i] <= hi, F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.when(v[i] < lo, -1).otherwise(cell)
+                                           .alias("cell"), F.when(v[i] >= lo, v[i]).alias("value")))
+
+    hist = (with_scalars(x, bounds).select(F.explode(F.array(*[placed(i, j) for i, j in marks])).alias("r"))
+            .where(F.col("r").isNotNull()).select("r.*")
+            .groupBy("c", "j", "cell", "value").agg(F.count(F.lit(1)).alias("n")))
+    before = Window.partitionBy("c", "j", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("c", "j").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (hist.groupBy("c", "j", "cell").agg(F.sum("n").alias("cn"))
+             .select("c", "j", "cell", F.coalesce(F.sum("cn").over(earlier), F.lit(0)).alias("off")))
+    ranked = (hist.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("cell") >= 0)
+              .join(cells, ["c", "j", "cell"]))
+    first = F.col("off") + F.col("inner")
+    last = first + F.col("n") - 1
+    low, high = F.floor("pos"), F.ceil("pos")
+    found = (ranked.join(F.broadcast(targets), (F.col("c") == F.col("tc")) & (F.col("j") == F.col("tj"))
+                         & (first <= high) & (last >= low))  # one row per column and probability
+             .groupBy("column", "p", "pos").agg(F.min("value").alias("vlo"), F.max("value").alias("vhi"),
+                                                F.min(first).alias("from"), F.max(last).alias("to")))
+    q = F.col("vlo") + (F.col("pos") - low) * (F.col("vhi") - F.col("vlo"))
+    return found.select("column", "p", F.when((F.col("from") <= low) & (F.col("to") >= high), q)
+                        .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("q"))
+
+
 def wide_quantiles(qtall: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
     """Pivot (keys, p, q) to one row per key with one column per named probability."""
     return qtall.groupBy(*[col(k) for k in keys]).agg(*[

@@ -1,22 +1,23 @@
 """Outlier operators: IQR, z-score, modified z-score (MAD), per group, per row.
 
-Counts come from the numeric value histogram joined with per-column bounds (a table
-of one row per column or per group), so no second pass over raw rows is needed,
-except for the row-wise "outlying in any column" count, which applies bounds held as
-literals (one pair per column).
+Bounds are a table of one row per column; it joins the rows as a broadcast row, and one
+wide aggregate counts what lies outside.  Nothing is collected and no job runs before the
+result is used.  Bounds per group come from the (group, value) histogram.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import IQR_FACTOR, MODIFIED_Z_CONSTANT, MODIFIED_Z_LIMIT, ZSCORE_LIMIT
-from tablescope.functions.exprs import as_double, col, is_numeric, nan_to_null, pct, r4, tall_agg
+from tablescope.functions.exprs import (
+    as_double, col, is_numeric, nan_to_null, pct, r4, scalar_structs, tall_agg, with_scalars,
+)
 from tablescope.operators.histogram import (
-    numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles,
+    exact_quantiles, numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles,
 )
 
 
@@ -24,25 +25,42 @@ def _numeric_cols(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return list(cols or [c for c in df.columns if is_numeric(df.schema[c].dataType)])
 
 
-def _iqr_bounds(hist: DataFrame, keys: Sequence[str], small_keys: bool = True) -> DataFrame:
-    ranked = ranked_histogram(hist, keys, small_keys=small_keys)
-    qs = wide_quantiles(quantiles_from_ranked(ranked, keys, [0.25, 0.75], small_keys=small_keys),
-                        keys, {0.25: "q1", 0.75: "q3"})
+def _with_bounds(qs: DataFrame, keys: Sequence[str]) -> DataFrame:
     iqr = F.col("q3") - F.col("q1")
     return qs.select(*keys, "q1", "q3", (F.col("q1") - IQR_FACTOR * iqr).alias("lower"),
                      (F.col("q3") + IQR_FACTOR * iqr).alias("upper"))
 
 
+def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, q1, q3, lower, upper): one row per column that has a value."""
+    return _with_bounds(wide_quantiles(exact_quantiles(df, cols, [0.25, 0.75]), ["column"], {0.25: "q1", 0.75: "q3"}),
+                        ["column"])
+
+
+def _group_bounds(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ranked = ranked_histogram(hist, keys, small_keys=False)
+    return _with_bounds(wide_quantiles(quantiles_from_ranked(ranked, keys, [0.25, 0.75], small_keys=False),
+                                       keys, {0.25: "q1", 0.75: "q3"}), keys)
+
+
+def _iqr_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, q1, q3, lower, upper, n, min, max, n_outliers) of the columns that have a value."""
+    b = with_scalars(df, scalar_structs(iqr_bounds(df, cols), cols, ["q1", "q3", "lower", "upper"]))
+    at = {c: F.col(f"__s{i}") for i, c in enumerate(cols)}
+
+    def make(c):
+        x = as_double(df, c)
+        return {"_b": F.max(at[c]), "n": F.count(x).cast("long"), "min": F.min(x), "max": F.max(x),
+                "n_outliers": F.count_if((x < at[c]["lower"]) | (x > at[c]["upper"])).cast("long")}
+
+    t = tall_agg(b, cols, make, ["_b", "n", "min", "max", "n_outliers"])
+    return t.where(F.col("n") > 0).select("column", "_b.*", "n", "min", "max", "n_outliers")
+
+
 def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """column, q1, q3, lower, upper (4 dp), n, n_outliers, pct (2 dp)."""
     df = nan_to_null(df)
-    cols = _numeric_cols(df, cols)
-    hist = numeric_histogram(df, cols).persist()
-    b = _iqr_bounds(hist, ["column"])
-    out = (hist.join(F.broadcast(b), "column").groupBy("column", "q1", "q3", "lower", "upper").agg(
-        F.sum("n").cast("long").alias("n"),
-        F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), F.col("n"))
-              .otherwise(0)).cast("long").alias("n_outliers")))
+    out = _iqr_counts(df, _numeric_cols(df, cols))
     return out.select("column", r4(F.col("q1")).alias("q1"), r4(F.col("q3")).alias("q3"),
                       r4(F.col("lower")).alias("lower"), r4(F.col("upper")).alias("upper"), "n", "n_outliers",
                       pct(F.col("n_outliers"), F.col("n")).alias("pct"))
@@ -52,31 +70,27 @@ def outliers_zscore(df: DataFrame, cols: Sequence[str] | None = None, limit: flo
     """|x - mean| / population std > 3: column, mean, std_pop, n, n_outliers, pct."""
     df = nan_to_null(df)
     cols = _numeric_cols(df, cols)
-    hist = numeric_histogram(df, cols)
-    mom = tall_agg(df, cols, lambda c: {"n": F.count(as_double(df, c)).cast("long"),
-                                        "mean": F.avg(as_double(df, c)),
-                                        "std_pop": F.stddev_pop(as_double(df, c))},
-                   ["n", "mean", "std_pop"])
-    cnt = (hist.join(F.broadcast(mom.withColumnRenamed("n", "_N")), "column")
-           .groupBy("column", "mean", "std_pop", "_N").agg(
-        F.sum(F.when(F.try_divide(F.abs(F.col("value") - F.col("mean")), F.col("std_pop")) > limit, F.col("n"))
-              .otherwise(0)).cast("long").alias("n_outliers")))
-    return cnt.select("column", r4(F.col("mean")).alias("mean"), r4(F.col("std_pop")).alias("std_pop"),
-                      F.col("_N").cast("long").alias("n"), "n_outliers",
-                      pct(F.col("n_outliers"), F.col("_N")).alias("pct"))
-
-
-def mad_table(hist: DataFrame, keys: Sequence[str], small_keys: bool = True) -> DataFrame:
-    """(keys..., median, mad): exact median and median absolute deviation from a histogram."""
-    keys = list(keys)
-    med = wide_quantiles(quantiles_from_ranked(ranked_histogram(hist, keys, small_keys=small_keys), keys, [0.5],
-                                               small_keys=small_keys), keys, {0.5: "median"})
-    medb = F.broadcast(med) if small_keys else med
-    dev = (hist.join(medb, keys).select(*keys, F.abs(F.col("value") - F.col("median")).alias("value"), "n")
-           .groupBy(*keys, "value").agg(F.sum("n").alias("n")))
-    mad = wide_quantiles(quantiles_from_ranked(ranked_histogram(dev, keys, small_keys=small_keys), keys, [0.5],
-                                               small_keys=small_keys), keys, {0.5: "mad"})
-    return med.join(mad, keys)
+    mom = tall_agg(df, cols, lambda c: {"mean": F.avg(as_double(df, c)), "std_pop": F.stddev_pop(as_double(df, c))},
+                   ["mean", "std_pop"])
+    b = with_scalars(df, scalar_structs(mom, cols, ["mean", "std_pop"]))
+    at = {c: F.col(f"__s{i}") for i, c in enumerate(cols)}
+    t = tall_agg(b, cols, lambda c: {
+        "_m": F.max(at[c]), "n": F.count(as_double(df, c)).cast("long"),
+        "n_outliers": F.count_if(F.try_divide(F.abs(as_double(df, c) - at[c]["mean"]), at[c]["std_pop"]) > limit)
+        .cast("long")}, ["_m", "n", "n_outliers"])
+    return t.where(F.col("n") > 0).select(
+        "column", r4(F.col("_m.mean")).alias("mean"), r4(F.col("_m.std_pop")).alias("std_pop"), "n", "n_outliers",
+        pct(F.col("n_outliers"), F.col("n")).alias("pct"))
+
+
+def mad_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, median, mad): exact median and median absolute deviation."""
+    cols = list(cols)
+    med = wide_quantiles(exact_quantiles(df, cols, [0.5]), ["column"], {0.5: "median"})
+    b = with_scalars(df, scalar_structs(med, cols, ["median"]))
+    dev = b.select(*[F.abs(as_double(df, c) - F.col(f"__s{i}.median")).alias(c) for i, c in enumerate(cols)])
+    mad = wide_quantiles(exact_quantiles(dev, cols, [0.5]), ["column"], {0.5: "mad"})
+    return med.join(F.broadcast(mad), "column")  # one row per column
 
 
 def outliers_modified_z(df: DataFrame, cols: Sequence[str] | None = None,
@@ -84,28 +98,30 @@ def outliers_modified_z(df: DataFrame, cols: Sequence[str] | None = None,
     """|0.6745 (x - median) / MAD| > 3.5; with MAD = 0 every x != median is an outlier."""
     df = nan_to_null(df)
     cols = _numeric_cols(df, cols)
-    hist = numeric_histogram(df, cols).persist()
-    mt = mad_table(hist, ["column"])
-    dev = F.abs(F.col("value") - F.col("median"))
-    is_out = F.when(F.col("mad") == 0, dev > 0).otherwise(
-        F.abs(MODIFIED_Z_CONSTANT * dev / F.col("mad")) > limit)
-    out = hist.join(F.broadcast(mt), "column").groupBy("column", "median", "mad").agg(
-        F.sum("n").cast("long").alias("n"),
-        F.sum(F.when(is_out, F.col("n")).otherwise(0)).cast("long").alias("n_outliers"))
-    return out.select("column", r4(F.col("median")).alias("median"), r4(F.col("mad")).alias("mad"), "n",
-                      "n_outliers", pct(F.col("n_outliers"), F.col("n")).alias("pct"))
+    b = with_scalars(df, scalar_structs(mad_table(df, cols), cols, ["median", "mad"]))
+    at = {c: F.col(f"__s{i}") for i, c in enumerate(cols)}
+
+    def make(c):
+        dev = F.abs(as_double(df, c) - at[c]["median"])
+        is_out = F.when(at[c]["mad"] == 0, dev > 0).otherwise(
+            F.abs(F.try_divide(MODIFIED_Z_CONSTANT * dev, at[c]["mad"])) > limit)
+        return {"_m": F.max(at[c]), "n": F.count(as_double(df, c)).cast("long"),
+                "n_outliers": F.count_if(is_out).cast("long")}
+
+    t = tall_agg(b, cols, make, ["_m", "n", "n_outliers"])
+    return t.where(F.col("n") > 0).select(
+        "column", r4(F.col("_m.median")).alias("median"), r4(F.col("_m.mad")).alias("mad"), "n", "n_outliers",
+        pct(F.col("n_outliers"), F.col("n")).alias("pct"))
 
 
 def outlier_report(df: DataFrame) -> DataFrame:
     """IQR outliers per numeric column with min / max and severity (High > 10 %, Medium > 5); desc."""
     df = nan_to_null(df)
     cols = _numeric_cols(df, None)
-    hist = numeric_histogram(df, cols).persist()
-    b = _iqr_bounds(hist, ["column"])
-    out = hist.join(F.broadcast(b), "column").groupBy("column", "lower", "upper").agg(
-        F.sum("n").cast("long").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), F.col("n"))
-              .otherwise(0)).cast("long").alias("n_outliers"))
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, n_outliers long, pct double, lower double, "
+                                                   "upper double, min double, max double, severity string")
+    out = _iqr_counts(df, cols)
     p = pct(F.col("n_outliers"), F.col("n"))
     return out.where(F.col("n_outliers") > 0).select(
         "column", "n_outliers", p.alias("pct"), r4(F.col("lower")).alias("lower"), r4(F.col("upper")).alias("upper"),
@@ -114,27 +130,21 @@ def outlier_report(df: DataFrame) -> DataFrame:
     ).orderBy(F.desc("pct"), "column")
 
 
-def _bounds_dict(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    hist = numeric_histogram(df, cols)
-    return {r["column"]: (r["lower"], r["upper"]) for r in _iqr_bounds(hist, ["column"]).collect()}
-
-
-def _row_flag(df: DataFrame, bounds: dict[str, tuple[float, float]]):
+def _row_flag(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The rows with their bounds attached, and whether any of the columns lies outside them."""
+    b = with_scalars(df, scalar_structs(iqr_bounds(df, cols), cols, ["lower", "upper"]))
     flag = F.lit(False)
-    for c, (lo, hi) in bounds.items():
-        if lo is None:
-            continue
+    for i, c in enumerate(cols):
         x = as_double(df, c)
-        flag = flag | F.coalesce((x < F.lit(lo)) | (x > F.lit(hi)), F.lit(False))
-    return flag
+        flag = flag | F.coalesce((x < F.col(f"__s{i}.lower")) | (x > F.col(f"__s{i}.upper")), F.lit(False))
+    return b, flag
 
 
 def outlier_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Rows outlying (IQR) in any numeric column: count, %, flagged (> 5 %), severity."""
     df = nan_to_null(df)
-    cols = _numeric_cols(df, cols)
-    flag = _row_flag(df, _bounds_dict(df, cols))
-    t = df.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.count_if(flag).cast("long").alias("outlier_rows"))
+    b, flag = _row_flag(df, _numeric_cols(df, cols))
+    t = b.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.count_if(flag).cast("long").alias("outlier_rows"))
     p = pct(F.col("outlier_rows"), F.col("rows"))
     return t.select("rows", "outlier_rows", p.alias("pct"), (p > 5).alias("flagged"),
                     F.when(p > 15, "high").when(p > 5, "medium").alias("severity"))
@@ -142,18 +152,17 @@ def outlier_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def outliers_pairwise(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rows (with both x and y present) outlying in x or in y by the IQR rule."""
-    df = nan_to_null(df).where(col(x).isNotNull() & col(y).isNotNull())
-    flag = _row_flag(df, _bounds_dict(df, [x, y]))
-    return df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
-                  F.count_if(flag).cast("long").alias("outlier_rows")).withColumn(
+    b, flag = _row_flag(nan_to_null(df).where(col(x).isNotNull() & col(y).isNotNull()), [x, y])
+    return b.agg(F.count(F.lit(1)).cast("long").alias("rows"),
+                 F.count_if(flag).cast("long").alias("outlier_rows")).withColumn(
         "pct", pct(F.col("outlier_rows"), F.col("rows")))
 
 
 def outliers_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """IQR bounds per category and the number of outliers in each group."""
     df = nan_to_null(df)
-    hist = numeric_histogram(df.where(col(group).isNotNull()), [value], keys=[group]).persist()
-    b = _iqr_bounds(hist, [group, "column"], small_keys=False)
+    hist = numeric_histogram(df.where(col(group).isNotNull()), [value], keys=[group])
+    b = _group_bounds(hist, [group, "column"])
     out = hist.join(b, [group, "column"]).groupBy(group, "lower", "upper").agg(
         F.sum("n").cast("long").alias("n"),
         F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), F.col("n"))
@@ -165,5 +174,5 @@ def outliers_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
 def flag_outliers(df: DataFrame, cols: Sequence[str] | None = None, name: str = "is_outlier") -> DataFrame:
     """The input rows with a boolean column: outlying (IQR) in any of the columns."""
     df = nan_to_null(df)
-    cols = _numeric_cols(df, cols)
-    return df.withColumn(name, _row_flag(df, _bounds_dict(df, cols)))
+    b, flag = _row_flag(df, _numeric_cols(df, cols))
+    return b.select(*[col(c) for c in df.columns], flag.alias(name))

@@ -14,11 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.functions.constants import ID_NAME_PARTS, NULL_LIKE_PROFILE
+from tablescope.functions.constants import ID_NAME_PARTS, IQR_FACTOR, NULL_LIKE_PROFILE
 from tablescope.functions.exprs import (
     as_double, as_string, canonical_bool, col, is_atomic, is_datetime, is_numeric,
-    is_string, name_contains, nan_to_null, parse_timestamp, pct, r4, sig, tall_agg,
-    rnd, with_scalars,
+    is_string, literal_rows, name_contains, nan_to_null, parse_timestamp, pct, r4, scalar_structs, sig, strip,
+    tall_agg, rnd, with_scalars,
 )
 from tablescope.operators.histogram import (
     exact_quantiles, numeric_histogram, top_k_per_group, value_histogram, wide_quantiles,
@@ -26,9 +26,10 @@ from tablescope.operators.histogram import (
 
 
 def _positions(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(c, i, df.schema[c].dataType.simpleString()) for i, c in enumerate(cols)],
-        "column string, position int, data_type string")
+    """(column, position, data_type): one row per column, broadcast to the tables joined with it."""
+    return F.broadcast(literal_rows(df.sparkSession,
+                                    [(c, i, df.schema[c].dataType.simpleString()) for i, c in enumerate(cols)],
+                                    "column string, position int, data_type string"))
 
 
 def _atomic(df: DataFrame) -> list[str]:
@@ -54,24 +55,33 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def sample_values(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3) -> DataFrame:
-    """(column, sample_values): the k smallest distinct values (as text), comma-joined."""
+    """(column, sample_values): the k smallest distinct values (as text), comma-joined.
+
+    k small scans, each for the least value above the one before, in place of a sort of all values.
+    """
     df = nan_to_null(df)
     cols = list(cols or _atomic(df))
-    hist = value_histogram(df, cols).where(F.col("value").isNotNull())
-    top = top_k_per_group(hist, ["column"], [F.col("value").asc()], k, ["value"])
-    return top.groupBy("column").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
-                                 lambda s: s["value"]), ", ").alias("sample_values"))
+    base = df.select(*[as_string(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    found = base.agg(*[F.min(f"v{i}").alias(f"s0_{i}") for i in range(len(cols))])
+    for step in range(1, k):
+        least = with_scalars(base, found).agg(*[
+            F.min(F.when(F.col(f"v{i}") > F.col(f"s{step - 1}_{i}"), F.col(f"v{i}"))).alias(f"s{step}_{i}")
+            for i in range(len(cols))])
+        found = found.crossJoin(F.broadcast(least))  # one row each
+    return found.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.concat_ws(", ", *[F.col(f"s{s}_{i}") for s in range(k)]).alias("sample_values"),
+                 F.col(f"s0_{i}").alias("_first")) for i, c in enumerate(cols)]))
+    ).where(F.col("_first").isNotNull()).drop("_first")
 
 
 def column_summary(df: DataFrame) -> DataFrame:
     """Column, data type, % missing (2 dp), unique values, three sample values."""
     df = nan_to_null(df)
     cols = _atomic(df)
-    out = (_positions(df, cols)
-           .join(missing_counts(df, cols), "column")
-           .join(distinct_counts(df, cols), "column", "left")
-           .join(sample_values(df, cols), "column", "left"))
+    # every side has one row per column
+    out = (missing_counts(df, cols).join(_positions(df, cols), "column")
+           .join(F.broadcast(distinct_counts(df, cols)), "column", "left")
+           .join(F.broadcast(sample_values(df, cols)), "column", "left"))
     return out.select(
         "column", "position", "data_type",
         pct(F.col("missing_count"), F.col("rows")).alias("missing_pct"),
@@ -113,7 +123,7 @@ def dataset_overview(df: DataFrame) -> DataFrame:
     cols = _atomic(df)
     dup = duplicate_rows(df, cols).select(F.col("duplicate_rows").alias("dataset_duplicate_rows"))
     out = with_scalars(column_summary(df).join(
-        missing_counts(df, cols).select("column", "missing_count", "rows"), "column"), dup)
+        F.broadcast(missing_counts(df, cols).select("column", "missing_count", "rows")), "column"), dup)
     return out.select("column", "position", "data_type", "missing_count", "missing_pct", "unique_values",
                       "sample_values", "rows", F.lit(len(df.columns)).cast("long").alias("columns"),
                       "dataset_duplicate_rows").orderBy("position")
@@ -158,26 +168,25 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     df = nan_to_null(df)
     cols = list(cols or [c for c in df.columns if is_numeric(df.schema[c].dataType)])
 
+    qs = wide_quantiles(exact_quantiles(df, cols, [0.25, 0.75]), ["column"], {0.25: "q1", 0.75: "q3"})
+    spread = F.col("q3") - F.col("q1")
+    bounds = qs.select("column", (F.col("q1") - IQR_FACTOR * spread).alias("lo"), (F.col("q3") + IQR_FACTOR * spread).alias("hi"))
+    at = {c: F.col(f"__s{i}") for i, c in enumerate(cols)}
+
     def make(c):
         x = as_double(df, c)
-        return {"n": F.count(x).cast("long"), "mean": F.avg(x), "std": F.stddev_samp(x),
+        return {"outlier_count": F.count_if((x < at[c]["lo"]) | (x > at[c]["hi"])).cast("long"),
+                "n": F.count(x).cast("long"), "mean": F.avg(x), "std": F.stddev_samp(x),
                 "min": F.min(x), "max": F.max(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
                 "zero_count": F.count_if(x == 0).cast("long"), "negative_count": F.count_if(x < 0).cast("long"),
                 "variance": F.var_samp(x)}
 
-    fields = ["n", "mean", "std", "min", "max", "skewness", "kurtosis", "zero_count", "negative_count", "variance"]
-    base = tall_agg(df, cols, make, fields)
-    hist = numeric_histogram(df, cols).persist()
-    uniq = hist.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("unique_count"))
-    from tablescope.operators.histogram import quantiles_from_ranked, ranked_histogram
-    qs = wide_quantiles(quantiles_from_ranked(ranked_histogram(hist, ["column"]), ["column"], [0.25, 0.75]),
-                        ["column"], {0.25: "q1", 0.75: "q3"})
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    outl = (hist.join(F.broadcast(qs), "column")
-            .groupBy("column").agg(F.sum(F.when((F.col("value") < lo) | (F.col("value") > hi), F.col("n"))
-                                         .otherwise(0)).cast("long").alias("outlier_count")))
-    t = base.join(uniq, "column", "left").join(outl, "column", "left").join(_positions(df, cols), "column")
+    fields = ["outlier_count", "n", "mean", "std", "min", "max", "skewness", "kurtosis", "zero_count",
+              "negative_count", "variance"]
+    base = tall_agg(with_scalars(df, scalar_structs(bounds, cols, ["lo", "hi"])), cols, make, fields)
+    uniq = (numeric_histogram(df, cols).groupBy("column")
+            .agg(F.count(F.lit(1)).cast("long").alias("unique_count")))
+    t = base.join(F.broadcast(uniq), "column", "left").join(_positions(df, cols), "column")
     skew = F.col("skewness")
     highly = F.abs(skew) > 2
     moderately = (F.abs(skew) > 1) & (F.abs(skew) <= 2)
@@ -221,10 +230,10 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
         F.bool_or(F.lower("value").isin(NULL_LIKE_PROFILE)).alias("has_null_like"),
         F.sum(F.col("n") * nlen).alias("_len_sum"),
         F.max(nlen).cast("long").alias("max_len"), F.min(nlen).cast("long").alias("min_len"),
-        F.bool_or(F.col("value").contains(" ") & (F.trim("value") != F.col("value"))).alias("whitespace_issue"))
+        F.bool_or(F.col("value").contains(" ") & (strip("value") != F.col("value"))).alias("whitespace_issue"))
     lower = (hist.select("column", F.lower("value").alias("lv")).distinct()
              .groupBy("column").agg(F.count(F.lit(1)).alias("_lower_distinct")))
-    g = g.join(lower, "column").join(_positions(df, cols), "column")
+    g = g.join(F.broadcast(lower), "column").join(_positions(df, cols), "column")
     n = F.col("n")
     u = F.col("unique_values")
     dom_n = -F.col("_dom.neg")
@@ -287,7 +296,7 @@ def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     uniq = (value_histogram(conv, cols).where(F.col("value").isNotNull())
             .groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("unique_dates")))
     span = F.unix_micros(F.col("max_ts").cast("timestamp")) - F.unix_micros(F.col("min_ts").cast("timestamp"))
-    return t.join(uniq, "column").join(_positions(df, cols), "column").where(F.col("n") > 0).select(
+    return t.join(F.broadcast(uniq), "column").join(_positions(df, cols), "column").where(F.col("n") > 0).select(
         "column", "position", "n", "min_ts", "max_ts",
         F.floor(span / F.lit(86400 * 1_000_000)).cast("long").alias("range_days"),
         "unique_dates", (F.col("n") - F.col("unique_dates")).alias("duplicate_dates"),
@@ -318,14 +327,14 @@ def cardinality_profile(df: DataFrame) -> DataFrame:
     """unique count and %, class (Unique / Very High / High / Medium / Low), sorted desc."""
     df = nan_to_null(df)
     cols = _atomic(df)
-    rows = df.count()
-    t = _positions(df, cols).join(distinct_counts(df, cols), "column", "left").fillna(0, ["unique_values"])
-    p = F.col("unique_values") * 100.0 / F.lit(max(rows, 1))
-    cls = (F.when(F.col("unique_values") == F.lit(rows), "Unique (ID-like)").when(p > 95, "Very High")
+    t = (with_scalars(_positions(df, cols), df.agg(F.count(F.lit(1)).alias("rows")))
+         .join(F.broadcast(distinct_counts(df, cols)), "column", "left").fillna(0, ["unique_values"]))
+    p = F.coalesce(F.try_divide(F.col("unique_values") * 100.0, F.col("rows")), F.lit(0.0))
+    cls = (F.when(F.col("unique_values") == F.col("rows"), "Unique (ID-like)").when(p > 95, "Very High")
            .when(p > 50, "High").when(p > 10, "Medium").otherwise("Low"))
     return t.select("column", "data_type", F.col("unique_values").alias("unique_count"),
                     rnd(p, 2).alias("unique_pct"), cls.alias("cardinality"),
-                    (F.col("unique_values") == F.lit(rows)).alias("id_like")
+                    (F.col("unique_values") == F.col("rows")).alias("id_like")
                     ).orderBy(F.desc("unique_count"), "column")
 
 
@@ -335,7 +344,7 @@ def constant_columns(df: DataFrame) -> DataFrame:
     cols = _atomic(df)
     hist = value_histogram(df, cols).where(F.col("value").isNotNull())
     g = hist.groupBy("column").agg(F.count(F.lit(1)).alias("_d"), F.min("value").alias("value"))
-    return (_positions(df, cols).join(g, "column", "left")
+    return (_positions(df, cols).join(F.broadcast(g), "column", "left")
             .where(F.coalesce(F.col("_d"), F.lit(0)) <= 1)
             .select("column", "data_type", "value").orderBy("column"))
 
@@ -383,9 +392,8 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     df = nan_to_null(df)
     counts = df.where(col(target).isNotNull()).groupBy(as_string(target).alias("class")).agg(
         F.count(F.lit(1)).cast("long").alias("n"))
-    w = Window.partitionBy()
-    t = (counts.withColumn("_tot", F.sum("n").over(w)).withColumn("n_classes", F.count(F.lit(1)).over(w).cast("long"))
-         .withColumn("_min", F.min("n").over(w)).withColumn("_max", F.max("n").over(w)))
+    t = with_scalars(counts, counts.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).cast("long").alias("n_classes"),
+                                        F.min("n").alias("_min"), F.max("n").alias("_max")))
     ratio = F.col("_max") / F.col("_min")
     status = (F.when(F.col("n_classes") < 2, "single_class").when(ratio > 10, "severely_imbalanced")
               .when(ratio > 3, "moderately_imbalanced").otherwise("balanced"))
@@ -418,7 +426,9 @@ def regression_target_profile(df: DataFrame, target: str) -> DataFrame:
                   F.kurtosis(x).alias("kurtosis"))
     qs = wide_quantiles(exact_quantiles(df, [target], [0.25, 0.5, 0.75]), ["column"],
                         {0.25: "q1", 0.5: "median", 0.75: "q3"})
-    return with_scalars(base, qs.drop("column")).select(
+    # an all-null target has no quantile row but still its profile row
+    row = qs.groupBy().agg(*[F.max(c).alias(c) for c in ("q1", "median", "q3")])
+    return with_scalars(base, row).select(
         F.lit(target).alias("column"), "n", r4(F.col("mean")).alias("mean"), r4(F.col("median")).alias("median"),
         r4(F.col("std")).alias("std"), r4(F.col("min")).alias("min"), r4(F.col("max")).alias("max"),
         r4(F.col("max") - F.col("min")).alias("range"), r4(F.col("q3") - F.col("q1")).alias("iqr"),

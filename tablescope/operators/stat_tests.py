@@ -15,15 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescope.functions.constants import ASSOC_STRENGTH, EFFECT_SIZE
 from tablescope.functions.exprs import (
     as_double, col, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
 )
 from tablescope.functions.stats import chi2_pvalue, f_pvalue
 from tablescope.operators.histogram import numeric_histogram, ranked_histogram
 
-ASSOC_STRENGTH = [(0.5, "very_strong"), (0.3, "strong"), (0.15, "moderate"), (0.05, "weak")]
-EFFECT_SIZE = [(0.14, "large"), (0.06, "medium"), (0.01, "small")]
-
 
 def _labels(df: DataFrame, a: str, b: str, fill: str) -> DataFrame:
     return nan_to_null(df).select(F.coalesce(col(a).cast("string"), F.lit(fill)).alias("a"),
