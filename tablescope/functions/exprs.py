@@ -182,7 +182,7 @@ def canonical_bool(df: DataFrame, name: str) -> Column:
         return c
     if is_numeric(dt):
         return F.when(c.isNull(), None).otherwise(c.cast("double") == 1.0)
-    s = F.trim(c.cast("string"))
+    s = strip(c.cast("string"))
     return F.when(c.isNull(), None).otherwise(s.isin(TRUE_STRINGS))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.constants import CORR_STRENGTH
 from tablescope.functions.exprs import (
-    as_double, col, is_numeric, nan_to_null, r4, rnd, strength_label, tall_agg,
+    as_double, col, head, is_numeric, nan_to_null, r4, rnd, strength_label, tall_agg,
 )
 from tablescope.functions.stats import corr_pvalue
 from tablescope.operators.histogram import attach_rank_columns, exact_quantiles, wide_quantiles
@@ -142,22 +142,23 @@ def corr_top_pairs(df: DataFrame, cols: Sequence[str] | None = None, k: int = 5)
         "feature1", "feature2", "n", r4(F.col("r")).alias("pearson"))
 
 
-def corr_strong(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.7, k: int = 20) -> DataFrame:
-    """|r| > 0.7: pearson, very strong (> 0.9), sign; top k by |r|."""
+def corr_strong(df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.7,
+                k: int | None = None) -> DataFrame:
+    """|r| > 0.7: pearson, very strong (> 0.9), sign; strongest first, the top k if asked for."""
     p = pearson_pairs(df, cols).where(F.abs("r") > threshold)
-    return p.orderBy(F.desc(F.abs("r")), "feature1", "feature2").limit(k).select(
+    return head(p.orderBy(F.desc(F.abs("r")), "feature1", "feature2"), k).select(
         "feature1", "feature2", "n", r4(F.col("r")).alias("pearson"),
         (F.abs("r") > 0.9).alias("very_strong"),
         F.when(F.col("r") > 0, "positive").otherwise("negative").alias("direction"))
 
 
-def corr_detailed(df: DataFrame, cols: Sequence[str] | None = None, k: int = 15) -> DataFrame:
-    """|r| > 0.3 and n > 10: Pearson, Spearman, p-value, significance, strength; top k."""
+def corr_detailed(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = None) -> DataFrame:
+    """|r| > 0.3 and n > 10: Pearson, Spearman, p-value, significance, strength; strongest first."""
     cols = _numeric(df, cols)
     p = pearson_pairs(df, cols).where((F.abs("r") > 0.3) & (F.col("n") > 10))
     s = spearman_pairs(df, cols).drop("n")
     t = p.join(s, ["feature1", "feature2"]).withColumn("p_value", corr_pvalue(F.col("r"), F.col("n")))
-    return t.orderBy(F.desc(F.abs("r")), "feature1", "feature2").limit(k).select(
+    return head(t.orderBy(F.desc(F.abs("r")), "feature1", "feature2"), k).select(
         "feature1", "feature2", "n", r4(F.col("r")).alias("pearson"), r4(F.col("rho")).alias("spearman"),
         rnd(F.col("p_value"), 6).alias("p_value"), (F.col("p_value") < 0.05).alias("significant"),
         strength_label(F.col("r"), CORR_STRENGTH, "very_weak").alias("strength"),

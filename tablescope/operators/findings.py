@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import r4
+from tablescope.functions.constants import (
+    PRIORITY_BAND_LOWEST, PRIORITY_BANDS, SIZE_FACTOR_LOWEST, SIZE_FACTORS, WIDTH_FACTOR_LOWEST, WIDTH_FACTORS,
+)
+from tablescope.functions.exprs import head, ladder, r4
 from tablescope.operators.quality import dataset_profile
 
 
@@ -20,20 +23,26 @@ def scores_row(profile: DataFrame) -> DataFrame:
     c = F.col
     k = c("columns").cast("double")
     complexity = (30 * F.least(k / 100, F.lit(1.0)) + 20 * F.least(c("high_cardinality_columns") / 10.0, F.lit(1.0))
-                  + 25 * c("columns_with_missing") / k + 25 * c("n_categorical") / k)
-    proc = (F.least(c("missing_pct") / 50.0, F.lit(1.0)) + F.least(c("high_cardinality_columns") / k, F.lit(1.0))
+                  + 25 * c("columns_with_missing") / k + 25 * c("n_robust_categorical") / k)
+    proc = (F.least(c("missing_pct") / 50.0, F.lit(1.0)) + F.coalesce(F.try_divide(c("many_valued_categorical"), c("n_categorical")), F.lit(0.0))
             + F.least(F.coalesce(F.try_divide(c("outlier_warnings"), c("n_numeric")), F.lit(0.0)), F.lit(1.0))
             + F.least(c("high_warnings") / 10.0, F.lit(1.0))) / 4.0
-    size = (F.when(c("rows") >= 10000, 1.0).when(c("rows") >= 1000, 0.8).when(c("rows") >= 100, 0.5).otherwise(0.2))
-    width = (F.when(c("columns") >= 20, 1.0).when(c("columns") >= 10, 0.8).when(c("columns") >= 5, 0.6).otherwise(0.4))
+    size = ladder(c("rows"), SIZE_FACTORS, SIZE_FACTOR_LOWEST)
+    width = ladder(c("columns"), WIDTH_FACTORS, WIDTH_FACTOR_LOWEST)
     t = profile.withColumn("complexity_score", r4(complexity)).withColumn("processing_complexity", r4(proc))
     return t.withColumn("size_factor", size).withColumn("width_factor", width)
 
 
+def _priority(has_target: bool) -> Column:
+    """Mean of the five factors of a scores row, between 0 and 1."""
+    return (F.col("density") / 100 + F.col("size_factor") + F.col("width_factor")
+            + (1 - F.col("processing_complexity")) + F.lit(1.0 if has_target else 0.7)) / 5.0
+
+
 def complexity_score(df: DataFrame, target: str | None = None) -> DataFrame:
     """30 min(k/100,1) + 20 min(high-card/10,1) + 25 share with missing + 25 share categorical."""
     s = scores_row(dataset_profile(df, target))
-    return s.select("columns", "high_cardinality_columns", "columns_with_missing", "n_categorical",
+    return s.select("columns", "high_cardinality_columns", "columns_with_missing", "n_robust_categorical",
                     "complexity_score", F.when(F.col("complexity_score") > 70, "High")
                     .when(F.col("complexity_score") < 30, "Low").otherwise("Medium").alias("readiness_complexity"))
 
@@ -42,11 +51,10 @@ def investment_priority(df: DataFrame, target: str | None = None) -> DataFrame:
     """Mean of density/100, size factor, width factor, 1 - processing complexity, target factor."""
     s = scores_row(dataset_profile(df, target))
     tgt = 1.0 if target else 0.7
-    score = (F.col("density") / 100 + F.col("size_factor") + F.col("width_factor")
-             + (1 - F.col("processing_complexity")) + F.lit(tgt)) / 5.0
+    score = _priority(target is not None)
     return s.select("density", "size_factor", "width_factor", "processing_complexity",
                     F.lit(tgt).alias("target_factor"), r4(score).alias("investment_priority"),
-                    F.when(score > 0.8, "high").when(score >= 0.4, "medium").otherwise("low").alias("priority_band"))
+                    ladder(score, PRIORITY_BANDS, PRIORITY_BAND_LOWEST).alias("priority_band"))
 
 
 def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool]]:
@@ -60,7 +68,7 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("structure", "complex_dataset", c("complexity_score") > 70, "analysis_strategy", "high", 7, True),
         # preprocessing
         ("preprocessing", "missing_values", c("columns_over_half_missing") > 0, "missing_values", "high", 8, True),
-        ("preprocessing", "encoding", c("high_cardinality_columns") > 0, "encoding", "medium", 5, True),
+        ("preprocessing", "encoding", c("many_valued_categorical") > 0, "encoding", "medium", 5, True),
         ("preprocessing", "scaling", c("n_numeric") > 1, "scaling", "medium", 4, False),
         ("preprocessing", "outliers", c("outlier_warnings") > 0, "outliers", "medium", 6, True),
         # feature engineering
@@ -74,7 +82,8 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("data_collection", "incomplete", c("missing_pct") > 20, "completeness", "high", 8, True),
         ("data_collection", "too_few_rows", n < 100, "sample_size", "high", 8, True),
         ("data_collection", "few_rows", (n >= 100) & (n < 1000), "sample_size", "medium", 6, True),
-        ("data_collection", "single_type", (c("n_numeric") == 0) | (c("n_categorical") == 0), "diversity", "low", 4, False),
+        ("data_collection", "only_numeric", (c("n_categorical") == 0) & (c("n_numeric") > 0), "diversity", "low", 4, False),
+        ("data_collection", "only_categorical", (c("n_numeric") == 0) & (c("n_categorical") > 0), "diversity", "low", 4, False),
         # business
         ("business", "density_high", c("density") > 90, "data_richness", "high", 5, False),
         ("business", "density_medium", (c("density") > 70) & (c("density") <= 90), "data_richness", "medium", 5, False),
@@ -86,6 +95,7 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("business", "temporal", c("n_datetime") > 0, "opportunity", "medium", 4, False),
         ("business", "many_categories", c("n_categorical") > 5, "opportunity", "medium", 4, False),
         ("business", "quality_risk", c("high_warnings") > 3, "risk", "high", 8, True),
+        ("business", "privacy_risk", c("pii_columns") > 0, "risk", "high", 8, True),
         ("business", "sample_risk", n < 1000, "risk", "medium", 6, True),
         ("business", "quick_win", (c("density") > 85) & (c("processing_complexity") < 0.4), "quick_wins", "low", 5, False),
         ("business", "strategic", (n > 10000) & (k > 10), "strategic_value", "high", 5, False),
@@ -99,6 +109,8 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("key", "half_missing_columns", c("columns_over_half_missing") > 0, "missing_data", "high", 8, True),
         ("key", "many_high_warnings", c("high_warnings") > 5, "warnings", "high", 10, True),
         ("key", "some_high_warnings", (c("high_warnings") > 0) & (c("high_warnings") <= 5), "warnings", "medium", 7, True),
+        ("key", "high_value", _priority(has_target) > 0.8, "business_value", "low", 6, False),
+        ("key", "low_value", _priority(has_target) < 0.4, "business_value", "high", 8, True),
         ("key", "target_present", F.lit(has_target), "target", "medium", 6, False),
         # quality report
         ("quality", "missing_rate", c("missing_pct") > 20, "missing", "high", 8, True),
@@ -118,21 +130,21 @@ def findings(df: DataFrame, target: str | None = None) -> DataFrame:
             .drop("hit"))
 
 
-def key_findings(df: DataFrame, target: str | None = None, k: int = 8) -> DataFrame:
-    """Top k key findings by priority, plus a summary row (priority 5) when any needs action."""
+def key_findings(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
+    """Key findings by priority (the top k if asked for), plus a summary row (priority 5) when any needs action."""
     f = findings(df, target).where(F.col("rule_set") == "key")
-    top = f.orderBy(F.desc("priority"), "rule").limit(k)
+    top = head(f.orderBy(F.desc("priority"), "rule"), k)
     summary = f.agg(F.count_if("action_needed").alias("_a")).where(F.col("_a") > 0).select(
         F.lit("key").alias("rule_set"), F.lit("summary").alias("rule"), F.lit("summary").alias("category"),
         F.lit("medium").alias("severity"), F.lit(5).cast("long").alias("priority"), F.lit(True).alias("action_needed"))
     return top.unionByName(summary)
 
 
-def action_items(df: DataFrame, target: str | None = None, k: int = 10) -> DataFrame:
-    """High-priority structure rows first, then other actionable findings; at most k."""
+def action_items(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
+    """High-priority structure rows first, then other actionable findings."""
     f = findings(df, target).where(F.col("action_needed"))
     order = F.when((F.col("rule_set") == "structure") & (F.col("severity") == "high"), 0).otherwise(1)
-    return f.orderBy(order, F.desc("priority"), "rule_set", "rule").limit(k)
+    return head(f.orderBy(order, F.desc("priority"), "rule_set", "rule"), k)
 
 
 def dataset_bands(df: DataFrame, target: str | None = None) -> DataFrame:

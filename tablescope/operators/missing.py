@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, nan_to_null, pct, r4, rnd, with_scalars
+from tablescope.functions.exprs import col, head, nan_to_null, pct, r4, rnd, with_scalars
 from tablescope.operators.profile import missing_counts
 
 
@@ -45,21 +45,21 @@ def missing_summary(df: DataFrame) -> DataFrame:
     ).select("*", F.col("_w.column").alias("worst_column"), rnd(-F.col("_w.col1"), 2).alias("worst_pct")).drop("_w")
 
 
-def missing_bar(df: DataFrame, k: int = 30) -> DataFrame:
-    """The k columns with the highest missing % (only columns with missing values)."""
-    return missing_profile(df).where(F.col("missing_count") > 0).orderBy(
-        F.desc("missing_pct"), "column").limit(k).select("column", "missing_count", "missing_pct")
+def missing_bar(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Columns with missing values, the highest missing % first."""
+    return head(missing_profile(df).where(F.col("missing_count") > 0).orderBy(
+        F.desc("missing_pct"), "column"), k).select("column", "missing_count", "missing_pct")
 
 
-def missing_combinations(df: DataFrame, k: int = 10) -> DataFrame:
-    """The k most frequent null patterns (all-present excluded): columns, n, % of rows."""
+def missing_combinations(df: DataFrame, k: int | None = None) -> DataFrame:
+    """Null patterns (all-present excluded), most frequent first: columns, n, % of rows."""
     df = nan_to_null(df)
     cols = list(df.columns)
     names = F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in cols])
     pat = df.select(F.array_join(F.filter(names, lambda x: x.isNotNull()), ",").alias("columns"))
     g = pat.groupBy("columns").agg(F.count(F.lit(1)).cast("long").alias("n"))
     tot = g.agg(F.sum("n").alias("_rows"))
-    top = g.where(F.col("columns") != "").orderBy(F.desc("n"), "columns").limit(k)
+    top = head(g.where(F.col("columns") != "").orderBy(F.desc("n"), "columns"), k)
     return with_scalars(top, tot).select("columns", "n", pct(F.col("n"), F.col("_rows")).alias("pct"))
 
 
@@ -69,8 +69,8 @@ def _missing_cols(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in present]
 
 
-def missing_together(df: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
-    """Ordered pairs (a, b): share of a's nulls where b is null too, above threshold; first k."""
+def missing_together(df: DataFrame, threshold: float = 0.8, k: int | None = None) -> DataFrame:
+    """Ordered pairs (a, b): share of a's nulls where b is null too, above threshold; strongest first."""
     df = nan_to_null(df)
     cols = _missing_cols(df)
     if len(cols) < 2:
@@ -86,7 +86,7 @@ def missing_together(df: DataFrame, threshold: float = 0.8, k: int = 5) -> DataF
                              F.col(f"b{j}").cast("long").alias("both_missing")) for j, (a, b) in enumerate(pairs)])
     t = one.select(F.explode(arr).alias("r")).select("r.*")
     share = F.col("both_missing") / F.col("a_missing")
-    return (t.where(share > threshold).orderBy("ord").limit(k)
+    return (head(t.where(share > threshold).orderBy(F.desc(share), "ord"), k)
             .select("column_a", "column_b", "a_missing", "both_missing", r4(share).alias("share")))
 
 

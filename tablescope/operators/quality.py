@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.constants import (
     AGE_TOKENS, ESCAPED_UNICODE_PATTERN, NON_NEGATIVE_TOKENS, NULL_LIKE_FORMAT, PERCENT_TOKENS,
-    PLACEHOLDER_VALUES, UNUSUAL_CHAR_PATTERN,
+    PII_NAME_PARTS, PLACEHOLDER_VALUES, UNUSUAL_CHAR_PATTERN,
 )
 from tablescope.functions.exprs import (
-    as_double, col, is_numeric, is_string, name_has_token, name_tokens, nan_to_null, pct, r4, severity_rank,
-    tall_agg,
+    as_double, col, is_numeric, is_string, name_contains, name_has_token, name_tokens, nan_to_null, pct, r4, severity_rank,
+    strip, tall_agg,
     with_scalars,
 )
 from tablescope.operators.histogram import value_histogram
@@ -76,10 +76,10 @@ def format_checks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     def make(c):
         s = col(c)
         return {"n": F.count(s).cast("long"),
-                "padded": F.count_if(s != F.trim(s)).cast("long"),
+                "padded": F.count_if(s != strip(s)).cast("long"),
                 "unusual": F.count_if(s.rlike(UNUSUAL_CHAR_PATTERN)).cast("long"),
                 "escapes": F.count_if(s.rlike(ESCAPED_UNICODE_PATTERN)).cast("long"),
-                "null_like": F.count_if(F.lower(F.trim(s)).isin(NULL_LIKE_FORMAT)).cast("long"),
+                "null_like": F.count_if(F.lower(s).isin(NULL_LIKE_FORMAT)).cast("long"),
                 "with_sep": F.count_if(s.rlike("[,;|]")).cast("long"),
                 "has_comma": F.bool_or(s.contains(",")), "has_semicolon": F.bool_or(s.contains(";")),
                 "has_pipe": F.bool_or(s.contains("|"))}
@@ -100,19 +100,29 @@ def format_checks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 # --------------------------------------------------------------------------- warnings
 
 def _numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    from tablescope.operators.outliers import outliers_iqr
+    from tablescope.operators.outliers import _iqr_counts
     ph = [float(v) for v in PLACEHOLDER_VALUES]
     base = tall_agg(df, list(cols), lambda c: {
         "variance": F.var_samp(as_double(df, c)), "skewness": F.skewness(as_double(df, c)),
         "placeholders": F.count_if(as_double(df, c).isin(ph)).cast("long")},
         ["variance", "skewness", "placeholders"])
-    return base.join(outliers_iqr(df, cols).select("column", F.col("pct").alias("outlier_pct")), "column", "left")
+    share = _iqr_counts(df, cols).select("column", (F.col("n_outliers") * 100.0 / F.col("n")).alias("outlier_pct"))
+    return base.join(F.broadcast(share), "column", "left")  # one row per column
+
+
+def _categorical_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, unique_values, unique_ratio, dominant_pct) of string columns, not rounded."""
+    hist = value_histogram(df, cols).where(F.col("value").isNotNull())
+    return hist.groupBy("column").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("unique_values"),
+                                      F.max("n").alias("_top")).select(
+        "column", "unique_values", (F.col("unique_values") / F.col("_n")).alias("unique_ratio"),
+        (F.col("_top") * 100.0 / F.col("_n")).alias("dominant_pct"))
 
 
 def warnings_report(df: DataFrame) -> DataFrame:
     """(column, warning, severity, value) for the column, numeric, categorical and dataset
     rules, ordered high -> low."""
-    from tablescope.operators.profile import categorical_profile, missing_counts
+    from tablescope.operators.profile import missing_counts
     df = nan_to_null(df)
     parts = []
     mc = missing_counts(df).withColumn("p", F.col("missing_count") * 100.0 / F.col("rows"))
@@ -128,20 +138,20 @@ def warnings_report(df: DataFrame) -> DataFrame:
             ns.where(F.col("outlier_pct") > 20).select("column", F.lit("many_outliers").alias("warning"),
                                                       F.lit("medium").alias("severity"), r4(F.col("outlier_pct")).alias("value")),
             ns.where(F.abs("skewness") > 3).select("column", F.lit("extreme_skewness").alias("warning"),
-                                                  F.lit("medium").alias("severity"), r4(F.col("skewness")).alias("value")),
+                                                  F.lit("medium").alias("severity"), r4(F.abs("skewness")).alias("value")),
             ns.where(F.col("placeholders") > 0).select("column", F.lit("suspicious_values").alias("warning"),
                                                       F.lit("high").alias("severity"),
                                                       F.col("placeholders").cast("double").alias("value"))]
     strs = [c for c in df.columns if is_string(df.schema[c].dataType)]
     if strs:
-        cp = categorical_profile(df, strs)
+        cp = _categorical_stats(df, strs)
         parts += [
             cp.where(F.col("unique_ratio") > 0.8).select("column", F.lit("high_cardinality").alias("warning"),
-                                                        F.lit("medium").alias("severity"), F.col("unique_ratio").alias("value")),
+                                                        F.lit("medium").alias("severity"), F.col("unique_values").cast("double").alias("value")),
             cp.where(F.col("dominant_pct") > 95).select("column", F.lit("single_value_dominance").alias("warning"),
-                                                       F.lit("medium").alias("severity"), F.col("dominant_pct").alias("value")),
+                                                       F.lit("medium").alias("severity"), r4(F.col("dominant_pct")).alias("value")),
             cp.where(F.col("unique_ratio") > 0.95).select("column", F.lit("potential_id_column").alias("warning"),
-                                                         F.lit("low").alias("severity"), F.col("unique_ratio").alias("value"))]
+                                                         F.lit("low").alias("severity"), r4(F.col("unique_ratio")).alias("value"))]
     k = len(df.columns)
     n = df.agg(F.count(F.lit(1)).alias("rows"))
     parts += [n.where(F.col("rows") < 100).select(F.lit(None).cast("string").alias("column"),
@@ -149,7 +159,8 @@ def warnings_report(df: DataFrame) -> DataFrame:
                                                   F.col("rows").cast("double").alias("value")),
               n.where(F.lit(k) > F.col("rows")).select(F.lit(None).cast("string").alias("column"),
                                                        F.lit("high_dimensionality").alias("warning"),
-                                                       F.lit("high").alias("severity"), F.lit(float(k)).alias("value"))]
+                                                       F.lit("high").alias("severity"),
+                                                       r4(F.try_divide(F.lit(float(k)), F.col("rows"))).alias("value"))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -164,7 +175,9 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     df = nan_to_null(df)
     k = len(df.columns)
     st = schema_types(df, target)
-    tc = st.agg(*[F.count_if(F.col("semantic_type") == t).cast("long").alias(f"n_{t}")
+    many = F.col("n_distinct") > 0.5 * F.col("non_null")
+    tc = st.agg(F.count_if((F.col("semantic_type") == "categorical") & many).cast("long").alias("many_valued_categorical"),
+                *[F.count_if(F.col("semantic_type") == t).cast("long").alias(f"n_{t}")
                   for t in ["numeric", "categorical", "datetime", "boolean"]])
     miss = df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
                   sum([F.count_if(col(c).isNull()) for c in df.columns], F.lit(0)).cast("long").alias("missing_cells"),
@@ -172,7 +185,9 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
                   .cast("long").alias("columns_with_missing"),
                   sum([F.when(F.count_if(col(c).isNull()) * 2 > F.count(F.lit(1)), 1).otherwise(0)
                        for c in df.columns], F.lit(0)).cast("long").alias("columns_over_half_missing"))
-    sf = structure_flags(df, target).agg(F.count_if("high_cardinality").cast("long").alias("high_cardinality_columns"))
+    # the target counts as a column here, as in the reference's structure analysis
+    sf = structure_flags(df).agg(F.count_if("high_cardinality").cast("long").alias("high_cardinality_columns"),
+                                 F.count_if("categorical").cast("long").alias("n_robust_categorical"))
     dup = duplicate_rows(df).select("duplicate_rows")
     w = warnings_report(df).agg(F.count_if(F.col("severity") == "high").cast("long").alias("high_warnings"),
                                 F.count_if(F.col("warning") == "many_outliers").cast("long").alias("outlier_warnings"))
@@ -183,4 +198,5 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
         "missing_cells", pct(cells - F.col("missing_cells"), cells).alias("density"),
         pct(F.col("missing_cells"), cells).alias("missing_pct"), "columns_with_missing", "columns_over_half_missing",
         "duplicate_rows", pct(F.col("duplicate_rows"), F.col("rows")).alias("duplicate_pct"),
-        "high_cardinality_columns", "high_warnings", "outlier_warnings")
+        "high_cardinality_columns", "n_robust_categorical", "many_valued_categorical", "high_warnings", "outlier_warnings",
+        F.lit(sum(name_contains(c, PII_NAME_PARTS) for c in df.columns)).cast("long").alias("pii_columns"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescope.functions.exprs import col, is_numeric, is_string, nan_to_null, rnd, with_scalars
+from tablescope.functions.constants import HEALTH_GRADE_LOWEST, HEALTH_GRADES
+from tablescope.functions.exprs import col, is_numeric, is_string, ladder, nan_to_null, rnd, with_scalars
 from tablescope.operators import profile, types
 
 
@@ -45,9 +46,7 @@ def health_score(df: DataFrame) -> DataFrame:
     score = F.greatest(F.lit(0.0), 100.0 - F.col("missing_penalty") - F.col("duplicate_penalty")
                        - F.col("constant_penalty") - F.col("type_penalty"))
     t = t.withColumn("score", rnd(score, 1))
-    grade = (F.when(F.col("score") >= 90, "A - Excellent").when(F.col("score") >= 80, "B - Good")
-             .when(F.col("score") >= 70, "C - Fair").when(F.col("score") >= 60, "D - Poor")
-             .otherwise("F - Critical Issues"))
+    grade = ladder(F.col("score"), HEALTH_GRADES, HEALTH_GRADE_LOWEST)
     return t.select(rnd("missing_penalty", 2).alias("missing_penalty"),
                     rnd("duplicate_penalty", 2).alias("duplicate_penalty"),
                     "constant_penalty", "type_penalty", "score", grade.alias("grade"))

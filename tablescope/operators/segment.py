@@ -75,15 +75,22 @@ def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     Categories come from the distinct values (one row per value, bounded by the
     column's cardinality); the columns are plain ``when`` projections.
     """
-    cols = list(cols)
-    out = df
-    for c in cols:
+    return _one_hot(df, cols)[0]
+
+
+def _one_hot(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The encoded frame and the names of its new columns; a name that is already taken is an error."""
+    out, names = df, []
+    for c in list(cols):
         values = [r[0] for r in df.where(col(c).isNotNull()).select(col(c).cast("string")).distinct()
                   .orderBy(1).collect()]
-        for v in values:
-            out = out.withColumn(f"{c}_{v}", F.when(col(c).cast("string") == v, 1.0).otherwise(0.0))
-        out = out.drop(c)
-    return out
+        new = [f"{c}_{v}" for v in values]
+        if clash := sorted(set(new) & (set(df.columns) | set(names))):
+            raise ValueError(f"one-hot columns {clash} of {c!r} exist already; rename them first")
+        out = out.select("*", *[F.when(col(c).cast("string") == v, 1.0).otherwise(0.0).alias(n)
+                                for v, n in zip(values, new)]).drop(c)
+        names += new
+    return out, names
 
 
 def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
@@ -95,7 +102,7 @@ def category_codes(df: DataFrame, column: str, name: str | None = None) -> DataF
 
 
 def _assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
 def feature_frame(df: DataFrame, cols: Sequence[str] | None = None, target: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -153,9 +160,10 @@ def segmentation_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Se
     ``features`` and ``cluster``, feature names, scale statistics)."""
     from tablescope.operators.clean import impute_mean_mode
     base = impute_mean_mode(df, numeric, categorical)
-    enc = one_hot(base, categorical) if categorical else base
-    feats = list(numeric) + [c for c in enc.columns if any(c.startswith(f"{cat}_") for cat in categorical)
-                             and c not in df.columns]
+    enc, hot = _one_hot(base, categorical)
+    filled = base.agg(*[F.count(col(c)).alias(c) for c in numeric]).first() if numeric else {}
+    # a feature without any value says nothing and cannot be imputed: it is left out, its rows stay
+    feats = [c for c in numeric if filled[c] > 0] + hot
     scaled = scale(enc, feats, scaling, suffix="__s")
     vec = _assemble(scaled, [f"{c}__s" for c in feats]).cache()
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)

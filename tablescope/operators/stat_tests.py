@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.constants import ASSOC_STRENGTH, EFFECT_SIZE
 from tablescope.functions.exprs import (
-    as_double, col, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
+    as_double, col, head, nan_to_null, pct, r4, rnd, strength_label, with_scalars,
 )
 from tablescope.functions.stats import chi2_pvalue, f_pvalue
 from tablescope.operators.histogram import numeric_histogram, ranked_histogram
@@ -86,8 +86,8 @@ def cramers_v(df: DataFrame, a: str, b: str, fill: str = "Missing") -> DataFrame
     return chi_square(df, a, b, fill).select("feature1", "feature2", "cramers_v")
 
 
-def categorical_dependencies(df: DataFrame, cols: Sequence[str], k: int = 10) -> DataFrame:
-    """All string pairs (nulls -> 'Missing'), tables of 4+ cells, p < 0.05 and V > 0.1; top k."""
+def categorical_dependencies(df: DataFrame, cols: Sequence[str], k: int | None = None) -> DataFrame:
+    """All string pairs (nulls -> 'Missing'), tables of 4+ cells, p < 0.05 and V > 0.1; strongest first."""
     cols = list(cols)
     parts = [chi_square(df, a, b, fill="Missing") for i, a in enumerate(cols) for b in cols[i + 1:]]
     if not parts:
@@ -96,7 +96,7 @@ def categorical_dependencies(df: DataFrame, cols: Sequence[str], k: int = 10) ->
     for p in parts[1:]:
         u = u.unionByName(p)
     u = u.where((F.col("rows") * F.col("cols") >= 4) & (F.col("p_value") < 0.05) & (F.col("cramers_v") > 0.1))
-    return u.orderBy(F.desc("cramers_v"), "feature1", "feature2").limit(k).select(
+    return head(u.orderBy(F.desc("cramers_v"), "feature1", "feature2"), k).select(
         "feature1", "feature2", "cramers_v", "chi2", "p_value",
         strength_label(F.col("cramers_v"), ASSOC_STRENGTH, "negligible").alias("strength"))
 
@@ -155,14 +155,15 @@ def group_effect(df: DataFrame, cat: str, num: str, method: str = "auto") -> Dat
     return out
 
 
-def mixed_interactions(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str], k: int = 10) -> DataFrame:
-    """group_effect for every category x numeric pair; significant ones, top k by eta^2."""
+def mixed_interactions(df: DataFrame, cat_cols: Sequence[str], num_cols: Sequence[str],
+                       k: int | None = None) -> DataFrame:
+    """group_effect for every category x numeric pair; significant ones, by eta^2."""
     parts = [group_effect(df, c, n) for c in cat_cols for n in num_cols]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.where(F.col("significant")).orderBy(F.desc("eta_squared"), "categorical_feature",
-                                                 "numeric_feature").limit(k)
+    return head(u.where(F.col("significant")).orderBy(F.desc("eta_squared"), "categorical_feature",
+                                                      "numeric_feature"), k)
 
 
 def jarque_bera(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import (
-    as_double, col, is_numeric, is_string, nan_to_null, r4, with_scalars,
+    as_double, col, head, is_numeric, is_string, nan_to_null, r4, with_scalars,
 )
 from tablescope.operators.assoc import pearson_pairs, spearman_pairs
 from tablescope.operators.histogram import exact_quantiles
@@ -31,7 +31,7 @@ def _split(df: DataFrame, target: str, features: Sequence[str] | None):
 
 
 def target_associations(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                        k: int = 10) -> DataFrame:
+                        k: int | None = None) -> DataFrame:
     """Best association of each feature with the target: Pearson / Spearman (numeric
     target, numeric feature, |r| > 0.1, n > 10) or Cramer's V > 0.1 (string feature)."""
     df = nan_to_null(df)
@@ -56,13 +56,13 @@ def target_associations(df: DataFrame, target: str, features: Sequence[str] | No
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return (u.where(F.abs("score") > 0.1).orderBy(F.desc(F.abs("score")), "feature").limit(k)
+    return (head(u.where(F.abs("score") > 0.1).orderBy(F.desc(F.abs("score")), "feature"), k)
             .select("feature", "n", "method", r4(F.col("score")).alias("score")))
 
 
 def feature_importance(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                       k: int = 10) -> DataFrame:
-    """|Pearson| for numeric features (n > 10), Cramer's V for string features; top k."""
+                       k: int | None = None) -> DataFrame:
+    """|Pearson| for numeric features (n > 10), Cramer's V for string features; strongest first."""
     df = nan_to_null(df)
     nums, cats = _split(df, target, features)
     parts = []
@@ -78,7 +78,7 @@ def feature_importance(df: DataFrame, target: str, features: Sequence[str] | Non
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return (u.where(F.col("importance").isNotNull()).orderBy(F.desc("importance"), "feature").limit(k)
+    return (head(u.where(F.col("importance").isNotNull()).orderBy(F.desc("importance"), "feature"), k)
             .select("feature", "method", r4(F.col("importance")).alias("importance")))
 
 
@@ -107,8 +107,8 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
                        max_features: int | None = None, target_bins: bool | None = None) -> DataFrame:
     """Plug-in mutual information (nats) of each feature with the target.
 
-    Numeric features are decile-binned; strings are used as they are.  A numeric target
-    with more than 20 distinct values is decile-binned too.  ``max_features`` keeps the
+    Numeric features are decile-binned; strings are used as they are.  A numeric target is
+    decile-binned too unless ``target_bins`` is False (its type decides, not its values).  ``max_features`` keeps the
     original tool's cap (half by variance, half by distinct count) when set.
     """
     df = nan_to_null(df)
@@ -124,7 +124,7 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str] | Non
             cats = [r[0] for r in d.orderBy(F.desc("d"), "column").limit(max_features - len(nums)).collect()]
     tdt = df.schema[target].dataType
     if target_bins is None:
-        target_bins = is_numeric(tdt) and df.select(col(target)).distinct().limit(21).count() > 20
+        target_bins = is_numeric(tdt)
     binned, names = _decile_bins(df, nums + ([target] if target_bins else []))
     y = F.col(names[target]) if target_bins else col(target).cast("string")
     items = [(c, "numeric", F.col(names[c])) for c in nums] + [(c, "categorical", col(c).cast("string")) for c in cats]
@@ -160,8 +160,8 @@ def mi_bands(mi: DataFrame) -> DataFrame:
 
 
 def interaction_strength(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                         max_features: int | None = None, k: int = 15) -> DataFrame:
-    """|corr(x*y, target)| per numeric pair, each feature's own |corr|, gain; top k."""
+                         max_features: int | None = None, k: int | None = None) -> DataFrame:
+    """|corr(x*y, target)| per numeric pair, each feature's own |corr|, gain; strongest first."""
     df = nan_to_null(df)
     nums, _ = _split(df, target, features)
     if max_features and len(nums) > max_features:
@@ -186,7 +186,7 @@ def interaction_strength(df: DataFrame, target: str, features: Sequence[str] | N
          .join(F.broadcast(singles.withColumnRenamed("f", "feature2").withColumnRenamed("rs", "r2")), "feature2"))
     best = F.greatest(F.coalesce("r1", F.lit(0.0)), F.coalesce("r2", F.lit(0.0)))
     gain = F.col("ri") - best
-    return (t.where(F.col("ri").isNotNull()).orderBy(F.desc("ri"), "feature1", "feature2").limit(k)
+    return (head(t.where(F.col("ri").isNotNull()).orderBy(F.desc("ri"), "feature1", "feature2"), k)
             .select("feature1", "feature2", r4(F.col("ri")).alias("interaction_corr"), r4(best).alias("best_single"),
                     r4(gain).alias("gain"), (gain > 0).alias("beneficial")))
 

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tablescope.functions.constants import ID_NAME_PARTS, PII_NAME_PARTS, TARGET_NAME_PARTS
 from tablescope.functions.exprs import (
     as_string, bool_pair_match, col, is_atomic, is_boolean, is_datetime, is_integral,
-    is_numeric, is_string, name_contains, nan_to_null, parse_timestamp, q, rnd, sig, tall,
+    is_numeric, is_string, name_contains, nan_to_null, parse_timestamp, q, rnd, sig, strip, tall,
 )
 from tablescope.operators.histogram import value_histogram
 
@@ -67,14 +67,14 @@ def distinct_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     hist = value_histogram(df, cols).where(F.col("value").isNotNull())
     return hist.groupBy("column").agg(
         F.count(F.lit(1)).cast("long").alias("n_distinct"),
-        F.min(F.trim("value")).alias("lo"), F.max(F.trim("value")).alias("hi"))
+        F.min(strip("value")).alias("lo"), F.max(strip("value")).alias("hi"))
 
 
 def schema_types(df: DataFrame, target: str | None = None) -> DataFrame:
     """(column, position, data_type, semantic_type, non_null, n_distinct) per column."""
     stats = column_stats(df)
     dist = distinct_stats(df)
-    t = stats.join(dist, "column", "left").fillna(0, ["n_distinct"])
+    t = stats.join(F.broadcast(dist), "column", "left").fillna(0, ["n_distinct"])  # one row per column
     two = F.col("n_distinct") == 2
     num_pair = (F.col("kind") == "numeric") & two & (F.expr("try_cast(lo AS DOUBLE)") == 0.0) & (
         F.expr("try_cast(hi AS DOUBLE)") == 1.0)
@@ -232,21 +232,25 @@ def datetime_like_strings(df: DataFrame, min_share: float = 0.7) -> DataFrame:
 
 
 def structure_flags(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Per column: high cardinality, low variance, completely / mostly missing."""
+    """Per column: high cardinality (usable categorical columns only, those of at most half as many
+    values as rows), low variance, completely / mostly missing."""
     df = nan_to_null(df)
     cols = [c for c in df.columns if c != target and is_atomic(df.schema[c].dataType)]
-    st = column_stats(df, cols).join(distinct_stats(df, cols), "column", "left").fillna(0, ["n_distinct"])
+    st = column_stats(df, cols).join(F.broadcast(distinct_stats(df, cols)), "column", "left").fillna(0, ["n_distinct"])
     nums = [c for c in cols if is_numeric(df.schema[c].dataType)]
     if nums:
         var = tall(df.agg(*[F.var_samp(col(c).cast("double")).alias(f"{i}__variance")
                             for i, c in enumerate(nums)]), nums, ["variance"])
-        st = st.join(var, "column", "left")
+        st = st.join(F.broadcast(var), "column", "left")
     else:
         st = st.withColumn("variance", F.lit(None).cast("double"))
     missing_pct = (F.col("rows") - F.col("non_null")) * 100.0 / F.col("rows")
+    categorical = F.col("kind").isin("string", "boolean") & (F.col("n_distinct") >= 2) & (
+        F.col("n_distinct") <= 0.5 * F.col("non_null"))
     return st.select(
         "column", "position", "n_distinct",
-        (F.col("n_distinct") > F.least(F.lit(50.0), F.col("rows") * 0.05)).alias("high_cardinality"),
+        categorical.alias("categorical"),
+        (categorical & (F.col("n_distinct") > F.least(F.lit(50.0), F.col("rows") * 0.05))).alias("high_cardinality"),
         (F.col("variance").isNotNull() & (F.col("variance") < 1e-6)).alias("low_variance"),
         (F.col("non_null") == 0).alias("completely_missing"),
         (missing_pct > 80).alias("mostly_missing"),

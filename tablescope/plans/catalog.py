@@ -49,6 +49,8 @@ ORDERS_COLS = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatu
                ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
 DL_COLS = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
 DL = I.DOCS_LABELS_SQL
+CO = I.CUSTOMER_ORDERS_SQL
+CO_NUM = I.CUSTOMER_ORDERS_NUMERIC
 
 
 # --------------------------------------------------------------------------- summaries
@@ -100,7 +102,7 @@ def q_missing_summary(spark, sf):
 @register("missing_bar", f"""
 WITH t AS {DL}, m AS ({_MC})
 SELECT c AS "column", CAST(mc AS BIGINT) AS missing_count, {PCT('mc', 'r')} AS missing_pct
-FROM m WHERE mc > 0 ORDER BY missing_pct DESC, c LIMIT 30""")
+FROM m WHERE mc > 0""")
 def q_missing_bar(spark, sf):
     return missing.missing_bar(I.docs_labels(spark, sf))
 
@@ -111,7 +113,7 @@ _PAT = "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for
 @register("missing_combinations", f"""
 WITH t AS {DL}, g AS (SELECT {_PAT} AS columns, count(*) AS n FROM t GROUP BY 1)
 SELECT columns, CAST(n AS BIGINT) AS n, {PCT('n', '(SELECT sum(n) FROM g)')} AS pct
-FROM g WHERE columns <> '' ORDER BY n DESC, columns LIMIT 10""")
+FROM g WHERE columns <> ''""")
 def q_missing_combinations(spark, sf):
     return missing.missing_combinations(I.docs_labels(spark, sf))
 
@@ -126,7 +128,7 @@ def _missing_together_sql() -> str:
 WITH t AS {DL}, s AS (SELECT {sums} FROM t), r AS ({rows})
 SELECT column_a, column_b, CAST(am AS BIGINT) AS a_missing, CAST(bm AS BIGINT) AS both_missing,
        round(bm / am, 4) AS share
-FROM r WHERE am > 0 AND bm / am > 0.8 ORDER BY ord LIMIT 5"""
+FROM r WHERE am > 0 AND bm / am > 0.8"""
 
 
 @register("missing_together", _missing_together_sql())
@@ -171,9 +173,9 @@ SELECT CAST(sum(n) AS BIGINT) AS "rows", CAST(count(*) AS BIGINT) AS distinct_ro
        CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, {PCT('sum(n - 1)', 'sum(n)')} AS duplicate_pct FROM g"""
 
 
-@register("duplicate_rows", _dup_sql("lineitem", I.LINEITEM_DUP_KEY))
+@register("duplicate_rows", _dup_sql("lineitem", I.LINEITEM_COLS))
 def q_duplicate_rows(spark, sf):
-    return profile.duplicate_rows(I.table(spark, sf, "lineitem").select(*I.LINEITEM_DUP_KEY))
+    return profile.duplicate_rows(I.table(spark, sf, "lineitem"))
 
 
 @register("duplicate_texts", _dup_sql("documents", ["text"]))
@@ -448,17 +450,20 @@ def q_outliers_iqr(spark, sf):
     return outliers.outliers_iqr(I.table(spark, sf, "lineitem"), LINEITEM_NUM)
 
 
+_CO_ALL = ["c_custkey", "c_acctbal", "c_nationkey", "n_orders", "total_spent", "avg_order"]
+
+
 @register("outlier_report", f"""
-WITH q AS ({_iqr_cte('lineitem', LINEITEM_NUM)}),
+WITH q AS ({_iqr_cte(CO, _CO_ALL)}),
 b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
-o AS ({_iqr_count('lineitem', LINEITEM_NUM)}),
+o AS ({_iqr_count(CO, _CO_ALL)}),
 p AS (SELECT b.*, oc, {PCT('oc', 'n')} AS p FROM b JOIN o ON b.c = o.c)
 SELECT c AS "column", CAST(oc AS BIGINT) AS n_outliers, p AS pct, round(lo, 4) AS lower, round(hi, 4) AS upper,
        round(mn, 4) AS min, round(mx, 4) AS max,
        CASE WHEN p > 10 THEN 'High' WHEN p > 5 THEN 'Medium' ELSE 'Low' END AS severity
 FROM p WHERE oc > 0""")
 def q_outlier_report(spark, sf):
-    return outliers.outlier_report(I.table(spark, sf, "lineitem").select(*LINEITEM_NUM))
+    return outliers.outlier_report(I.customer_orders(spark, sf))
 
 
 @register("outliers_zscore", U([f"""
@@ -565,7 +570,7 @@ s AS (SELECT 'mixed_text' AS c, count(mixed_text) AS nn, count(try_cast(mixed_te
 SELECT c AS "column", CAST(nn AS BIGINT) AS non_null, CAST(ok AS BIGINT) AS numeric_values,
        round(ok * 100.0 / nn, 2) AS numeric_pct FROM s WHERE ok > 0 AND ok < nn""")
 def q_mixed_type_columns(spark, sf):
-    return types.mixed_type_columns(I.orders_as_text(spark, sf).select("mixed_text", "o_orderstatus"))
+    return types.mixed_type_columns(I.orders_as_text(spark, sf))
 
 
 @register("datetime_like_strings", f"""
@@ -599,9 +604,10 @@ def q_robust_categorical_columns(spark, sf):
 
 @register("structure_flags", f"""
 WITH s AS ({U([f"SELECT '{c}' AS c, {i} AS pos, count(DISTINCT {c}) AS d, count({c}) AS nn, count(*) AS r, "
-               f"{'var_samp(' + c + ')' if dt in ('bigint', 'double') else 'NULL'} AS v FROM orders"
+               f"{'var_samp(' + c + ')' if dt in ('bigint', 'double') else 'NULL'} AS v, {str(dt == 'string').lower()} AS cat FROM orders"
                for i, (c, dt) in enumerate(ORDERS_COLS)])})
-SELECT c AS "column", pos AS position, CAST(d AS BIGINT) AS n_distinct, d > least(50.0, r * 0.05) AS high_cardinality,
+SELECT c AS "column", pos AS position, CAST(d AS BIGINT) AS n_distinct, cat AND d >= 2 AND d <= 0.5 * nn AS categorical,
+       cat AND d >= 2 AND d <= 0.5 * nn AND d > least(50.0, r * 0.05) AS high_cardinality,
        coalesce(v < 1e-6, false) AS low_variance, nn = 0 AS completely_missing, (r - nn) * 100.0 / r > 80 AS mostly_missing
 FROM s""")
 def q_structure_flags(spark, sf):
@@ -628,8 +634,8 @@ def q_task_type(spark, sf):
 
 # --------------------------------------------------------------------------- scores
 
-_DLS = "(SELECT doc_id, lang, source, n_chars, quality, toxic FROM " + DL + ")"
-_DLS_COLS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
+_DLS = DL
+_DLS_COLS = DL_COLS
 
 
 @register("health_score", f"""
@@ -637,7 +643,7 @@ WITH t AS {_DLS},
 a AS (SELECT count(*) AS r, {' + '.join(f'count_if({c} IS NULL)' for c in _DLS_COLS)} AS mc FROM t),
 d AS (SELECT coalesce(sum(n - 1), 0) AS dup FROM (SELECT count(*) AS n FROM t GROUP BY ALL_COLS)),
 k AS (SELECT ({' + '.join(f'CASE WHEN count(DISTINCT {c}) <= 1 THEN 1 ELSE 0 END' for c in _DLS_COLS)}) AS const FROM t),
-m AS (SELECT ({' + '.join(f'CASE WHEN count(try_cast({c} AS DOUBLE)) > 0 AND count(try_cast({c} AS DOUBLE)) < count({c}) THEN 1 ELSE 0 END' for c in ['lang', 'source'])}) AS mixed FROM t),
+m AS (SELECT ({' + '.join(f'CASE WHEN count(try_cast({c} AS DOUBLE)) > 0 AND count(try_cast({c} AS DOUBLE)) < count({c}) THEN 1 ELSE 0 END' for c in ['text', 'lang', 'source'])}) AS mixed FROM t),
 p AS (SELECT least(round(mc * 100.0 / (r * {len(_DLS_COLS)}), 2) * 2, 30.0) AS mp,
              least(round(dup * 100.0 / r, 2) * 1.5, 20.0) AS dp, const * 5.0 AS cp, mixed * 10.0 AS tp FROM a, d, k, m),
 s AS (SELECT *, round(greatest(0.0, 100.0 - mp - dp - cp - tp), 1) AS score FROM p)
@@ -647,7 +653,7 @@ SELECT round(mp, 2) AS missing_penalty, round(dp, 2) AS duplicate_penalty, cp AS
     "ALL_COLS", ", ".join(_DLS_COLS)))
 def q_health_score(spark, sf):
     from tablescope.operators import scores
-    return scores.health_score(I.docs_labels(spark, sf).drop("text"))
+    return scores.health_score(I.docs_labels(spark, sf))
 
 
 # --------------------------------------------------------------------------- correlations
@@ -674,8 +680,6 @@ def _pairs_cte(tbl: str, cols) -> str:
 _STRENGTH = ("CASE WHEN abs(coalesce(r, 0)) >= 0.9 THEN 'very_strong' WHEN abs(coalesce(r, 0)) >= 0.7 THEN 'strong' "
              "WHEN abs(coalesce(r, 0)) >= 0.5 THEN 'moderate' WHEN abs(coalesce(r, 0)) >= 0.3 THEN 'weak' "
              "ELSE 'very_weak' END")
-CO = I.CUSTOMER_ORDERS_SQL
-CO_NUM = I.CUSTOMER_ORDERS_NUMERIC
 
 
 def _corr_pairs_sql(tbl, cols):
@@ -710,7 +714,7 @@ def q_corr_top_pairs(spark, sf):
 WITH p AS ({_pairs_cte(CO, CO_NUM)})
 SELECT feature1, feature2, CAST(n AS BIGINT) AS n, round(r, 4) AS pearson, abs(r) > 0.9 AS very_strong,
        CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
-FROM p WHERE abs(r) > 0.7 ORDER BY abs(r) DESC, feature1, feature2 LIMIT 20""")
+FROM p WHERE abs(r) > 0.7""")
 def q_corr_strong(spark, sf):
     from tablescope.operators import assoc
     return assoc.corr_strong(I.customer_orders(spark, sf), CO_NUM)
@@ -720,7 +724,7 @@ def q_corr_strong(spark, sf):
 WITH p AS ({_pairs_cte(CO, CO_NUM)})
 SELECT feature1, feature2, CAST(n AS BIGINT) AS n, round(r, 4) AS pearson, round(rho, 4) AS spearman,
        {_STRENGTH} AS strength, CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
-FROM p WHERE abs(r) > 0.3 AND n > 10 ORDER BY abs(r) DESC, feature1, feature2 LIMIT 15""")
+FROM p WHERE abs(r) > 0.3 AND n > 10""")
 def q_corr_detailed(spark, sf):
     from tablescope.operators import assoc
     return assoc.corr_detailed(I.customer_orders(spark, sf), CO_NUM).drop("p_value", "significant")
@@ -885,8 +889,7 @@ WITH u AS ({U(parts)})
 SELECT feature1, feature2, cramers_v, chi2, p_value,
        CASE WHEN cramers_v >= 0.5 THEN 'very_strong' WHEN cramers_v >= 0.3 THEN 'strong'
             WHEN cramers_v >= 0.15 THEN 'moderate' WHEN cramers_v >= 0.05 THEN 'weak' ELSE 'negligible' END AS strength
-FROM u WHERE rows * cols >= 4 AND p_value < 0.05 AND cramers_v > 0.1
-ORDER BY cramers_v DESC, feature1, feature2 LIMIT 10"""
+FROM u WHERE rows * cols >= 4 AND p_value < 0.05 AND cramers_v > 0.1"""
 
 
 @register("categorical_dependencies", _cat_deps_sql())
@@ -1016,8 +1019,7 @@ num AS (SELECT feature1 AS feature, n, CASE WHEN abs(coalesce(r, 0)) >= abs(coal
 cv AS (SELECT * FROM ({_chi_square_sql(CO, 'c_mktsegment', 'n_orders', 'Missing', with_p=False)})),
 u AS (SELECT feature, CAST(n AS BIGINT) AS n, method, score FROM num
       UNION ALL SELECT 'c_mktsegment', n, 'cramers_v', cramers_v FROM cv)
-SELECT feature, n, method, round(score, 4) AS score FROM u WHERE abs(score) > 0.1
-ORDER BY abs(score) DESC, feature LIMIT 10""")
+SELECT feature, n, method, round(score, 4) AS score FROM u WHERE abs(score) > 0.1""")
 def q_target_associations(spark, sf):
     from tablescope.operators import target
     return target.target_associations(I.customer_orders(spark, sf), "n_orders",
@@ -1029,8 +1031,7 @@ WITH p AS ({U([_pair_sql(CO, c, 'n_orders') for c in _TA_NUM])}),
 cv AS (SELECT * FROM ({_chi_square_sql(CO, 'c_mktsegment', 'n_orders', 'Missing', with_p=False)})),
 u AS (SELECT feature1 AS feature, 'abs_pearson' AS method, abs(r) AS importance FROM p WHERE n > 10
       UNION ALL SELECT 'c_mktsegment', 'cramers_v', cramers_v FROM cv)
-SELECT feature, method, round(importance, 4) AS importance FROM u WHERE importance IS NOT NULL
-ORDER BY importance DESC, feature LIMIT 10""")
+SELECT feature, method, round(importance, 4) AS importance FROM u WHERE importance IS NOT NULL""")
 def q_feature_importance(spark, sf):
     from tablescope.operators import target
     return target.feature_importance(I.customer_orders(spark, sf), "n_orders", _TA_NUM + ["c_mktsegment"])
@@ -1047,8 +1048,7 @@ WITH s AS ({singles}), i AS ({inter}),
 t AS (SELECT i.*, greatest(coalesce(s1.rs, 0), coalesce(s2.rs, 0)) AS best FROM i
       JOIN s s1 ON s1.f = i.feature1 JOIN s s2 ON s2.f = i.feature2 WHERE ri IS NOT NULL)
 SELECT feature1, feature2, round(ri, 4) AS interaction_corr, round(best, 4) AS best_single,
-       round(ri - best, 4) AS gain, ri - best > 0 AS beneficial FROM t
-ORDER BY ri DESC, feature1, feature2 LIMIT 15"""
+       round(ri - best, 4) AS gain, ri - best > 0 AS beneficial FROM t"""
 
 
 @register("interaction_strength", _interaction_sql())
@@ -1065,22 +1065,15 @@ def q_mi_bands(spark, sf):
     return target.mi_bands(target.mutual_information(o, "o_orderpriority"))
 
 
-@register("interaction_bands")
-def q_interaction_bands(spark, sf):
-    from tablescope.operators import target
-    co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
-    return target.interaction_bands(target.interaction_strength(co, "c_nationkey"))
-
-
 # --------------------------------------------------------------------------- quality checks
 
 @register("format_checks", U([f"""
-SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count_if({c} <> trim({c})) AS BIGINT) AS padded,
+SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count_if(regexp_matches({c}, '^\\s|\\s$')) AS BIGINT) AS padded,
        CAST(count(DISTINCT {c}) - count(DISTINCT lower({c})) AS BIGINT) AS case_variants,
        CAST(count_if(regexp_matches({c}, '[^\\w\\s\\-\\.\\,\\(\\)\\[\\]]')) AS BIGINT) AS unusual,
        count_if(regexp_matches({c}, '[^\\w\\s\\-\\.\\,\\(\\)\\[\\]]')) > count({c}) * 0.1 AS encoding_issue,
        CAST(count_if(regexp_matches({c}, '\\\\u[0-9a-fA-F]{{4}}|\\\\x[0-9a-fA-F]{{2}}')) AS BIGINT) AS escapes,
-       CAST(count_if(lower(trim({c})) IN ('null', 'none', 'na', 'n/a', 'nan', 'nil', 'undefined', '')) AS BIGINT) AS null_like,
+       CAST(count_if(lower({c}) IN ('null', 'none', 'na', 'n/a', 'nan', 'nil', 'undefined', '')) AS BIGINT) AS null_like,
        count_if(regexp_matches({c}, '[,;|]')) > count({c}) * 0.3 AND
        (CASE WHEN bool_or(contains({c}, ',')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains({c}, ';')) THEN 1 ELSE 0 END
         + CASE WHEN bool_or(contains({c}, '|')) THEN 1 ELSE 0 END) > 1 AS mixed_separators
@@ -1129,13 +1122,13 @@ def q_mixed_date_formats(spark, sf):
 @register("warnings_report")
 def q_warnings_report(spark, sf):
     from tablescope.operators import quality
-    return quality.warnings_report(I.docs_labels(spark, sf).drop("text"))
+    return quality.warnings_report(I.docs_labels(spark, sf))
 
 
 @register("dataset_profile")
 def q_dataset_profile(spark, sf):
     from tablescope.operators import quality
-    return quality.dataset_profile(I.docs_labels(spark, sf).drop("text"))
+    return quality.dataset_profile(I.docs_labels(spark, sf))
 
 
 @register("findings")
@@ -1147,13 +1140,25 @@ def q_findings(spark, sf):
 @register("key_findings")
 def q_key_findings(spark, sf):
     from tablescope.operators import findings
-    return findings.key_findings(I.docs_labels(spark, sf).drop("text"))
+    return findings.key_findings(I.docs_labels(spark, sf))
 
 
 @register("action_items")
 def q_action_items(spark, sf):
     from tablescope.operators import findings
-    return findings.action_items(I.docs_labels(spark, sf).drop("text"))
+    return findings.action_items(I.docs_labels(spark, sf))
+
+
+@register("interaction_bands", f"""
+WITH i AS ({_interaction_sql()})
+SELECT round(quantile_cont(interaction_corr, 0.8), 4) AS q80, CAST(count(*) AS BIGINT) AS pairs,
+       CAST(count_if(gain > 0.05) AS BIGINT) AS gain_above_005, CAST(count_if(beneficial) AS BIGINT) AS beneficial,
+       round(avg(gain), 4) AS mean_gain, round(count_if(gain < 0) / count(*), 4) AS negative_share,
+       round(count_if(gain < 0) / count(*), 4) > 0.7 AS mostly_negative FROM i""")
+def q_interaction_bands(spark, sf):
+    from tablescope.operators import target
+    co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
+    return target.interaction_bands(target.interaction_strength(co, "c_nationkey"))
 
 
 @register("dataset_bands")
@@ -1162,13 +1167,41 @@ def q_dataset_bands(spark, sf):
     return findings.dataset_bands(I.table(spark, sf, "lineitem"))
 
 
-@register("complexity_score")
+_OP_ORDERS = f"""
+WITH q AS ({_iqr_cte('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'])}),
+b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
+o AS ({_iqr_count('orders', ['o_orderkey', 'o_custkey', 'o_totalprice'])}),
+w AS (SELECT count_if(oc * 100.0 / n > 20) AS many FROM b JOIN o ON b.c = o.c),
+ph AS (SELECT {' + '.join(f'CASE WHEN count_if({c} IN (-999, -99, 999999, -1)) > 0 THEN 1 ELSE 0 END' for c in ['o_orderkey', 'o_custkey', 'o_totalprice'])} AS high FROM orders),
+t AS (SELECT count(*) AS r, 6 AS k, {' + '.join(f'count({c})' for c, _ in ORDERS_COLS)} AS nn,
+             {' + '.join(f'CASE WHEN count({c}) < count(*) THEN 1 ELSE 0 END' for c, _ in ORDERS_COLS)} AS cm,
+             count(DISTINCT o_orderstatus) AS d1, count(o_orderstatus) AS n1,
+             count(DISTINCT o_orderpriority) AS d2, count(o_orderpriority) AS n2 FROM orders),
+f AS (SELECT *, CASE WHEN d1 >= 2 AND d1 <= 0.5 * n1 THEN 1 ELSE 0 END + CASE WHEN d2 >= 2 AND d2 <= 0.5 * n2 THEN 1 ELSE 0 END AS rc,
+             CASE WHEN d1 >= 2 AND d1 <= 0.5 * n1 AND d1 > least(50.0, r * 0.05) THEN 1 ELSE 0 END
+             + CASE WHEN d2 >= 2 AND d2 <= 0.5 * n2 AND d2 > least(50.0, r * 0.05) THEN 1 ELSE 0 END AS hc FROM t),"""
+
+
+@register("complexity_score", _OP_ORDERS + """
+s AS (SELECT *, round(30 * least(k / 100.0, 1.0) + 20 * least(hc / 10.0, 1.0) + 25.0 * cm / k + 25.0 * rc / k, 4) AS cs FROM f)
+SELECT CAST(k AS BIGINT) AS columns, CAST(hc AS BIGINT) AS high_cardinality_columns, CAST(cm AS BIGINT) AS columns_with_missing,
+       CAST(rc AS BIGINT) AS n_robust_categorical, cs AS complexity_score,
+       CASE WHEN cs > 70 THEN 'High' WHEN cs < 30 THEN 'Low' ELSE 'Medium' END AS readiness_complexity FROM s""")
 def q_complexity_score(spark, sf):
     from tablescope.operators import findings
     return findings.complexity_score(I.table(spark, sf, "orders"))
 
 
-@register("investment_priority")
+@register("investment_priority", _OP_ORDERS + """
+g AS (SELECT f.*, w.many, ph.high, round(nn * 100.0 / (r * k), 2) AS density, round((r * k - nn) * 100.0 / (r * k), 2) AS miss,
+             (CASE WHEN d1 > 0.5 * n1 THEN 1 ELSE 0 END) / 1.0 AS heavy FROM f, w, ph),
+p AS (SELECT *, round((least(miss / 50.0, 1.0) + heavy + least(many / 3.0, 1.0) + least(high / 10.0, 1.0)) / 4.0, 4) AS pc,
+             CASE WHEN r >= 10000 THEN 1.0 WHEN r >= 1000 THEN 0.8 WHEN r >= 100 THEN 0.5 ELSE 0.2 END AS sf FROM g),
+z AS (SELECT *, (density / 100 + sf + 0.6 + (1 - pc) + 1.0) / 5.0 AS score FROM p)
+SELECT density, CAST(sf AS DOUBLE) AS size_factor, CAST(0.6 AS DOUBLE) AS width_factor, pc AS processing_complexity,
+       CAST(1.0 AS DOUBLE) AS target_factor, round(score, 4) AS investment_priority,
+       CASE WHEN score >= 0.8 THEN 'very_high' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS priority_band
+FROM z""")
 def q_investment_priority(spark, sf):
     from tablescope.operators import findings
     return findings.investment_priority(I.table(spark, sf, "orders"), target="o_orderpriority")
@@ -1184,8 +1217,7 @@ def q_impute_median(spark, sf):
     from tablescope.operators import clean
     co = I.customer_orders(spark, sf).select("c_custkey", "c_acctbal", "n_orders", "total_spent", "avg_order")
     out = clean.impute_median(co, ["total_spent", "avg_order"])
-    return out.select("c_custkey", "c_acctbal", "n_orders", *[F.round(F.col(c) * 10000) / 10000
-                                                              for c in []],
+    return out.select("c_custkey", "c_acctbal", "n_orders", 
                       (F.round(F.col("total_spent") * 10000) / 10000).alias("total_spent"),
                       (F.round(F.col("avg_order") * 10000) / 10000).alias("avg_order"))
 
@@ -1537,15 +1569,13 @@ def q_dataset_overview(spark, sf):
     return profile.dataset_overview(I.table(spark, sf, "orders"))
 
 
-_DRS_COLS = ["l_orderkey"] + I.LINEITEM_DUP_KEY
-
-
 @register("duplicate_rows_subset", U([
     f"SELECT '{name}' AS subset, * FROM ({_dup_sql('lineitem', cols)})"
-    for name, cols in [("all_columns", _DRS_COLS), ("without_id_columns", I.LINEITEM_DUP_KEY),
-                       ("without_last_column", _DRS_COLS[:-1])]]))
+    for name, cols in [("all_columns", I.LINEITEM_COLS),
+                       ("without_id_columns", [c for c in I.LINEITEM_COLS if "id" not in c and "key" not in c]),
+                       ("without_last_column", I.LINEITEM_COLS[:-1])]]))
 def q_duplicate_rows_subset(spark, sf):
-    return profile.duplicate_rows_subset(I.table(spark, sf, "lineitem").select(*_DRS_COLS))
+    return profile.duplicate_rows_subset(I.table(spark, sf, "lineitem"))
 
 
 @register("preview_shape", """SELECT CAST(count(*) AS BIGINT) AS "rows", 11 AS columns FROM lineitem""")
@@ -1563,4 +1593,4 @@ def q_mixed_interactions(spark, sf):
 @register("quality_score")
 def q_quality_score(spark, sf):
     from tablescope.operators import scores
-    return scores.quality_score(I.docs_labels(spark, sf).drop("text"))
+    return scores.quality_score(I.docs_labels(spark, sf))

@@ -13,44 +13,46 @@ from tablescope.functions.constants import CSV_DELIMITERS, CSV_ENCODINGS
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
-             infer_schema: bool = True) -> DataFrame:
-    """Header CSV with inferred types."""
+             infer_schema: bool = True, multi_line: bool = True) -> DataFrame:
+    """Header CSV with inferred types; a doubled quote stands for a quote.
+
+    ``multi_line`` lets quoted fields hold line breaks, at the price of one task per file; switch it
+    off for large files without them, which are then split.
+    """
     return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+            .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("inferSchema", infer_schema).option("mode", "PERMISSIVE").csv(path))
 
 
-def _probe_lines(spark: SparkSession, path: str, encoding: str, n: int = 20) -> list[str]:
-    """The first non-empty lines of the file(s), decoded with ``encoding`` (a bounded peek)."""
+def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """One row per line (``line``), decoded with ``encoding``, quotes and separators untouched."""
     # the CSV reader honours ``encoding`` (the text reader is UTF-8 only); a separator and
     # quote that never occur turn each line into one column
-    raw = (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
-           .option("header", False).csv(path))
-    first = raw.columns[0]
-    return [r[0] for r in raw.where(F.length(F.trim(F.col(first))) > 0).limit(n).collect()]
+    return (spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "\u0000")
+            .option("header", False).schema("line string").csv(path))
+
+
+def _delimiter(lines: DataFrame) -> str:
+    """The delimiter most frequent outside quotes, over all lines; ',' when none occurs."""
+    bare = F.regexp_replace("line", '"[^"]*"', "")
+    counts = lines.agg(*[F.coalesce(F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))), F.lit(0))
+                         .alias(f"d{i}") for i, d in enumerate(CSV_DELIMITERS)]).first()
+    best = max(range(len(CSV_DELIMITERS)), key=lambda i: (counts[i], -i))
+    return CSV_DELIMITERS[best] if counts[best] else CSV_DELIMITERS[0]
 
 
-def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_auto(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Try encodings utf-8, latin1, iso-8859-1 and delimiters ',', ';', TAB.
 
-    The header line of a bounded peek decides: the first encoding that decodes
-    without replacement characters, and the delimiter giving the most columns
-    (consistently across the peeked lines).  Raises ValueError if nothing parses.
+    Both are decided over the whole file: the first encoding under which no line holds a replacement
+    character, and the delimiter found most often outside quotes.  Raises ValueError if nothing parses.
     """
-    for enc in CSV_ENCODINGS:
-        try:
-            lines = _probe_lines(spark, path, enc)
-        except Exception:  # noqa: BLE001 - try the next encoding
-            continue
-        if not lines or any("�" in ln for ln in lines):
-            continue
-        best, width = None, 1
-        for d in CSV_DELIMITERS:
-            counts = {ln.count(d) for ln in lines}
-            if len(counts) == 1 and (c := counts.pop() + 1) > width:
-                best, width = d, c
-        df = read_csv(spark, path, best or ",", enc)
-        if df.columns:
-            return df
+    # latin1 and iso-8859-1 are two names of one encoding; Spark knows the second
+    for enc in dict.fromkeys("iso-8859-1" if e == "latin1" else e for e in CSV_ENCODINGS):
+        lines = _lines(spark, path, enc)
+        n, broken = lines.agg(F.count(F.lit(1)), F.count_if(F.col("line").contains("\ufffd"))).first()
+        if n and not broken:
+            return read_csv(spark, path, _delimiter(lines), enc, multi_line=multi_line)
     raise ValueError(f"could not parse {path} with encodings {CSV_ENCODINGS} and delimiters {CSV_DELIMITERS}")
 
 

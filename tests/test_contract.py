@@ -52,6 +52,39 @@ def test_read_csv_auto_tab(spark, tmp_path):
 
 def test_quality_csv_roundtrip(spark, tmp_path):
     from tablescope.plans.inputs import docs_labels
-    out = io.write_quality_csv(docs_labels(spark, SF_SMALL).drop("text"), str(tmp_path / "q"))
+    out = io.write_quality_csv(docs_labels(spark, SF_SMALL), str(tmp_path / "q"))
     back = spark.read.option("header", True).csv(str(tmp_path / "q"))
     assert back.count() == out.count()
+
+
+def test_read_csv_auto_quotes_and_line_breaks(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a;b;c\n1;"he said ""hi""; ok";x\n2;"two\nlines, here";y\n', encoding="utf-8")
+    rows = {r.a: (r.b, r.c) for r in io.read_csv_auto(spark, str(p)).collect()}
+    assert rows == {1: ('he said "hi"; ok', "x"), 2: ("two\nlines, here", "y")}
+
+
+def test_read_csv_auto_accent_far_down(spark, tmp_path):
+    p = tmp_path / "far.csv"
+    p.write_bytes("name,n\n".encode() + b"".join(b"ann,%d\n" % i for i in range(60)) + "José,61\n".encode("latin1"))
+    assert io.read_csv_auto(spark, str(p)).where("n = 61").first().name == "José"
+
+
+def test_one_hot_refuses_taken_names(spark):
+    from tablescope.operators import segment
+    df = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "g string, g_A double")
+    with pytest.raises(ValueError):
+        segment.one_hot(df, ["g"])
+
+
+def test_segmentation_keeps_rows_beside_an_all_null_feature(spark):
+    from tablescope.operators import segment
+    df = spark.createDataFrame([(float(i % 5), None, "u") for i in range(20)], "x double, y double, g string")
+    assert segment.kmeans(df, ["x", "y"], ["g"], k=2).count() == 20
+
+
+def test_strong_pairs_are_not_cut(spark):
+    from pyspark.sql import functions as F
+    from tablescope.operators import assoc
+    df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(8)])
+    assert assoc.corr_strong(df).count() == 28 and assoc.corr_strong(df, k=3).count() == 3

@@ -131,3 +131,25 @@ def test_rounding_is_binary_half_away(spark):
     assert [r.a for r in v] == [0.0001, 2.675, 0.125]
     # same as the oracle engine's round(x, 2): round(x * 100) / 100 on the binary value
     assert [r.b for r in v] == [0.0, round(2.675 * 100) / 100, 0.13]
+
+
+def test_selected_quantiles_beyond_the_sketch(spark):
+    """More values than the sketch keeps exactly, ties, nulls, a constant, an empty and an all-null column."""
+    df = spark.range(60_000).select(
+        (F.hash("id") % 100_003).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"),
+        F.when(F.col("id") % 3 == 0, F.exp(F.col("id") / 4000.0)).alias("c"), F.lit(4.0).alias("d"),
+        F.lit(None).cast("double").alias("e"))
+    pdf = df.toPandas()
+    probs = [0.0, 0.001, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.column, r.p): r.q for r in histogram.exact_quantiles(df, df.columns, probs).collect()}
+    assert not [k for k in got if k[0] == "e"] and len(got) == 4 * len(probs)
+    for c in "abcd":
+        for p in probs:
+            assert got[c, p] == pytest.approx(pdf[c].quantile(p), rel=1e-12)
+    assert histogram.exact_quantiles(df.limit(0), ["a"], probs).count() == 0
+
+
+def test_all_null_regression_target_has_a_row(spark):
+    df = spark.createDataFrame([(None,)] * 3, "x double")
+    r = profile.regression_target_profile(df, "x").collect()
+    assert len(r) == 1 and r[0].n == 0 and r[0].median is None
