@@ -8,13 +8,15 @@ of it.  The prose of the original tool is not reproduced, only the triggers.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import (
     PRIORITY_BAND_LOWEST, PRIORITY_BANDS, SIZE_FACTOR_LOWEST, SIZE_FACTORS, WIDTH_FACTOR_LOWEST, WIDTH_FACTORS,
 )
-from tablescope.functions.exprs import head, ladder, r4
+from tablescope.functions.exprs import as_double, head, is_numeric, ladder, nan_to_null, r4, with_scalars
 from tablescope.operators.quality import dataset_profile
 
 
@@ -148,8 +150,13 @@ def action_items(df: DataFrame, target: str | None = None, k: int | None = None)
 
 
 def dataset_bands(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Size, completeness, warning and dominant-type bands of the dataset."""
-    prof = dataset_profile(df, target)
+    """Size, completeness, warning, relationship and dominant-type bands of the dataset.
+
+    Related pairs are numeric pairs with |r| > 0.3 over more than 10 rows."""
+    from tablescope.operators.assoc import pearson_pairs
+    pairs = pearson_pairs(df).where((F.abs("r") > 0.3) & (F.col("n") > 10)).agg(
+        F.count(F.lit(1)).cast("long").alias("related_pairs"))
+    prof = with_scalars(dataset_profile(df, target), pairs)
     c = F.col
     size = (F.when(c("rows") < 100, "tiny").when(c("rows") < 1000, "small").when(c("rows") < 10000, "medium")
             .when(c("rows") < 100000, "large").otherwise("very_large"))
@@ -157,6 +164,64 @@ def dataset_bands(df: DataFrame, target: str | None = None) -> DataFrame:
             .otherwise("poor"))
     warn = (F.when(c("high_warnings") == 0, "clean").when(c("high_warnings") <= 3, "minor")
             .when(c("high_warnings") <= 6, "moderate").otherwise("severe"))
+    rel = (F.when(c("related_pairs") == 0, "none").when(c("related_pairs") < 5, "few")
+           .when(c("related_pairs") < 15, "many").otherwise("very_many"))
     dom = F.when(c("n_numeric") >= c("n_categorical"), "numeric").otherwise("categorical")
-    return prof.select("rows", "density", "high_warnings", size.alias("size_band"), comp.alias("completeness_band"),
+    return prof.select("rows", "density", "high_warnings", "related_pairs", rel.alias("relationship_band"), size.alias("size_band"), comp.alias("completeness_band"),
                        warn.alias("warning_band"), dom.alias("dominant_type"))
+
+
+def _fired(one: DataFrame, rules: list[tuple[str, Column, Column]]) -> DataFrame:
+    """(flag, value) of the rules that hold on a one-row table."""
+    return one.select(F.inline(F.array(*[F.struct(F.lit(name).alias("flag"), r4(value.cast("double")).alias("value"),
+                                                  hit.alias("hit")) for name, value, hit in rules]))
+                      ).where("hit").drop("hit")
+
+
+def correlation_flags(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(flag, value): mean |r| above 0.5 or below 0.2, pairs above 0.8 present, more than 5 of them.
+
+    Sparse rows are dropped and gaps filled with medians, as for ``corr_advanced_summary``."""
+    from tablescope.operators.assoc import feature_matrix, pearson_pairs
+    one = pearson_pairs(feature_matrix(df, cols)).where(F.col("r").isNotNull()).agg(
+        F.avg(F.abs("r")).alias("m"), F.count_if(F.abs("r") > 0.8).alias("k"))
+    m, k = F.col("m"), F.col("k")
+    return _fired(one, [("high_average", m, m > 0.5), ("collinear_pairs", k, k > 0), ("severe_collinearity", k, k > 5),
+                        ("mostly_independent", m, m < 0.2)])
+
+
+def target_recommendation_flags(df: DataFrame, target: str) -> DataFrame:
+    """(flag, value) for the target: the balance of its classes, or the shape of a numeric one.
+
+    A regression target is not normal when Jarque-Bera rejects normality at 5 %."""
+    from tablescope.operators.profile import class_balance
+    from tablescope.operators.types import task_type
+    df = nan_to_null(df)
+    one = with_scalars(task_type(df, target).select("task_type"), class_balance(df, target).agg(
+        F.max("severity").alias("severity"), F.max("imbalance_ratio").alias("ratio")))
+    cls = F.col("task_type") == "classification"
+    rules = [(name, F.col("ratio"), cls & (F.col("severity") == sev)) for name, sev in
+             [("single_class", "critical"), ("severe_imbalance", "high"), ("moderate_imbalance", "medium"),
+              ("balanced", "low")]]
+    if is_numeric(df.schema[target].dataType):
+        x = as_double(df, target)
+        one = with_scalars(one, df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
+                                       F.skewness(x).alias("sk"), F.kurtosis(x).alias("ku")))
+        reg = F.col("task_type") == "regression"
+        skew = F.coalesce(F.abs("sk"), F.lit(0.0))
+        spread = F.coalesce(F.col("sd") > 2 * F.col("mean"), F.lit(False))
+        jb = F.col("n") / 6.0 * (F.pow("sk", 2) + F.pow("ku", 2) / 4.0)
+        odd = F.coalesce(F.exp(-jb / 2.0) <= 0.05, F.lit(False))
+        rules += [("highly_skewed", skew, reg & (skew > 2)), ("moderately_skewed", skew, reg & (skew > 1) & (skew <= 2)),
+                  ("high_variance", F.col("sd"), reg & spread), ("not_normal", jb, reg & odd),
+                  ("suitable", skew, reg & (skew <= 1) & ~spread & ~odd)]
+    return _fired(one, rules)
+
+
+def readiness(df: DataFrame, target: str | None = None) -> DataFrame:
+    """One row: complexity level, issues found (missing values) and how ready the data is."""
+    s = scores_row(dataset_profile(df, target))
+    issues = F.when(F.col("columns_with_missing") > 0, 1).otherwise(0)
+    return s.select("complexity_score", F.when(F.col("complexity_score") > 70, "High").when(F.col("complexity_score") < 30, "Low")
+                    .otherwise("Medium").alias("complexity"), issues.cast("long").alias("issues"),
+                    F.when(issues == 0, "ready").when(issues <= 2, "minor").otherwise("significant").alias("readiness"))

@@ -1058,7 +1058,14 @@ def q_interaction_strength(spark, sf):
     return target.interaction_strength(co, "c_nationkey")
 
 
-@register("mi_bands")
+@register("mi_bands", f"""
+WITH m AS ({ORACLE['mutual_information']}),
+q AS (SELECT quantile_cont(mi, 0.8) AS hi, quantile_cont(mi, 0.2) AS lo, avg(CASE WHEN type = 'numeric' THEN mi END) AS mn,
+             avg(CASE WHEN type = 'categorical' THEN mi END) AS mc FROM m)
+SELECT feature, type, mi, CASE WHEN mi > hi THEN 'high' WHEN mi < lo THEN 'low' ELSE 'middle' END AS band,
+       round(mn / NULLIF(mc, 0), 4) AS numeric_to_categorical,
+       CASE WHEN mn / NULLIF(mc, 0) > 1.5 THEN 'numeric' WHEN mc / NULLIF(mn, 0) > 1.5 THEN 'categorical' END AS dominant_type
+FROM m, q""")
 def q_mi_bands(spark, sf):
     from tablescope.operators import target
     o = I.table(spark, sf, "orders").select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority")
@@ -1119,7 +1126,36 @@ def q_mixed_date_formats(spark, sf):
     return quality.mixed_date_formats(d, ["mixed_dates", "iso_dates"])
 
 
-@register("warnings_report")
+_DL_NUM = ["doc_id", "n_chars", "quality", "toxic"]
+
+
+def _warnings_sql() -> str:
+    """Missing, numeric, categorical and dataset warnings, one SELECT per column and rule."""
+    parts = [f"SELECT '{c}' AS \"column\", CASE WHEN p > 90 THEN 'critical_missing' ELSE 'high_missing' END AS warning, "
+             f"CASE WHEN p > 90 THEN 'high' ELSE 'medium' END AS severity, round(p, 4) AS value "
+             f"FROM (SELECT (count(*) - count({c})) * 100.0 / count(*) AS p FROM t) WHERE p > 50" for c in DL_COLS]
+    for c in _DL_NUM:
+        num = (f"(SELECT var_samp({c}) AS v, avg(pow({c} - (SELECT avg({c}) FROM t), 3)) / NULLIF(pow(var_pop({c}), 1.5), 0) AS sk, "
+               f"count_if({c} IN (-999, -99, 999999, -1)) AS ph, count_if({c} < (SELECT lo FROM b WHERE c = '{c}') "
+               f"OR {c} > (SELECT hi FROM b WHERE c = '{c}')) * 100.0 / count({c}) AS o FROM t)")
+        parts += [f"SELECT '{c}', '{w}', '{sev}', round({val}, 4) FROM {num} WHERE {cond}" for w, sev, val, cond in [
+            ("zero_variance", "medium", "v", "v < 1e-10"), ("many_outliers", "medium", "o", "o > 20"),
+            ("extreme_skewness", "medium", "abs(sk)", "abs(sk) > 3"), ("suspicious_values", "high", "ph", "ph > 0")]]
+    for c in ["text", "lang", "source"]:
+        cat = (f"(SELECT count(*) AS u, count(*) / sum(n) AS ur, max(n) * 100.0 / sum(n) AS dom FROM "
+               f"(SELECT count(*) AS n FROM t WHERE {c} IS NOT NULL GROUP BY {c}))")
+        parts += [f"SELECT '{c}', '{w}', '{sev}', round({val}, 4) FROM {cat} WHERE {cond}" for w, sev, val, cond in [
+            ("high_cardinality", "medium", "u", "ur > 0.8"), ("single_value_dominance", "medium", "dom", "dom > 95"),
+            ("potential_id_column", "low", "ur", "ur > 0.95")]]
+    parts += ["SELECT NULL, 'small_dataset', 'medium', count(*) FROM t HAVING count(*) < 100",
+              f"SELECT NULL, 'high_dimensionality', 'high', round({len(DL_COLS)} / count(*), 4) FROM t HAVING count(*) < {len(DL_COLS)}"]
+    return f"""
+WITH t AS {DL}, q AS ({_iqr_cte('t', _DL_NUM)}),
+b AS (SELECT c, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q), w AS ({U(parts)})
+SELECT "column", warning, severity, CAST(value AS DOUBLE) AS value FROM w"""
+
+
+@register("warnings_report", _warnings_sql())
 def q_warnings_report(spark, sf):
     from tablescope.operators import quality
     return quality.warnings_report(I.docs_labels(spark, sf))
@@ -1161,7 +1197,21 @@ def q_interaction_bands(spark, sf):
     return target.interaction_bands(target.interaction_strength(co, "c_nationkey"))
 
 
-@register("dataset_bands")
+_LI_NUM = I.LINEITEM_COLS[:8]
+
+
+@register("dataset_bands", f"""
+WITH a AS (SELECT count(*) AS r, round(({' + '.join(f'count({c})' for c in I.LINEITEM_COLS)}) * 100.0 / (count(*) * 11), 2) AS density,
+           {' + '.join(f'CASE WHEN count_if({c} IN (-999, -99, 999999, -1)) > 0 THEN 1 ELSE 0 END' for c in _LI_NUM)} AS high FROM lineitem),
+p AS ({U([f"SELECT corr({x}, {y}) AS r FROM lineitem" for x, y in _pairs(_LI_NUM)])}),
+k AS (SELECT count_if(abs(r) > 0.3) AS pairs FROM p)
+SELECT CAST(r AS BIGINT) AS "rows", density, CAST(high AS BIGINT) AS high_warnings, CAST(pairs AS BIGINT) AS related_pairs,
+       CASE WHEN pairs = 0 THEN 'none' WHEN pairs < 5 THEN 'few' WHEN pairs < 15 THEN 'many' ELSE 'very_many' END AS relationship_band,
+       CASE WHEN r < 100 THEN 'tiny' WHEN r < 1000 THEN 'small' WHEN r < 10000 THEN 'medium' WHEN r < 100000 THEN 'large'
+            ELSE 'very_large' END AS size_band,
+       CASE WHEN density >= 95 THEN 'excellent' WHEN density >= 85 THEN 'good' WHEN density >= 70 THEN 'fair' ELSE 'poor' END AS completeness_band,
+       CASE WHEN high = 0 THEN 'clean' WHEN high <= 3 THEN 'minor' WHEN high <= 6 THEN 'moderate' ELSE 'severe' END AS warning_band,
+       'numeric' AS dominant_type FROM a, k""")
 def q_dataset_bands(spark, sf):
     from tablescope.operators import findings
     return findings.dataset_bands(I.table(spark, sf, "lineitem"))
@@ -1590,7 +1640,62 @@ def q_mixed_interactions(spark, sf):
     return stat_tests.mixed_interactions(I.table(spark, sf, "events"), ["event_type"], ["value", "user_id"])
 
 
-@register("quality_score")
+@register("quality_score", f"""
+WITH t AS {DL},
+a AS (SELECT count(*) AS r, {' + '.join(f'count_if({c} IS NULL)' for c in DL_COLS)} AS mc,
+             {' + '.join(f'CASE WHEN coalesce(var_samp({c}) < 1e-6, false) THEN 1 ELSE 0 END' for c in _DL_NUM)} AS lv FROM t),
+d AS (SELECT coalesce(sum(n - 1), 0) AS dup FROM (SELECT count(*) AS n FROM t GROUP BY {', '.join(DL_COLS)})),
+s AS (SELECT greatest(0.0, 100 - mc * 100.0 / (r * {len(DL_COLS)}) * 2) AS c, greatest(0.0, 100 - dup * 100.0 / r * 5) AS k,
+             greatest(0.0, 100 - lv * 100.0 / {len(_DL_NUM)} * 10) AS u FROM a, d)
+SELECT round(c, 4) AS completeness, round(k, 4) AS consistency, round(u, 4) AS usefulness,
+       round(c * 0.4 + k * 0.3 + u * 0.3, 4) AS quality_score FROM s""")
 def q_quality_score(spark, sf):
     from tablescope.operators import scores
     return scores.quality_score(I.docs_labels(spark, sf))
+
+
+@register("correlation_flags", f"""
+WITH base AS {CO}, s AS (SELECT {', '.join(CO_NUM)} FROM base
+                        WHERE ({' + '.join(f'CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END' for c in CO_NUM)}) >= 2),
+p AS ({_pairs_cte(_FM, CO_NUM)}), o AS (SELECT avg(abs(r)) AS m, count_if(abs(r) > 0.8) AS k FROM p WHERE r IS NOT NULL)
+SELECT 'high_average' AS flag, round(m, 4) AS value FROM o WHERE m > 0.5
+UNION ALL SELECT 'collinear_pairs', k FROM o WHERE k > 0 UNION ALL SELECT 'severe_collinearity', k FROM o WHERE k > 5
+UNION ALL SELECT 'mostly_independent', round(m, 4) FROM o WHERE m < 0.2""")
+def q_correlation_flags(spark, sf):
+    from tablescope.operators import findings
+    return findings.correlation_flags(I.customer_orders(spark, sf).select(*CO_NUM))
+
+
+@register("target_flags_classes", """
+WITH c AS (SELECT count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality),
+s AS (SELECT count(*) AS k, max(n) / min(n) AS ratio FROM c)
+SELECT CASE WHEN k < 2 THEN 'single_class' WHEN ratio > 10 THEN 'severe_imbalance' WHEN ratio > 3 THEN 'moderate_imbalance'
+            ELSE 'balanced' END AS flag, CASE WHEN k >= 2 THEN round(ratio, 2) END AS value FROM s""")
+def q_target_flags_classes(spark, sf):
+    from tablescope.operators import findings
+    return findings.target_recommendation_flags(I.table(spark, sf, "labels"), "quality")
+
+
+@register("target_flags_regression", """
+WITH m AS (SELECT avg(o_totalprice) AS m FROM orders),
+a AS (SELECT count(o_totalprice) AS n, avg(o_totalprice) AS mean, stddev_samp(o_totalprice) AS sd,
+             avg(pow(o_totalprice - m.m, 3)) / pow(avg(pow(o_totalprice - m.m, 2)), 1.5) AS sk,
+             avg(pow(o_totalprice - m.m, 4)) / pow(avg(pow(o_totalprice - m.m, 2)), 2) - 3 AS ku FROM orders, m),
+b AS (SELECT *, n / 6.0 * (sk * sk + ku * ku / 4.0) AS jb FROM a)
+SELECT 'highly_skewed' AS flag, round(abs(sk), 4) AS value FROM b WHERE abs(sk) > 2
+UNION ALL SELECT 'moderately_skewed', round(abs(sk), 4) FROM b WHERE abs(sk) > 1 AND abs(sk) <= 2
+UNION ALL SELECT 'high_variance', round(sd, 4) FROM b WHERE sd > 2 * mean
+UNION ALL SELECT 'not_normal', round(jb, 4) FROM b WHERE exp(-jb / 2.0) <= 0.05
+UNION ALL SELECT 'suitable', round(abs(sk), 4) FROM b WHERE abs(sk) <= 1 AND sd <= 2 * mean AND exp(-jb / 2.0) > 0.05""")
+def q_target_flags_regression(spark, sf):
+    from tablescope.operators import findings
+    return findings.target_recommendation_flags(I.table(spark, sf, "orders"), "o_totalprice")
+
+
+@register("readiness", _OP_ORDERS + """
+s AS (SELECT cm, round(30 * least(k / 100.0, 1.0) + 20 * least(hc / 10.0, 1.0) + 25.0 * cm / k + 25.0 * rc / k, 4) AS cs FROM f)
+SELECT cs AS complexity_score, CASE WHEN cs > 70 THEN 'High' WHEN cs < 30 THEN 'Low' ELSE 'Medium' END AS complexity,
+       CAST(CASE WHEN cm > 0 THEN 1 ELSE 0 END AS BIGINT) AS issues, CASE WHEN cm > 0 THEN 'minor' ELSE 'ready' END AS readiness FROM s""")
+def q_readiness(spark, sf):
+    from tablescope.operators import findings
+    return findings.readiness(I.table(spark, sf, "orders"))
