@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import as_double, col, nan_to_null, pct, r4, with_scalars
 from tablescope.operators.clean import filter_top_categories, sample_n
-from tablescope.operators.histogram import numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles
+from tablescope.operators.histogram import (
+    exact_quantiles, numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles,
+)
 
 
 def _bin_expr(x, lo, hi, bins: int):
@@ -118,21 +120,33 @@ def mean_target_by_category(df: DataFrame, column: str, target: str, k: int = 15
         F.count(F.lit(1)).cast("long").alias("n"), r4(F.avg(as_double(df, target))).alias("mean_target"))
 
 
-_AGGS = {"mean": F.avg, "sum": F.sum, "count": F.count, "median": F.median}
+_AGGS = {"mean": F.avg, "sum": F.sum, "count": F.count}
+
+
+def _aggregate(df: DataFrame, keys: dict[str, str], value: str, agg: str) -> DataFrame:
+    """mean / sum / count / exact median of ``value`` per group; null keys are a group of their own.
+
+    Medians come from ranks over range buckets of the distinct values, so no task holds a group."""
+    df = nan_to_null(df)
+    if agg != "median":
+        return df.groupBy(*[col(c).cast("string").alias(n) for n, c in keys.items()]).agg(
+            r4(_AGGS[agg](as_double(df, value))).alias(agg))
+    # the mark keeps a null key apart and joinable
+    marked = df.select(*[F.coalesce(F.concat(F.lit("="), col(c).cast("string")), F.lit("")).alias(n) for n, c in keys.items()],
+                       as_double(df, value).alias("__value"))
+    medians = exact_quantiles(marked, ["__value"], [0.5], keys=list(keys)).select(*keys, "q")
+    return marked.select(*keys).distinct().join(medians, list(keys), "left").select(
+        *[F.when(F.col(n) != "", F.expr(f"substring({n}, 2)")).alias(n) for n in keys], r4(F.col("q")).alias(agg))
 
 
 def bar_aggregate(df: DataFrame, column: str, value: str, agg: str = "mean") -> DataFrame:
     """mean / sum / count / median of value by category."""
-    f = _AGGS[agg]
-    return nan_to_null(df).groupBy(col(column).cast("string").alias("category")).agg(
-        r4(f(as_double(df, value))).alias(agg))
+    return _aggregate(df, {"category": column}, value, agg)
 
 
 def pivot_heatmap(df: DataFrame, x: str, y: str, value: str, agg: str = "mean") -> DataFrame:
     """Tall (x, y, aggregated value) cells of a heatmap."""
-    f = _AGGS[agg]
-    return nan_to_null(df).groupBy(col(x).cast("string").alias("x"), col(y).cast("string").alias("y")).agg(
-        r4(f(as_double(df, value))).alias(agg))
+    return _aggregate(df, {"x": x, "y": y}, value, agg)
 
 
 def density_2d(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:

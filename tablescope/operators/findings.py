@@ -135,11 +135,15 @@ def findings(df: DataFrame, target: str | None = None) -> DataFrame:
 def key_findings(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
     """Key findings by priority (the top k if asked for), plus a summary row (priority 5) when any needs action."""
     f = findings(df, target).where(F.col("rule_set") == "key")
-    top = head(f.orderBy(F.desc("priority"), "rule"), k)
-    summary = f.agg(F.count_if("action_needed").alias("_a")).where(F.col("_a") > 0).select(
-        F.lit("key").alias("rule_set"), F.lit("summary").alias("rule"), F.lit("summary").alias("category"),
-        F.lit("medium").alias("severity"), F.lit(5).cast("long").alias("priority"), F.lit(True).alias("action_needed"))
-    return top.unionByName(summary)
+    # at most one entry per rule: gathered in one row, so that the dataset is profiled once
+    entry = F.struct((-F.col("priority")).alias("rank"), "rule", "rule_set", "category", "severity", "priority", "action_needed")
+    one = f.agg(F.array_sort(F.collect_list(entry)).alias("top"), F.count_if("action_needed").alias("to_do"))
+    summary = F.struct(F.lit(0).cast("long").alias("rank"), F.lit("summary").alias("rule"), F.lit("key").alias("rule_set"),
+                       F.lit("summary").alias("category"), F.lit("medium").alias("severity"),
+                       F.lit(5).cast("long").alias("priority"), F.lit(True).alias("action_needed"))
+    top = F.col("top") if k is None else F.slice("top", 1, k)
+    last = F.when(F.col("to_do") > 0, F.array(summary)).otherwise(F.slice("top", 1, 0))
+    return one.select(F.inline(F.concat(top, last))).select("rule_set", "rule", "category", "severity", "priority", "action_needed")
 
 
 def action_items(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:

@@ -125,9 +125,8 @@ def pca(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = None,
     the first three components) and ``projection`` (rows with pc1..pck)."""
     fm, feats = feature_frame(df, cols, target)
     k = min(k or len(feats), len(feats))
-    scaled = scale(fm, feats, scaling)
-    vec = _assemble(scaled, feats).cache()
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(vec)
+    vec = _assemble(scale(fm, feats, scaling), feats)
+    model = _fit(PCA(k=k, inputCol="features", outputCol="pcs"), vec)
     spark = df.sparkSession
     ev = [float(x) for x in model.explainedVariance.toArray()]
     pc = model.pc.toArray()  # p x k, bounded by the number of features
@@ -154,64 +153,96 @@ def pca(df: DataFrame, cols: Sequence[str] | None = None, k: int | None = None,
     return {"variance": variance, "loadings": loadings, "summary": summary, "projection": projection}
 
 
-def segmentation_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
-                          k: int = 3, scaling: str = "standard", seed: int = 42):
-    """impute (mean / mode) -> one-hot -> scale -> KMeans.  Returns (model, scaled frame with
-    ``features`` and ``cluster``, feature names, scale statistics)."""
-    from tablescope.operators.clean import impute_mean_mode
-    base = impute_mean_mode(df, numeric, categorical)
-    enc, hot = _one_hot(base, categorical)
+def _features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scaling: str = "standard",
+              encoding: str = "one_hot", missing: str = "impute") -> tuple[DataFrame, DataFrame, list[str]]:
+    """The frame with ``features`` (scaled), the encoded frame before scaling, and the feature names.
+
+    missing: "impute" (mean / mode) or "drop" (rows with a gap in any used column go);
+    encoding: "one_hot" or "label"; scaling: "standard", "minmax" or "robust".
+    """
+    from tablescope.operators.clean import drop_missing, impute_mean_mode
+    if missing == "impute":
+        base = impute_mean_mode(df, numeric, categorical)
+    elif missing == "drop":
+        base = drop_missing(df, [*numeric, *categorical])
+    else:
+        raise ValueError(f"unknown treatment of missing values {missing!r}")
+    if encoding == "one_hot":
+        enc, coded = _one_hot(base, categorical)
+    elif encoding == "label":
+        enc, coded = label_encode(base, categorical), list(categorical)
+    else:
+        raise ValueError(f"unknown encoding {encoding!r}")
     filled = base.agg(*[F.count(col(c)).alias(c) for c in numeric]).first() if numeric else {}
     # a feature without any value says nothing and cannot be imputed: it is left out, its rows stay
-    feats = [c for c in numeric if filled[c] > 0] + hot
+    feats = [c for c in numeric if filled[c] > 0] + coded
     scaled = scale(enc, feats, scaling, suffix="__s")
-    vec = _assemble(scaled, [f"{c}__s" for c in feats]).cache()
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    out = model.transform(vec)
-    return model, out, feats, enc
+    return _assemble(scaled, [f"{c}__s" for c in feats]), enc, feats
+
+
+def _fit(estimator, vec: DataFrame):
+    """Fit on the features alone, held while the estimator runs and released afterwards."""
+    train = vec.select("features").cache()
+    try:
+        return estimator.fit(train)
+    finally:
+        train.unpersist()
+
+
+def segmentation_pipeline(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (),
+                          k: int = 3, seed: int = 42, **options: str):
+    """Missing values -> encoding -> scaling -> KMeans, with the ``options`` of ``_features``.
+
+    Returns (model, frame with ``features`` and ``cluster``, feature names, encoded frame)."""
+    vec, enc, feats = _features(df, numeric, categorical, **options)
+    model = _fit(KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"), vec)
+    return model, model.transform(vec), feats, enc
 
 
 def kmeans(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 3,
-           seed: int = 42) -> DataFrame:
-    """Input rows (after imputation) with their ``cluster`` label."""
-    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed=seed)
+           seed: int = 42, **options: str) -> DataFrame:
+    """Input rows (imputed, or without gaps) with their ``cluster`` label; options: scaling, encoding, missing."""
+    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed, **options)
     return out.drop("features", *[c for c in out.columns if c.endswith("__s")])
 
 
 def elbow(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), ks: Sequence[int] = range(2, 11),
-          seed: int = 42) -> DataFrame:
-    """Inertia (within-cluster sum of squares) for each k on one cached feature frame."""
-    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, 2, seed=seed)
-    vec = out.select("features").cache()
-    rows = []
-    for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="features").fit(vec)
-        rows.append((int(k), float(m.summary.trainingCost)))
+          seed: int = 42, **options: str) -> DataFrame:
+    """Inertia (within-cluster sum of squares) for each k on one feature frame, held for the sweep only."""
+    vec = _features(df, numeric, categorical, **options)[0].select("features").cache()
+    rows = [(int(k), float(KMeans(k=k, seed=seed, featuresCol="features").fit(vec).summary.trainingCost)) for k in ks]
+    vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
 def silhouette(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 3,
-               seed: int = 42) -> DataFrame:
+               seed: int = 42, **options: str) -> DataFrame:
     """Mean silhouette of the KMeans labels (squared Euclidean, ``ClusteringEvaluator``)."""
-    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed=seed)
+    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed, **options)
     s = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette").evaluate(out)
     return df.sparkSession.createDataFrame([(k, float(s))], "k int, silhouette double")
 
 
 def cluster_summary(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 3,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, **options: str) -> DataFrame:
     """Cluster size and mean of each numeric feature (original units) per cluster."""
-    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed=seed)
+    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed, **options)
     return out.groupBy("cluster").agg(F.count(F.lit(1)).cast("long").alias("n"),
                                       *[r4(F.avg(col(c))).alias(c) for c in numeric])
 
 
 def cluster_centers(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 3,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, scaling: str = "standard", **options: str) -> DataFrame:
     """KMeans centres mapped back to original units (one row per cluster, k rows)."""
-    model, out, feats, enc = segmentation_pipeline(df, numeric, categorical, k, seed=seed)
-    st = tall_agg(enc, feats, lambda c: {"m": F.avg(col(c)), "s": F.stddev_pop(col(c))}, ["m", "s"]).collect()
-    ms = {r["column"]: (r["m"], r["s"] or 0.0) for r in st}
+    model, _, feats, enc = segmentation_pipeline(df, numeric, categorical, k, seed, scaling=scaling, **options)
+    if scaling == "robust":
+        st = wide_quantiles(exact_quantiles(enc, feats, [0.25, 0.5, 0.75]), ["column"], {0.25: "a", 0.5: "m", 0.75: "c"})
+        st = st.select("column", "m", (F.col("c") - F.col("a")).alias("s"))
+    elif scaling == "minmax":
+        st = tall_agg(enc, feats, lambda c: {"m": F.min(col(c)), "s": F.max(col(c)) - F.min(col(c))}, ["m", "s"])
+    else:
+        st = tall_agg(enc, feats, lambda c: {"m": F.avg(col(c)), "s": F.stddev_pop(col(c))}, ["m", "s"])
+    ms = {r["column"]: (r["m"], r["s"] or 0.0) for r in st.collect()}  # one row per feature
     rows = []
     for j, center in enumerate(model.clusterCenters()):
         rows.append((j, *[float(center[i] * ms[f][1] + ms[f][0]) for i, f in enumerate(feats)]))
@@ -220,10 +251,13 @@ def cluster_centers(df: DataFrame, numeric: Sequence[str], categorical: Sequence
 
 
 def cluster_projection(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), k: int = 3,
-                       seed: int = 42) -> DataFrame:
-    """PC1, PC2 of the scaled features with each row's cluster and the variance explained."""
-    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed=seed)
-    p = PCA(k=2, inputCol="features", outputCol="pcs").fit(out)
+                       seed: int = 42, **options: str) -> DataFrame:
+    """PC1, PC2 of the scaled features (largest loading positive) with each row's cluster and the
+    variance explained."""
+    _, out, _, _ = segmentation_pipeline(df, numeric, categorical, k, seed, **options)
+    p = _fit(PCA(k=2, inputCol="features", outputCol="pcs"), out)
     ev = [float(x) for x in p.explainedVariance.toArray()]
-    return p.transform(out).select(vector_to_array("pcs")[0].alias("pc1"), vector_to_array("pcs")[1].alias("pc2"),
+    pc = p.pc.toArray()
+    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
+    return p.transform(out).select(*[(vector_to_array("pcs")[j] * signs[j]).alias(f"pc{j + 1}") for j in range(2)],
                                    "cluster", F.lit(ev[0]).alias("pc1_variance"), F.lit(ev[1]).alias("pc2_variance"))

@@ -1242,12 +1242,15 @@ def q_complexity_score(spark, sf):
     return findings.complexity_score(I.table(spark, sf, "orders"))
 
 
-@register("investment_priority", _OP_ORDERS + """
+_PRIORITY_ORDERS = _OP_ORDERS + """
 g AS (SELECT f.*, w.many, ph.high, round(nn * 100.0 / (r * k), 2) AS density, round((r * k - nn) * 100.0 / (r * k), 2) AS miss,
              (CASE WHEN d1 > 0.5 * n1 THEN 1 ELSE 0 END) / 1.0 AS heavy FROM f, w, ph),
 p AS (SELECT *, round((least(miss / 50.0, 1.0) + heavy + least(many / 3.0, 1.0) + least(high / 10.0, 1.0)) / 4.0, 4) AS pc,
              CASE WHEN r >= 10000 THEN 1.0 WHEN r >= 1000 THEN 0.8 WHEN r >= 100 THEN 0.5 ELSE 0.2 END AS sf FROM g),
-z AS (SELECT *, (density / 100 + sf + 0.6 + (1 - pc) + 1.0) / 5.0 AS score FROM p)
+z AS (SELECT *, (density / 100 + sf + 0.6 + (1 - pc) + 1.0) / 5.0 AS score FROM p)"""
+
+
+@register("investment_priority", _PRIORITY_ORDERS + """
 SELECT density, CAST(sf AS DOUBLE) AS size_factor, CAST(0.6 AS DOUBLE) AS width_factor, pc AS processing_complexity,
        CAST(1.0 AS DOUBLE) AS target_factor, round(score, 4) AS investment_priority,
        CASE WHEN score >= 0.8 THEN 'very_high' WHEN score >= 0.6 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS priority_band
@@ -1257,6 +1260,69 @@ def q_investment_priority(spark, sf):
     return findings.investment_priority(I.table(spark, sf, "orders"), target="o_orderpriority")
 
 
+def _findings_orders_sql() -> str:
+    """Every rule over orders with a target: three numeric columns, one categorical, one date."""
+    rules = [
+        ("structure", "data_quality", "high", [("high_missing_columns", 8, True, "half > 0")]),
+        ("structure", "feature_engineering", "medium", [("high_cardinality", 6, True, "hc > 0")]),
+        ("structure", "dimensionality", "high", [("wide_table", 8, True, "k > 0.1 * r AND k > 10")]),
+        ("structure", "analysis_strategy", "high", [("complex_dataset", 7, True, "cs > 70")]),
+        ("preprocessing", "missing_values", "high", [("missing_values", 8, True, "half > 0")]),
+        ("preprocessing", "encoding", "medium", [("encoding", 5, True, "heavy > 0")]),
+        ("preprocessing", "scaling", "medium", [("scaling", 4, False, "3 > 1")]),
+        ("preprocessing", "outliers", "medium", [("outliers", 6, True, "many > 0")]),
+        ("feature_engineering", "datetime_features", "medium", [("datetime_features", 5, False, "1 > 0")]),
+        ("modelling", "small_dataset", "high", [("small_dataset", 8, True, "r < 1000")]),
+        ("modelling", "large_dataset", "medium", [("large_dataset", 5, False, "r > 100000")]),
+        ("modelling", "dimensionality", "high", [("more_features_than_rows", 9, True, "k > r")]),
+        ("data_collection", "completeness", "high", [("incomplete", 8, True, "miss > 20")]),
+        ("data_collection", "sample_size", "high", [("too_few_rows", 8, True, "r < 100")]),
+        ("data_collection", "sample_size", "medium", [("few_rows", 6, True, "r BETWEEN 100 AND 999")]),
+        ("business", "data_richness", "high", [("density_high", 5, False, "density > 90")]),
+        ("business", "data_richness", "medium", [("density_medium", 5, False, "density > 70 AND density <= 90")]),
+        ("business", "data_richness", "low", [("density_low", 7, True, "density <= 70")]),
+        ("business", "volume", "high", [("volume_high", 5, False, "r > 10000")]),
+        ("business", "volume", "low", [("volume_low", 7, True, "r < 100")]),
+        ("business", "complexity", "high", [("complexity_high", 6, True, "pc > 0.7")]),
+        ("business", "complexity", "low", [("complexity_low", 4, False, "pc < 0.3")]),
+        ("business", "opportunity", "medium", [("temporal", 4, False, "1 > 0")]),
+        ("business", "risk", "high", [("quality_risk", 8, True, "high > 3")]),
+        ("business", "risk", "medium", [("sample_risk", 6, True, "r < 1000")]),
+        ("business", "quick_wins", "low", [("quick_win", 5, False, "density > 85 AND pc < 0.4")]),
+        ("business", "strategic_value", "high", [("strategic", 5, False, "r > 10000 AND k > 10")]),
+        ("key", "data_quality", "high", [("low_density", 10, True, "density < 70")]),
+        ("key", "data_quality", "low", [("excellent_density", 7, False, "density > 95")]),
+        ("key", "dataset_size", "high", [("tiny_dataset", 8, True, "r < 100")]),
+        ("key", "dataset_size", "low", [("large_dataset", 5, False, "r > 10000")]),
+        ("key", "dimensionality", "high", [("features_exceed_rows", 9, True, "k > r")]),
+        ("key", "missing_data", "high", [("half_missing_columns", 8, True, "half > 0")]),
+        ("key", "warnings", "high", [("many_high_warnings", 10, True, "high > 5")]),
+        ("key", "warnings", "medium", [("some_high_warnings", 7, True, "high BETWEEN 1 AND 5")]),
+        ("key", "business_value", "low", [("high_value", 6, False, "score > 0.8")]),
+        ("key", "business_value", "high", [("low_value", 8, True, "score < 0.4")]),
+        ("key", "target", "medium", [("target_present", 6, False, "true")]),
+        ("quality", "missing", "high", [("missing_rate", 8, True, "miss > 20")]),
+        ("quality", "duplicates", "medium", [("duplicates", 6, True, "dup > 5")]),
+    ]
+    return _PRIORITY_ORDERS + f""",
+s AS (SELECT round(30 * least(k / 100.0, 1.0) + 20 * least(hc / 10.0, 1.0) + 25.0 * cm / k + 25.0 * rc / k, 4) AS cs FROM f),
+h AS (SELECT {' + '.join(f'CASE WHEN 2 * count({c}) < count(*) THEN 1 ELSE 0 END' for c, _ in ORDERS_COLS)} AS half FROM orders),
+u AS (SELECT round(((SELECT count(*) FROM orders) - count(*)) * 100.0 / (SELECT count(*) FROM orders), 2) AS dup FROM (SELECT DISTINCT * FROM orders)),
+e AS (SELECT * FROM z, s, h, u), fs AS ({U([f"SELECT '{rs}' AS rule_set, '{name}' AS rule, '{cat}' AS category, '{sev}' AS severity, "
+                                             f"CAST({pri} AS BIGINT) AS priority, {str(act).lower()} AS action_needed FROM e WHERE {cond}"
+                                             for rs, cat, sev, entries in rules for name, pri, act, cond in entries])})"""
+
+
+ORACLE["findings"] = _findings_orders_sql() + " SELECT * FROM fs"
+
+
+@register("key_findings_orders", _findings_orders_sql() + """ SELECT * FROM fs WHERE rule_set = 'key'
+UNION ALL SELECT 'key', 'summary', 'summary', 'medium', 5, true FROM fs WHERE rule_set = 'key' AND action_needed HAVING count(*) > 0""")
+def q_key_findings_orders(spark, sf):
+    from tablescope.operators import findings
+    return findings.key_findings(I.table(spark, sf, "orders"), target="o_orderpriority")
+
+
 # --------------------------------------------------------------------------- cleaning
 
 @register("impute_median", f"""
@@ -1482,6 +1548,52 @@ def q_cluster_projection(spark, sf):
     return segment.cluster_projection(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
 
 
+_TOT = ", ".join(f"round(avg({c}), 2) AS {c}" for c in _SEG_NUM)
+
+
+def _cluster_totals(spark, sf, **options):
+    """Rows, clusters and row-weighted means over the clusters: they must be those of the whole input."""
+    from pyspark.sql import functions as F
+    from tablescope.operators import segment
+    s = segment.cluster_summary(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3, **options)
+    return s.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("clusters"),
+                 *[(F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n") * 100) / 100).alias(c) for c in _SEG_NUM])
+
+
+@register("cluster_totals", f"SELECT count(*) AS n, CAST(3 AS BIGINT) AS clusters, {_TOT} FROM {CO}")
+def q_cluster_totals(spark, sf):
+    return _cluster_totals(spark, sf)
+
+
+@register("cluster_totals_dropped", f"""SELECT count(*) AS n, CAST(3 AS BIGINT) AS clusters, {_TOT} FROM {CO}
+WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*_SEG_NUM, 'c_mktsegment'])}""")
+def q_cluster_totals_dropped(spark, sf):
+    return _cluster_totals(spark, sf, missing="drop", encoding="label", scaling="minmax")
+
+
+@register("pca_two_features", """
+WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS explained_variance_ratio, round((1 + r) / 2, 6) AS cumulative FROM r
+UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0 FROM r""")
+def q_pca_two_features(spark, sf):
+    from pyspark.sql import functions as F
+    from tablescope.operators import segment
+    v = segment.pca(I.table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])["variance"]
+    return v.select("component", *[(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ["explained_variance_ratio", "cumulative"]])
+
+
+@register("category_codes", """
+SELECT c_custkey, c_mktsegment, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment_code FROM customer""")
+def q_category_codes(spark, sf):
+    from tablescope.operators import segment
+    return segment.category_codes(I.table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment")
+
+
+@register("select_types", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def q_select_types(spark, sf):
+    return types.select_types(I.table(spark, sf, "orders"), "numeric")
+
+
 # --------------------------------------------------------------------------- chart data
 
 def _bin_sql(x: str, lo: str, hi: str, bins: int) -> str:
@@ -1566,6 +1678,13 @@ def q_pivot_heatmap(spark, sf):
     return charts.pivot_heatmap(I.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice")
 
 
+@register("pivot_heatmap_median", """
+SELECT l_returnflag AS x, l_linestatus AS y, round(median(l_extendedprice), 4) AS median FROM lineitem GROUP BY 1, 2""")
+def q_pivot_heatmap_median(spark, sf):
+    from tablescope.operators import charts
+    return charts.pivot_heatmap(I.table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus", "l_extendedprice", "median")
+
+
 @register("density_2d", f"""
 WITH m AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(l_discount) AS yl, max(l_discount) AS yh FROM lineitem)
 SELECT {_bin_sql('l_quantity', 'xl', 'xh', 20)} AS xbin, {_bin_sql('l_discount', 'yl', 'yh', 20)} AS ybin,

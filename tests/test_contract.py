@@ -88,3 +88,33 @@ def test_strong_pairs_are_not_cut(spark):
     from tablescope.operators import assoc
     df = spark.range(50).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(8)])
     assert assoc.corr_strong(df).count() == 28 and assoc.corr_strong(df, k=3).count() == 3
+
+
+def test_segmentation_options(spark):
+    from tablescope.operators import segment
+    rows = [(float(i % 7), float(i), "ab"[i % 2]) for i in range(30)] + [(None, 1.0, "a"), (2.0, 3.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, g string")
+    assert segment.kmeans(df, ["x", "y"], ["g"], k=2).count() == 32
+    for scaling in ("standard", "minmax", "robust"):
+        out = segment.kmeans(df, ["x", "y"], ["g"], k=2, missing="drop", encoding="label", scaling=scaling)
+        assert out.count() == 30 and {r.g for r in out.select("g").distinct().collect()} == {0.0, 1.0}
+        centers = segment.cluster_centers(df, ["x", "y"], [], k=1 + 1, missing="drop", scaling=scaling).collect()
+        assert all(0 <= r.x <= 6 and 0 <= r.y <= 29 for r in centers)
+    with pytest.raises(ValueError):
+        segment.kmeans(df, ["x"], missing="guess")
+
+
+def test_segmentation_releases_its_cache(spark):
+    from tablescope.operators import segment
+    df = spark.createDataFrame([(float(i % 5), float(i)) for i in range(20)], "x double, y double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    segment.elbow(df, ["x", "y"], ks=[2, 3]).count()
+    segment.pca(df, ["x", "y"])["variance"].count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_medians_of_groups_with_nulls(spark):
+    from tablescope.operators import charts
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), (None, 3.0), ("b", None), ("", 9.0)], "g string, x double")
+    got = {r.category: r["median"] for r in charts.bar_aggregate(df, "g", "x", "median").collect()}
+    assert got == {"a": 2.5, None: 3.0, "b": None, "": 9.0}
