@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import (
@@ -124,74 +124,67 @@ def warnings_report(df: DataFrame) -> DataFrame:
     rules, ordered high -> low."""
     from tablescope.operators.profile import missing_counts
     df = nan_to_null(df)
-    parts = []
-    mc = missing_counts(df).withColumn("p", F.col("missing_count") * 100.0 / F.col("rows"))
-    parts.append(mc.where(F.col("p") > 50).select(
-        "column", F.when(F.col("p") > 90, "critical_missing").otherwise("high_missing").alias("warning"),
-        F.when(F.col("p") > 90, "high").otherwise("medium").alias("severity"), r4(F.col("p")).alias("value")))
-    nums = [c for c in df.columns if is_numeric(df.schema[c].dataType)]
+    c = F.col
+    mc = missing_counts(df).withColumn("p", c("missing_count") * 100.0 / c("rows"))
+    parts = [_warned(mc, [("critical_missing", "high", c("p"), c("p") > 90),
+                          ("high_missing", "medium", c("p"), (c("p") > 50) & (c("p") <= 90))])]
+    nums = [n for n in df.columns if is_numeric(df.schema[n].dataType)]
     if nums:
-        ns = _numeric_stats(df, nums)
-        parts += [
-            ns.where(F.col("variance") < 1e-10).select("column", F.lit("zero_variance").alias("warning"),
-                                                      F.lit("medium").alias("severity"), r4(F.col("variance")).alias("value")),
-            ns.where(F.col("outlier_pct") > 20).select("column", F.lit("many_outliers").alias("warning"),
-                                                      F.lit("medium").alias("severity"), r4(F.col("outlier_pct")).alias("value")),
-            ns.where(F.abs("skewness") > 3).select("column", F.lit("extreme_skewness").alias("warning"),
-                                                  F.lit("medium").alias("severity"), r4(F.abs("skewness")).alias("value")),
-            ns.where(F.col("placeholders") > 0).select("column", F.lit("suspicious_values").alias("warning"),
-                                                      F.lit("high").alias("severity"),
-                                                      F.col("placeholders").cast("double").alias("value"))]
-    strs = [c for c in df.columns if is_string(df.schema[c].dataType)]
+        parts.append(_warned(_numeric_stats(df, nums), [
+            ("zero_variance", "medium", c("variance"), c("variance") < 1e-10),
+            ("many_outliers", "medium", c("outlier_pct"), c("outlier_pct") > 20),
+            ("extreme_skewness", "medium", F.abs("skewness"), F.abs("skewness") > 3),
+            ("suspicious_values", "high", c("placeholders"), c("placeholders") > 0)]))
+    strs = [n for n in df.columns if is_string(df.schema[n].dataType)]
     if strs:
-        cp = _categorical_stats(df, strs)
-        parts += [
-            cp.where(F.col("unique_ratio") > 0.8).select("column", F.lit("high_cardinality").alias("warning"),
-                                                        F.lit("medium").alias("severity"), F.col("unique_values").cast("double").alias("value")),
-            cp.where(F.col("dominant_pct") > 95).select("column", F.lit("single_value_dominance").alias("warning"),
-                                                       F.lit("medium").alias("severity"), r4(F.col("dominant_pct")).alias("value")),
-            cp.where(F.col("unique_ratio") > 0.95).select("column", F.lit("potential_id_column").alias("warning"),
-                                                         F.lit("low").alias("severity"), r4(F.col("unique_ratio")).alias("value"))]
-    k = len(df.columns)
-    n = df.agg(F.count(F.lit(1)).alias("rows"))
-    parts += [n.where(F.col("rows") < 100).select(F.lit(None).cast("string").alias("column"),
-                                                  F.lit("small_dataset").alias("warning"), F.lit("medium").alias("severity"),
-                                                  F.col("rows").cast("double").alias("value")),
-              n.where(F.lit(k) > F.col("rows")).select(F.lit(None).cast("string").alias("column"),
-                                                       F.lit("high_dimensionality").alias("warning"),
-                                                       F.lit("high").alias("severity"),
-                                                       r4(F.try_divide(F.lit(float(k)), F.col("rows"))).alias("value"))]
+        parts.append(_warned(_categorical_stats(df, strs), [
+            ("high_cardinality", "medium", c("unique_values"), c("unique_ratio") > 0.8),
+            ("single_value_dominance", "medium", c("dominant_pct"), c("dominant_pct") > 95),
+            ("potential_id_column", "low", c("unique_ratio"), c("unique_ratio") > 0.95)]))
+    k = float(len(df.columns))
+    n = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(None).cast("string").alias("column"), "rows")
+    parts.append(_warned(n, [("small_dataset", "medium", c("rows"), c("rows") < 100),
+                             ("high_dimensionality", "high", F.try_divide(F.lit(k), c("rows")), F.lit(k) > c("rows"))]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.orderBy(F.desc(severity_rank(F.col("severity"))), "warning", "column")
 
 
+def _warned(stats: DataFrame, rules: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+    """(column, warning, severity, value) of the rules (warning, severity, value, condition) that hold
+    on a row; the statistics are read once for all rules."""
+    each = [F.struct(F.lit(w).alias("warning"), F.lit(sev).alias("severity"), r4(v.cast("double")).alias("value"),
+                     hit.alias("hit")) for w, sev, v, hit in rules]
+    return stats.select("column", F.inline(F.array(*each))).where("hit").drop("hit")
+
+
 def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row that the scores, bands and findings read: size, type counts, density,
     missing / duplicate rates, high-cardinality and warning counts."""
     from tablescope.operators.profile import duplicate_rows
-    from tablescope.operators.types import schema_types, structure_flags
+    from tablescope.operators.types import many_categories, typed_columns, usable_categorical
     df = nan_to_null(df)
     k = len(df.columns)
-    st = schema_types(df, target)
+    feature = F.lit(True) if target is None else F.col("column") != target
     many = F.col("n_distinct") > 0.5 * F.col("non_null")
-    tc = st.agg(F.count_if((F.col("semantic_type") == "categorical") & many).cast("long").alias("many_valued_categorical"),
-                *[F.count_if(F.col("semantic_type") == t).cast("long").alias(f"n_{t}")
-                  for t in ["numeric", "categorical", "datetime", "boolean"]])
+    # the target counts as a column in the structure figures, as in the original tool's structure analysis
+    tc = typed_columns(df).agg(
+        F.count_if(feature & (F.col("semantic_type") == "categorical") & many).cast("long").alias("many_valued_categorical"),
+        *[F.count_if(feature & (F.col("semantic_type") == t)).cast("long").alias(f"n_{t}")
+          for t in ["numeric", "categorical", "datetime", "boolean"]],
+        F.count_if(many_categories()).cast("long").alias("high_cardinality_columns"),
+        F.count_if(usable_categorical()).cast("long").alias("n_robust_categorical"))
     miss = df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
                   sum([F.count_if(col(c).isNull()) for c in df.columns], F.lit(0)).cast("long").alias("missing_cells"),
                   sum([F.when(F.count_if(col(c).isNull()) > 0, 1).otherwise(0) for c in df.columns], F.lit(0))
                   .cast("long").alias("columns_with_missing"),
                   sum([F.when(F.count_if(col(c).isNull()) * 2 > F.count(F.lit(1)), 1).otherwise(0)
                        for c in df.columns], F.lit(0)).cast("long").alias("columns_over_half_missing"))
-    # the target counts as a column here, as in the reference's structure analysis
-    sf = structure_flags(df).agg(F.count_if("high_cardinality").cast("long").alias("high_cardinality_columns"),
-                                 F.count_if("categorical").cast("long").alias("n_robust_categorical"))
     dup = duplicate_rows(df).select("duplicate_rows")
     w = warnings_report(df).agg(F.count_if(F.col("severity") == "high").cast("long").alias("high_warnings"),
                                 F.count_if(F.col("warning") == "many_outliers").cast("long").alias("outlier_warnings"))
-    t = with_scalars(with_scalars(with_scalars(with_scalars(miss, tc), sf), dup), w)
+    t = with_scalars(with_scalars(with_scalars(miss, tc), dup), w)
     cells = F.col("rows") * k
     return t.select(
         "rows", F.lit(k).cast("long").alias("columns"), "n_numeric", "n_categorical", "n_datetime", "n_boolean",

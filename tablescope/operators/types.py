@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,8 +70,19 @@ def distinct_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
         F.min(strip("value")).alias("lo"), F.max(strip("value")).alias("hi"))
 
 
-def schema_types(df: DataFrame, target: str | None = None) -> DataFrame:
-    """(column, position, data_type, semantic_type, non_null, n_distinct) per column."""
+def usable_categorical() -> Column:
+    """Of a row of column statistics: text or boolean, with two values or more but at most half as many as rows."""
+    return F.col("kind").isin("string", "boolean") & (F.col("n_distinct") >= 2) & (
+        F.col("n_distinct") <= 0.5 * F.col("non_null"))
+
+
+def many_categories() -> Column:
+    """Of a row of column statistics: a usable categorical column of high cardinality."""
+    return usable_categorical() & (F.col("n_distinct") > F.least(F.lit(50.0), F.col("rows") * 0.05))
+
+
+def typed_columns(df: DataFrame) -> DataFrame:
+    """The column statistics with n_distinct and semantic_type, one row per column."""
     stats = column_stats(df)
     dist = distinct_stats(df)
     t = stats.join(F.broadcast(dist), "column", "left").fillna(0, ["n_distinct"])  # one row per column
@@ -88,8 +99,12 @@ def schema_types(df: DataFrame, target: str | None = None) -> DataFrame:
            .when(F.col("kind") == "numeric", "numeric")
            .when((F.col("kind") == "string") & (F.col("numeric_ok") == F.col("non_null")), "numeric")
            .otherwise("categorical"))
-    out = t.select("column", "position", "data_type", sem.alias("semantic_type"),
-                   "non_null", "n_distinct", "rows")
+    return t.withColumn("semantic_type", sem)
+
+
+def schema_types(df: DataFrame, target: str | None = None) -> DataFrame:
+    """(column, position, data_type, semantic_type, non_null, n_distinct) per column."""
+    out = typed_columns(df).select("column", "position", "data_type", "semantic_type", "non_null", "n_distinct", "rows")
     if target is not None:
         out = out.where(F.col("column") != target)
     return out.orderBy("position")
@@ -245,12 +260,10 @@ def structure_flags(df: DataFrame, target: str | None = None) -> DataFrame:
     else:
         st = st.withColumn("variance", F.lit(None).cast("double"))
     missing_pct = (F.col("rows") - F.col("non_null")) * 100.0 / F.col("rows")
-    categorical = F.col("kind").isin("string", "boolean") & (F.col("n_distinct") >= 2) & (
-        F.col("n_distinct") <= 0.5 * F.col("non_null"))
     return st.select(
         "column", "position", "n_distinct",
-        categorical.alias("categorical"),
-        (categorical & (F.col("n_distinct") > F.least(F.lit(50.0), F.col("rows") * 0.05))).alias("high_cardinality"),
+        usable_categorical().alias("categorical"),
+        many_categories().alias("high_cardinality"),
         (F.col("variance").isNotNull() & (F.col("variance") < 1e-6)).alias("low_variance"),
         (F.col("non_null") == 0).alias("completely_missing"),
         (missing_pct > 80).alias("mostly_missing"),
