@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched, chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import byte_chunks
+from tablescope.llm.common import byte_chunks, slices
 
 #: Labelled texts that the model is fitted on (whole texts; see ``fit_model``).
 TRAIN_TEXTS = 700
@@ -36,20 +37,27 @@ LEXICON = 2_000
 #: Words whose scores a worker keeps.
 CACHE = 120_000
 BLOCK = 64
+#: Letters of the words whose features are held at once.
+LETTERS = 1 << 18
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself, prefixes and suffixes to three letters, and character
-    two- and three-grams with the word's borders."""
+def _features(word: str) -> Iterator[int]:
     w = word.lower()
     b = f"^{w}$"
     n = len(b)
     names = ["w" + w, *("p" + w[:k] for k in (1, 2, 3)), *("s" + w[-k:] for k in (1, 2, 3))]
-    names += [b[i:i + 2] for i in range(min(n - 1, 24))] + [b[i:i + 3] for i in range(min(n - 2, 24))]
     crc = zlib.crc32
-    return [crc(x.encode()) % BUCKETS for x in names]
+    return (crc(x.encode()) % BUCKETS
+            for x in chain(names, (b[i:i + 2] for i in range(n - 1)), (b[i:i + 3] for i in range(n - 2))))
+
+
+def word_features(word: str) -> list[int]:
+    """Hashed features of a word: itself, prefixes and suffixes to three letters, and character
+    two- and three-grams of the whole word with its borders.  What has no white space in it is one
+    word, so in a script without blanks these are the grams of the whole run."""
+    return list(_features(word))
 
 
 @dataclass
@@ -62,13 +70,24 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of words by language, each divided by the root of its number of features."""
-        L = len(self.languages)
+        out = np.empty((len(words), len(self.languages)))
+        for a, b in slices(np.fromiter(map(len, words), np.int64, len(words)), LETTERS):
+            out[a:b] = self._some(words[a:b]) if b - a > 1 else self._one(words[a])
+        return out + self.member(words) @ self.lexicon_weights
+
+    def _some(self, words: list[str]) -> np.ndarray:
         features = [word_features(w) for w in words]
         sizes = np.fromiter(map(len, features), np.int64, len(words))
         flat = np.fromiter((f for x in features for f in x), np.int64, int(sizes.sum()))
-        out = np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) if len(words) else np.zeros((0, L))
-        out = out / np.sqrt(sizes)[:, None]
-        return out + self.member(words) @ self.lexicon_weights
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
+
+    def _one(self, word: str) -> np.ndarray:
+        """The same for one word of any length, whose features are never held all at once."""
+        n, total = 0, np.zeros(len(self.languages))
+        for part in batched(_features(word), LETTERS):
+            n += len(part)
+            total += self.weights[np.array(part)].sum(axis=0, dtype=float)
+        return total / np.sqrt(n)
 
     def member(self, words: list[str]) -> np.ndarray:
         bits = np.fromiter((self.lexicon.get(w.lower(), 0) for w in words), np.int64, len(words))

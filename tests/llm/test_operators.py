@@ -422,3 +422,27 @@ def test_empty_and_clashing_columns(spark, docs, name):
 def test_empty_vectors_and_pages(spark):
     assert vamana.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     assert warc.warc_round_trip(_pages(spark, [])).collect() == []
+
+
+def test_language_of_unspaced_text_is_read_to_its_end(spark):
+    rng = random.Random(8)
+    signs = {"aa": "日月火水木金土山川", "bb": "ก ข ค ง จ ฉ ช ซ".replace(" ", "")}
+    run = lambda lang, n: "".join(rng.choices(signs[lang], k=n))
+    labels = ["aa", "bb"] * 30
+    model = language_crf.train(["==" + run(x, 60) + "==" for x in labels], labels)
+    # the same 40 signs of neither language before and after: only the middle tells
+    texts = ["漢" * 40 + run(x, 300) + "漢" * 40 for x in labels]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_crf.predict(df, model).collect()}
+    assert [got[i] for i in range(len(labels))] == labels
+
+
+def test_features_of_a_word_of_any_length_come_from_all_of_it():
+    long = "".join(chr(0x4e00 + i) for i in range(300))
+    grams = {zlib.crc32(x.encode()) % language_crf.BUCKETS for n in (2, 3) for x in (long[i:i + n] for i in range(len(long) - n + 1))}
+    assert grams <= set(language_crf.word_features(long))
+    weights = np.random.default_rng(0).normal(size=(language_crf.BUCKETS, 2)).astype("float32")
+    model = language_crf.Model(["aa", "bb"], weights, {}, np.zeros((2, 2)), np.zeros((2, 2)))
+    very_long = long * 2000
+    exp = weights[language_crf.word_features(very_long)].sum(axis=0, dtype=float) / np.sqrt(len(language_crf.word_features(very_long)))
+    np.testing.assert_allclose(model.emissions(["ab", very_long, "c"])[1], exp, rtol=1e-6)
