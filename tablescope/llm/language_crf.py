@@ -21,13 +21,13 @@ from itertools import batched, chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope.llm.common import byte_chunks, slices
 
-#: Labelled texts that the model is fitted on (whole texts; see ``fit_model``).
+#: Labelled texts of each language that the model is fitted on (whole texts; see ``fit_model``).
 TRAIN_TEXTS = 700
 EPOCHS = 6
 BATCH_TEXTS = 60
@@ -90,8 +90,12 @@ class Model:
         return total / np.sqrt(n)
 
     def member(self, words: list[str]) -> np.ndarray:
-        bits = np.fromiter((self.lexicon.get(w.lower(), 0) for w in words), np.int64, len(words))
-        return ((bits[:, None] >> np.arange(len(self.languages))) & 1).astype(float)
+        bits = [self.lexicon.get(w.lower(), 0) for w in words]
+        out = np.empty((len(words), len(self.languages)))
+        for k in range(0, len(self.languages), 62):  # as many as a signed 64-bit integer holds
+            some = np.fromiter(((x >> k) & ((1 << 62) - 1) for x in bits), np.int64, len(bits))
+            out[:, k:k + 62] = (some[:, None] >> np.arange(min(62, len(self.languages) - k))) & 1
+        return out
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = BLOCK,
@@ -169,10 +173,12 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 def _training_chains(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], list[np.ndarray]]:
     """Half of the texts as they are; of the others, pairs spliced by random spans, so that the model
     sees switches between languages."""
-    words = [t.split() for t in texts]
+    same: dict[str, str] = {}  # one object for all places of a word
+    words = [[same.setdefault(w, w) for w in t.split()] for t in texts]
     chains, tags = [], []
     order = rng.permutation(len(texts))
     half = len(order) // 2
+    half += (len(order) - half) % 2  # none is left without a partner
     for i in order[:half]:
         chains.append(words[i])
         tags.append(np.full(len(words[i]), labels[i]))
@@ -215,9 +221,10 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
         for w in counts.index:
             lexicon[w] = lexicon.get(w, 0) | (1 << k)
     model = Model(languages, np.zeros((BUCKETS, L)), lexicon, np.zeros((L, L)), np.zeros((L, L)))
-    features = [word_features(w) for w in vocab]
+    features = [np.fromiter(_features(w), np.int32) for w in vocab]
     sizes = np.fromiter(map(len, features), np.int64, len(vocab))
-    flat = np.fromiter((f for x in features for f in x), np.int64, int(sizes.sum()))
+    flat = np.concatenate(features) if features else np.zeros(0, dtype=np.int32)
+    del features, all_words
     starts = np.cumsum(sizes) - sizes
     members = model.member(vocab)
     bounds = np.concatenate([[0], np.cumsum([len(c) for c in chains])]).astype(np.int64)
@@ -261,16 +268,24 @@ def crc_mod(id_col: str, folds: int):
 
 def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4,
               held: int = 2, max_texts: int = TRAIN_TEXTS) -> Model | None:
-    """Fit on at most ``max_texts`` distinct texts (a documented bound; those of the smallest hashes)
-    of the rows that may be learnt from: a label, a text with letters, and not held out.  None if
-    there are none."""
+    """Fit on at most ``max_texts`` distinct texts of each language (a documented bound; those of the
+    smallest hashes) of the rows that may be learnt from: a label, a text with letters, and not held
+    out.  Every label of such a row is learnt, however rare it is.  None if there are none."""
     rows = (df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.col(label_col).alias("__label"))
-            .where((crc_mod("__id", folds) != held) & F.col("__label").isNotNull() & F.col("__text").rlike(r"\p{L}")))
-    picked = (rows.groupBy(F.xxhash64("__text").alias("h")).agg(F.min(F.struct("__id", "__label")).alias("one"))
-              .orderBy("h").limit(max_texts).select("h", F.col("one.__id").alias("i"), F.col("one.__label").alias("l")))
-    # at most max_texts rows: a documented bound
-    sample = (rows.join(F.broadcast(picked), (F.xxhash64("__text") == F.col("h")) & F.col("__id").eqNullSafe(F.col("i"))
-                        & (F.col("__label") == F.col("l"))).select("h", "__text", "__label").dropDuplicates(["h"]).orderBy("h").collect())
+            .where((crc_mod("__id", folds) != held) & F.col("__label").isNotNull() & F.col("__text").rlike(r"\p{L}"))
+            .withColumn("__h", F.xxhash64("__text")))
+    # hashes lie evenly: below this share of their range a language has max_texts of them and some to
+    # spare, or all that it has; nothing else is shuffled
+    share = (F.lit(1.25) * max_texts + 200) / F.approx_count_distinct("__h", 0.02)
+    below = rows.groupBy("__label").agg((share * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)).alias("below"))
+    few = (rows.join(F.broadcast(below.withColumnRenamed("__label", "l")), F.col("__label") == F.col("l"))  # one row a language
+           .where(F.col("__h") <= F.col("below")))
+    picked = (few.groupBy(F.col("__label").alias("l"), F.col("__h").alias("h")).agg(F.min("__id").alias("i"))
+              .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= max_texts).drop("r"))
+    # at most max_texts rows a language: a documented bound
+    sample = (rows.join(F.broadcast(picked), (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("i"))
+                        & (F.col("__label") == F.col("l"))).select("h", "__text", "__label").dropDuplicates(["h", "__label"])
+              .orderBy("h", "__label").collect())
     if not sample:
         return None
     return train([r["__text"] for r in sample], [r["__label"] for r in sample])

@@ -446,3 +446,32 @@ def test_features_of_a_word_of_any_length_come_from_all_of_it():
     very_long = long * 2000
     exp = weights[language_crf.word_features(very_long)].sum(axis=0, dtype=float) / np.sqrt(len(language_crf.word_features(very_long)))
     np.testing.assert_allclose(model.emissions(["ab", very_long, "c"])[1], exp, rtol=1e-6)
+
+
+def test_rare_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setitem(LANGS, "cc", ["öde", "ähre", "über", "öhr", "süß"])
+    rng = random.Random(9)
+    data = [(i, _tongue(rng, lang, rng.randint(20, 60)), lang) for i in range(900) for lang in ["cc" if i % 150 == 0 else "aa" if i % 3 else "bb"]]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_crf.fit_model(df, max_texts=20)
+    assert model.languages == ["aa", "bb", "cc"]
+    got = {r.doc_id: r.lang_pred for r in language_crf.predict(df, model).collect()}
+    assert [got[i] for i, _, _ in data] == [lang for _, _, lang in data]
+
+
+def test_sample_is_bounded_for_each_language_and_a_text_counts_for_each_of_its_labels(spark, monkeypatch):
+    texts = [(i, f"word{i % 400} kato", "aa" if i < 800 else "bb") for i in range(900)] + [(2000, "word3 kato", "cc")]
+    seen = {}
+    monkeypatch.setattr(language_crf, "train", lambda t, labels: seen.update(pairs=sorted(zip(labels, t))))
+    language_crf.fit_model(spark.createDataFrame(texts, "doc_id long, text string, lang string"), folds=1, held=9, max_texts=30)
+    for lang, n in (("aa", 30), ("bb", 30), ("cc", 1)):
+        mine = [t for x, t in seen["pairs"] if x == lang]
+        exp = spark.createDataFrame([(t,) for _, t, x in texts if x == lang], "t string").select("t", F.xxhash64("t").alias("h")).distinct()
+        assert mine == sorted(r.t for r in exp.orderBy("h").limit(n).collect())
+
+
+def test_many_languages_and_an_odd_number_of_texts():
+    labels = [f"l{i:03d}" for i in range(71)]
+    model = language_crf.train([f"{x}a {x}b {x}a {x}b" for x in labels], labels, epochs=1)
+    for i, x in enumerate(labels):
+        assert model.member([x + "a"])[0].tolist() == [float(k == i) for k in range(71)]
