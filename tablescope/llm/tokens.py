@@ -2,7 +2,8 @@
 
 A byte-level BPE cuts a text into pieces (words with the blank before them, numbers, marks, blanks)
 and encodes each on its own, so each distinct piece is encoded once by the library's model and kept
-in a bounded cache of the Python worker.
+in a bounded cache of the Python worker.  Before that, a text is split at the tokenizer's added tokens
+(such as ``<|endoftext|>``), which have ids of their own, as the library does.
 """
 
 from __future__ import annotations
@@ -51,12 +52,18 @@ class Encoder:
         import public_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
         self._cut = regex.compile(public_tokenizers.PATTERN)
         self._letters = _byte_letters()
         self._pieces = _Kept(self._piece)
         self._words = _Kept(self._word)
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._added = {t.content: np.array([i], dtype="<u4").tobytes() for i, t in added.items()}
+        # the longest first, as the library finds them
+        names = sorted(self._added, key=len, reverse=True)
+        self._at_added = re.compile("|".join(map(re.escape, names))) if names else None
+        #: Whether added tokens are literal: they take no blanks beside them and need no border.
+        self._literal = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,6 +84,17 @@ class Encoder:
         return self._cut_up(" " + word)
 
     def ids(self, text: str) -> bytes:
+        if self._at_added is None or not self._at_added.search(text):
+            return self._span(text)
+        if not self._literal:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out, at = [], 0
+        for found in self._at_added.finditer(text):
+            out += [self._span(text[at:found.start()]), self._added[found.group()]]
+            at = found.end()
+        return b"".join([*out, self._span(text[at:])])
+
+    def _span(self, text: str) -> bytes:
         if "  " in text or _RUN.search(text):
             return self._cut_up(text)
         words = text.split(" ")

@@ -475,3 +475,35 @@ def test_many_languages_and_an_odd_number_of_texts():
     model = language_crf.train([f"{x}a {x}b {x}a {x}b" for x in labels], labels, epochs=1)
     for i, x in enumerate(labels):
         assert model.member([x + "a"])[0].tolist() == [float(k == i) for k in range(71)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as the library loads it."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    return lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+
+
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y\n", "<|endoftext|", "a\n<|endoftext|>'s <|endoftext|>",
+         "<|<|endoftext|>|>", "no token"]
+
+
+def test_added_tokens_have_the_ids_of_the_untouched_library(library):
+    assert library(ADDED[0]) == [64, 220, 50256, 275]
+    enc = tokens.Encoder(tokens.default_path())
+    for text in ADDED:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == library(text)
+
+
+def test_added_tokens_in_token_files_and_windows(spark, library):
+    data = [(i, t) for i, t in enumerate(ADDED)]
+    ids = {i: np.array(library(t) + [0], dtype="<u4") for i, t in data}
+    got = rows(token_round_trip(frame(spark, data)), "start", "doc_id", "n_tokens", "ids_crc32")
+    at = 0
+    for (start, d, n, crc), (i, x) in zip(got, sorted(ids.items()), strict=True):
+        assert (start, d, n, crc) == (at, i, len(x), zlib.crc32(x.tobytes()))
+        at += n
+    for r in packing.pack(frame(spark, data), window=8).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
