@@ -52,7 +52,10 @@ def leaf_budgets(leaves: DataFrame, budget: Column, max_epochs: int, domain_weig
                  language_weights: dict[str, int] | None, source_weights: dict[str, int] | None,
                  default: int = 1) -> DataFrame:
     """``leaves(domain, language, source, tokens)`` with ``given``: the tokens of each leaf."""
-    leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    # what lies under a weight of 0 can take nothing, so its parents count no capacity for it
+    least = F.least(*[_weight(F.col(c), w, default) for c, w in
+                      (("domain", domain_weights), ("language", language_weights), ("source", source_weights))])
+    leaves = leaves.withColumn("cap", F.when(least > 0, F.col("tokens") * max_epochs).otherwise(F.lit(0)).cast("long"))
     langs = leaves.groupBy("domain", "language").agg(F.sum("cap").alias("cap"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"))
     total = leaves.agg(budget.alias("budget"))

@@ -507,3 +507,10 @@ def test_added_tokens_in_token_files_and_windows(spark, library):
         at += n
     for r in packing.pack(frame(spark, data), window=8).collect():
         assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
+
+
+def test_mixing_counts_no_capacity_under_a_weight_of_zero(spark):
+    leaf = [("a", "x", "s1", 1000), ("a", "x", "s2", 100), ("b", "x", "s3", 5000)]
+    leaves = spark.createDataFrame(leaf, "domain string, language string, source string, tokens long")
+    got = {r.source: r.given for r in mixing.leaf_budgets(leaves, F.lit(800), 1, None, None, {"s1": 0}).collect()}
+    assert got == {"s1": 0, "s2": 100, "s3": 700}
