@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablescope.session import ensure_checkpoint_dir
@@ -43,6 +43,28 @@ def fold_ascii(col: Column) -> Column:
     return F.coalesce(F.translate(col, UPPER, UPPER.lower()), F.lit(""))
 
 
+def crc_mod(id_col: str, folds: int) -> Column:
+    """crc32 of the identifier as text, modulo ``folds``; null counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def labelled_sample(texts: DataFrame, hashed: DataFrame, max_texts: int) -> list[tuple[str, object]]:
+    """At most ``max_texts`` distinct texts of each label (those of the smallest hashes, however rare the
+    label is), with the label, ordered by hash.  ``texts``: __id, __text, __h (a hash of the text);
+    ``hashed``: __id, __h, __label.  Only hashes are shuffled before the sample is known."""
+    # hashes lie evenly: below this share of their range a label has max_texts of them and some to
+    # spare, or all that it has; nothing else is shuffled
+    share = (F.lit(1.25) * max_texts + 200) / F.approx_count_distinct("__h", 0.02)
+    below = hashed.groupBy(F.col("__label").alias("l")).agg((share * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)).alias("below"))
+    few = hashed.join(F.broadcast(below), F.col("__label") == F.col("l")).where(F.col("__h") <= F.col("below"))  # one row a label
+    picked = (few.groupBy("l", F.col("__h").alias("h")).agg(F.min("__id").alias("i"))
+              .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= max_texts).drop("r"))
+    # at most max_texts rows a label: a documented bound
+    rows = (texts.join(F.broadcast(picked), (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("i")))
+            .select("h", "__text", "l").dropDuplicates(["h", "l"]).orderBy("h", "l").collect())
+    return [(r["__text"], r["l"]) for r in rows]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string or binary column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

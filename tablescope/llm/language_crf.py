@@ -4,201 +4,109 @@ Each word has a score for each language from its features (the word itself, affi
 n-grams, membership in each language's lexicon), and neighbouring words are tied by learned
 transitions; forward-backward gives every word's distribution over languages in its context, so
 code-switched texts get labels word by word.  A text's language is that of the largest sum of word
-marginals, and its score the mean marginal.
-
-A chain is computed in blocks that advance together: block products first, then one pass over the
-blocks of each text, then all words, which is exact for texts of any length.
+marginals, and its score the mean marginal.  Features and chains: ``chains``.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import batched, chain
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import byte_chunks, slices
+from tablescope.llm import chains
+from tablescope.llm.chains import BUCKETS
+from tablescope.llm.common import byte_chunks, crc_mod, labelled_sample
 
 #: Labelled texts of each language that the model is fitted on (whole texts; see ``fit_model``).
 TRAIN_TEXTS = 700
 EPOCHS = 6
-BATCH_TEXTS = 60
-BUCKETS = 1 << 17
 #: Words of each language's lexicon.
 LEXICON = 2_000
-#: Words whose scores a worker keeps.
-CACHE = 120_000
-BLOCK = 64
-#: Letters of the words whose features are held at once.
-LETTERS = 1 << 18
+#: Bytes of the texts whose words are held at once.
+CHUNK = 2 << 20
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-
-
-def _features(word: str) -> Iterator[int]:
-    w = word.lower()
-    b = f"^{w}$"
-    n = len(b)
-    names = ["w" + w, *("p" + w[:k] for k in (1, 2, 3)), *("s" + w[-k:] for k in (1, 2, 3))]
-    crc = zlib.crc32
-    return (crc(x.encode()) % BUCKETS
-            for x in chain(names, (b[i:i + 2] for i in range(n - 1)), (b[i:i + 3] for i in range(n - 2))))
 
 
 def word_features(word: str) -> list[int]:
-    """Hashed features of a word: itself, prefixes and suffixes to three letters, and character
-    two- and three-grams of the whole word with its borders.  What has no white space in it is one
-    word, so in a script without blanks these are the grams of the whole run."""
-    return list(_features(word))
+    """Hashed features of a word: itself, prefix and suffix, and character two- and three-grams of the
+    whole word with its borders (which make the shorter affixes)."""
+    return chains.grams([word]).flat()[0].tolist()
 
 
 @dataclass
 class Model:
     languages: list[str]
     weights: np.ndarray      # BUCKETS x L
-    lexicon: dict[str, int]  # word -> bit set of languages
+    lexicon: dict[str, int]  # lower-cased word -> bit set of languages
     lexicon_weights: np.ndarray  # L x L: language of the lexicon, language scored
     transitions: np.ndarray  # L x L
-
-    def emissions(self, words: list[str]) -> np.ndarray:
+    _hashes: np.ndarray = field(init=False, repr=False)  # of the lexicon's words, ascending
+    _sets: np.ndarray = field(init=False, repr=False)    # their sets' rows in the table
+    _table: np.ndarray = field(init=False, repr=False)   # distinct sets x L, the last empty
+
+    def __post_init__(self):
+        words = sorted(self.lexicon)
+        hashes = chains.grams(words).whole if words else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes)
+        sets = sorted(set(self.lexicon.values()))
+        number = {x: i for i, x in enumerate(sets)}
+        self._hashes = hashes[order]
+        self._sets = np.array([number[self.lexicon[words[i]]] for i in order], dtype=np.int64)
+        self._table = np.array([[(x >> k) & 1 for k in range(len(self.languages))] for x in [*sets, 0]], dtype=np.float32)
+
+    def _member(self, whole: np.ndarray) -> np.ndarray:
+        """Rows of the table for words of these hashes."""
+        if not len(self._hashes):
+            return np.zeros(len(whole), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self._hashes, whole), len(self._hashes) - 1)
+        return np.where(self._hashes[at] == whole, self._sets[at], len(self._table) - 1)
+
+    def member(self, words: pa.Array | list[str]) -> np.ndarray:
+        return self._table[self._member(chains.grams(words).whole)] if len(words) else np.zeros((0, len(self.languages)))
+
+    def emissions(self, words: pa.Array | list[str]) -> np.ndarray:
         """Scores of words by language, each divided by the root of its number of features."""
-        out = np.empty((len(words), len(self.languages)))
-        for a, b in slices(np.fromiter(map(len, words), np.int64, len(words)), LETTERS):
-            out[a:b] = self._some(words[a:b]) if b - a > 1 else self._one(words[a])
-        return out + self.member(words) @ self.lexicon_weights
-
-    def _some(self, words: list[str]) -> np.ndarray:
-        features = [word_features(w) for w in words]
-        sizes = np.fromiter(map(len, features), np.int64, len(words))
-        flat = np.fromiter((f for x in features for f in x), np.int64, int(sizes.sum()))
-        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
-
-    def _one(self, word: str) -> np.ndarray:
-        """The same for one word of any length, whose features are never held all at once."""
-        n, total = 0, np.zeros(len(self.languages))
-        for part in batched(_features(word), LETTERS):
-            n += len(part)
-            total += self.weights[np.array(part)].sum(axis=0, dtype=float)
-        return total / np.sqrt(n)
-
-    def member(self, words: list[str]) -> np.ndarray:
-        bits = [self.lexicon.get(w.lower(), 0) for w in words]
-        out = np.empty((len(words), len(self.languages)))
-        for k in range(0, len(self.languages), 62):  # as many as a signed 64-bit integer holds
-            some = np.fromiter(((x >> k) & ((1 << 62) - 1) for x in bits), np.int64, len(bits))
-            out[:, k:k + 62] = (some[:, None] >> np.arange(min(62, len(self.languages) - k))) & 1
+        out, whole = chains.scores(words, self.weights)
+        out += (self._table @ self.lexicon_weights).astype(out.dtype)[self._member(whole)]
         return out
 
 
-def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = BLOCK,
-                     expect: bool = True):
-    """Marginals of every word (rows of ``emissions``, chains of ``lengths`` laid end to end) and, with
-    ``expect``, the expected number of each transition in all chains."""
-    n, L = emissions.shape
-    lengths = lengths[lengths > 0]
-    if n == 0:
-        return emissions, np.zeros((L, L))
-    E = np.exp(emissions - emissions.max(axis=1, keepdims=True))
-    T = np.exp(transitions - transitions.max())
-    blocks = -(-lengths // block)
-    total = int(blocks.sum())
-    chain = np.repeat(np.arange(len(lengths)), blocks)
-    nth = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = np.repeat(np.cumsum(lengths) - lengths, blocks) + nth * block
-    size = np.minimum(block, np.repeat(lengths, blocks) - nth * block)
-    at = begin[:, None] + np.minimum(np.arange(block), size[:, None] - 1)
-    live = np.arange(block) < size[:, None]
-    X = E[at]  # blocks x words x L
-    # product of (transition, word) over each block: row = language before the block, column = of its last word
-    P = np.broadcast_to(np.eye(L), (total, L, L)).copy()
-    for t in range(block):
-        step = (P @ T) * X[:, t, None, :]
-        if t == 0:  # nothing comes before the first word of a chain
-            step = np.where((nth == 0)[:, None, None], X[:, 0, None, :], step)
-        step /= step.sum(axis=(1, 2), keepdims=True)
-        P = np.where(live[:, t, None, None], step, P)
-    first_block = np.cumsum(blocks) - blocks
-    before = np.empty((total, L))  # distribution ahead of each block (the forward message of the last word)
-    after = np.empty((total, L))   # backward message at the last word of each block
-    turn = np.argsort(-blocks, kind="stable")
-    for k in range(int(blocks.max())):
-        c = turn[:int(np.searchsorted(-blocks[turn], -k, side="left"))]
-        at_k = first_block[c] + k
-        before[at_k] = 1.0 / L if k == 0 else _scaled(np.einsum("bi,bij->bj", before[at_k - 1], P[at_k - 1]))
-        last = first_block[c] + blocks[c] - 1 - k
-        after[last] = 1.0 if k == 0 else _scaled(np.einsum("bij,bj->bi", P[last + 1], after[last + 1]))
-    alpha = np.empty((total, block, L))
-    beta = np.empty((total, block, L))
-    a = before
-    for t in range(block):
-        # the first word of a chain has no transition: all languages are alike ahead of it
-        entry = a @ T
-        if t == 0:
-            entry = np.where((nth == 0)[:, None], 1.0, entry)
-        new = _scaled(entry * X[:, t])
-        a = np.where(live[:, t, None], new, a)
-        alpha[:, t] = a
-    b = after
-    for t in range(block - 1, -1, -1):
-        is_last = (size - 1 == t)[:, None]
-        b = np.where(is_last, after, b)
-        beta[:, t] = b
-        b = np.where(live[:, t, None], _scaled((X[:, t] * b) @ T.T), b)
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=2, keepdims=True)
-    out = np.empty((n, L))
-    out[at[live]] = gamma[live]
-    if not expect:
-        return out, None
-    # expected transitions into every word but the first of its chain
-    prev = np.concatenate([before[:, None, :], alpha[:, :-1]], axis=1)
-    joint = prev[:, :, :, None] * T * (X * beta)[:, :, None, :]
-    joint /= joint.sum(axis=(2, 3), keepdims=True)
-    use = live & ~((nth == 0)[:, None] & (np.arange(block) == 0))
-    return out, joint[use].sum(axis=0)
-
+def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, block: int = chains.BLOCK):
+    """Marginals of every word (rows of ``emissions``, chains of ``lengths`` laid end to end) and the
+    expected number of each transition in all chains."""
+    gamma, joint = chains.marginals(emissions, lengths, transitions, block, expect=True)
+    return gamma.T, joint
 
-def _scaled(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(x.sum(axis=-1, keepdims=True), 1e-300)
 
-
-def _training_chains(texts: list[str], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[list[str]], list[np.ndarray]]:
+def _training_chains(words: chains.Words, labels: np.ndarray, rng: np.random.Generator) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Half of the texts as they are; of the others, pairs spliced by random spans, so that the model
-    sees switches between languages."""
-    same: dict[str, str] = {}  # one object for all places of a word
-    words = [[same.setdefault(w, w) for w in t.split()] for t in texts]
-    chains, tags = [], []
+    sees switches between languages.  Chains of word codes, and their labels."""
+    texts = np.split(words.codes, np.cumsum(words.lengths)[:-1])
+    out, tags = [], []
     order = rng.permutation(len(texts))
     half = len(order) // 2
     half += (len(order) - half) % 2  # none is left without a partner
     for i in order[:half]:
-        chains.append(words[i])
-        tags.append(np.full(len(words[i]), labels[i]))
+        out.append(texts[i])
+        tags.append(np.full(len(texts[i]), labels[i]))
     for i, j in zip(order[half::2], order[half + 1::2], strict=False):
-        chain: list[str] = []
-        tag: list[int] = []
-        left = [(int(labels[i]), words[i]), (int(labels[j]), words[j])]
-        place = [0, 0]
-        turn = 0
-        while place[0] < len(words[i]) or place[1] < len(words[j]):
-            span = int(rng.integers(8, 80))
-            lab, w = left[turn]
-            part = w[place[turn]:place[turn] + span]
-            chain += part
-            tag += [lab] * len(part)
-            place[turn] += span
+        pair, place, turn = (i, j), [0, 0], 0
+        parts, tag = [texts[i][:0]], [np.zeros(0, dtype=np.int64)]
+        while place[0] < len(texts[i]) or place[1] < len(texts[j]):
+            part = texts[pair[turn]][place[turn]:place[turn] + int(rng.integers(8, 80))]
+            parts.append(part)
+            tag.append(np.full(len(part), labels[pair[turn]]))
+            place[turn] += len(part)
             turn = 1 - turn
-        chains.append(chain)
-        tags.append(np.array(tag, dtype=np.int64))
-    return chains, tags
+        out.append(np.concatenate(parts))
+        tags.append(np.concatenate(tag))
+    return out, tags
 
 
 def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int = 11) -> Model:
@@ -206,64 +114,20 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
     languages = sorted(set(labels))
     L = len(languages)
     y = np.array([languages.index(x) for x in labels], dtype=np.int64)
-    rng = np.random.default_rng(seed)
-    chains, tags = _training_chains(texts, y, rng)
-    all_words = [w for c in chains for w in c]
-    codes, vocab = pd.factorize(np.array(all_words, dtype=object))
-    vocab = list(vocab)
-    tag = np.concatenate(tags) if tags else np.zeros(0, dtype=np.int64)
+    words = chains.split_words(pa.array(texts, pa.string()))
+    cut, tags = _training_chains(words, y, np.random.default_rng(seed))
+    codes, tag = np.concatenate(cut), np.concatenate(tags)
     # lexicon: the most frequent words of each language
-    lower = pd.Series([w.lower() for w in vocab])
+    lower = pd.Series([w.lower() for w in words.vocab.to_pylist()])
     lexicon: dict[str, int] = {}
     for k in range(L):
-        counts = pd.Series(np.bincount(codes[tag == k], minlength=len(vocab))).groupby(lower.values).sum()
+        counts = pd.Series(np.bincount(codes[tag == k], minlength=len(words.vocab))).groupby(lower.values).sum()
         counts = counts[counts > 1].sort_values(ascending=False, kind="stable").head(LEXICON)
         for w in counts.index:
             lexicon[w] = lexicon.get(w, 0) | (1 << k)
-    model = Model(languages, np.zeros((BUCKETS, L)), lexicon, np.zeros((L, L)), np.zeros((L, L)))
-    features = [np.fromiter(_features(w), np.int32) for w in vocab]
-    sizes = np.fromiter(map(len, features), np.int64, len(vocab))
-    flat = np.concatenate(features) if features else np.zeros(0, dtype=np.int32)
-    del features, all_words
-    starts = np.cumsum(sizes) - sizes
-    members = model.member(vocab)
-    bounds = np.concatenate([[0], np.cumsum([len(c) for c in chains])]).astype(np.int64)
-    squares = [np.full_like(m, 1e-6) for m in (model.weights, model.lexicon_weights, model.transitions)]
-    for _ in range(epochs):
-        turn = rng.permutation(len(chains))
-        for s in range(0, len(turn), BATCH_TEXTS):
-            pick = [c for c in turn[s:s + BATCH_TEXTS] if len(chains[c])]
-            if not pick:
-                continue
-            at = np.concatenate([np.arange(bounds[c], bounds[c + 1]) for c in pick])
-            used, local = np.unique(codes[at], return_inverse=True)
-            span = np.concatenate([np.arange(starts[u], starts[u] + sizes[u]) for u in used])
-            f = flat[span]
-            owner = np.repeat(np.arange(len(used)), sizes[used])
-            root = np.sqrt(sizes[used])[:, None]
-            em = np.add.reduceat(model.weights[f], np.cumsum(sizes[used]) - sizes[used], axis=0) / root + members[used] @ model.lexicon_weights
-            lengths = np.array([len(chains[c]) for c in pick])
-            gamma, joint = forward_backward(em[local], lengths, model.transitions)
-            truth = tag[at]
-            delta = -gamma
-            delta[np.arange(len(at)), truth] += 1.0
-            grad_word = np.stack([np.bincount(local, weights=delta[:, k], minlength=len(used)) for k in range(L)], axis=1) / len(at)
-            grad_f = np.zeros_like(model.weights)
-            per_feature = (grad_word / root)[owner]
-            for k in range(L):
-                grad_f[:, k] = np.bincount(f, weights=per_feature[:, k], minlength=BUCKETS)
-            inside = np.ones(len(at), dtype=bool)
-            inside[np.cumsum(lengths) - lengths] = False
-            seen = np.bincount(truth[np.flatnonzero(inside) - 1] * L + truth[inside], minlength=L * L).reshape(L, L)
-            grads = (grad_f - 1e-7 * model.weights, members[used].T @ grad_word, (seen - joint) / len(at))
-            for m, g, q in zip((model.weights, model.lexicon_weights, model.transitions), grads, squares, strict=True):
-                q += g * g
-                m += 0.3 * g / np.sqrt(q)
-    return Model(languages, model.weights.astype(np.float32), lexicon, model.lexicon_weights, model.transitions)
-
-
-def crc_mod(id_col: str, folds: int):
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+    members = Model(languages, np.zeros((0, L)), lexicon, np.zeros((L, L)), np.zeros((L, L))).member(words.vocab)
+    weights, extra, transitions = chains.fit(words.vocab, codes, np.array([len(c) for c in cut]), tag, L, members, epochs, seed=seed)
+    return Model(languages, weights, lexicon, extra, transitions)
 
 
 def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4,
@@ -274,78 +138,32 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     rows = (df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"), F.col(label_col).alias("__label"))
             .where((crc_mod("__id", folds) != held) & F.col("__label").isNotNull() & F.col("__text").rlike(r"\p{L}"))
             .withColumn("__h", F.xxhash64("__text")))
-    # hashes lie evenly: below this share of their range a language has max_texts of them and some to
-    # spare, or all that it has; nothing else is shuffled
-    share = (F.lit(1.25) * max_texts + 200) / F.approx_count_distinct("__h", 0.02)
-    below = rows.groupBy("__label").agg((share * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)).alias("below"))
-    few = (rows.join(F.broadcast(below.withColumnRenamed("__label", "l")), F.col("__label") == F.col("l"))  # one row a language
-           .where(F.col("__h") <= F.col("below")))
-    picked = (few.groupBy(F.col("__label").alias("l"), F.col("__h").alias("h")).agg(F.min("__id").alias("i"))
-              .withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= max_texts).drop("r"))
-    # at most max_texts rows a language: a documented bound
-    sample = (rows.join(F.broadcast(picked), (F.col("__h") == F.col("h")) & F.col("__id").eqNullSafe(F.col("i"))
-                        & (F.col("__label") == F.col("l"))).select("h", "__text", "__label").dropDuplicates(["h", "__label"])
-              .orderBy("h", "__label").collect())
-    if not sample:
-        return None
-    return train([r["__text"] for r in sample], [r["__label"] for r in sample])
-
-
-class _Scorer:
-    """Word scores of one model, the first ``CACHE`` words kept."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(self.model.languages)))
-        missing = []
-        for i, w in enumerate(words):
-            e = self.known.get(w)
-            if e is None:
-                missing.append(i)
-            else:
-                out[i] = e
-        if missing:
-            new = self.model.emissions([words[i] for i in missing])
-            out[missing] = new
-            for i, e in zip(missing, new, strict=True):
-                if len(self.known) >= CACHE:
-                    break
-                self.known[words[i]] = e
-        return out
+    sample = labelled_sample(rows.drop("__label"), rows.drop("__text"), max_texts)
+    return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
 
 
 def _predictions(shared, text: str, with_words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scorer = _Scorer(model) if model else None
         names = np.array(model.languages if model else [], dtype=object)
-        for b in byte_chunks(batches, text, 1 << 20):
-            texts = b.column(text).to_pylist()
-            labels, scores, tags = [], [], []
-            use = [bool(t) and model is not None and _LETTER.search(t) is not None for t in texts]
-            chains = [t.split() if u else [] for t, u in zip(texts, use, strict=True)]
-            lengths = np.array([len(c) for c in chains], dtype=np.int64)
-            flat = [w for c in chains for w in c]
-            if flat:
-                codes, vocab = pd.factorize(np.array(flat, dtype=object))
-                gamma, _ = forward_backward(scorer(list(vocab))[codes], lengths, model.transitions, expect=False)
-            at = 0
-            for n in lengths.tolist():
-                if n == 0:
-                    labels.append(UNDETERMINED)
-                    scores.append(0.0)
-                    tags.append([])
-                    continue
-                mean = gamma[at:at + n].mean(axis=0)
-                k = int(mean.argmax())
-                labels.append(names[k])
-                scores.append(min(1.0, max(0.0, float(mean[k]))))
+        for b in byte_chunks(batches, text, CHUNK):
+            texts = b.column(text)
+            use = chains.has_letter(texts) if model is not None else np.zeros(b.num_rows, dtype=bool)
+            labels = np.full(b.num_rows, UNDETERMINED, dtype=object)
+            scores = np.zeros(b.num_rows)
+            tags = [[] for _ in range(b.num_rows)]
+            if use.any():
+                words = chains.split_words(texts.filter(pa.array(use)))
+                gamma, _ = chains.marginals(model.emissions(words.vocab)[words.codes], words.lengths, model.transitions)
+                begin = np.cumsum(words.lengths) - words.lengths  # a text with a letter has a word
+                mean = np.add.reduceat(gamma, begin, axis=1, dtype=float) / words.lengths
+                best = mean.argmax(axis=0)
+                labels[use] = names[best]
+                scores[use] = np.clip(mean[best, np.arange(len(best))], 0.0, 1.0)
                 if with_words:
-                    tags.append(names[gamma[at:at + n].argmax(axis=1)].tolist())
-                at += n
+                    each = np.split(names[gamma.argmax(axis=0)], begin[1:])
+                    for i, x in zip(np.flatnonzero(use), each, strict=True):
+                        tags[i] = x.tolist()
             cols, out = [pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"]
             if with_words:
                 cols.append(pa.array(tags, pa.list_(pa.string())))

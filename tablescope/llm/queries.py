@@ -12,9 +12,12 @@ from tablescope.llm.language_crf import identify
 from tablescope.llm.mixing import mix
 from tablescope.llm.packing import pack
 from tablescope.llm.simhash import simhash_dedup
+from tablescope.llm.spelling import spelling_variants
 from tablescope.llm.substring_dedup import substring_dedup
 from tablescope.llm.token_output import token_round_trip
+from tablescope.llm.toxicity_crf import toxicity
 from tablescope.llm.vamana import nearest
+from tablescope.llm.vector_codes import vector_codes
 from tablescope.llm.warc import warc_round_trip
 
 #: Production weights; a source's domain is its number's rest by 4.
@@ -70,9 +73,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.7)
+    return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"), min_length=7, min_count=2, ratio=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_substring_dedup, op3_lm_scoring, op4_simhash, op5_mixing, op6_packing, op7_language_id,
-    op8_ann, op9_token_ids, op10_warc)}
+    op8_ann, op9_token_ids, op10_warc, op11_vector_codes, op12_toxicity, op13_spelling)}
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablescope.llm import (katz, language_crf, mixing, packing, simhash, simple8b, substring_dedup, tokens, vamana,
+from tablescope.llm import (chains, katz, language_crf, mixing, packing, simhash, simple8b, substring_dedup, tokens, vamana,
                             warc, wavelet)
 from tablescope.llm.components import components
 from tablescope.llm.exact_dedup import exact_dedup
@@ -437,10 +437,30 @@ def test_language_of_unspaced_text_is_read_to_its_end(spark):
     assert [got[i] for i in range(len(labels))] == labels
 
 
+def _plain_bucket(kind, *letters):
+    h = kind * 0x2545F4914F6CDD1D
+    for x, k in zip(letters, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
+        h += x * k
+    h %= 2**64
+    return (((h ^ (h >> 32)) * 0xC2B2AE3D27D4EB4F) % 2**64) >> 47
+
+
+def _plain_features(word):
+    b = [10, *map(ord, word.lower()), 10]
+    n = len(b) - 2
+    whole = sum(x * pow(0xD6E8FEB86659FD93, i, 2**64) for i, x in enumerate(b[:-1])) % 2**64
+    front, back = ([b[min(k, n + 1)] for k in range(4)], [b[max(n + 1 - k, 0)] for k in range(4)])
+    return sorted([_plain_bucket(2, *b[i:i + 2]) for i in range(n + 1)] + [_plain_bucket(3, *b[i:i + 3]) for i in range(n)]
+                  + [_plain_bucket(1, whole), _plain_bucket(4, *front), _plain_bucket(5, *back)])
+
+
 def test_features_of_a_word_of_any_length_come_from_all_of_it():
     long = "".join(chr(0x4e00 + i) for i in range(300))
-    grams = {zlib.crc32(x.encode()) % language_crf.BUCKETS for n in (2, 3) for x in (long[i:i + n] for i in range(len(long) - n + 1))}
-    assert grams <= set(language_crf.word_features(long))
+    words = ["a", "Öl", "the", "Straße", "İx", long, "ΣΑΣ"]
+    g = chains.grams(words)
+    flat, starts = g.flat()
+    for w, s, n in zip(words, starts, g.sizes):
+        assert sorted(flat[s:s + n].tolist()) == _plain_features(w) == sorted(language_crf.word_features(w))
     weights = np.random.default_rng(0).normal(size=(language_crf.BUCKETS, 2)).astype("float32")
     model = language_crf.Model(["aa", "bb"], weights, {}, np.zeros((2, 2)), np.zeros((2, 2)))
     very_long = long * 2000
@@ -448,6 +468,23 @@ def test_features_of_a_word_of_any_length_come_from_all_of_it():
     np.testing.assert_allclose(model.emissions(["ab", very_long, "c"])[1], exp, rtol=1e-6)
 
 
+def test_words_are_cut_at_white_space_and_long_runs_into_pieces():
+    import pyarrow as pa
+
+    texts = [" a\tb  c\u3000d\n", None, "", "x" * 150 + " y", "\u00a0"]
+    got = chains.split_words(pa.array(texts))
+    words, out = [got.vocab[c].as_py() for c in got.codes.tolist()], []
+    for n in got.lengths:
+        out.append([words.pop(0) for _ in range(n)])
+    assert out == [["a", "b", "c", "d"], [], [], ["x" * 64, "x" * 64, "x" * 22, "y"], []]
+
+
+def test_letterless_signs_have_no_language(spark):
+    model = language_crf.train(["kato kina", "wurt wesp"] * 10, ["aa", "bb"] * 10)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ②", "² Ⅷ 7", "٣", "½ kato"])], "doc_id long, text string")
+    assert [r.lang_pred for r in language_crf.predict(df, model).orderBy("doc_id").collect()] == ["und", "und", "und", "aa"]
+
+
 def test_rare_languages_are_learnt(spark, monkeypatch):
     monkeypatch.setitem(LANGS, "cc", ["öde", "ähre", "über", "öhr", "süß"])
     rng = random.Random(9)
