@@ -261,7 +261,7 @@ def test_spelling_variants(spark, monkeypatch):
         docs.append((i, " ".join(words)))
     docs += [(400, None), (401, ""), (402, "12 -- ½"), (None, f"{base[0]}-{base[1]}_{base[2]}"), (5, docs[5][1]), (5, docs[5][1])]
     docs += [(500 + i, "a" * 5000 + " " + "a" * 4999 + " " + "ab" * 3000) for i in range(3)]
-    docs += [(600 + i, "zzzzyyyy " * 40 + "zzzzyyyx " * (3 if i < 8 else 0) + "zzzzyyxx " * (i < 2)) for i in range(10)]
+    docs += [(700 + i, "zzzzyyyy " * 40 + "zzzzyyyx " * (3 if i < 8 else 0) + "zzzzyyxx " * (i < 2)) for i in range(10)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = _order(_variants_rows(df))
     exp = _order(plain_spelling(docs))
