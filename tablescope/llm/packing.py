@@ -40,8 +40,10 @@ def _measure(tokenizer: str, window: int):
         for b in byte_chunks(batches, "text", 4 << 20):
             docs = b.column("doc_id").to_pylist()
             out: dict[str, list] = {k: [] for k in ("row", "doc_id", "n", "rest", "crcs", "first_whole", "rest_crc", "rest_ids")}
-            for doc, text in zip(docs, b.column("text").to_pylist(), strict=True):
-                raw = encoder.ids(text or "") + end
+            ids, sizes = encoder.batch(b.column("text"))
+            ends = np.cumsum(sizes)
+            for doc, z, size in zip(docs, ends.tolist(), sizes.tolist(), strict=True):
+                raw = ids[z - size:z].tobytes() + end
                 n = len(raw) // 4
                 cut = n // window * window
                 crcs = [zlib.crc32(raw[4 * a:4 * (a + window)]) for a in range(0, cut, window)]

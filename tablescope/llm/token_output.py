@@ -24,12 +24,13 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, serial = TaskContext.get().partitionId(), 0
         encoder = Encoder.of(path)
-        end = np.array([END_ID], dtype="<u4").tobytes()
+        end = np.array([END_ID], dtype="<u4")
 
         def rows():
             for b in byte_chunks(batches, "text", 4 << 20):
-                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    yield doc, np.frombuffer(encoder.ids(text or "") + end, "<u4")
+                ids, sizes = encoder.batch(b.column("text"))
+                for doc, z, size in zip(b.column("doc_id").to_pylist(), np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
+                    yield doc, np.concatenate([ids[z - size:z], end])
 
         for image, docs, n in images(rows(), IMAGE_IDS):
             yield pa.RecordBatch.from_pydict({"part": [part], "serial": [serial], "docs": [docs], "ids": [n], "image": [image]},

@@ -534,6 +534,27 @@ def test_added_tokens_have_the_ids_of_the_untouched_library(library):
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == library(text)
 
 
+def test_batches_of_texts_have_the_ids_of_the_untouched_library(library, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    bits = ["the", "Don't", "über", " ", "  ", "\n", " \n", "\t", "\u00a0", "\u3000", "\x1c", "\x85", "123", "x1", "--", "...", "日本", "é", "\x00",
+            "<|endoftext|>", "a" * 300, "ab" * 50, "'s", "_", "²"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["", " ", "  ", "a", " a", "a ", "a b ", "\n", *ADDED]
+    from tokenizers import Tokenizer
+    untouched = Tokenizer.from_file(tokens.default_path())
+    exp = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    for kept in (tokens.CACHE_BYTES, 1000):
+        monkeypatch.setattr(tokens, "CACHE_BYTES", kept)
+        enc = tokens.Encoder(tokens.default_path())
+        for part in (slice(0, 700), slice(700, None)):
+            ids, sizes = enc.batch(pa.array([*texts[part], None], pa.string())[:-1] if kept == 1000 else pa.array(texts[part], pa.string()))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == exp[part]
+    ids, sizes = enc.batch(pa.array([None, "a", None], pa.string()))
+    assert sizes.tolist() == [0, 1, 0] and enc.batch(pa.array([], pa.string()))[0].tolist() == []
+
+
 def test_added_tokens_in_token_files_and_windows(spark, library):
     data = [(i, t) for i, t in enumerate(ADDED)]
     ids = {i: np.array(library(t) + [0], dtype="<u4") for i, t in data}
