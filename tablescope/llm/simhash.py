@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.llm.common import as_bytes, byte_chunks, shuffle_partitions, staged
 from tablescope.llm.components import components
@@ -205,8 +206,9 @@ def _tile_blocks(fps: DataFrame) -> dict[int, int]:
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
-                  radius: int = 2) -> DataFrame:
-    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id.
+                  radius: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id; with ``carry``, these
+    columns of ``df`` too, and ``root``, a fingerprint that stands for the component.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest
     identifier in the component of a row's fingerprint.  Defined cases: null or wordless text has
@@ -214,13 +216,15 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null identifiers are never the smallest unless a component has no other; repeated rows stay; an
     empty table gives no rows.
     """
-    rows = staged(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"))
-                  .mapInArrow(_fingerprints("__text", shingle), "doc_id long, fp long"), "simhash")
+    kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *carry)
+    schema = T.StructType([f for f in kept.schema if f.name != "__text"]).add("fp", "long")
+    rows = staged(kept.mapInArrow(_fingerprints("__text", shingle), schema), "simhash")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(fps, radius))
     named = (fps.join(roots, fps.fp == roots.node, "left")
              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, "root").select("fp", "component_id")
+    by_fp = named.join(ids, "root").select("fp", "component_id", "root")
     return (rows.join(by_fp, "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+                    *([*carry, "root"] if carry else ())))

@@ -225,7 +225,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = max(1, int(often.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]) // SHARD_SEGMENTS)
     lists = (rows.join(often, "anchor")
              .groupBy("doc_id", "row_key")
-             .agg(F.collect_list(F.struct("start", "n", "anchor", (F.col("times") > hot).alias("hot"))).alias("segments")))
+             # a set: rows repeated as a whole share their segments and hits, and need them once
+             .agg(F.collect_set(F.struct("start", "n", "anchor", (F.col("times") > hot).alias("hot"))).alias("segments")))
     lists = lists.select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "segments")
     same = F.expr("row_key = r AND doc_id <=> d")
     found = docs.join(lists, same).select("doc_id", "row_key", "text", "segments")
@@ -234,7 +235,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .applyInArrow(_search(window), "key binary, mask binary"))
     places = found.mapInArrow(_segments(window, shards, False), "key binary, doc_id long, row_key long, start int")
     hits = (places.join(masks, "key").groupBy("doc_id", "row_key")
-            .agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+            .agg(F.collect_set(F.struct("start", "mask")).alias("hits"))
             .select(F.col("doc_id").alias("d"), F.col("row_key").alias("r"), "hits"))
     return (docs.join(hits, same, "left").select("doc_id", "text", "hits")
             .mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, "

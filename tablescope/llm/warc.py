@@ -46,13 +46,22 @@ def _record(kind: str, rid: str, fields: dict[str, object], block: bytes) -> byt
     return b"\r\n".join(lines) + b"\r\n\r\n" + block
 
 
+def _host_and_path(target: str | None) -> tuple[str, str]:
+    """Those of an absolute url; no host, and the root, of anything else or what cannot be parsed."""
+    try:
+        parts = urlsplit(target) if target and "://" in target else None
+    except ValueError:  # such as an open bracket in the host
+        parts = None
+    return (parts.netloc, parts.path or "/") if parts else ("", "/")
+
+
 def capture_records(key: str, page_id: int | None, url: str | None, payload: bytes, digest: str,
                     original: str | None, original_page: int | None) -> bytes:
     """The records of one capture, joined by the mark between records.  ``original`` is the record
     that holds the payload, if this capture is a revisit."""
     rid = record_id("response", key)
     target = _one_line(url) if url else None
-    parts = urlsplit(target) if target and "://" in target else None
+    host, path = _host_and_path(target)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     common = {"WARC-Target-URI": target, "WARC-Payload-Digest": f"sha1:{digest}"}
     if original is None:
@@ -60,8 +69,6 @@ def capture_records(key: str, page_id: int | None, url: str | None, payload: byt
     else:
         main = _record("revisit", rid, {**common, "WARC-Refers-To": original, "WARC-Profile": _REVISIT,
                                         "Content-Type": "application/http;msgtype=response"}, http)
-    path = (parts.path or "/") if parts else "/"
-    host = parts.netloc if parts else ""
     request = _record("request", record_id("request", key), {
         "WARC-Target-URI": target, "WARC-Concurrent-To": rid, "Content-Type": "application/http;msgtype=request"},
         f"GET {path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode())

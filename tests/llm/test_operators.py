@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -572,3 +573,18 @@ def test_mixing_counts_no_capacity_under_a_weight_of_zero(spark):
     leaves = spark.createDataFrame(leaf, "domain string, language string, source string, tokens long")
     got = {r.source: r.given for r in mixing.leaf_budgets(leaves, F.lit(800), 1, None, None, {"s1": 0}).collect()}
     assert got == {"s1": 0, "s2": 100, "s3": 700}
+
+
+def test_many_wholly_repeated_rows_are_no_slower_than_others(spark):
+    rng = random.Random(13)
+    text = " ".join(f"w{rng.randint(0, 9)}{i}" for i in range(60))
+    data = [(1, text)] * 3000 + [(None, text)] * 1000 + [(2, "x " + text + " y"), (3, "alone " * 34), (4, "again " * 36)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(frame(spark, data, 8), window=35).collect())
+    assert got == {(1, 60, 60): 3000, (None, 60, 60): 1000, (2, 62, 60): 1, (3, 34, 0): 1, (4, 36, 36): 1}
+
+
+def test_urls_that_cannot_be_parsed(spark):
+    pages = [(1, "http://[bad/x", "a"), (2, "http://exa\u2100mple.com/", "b"), (3, "no url", "c"), (4, None, "d"), (5, "http://h/p", "a"), (6, "http://]", None)]
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.warc_round_trip(_pages(spark, pages)).collect()}
+    assert got == {1: (1, "revisit", 5), 2: (1, "response", None), 3: (1, "response", None), 4: (1, "response", None),
+                   5: (1, "response", None), 6: (0, "response", None)}

@@ -42,6 +42,24 @@ def test_language_keeps_all_texts_with_letters(stages):
     assert sorted(kept) == sorted(t for _, t in pairs(stages[0]) if t and any(c.isalpha() for c in t))
 
 
+def test_language_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, "kato kina kemu " * 5 if i % 2 else "wurt wesp grod " * 5, "aa" if i % 2 else "bb") for i in range(40)] + [(90, "12", "aa")]
+    docs = (frame(spark, [(d, t) for d, t, _ in rows]).drop("lang")
+            .selectExpr("*", "if(doc_id % 2 = 1, 'aa', 'bb') AS lang", "7 AS score", "'mine' AS lang_pred", "array('w') AS word_langs", "doc_id AS c0"))
+    got = corpus_pipeline.language_stage(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, docs.where("doc_id <> 90").collect()))
+
+
+def test_near_stage_of_repeated_and_null_identifiers(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(300)) for x in "abc")
+    docs = [(1, a), (1, a), (1, b), (2, a + " "), (3, b.upper()), (None, c), (None, c), (None, c + " "), (4, "x y"), (None, "p q")]
+    got = pairs(corpus_pipeline.near_stage(spark, frame(spark, docs), SMALL))
+    least = {x: min((h, t) for h, t in [(r.h, r.t) for r in spark.createDataFrame([(t,) for t in ts], "t string").selectExpr("t", "xxhash64(t) AS h").collect()])[1]
+             for x, ts in (("c", (c, c + " ")),)}
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (1, b), (None, least["c"]), (4, "x y"), (None, "p q")]))
+
+
 def test_exact_stage(stages):
     groups = {}
     for d, t in pairs(stages[1]):
@@ -84,7 +102,7 @@ def test_registered():
     names = entry.queries()
     assert {n for n in names if n.startswith("op")} >= {
         "op1_exact_dedup", "op2_substring_dedup", "op3_lm_scoring", "op4_simhash", "op5_mixing", "op6_packing", "op7_language_id",
-        "op8_ann", "op9_token_ids", "op10_warc"} and "pipeline" in names
+        "op8_ann", "op9_token_ids", "op10_warc", "op11_vector_codes", "op12_toxicity", "op13_spelling"} and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op5_mixing"])
