@@ -23,8 +23,11 @@ from tablescope.llm.simhash import simhash_dedup  # noqa: E402
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the others keep their columns as they are."""
-    return predict(docs, fit_model(docs)).where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """Documents without a recognisable language go; the others keep their columns as they are, whatever
+    their names."""
+    plain = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns))))
+    kept = predict(plain, fit_model(docs), f"__c{docs.columns.index('text')}").where(F.col("lang_pred") != UNDETERMINED)
+    return kept.select(*(F.col(c).alias(name) for c, name in zip(plain.columns, docs.columns, strict=True)))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +39,14 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near duplicates the document of the smallest identifier stays."""
-    stays = (simhash_dedup(docs, shingle=3, radius=2).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """Of a group of near duplicates the document of the smallest identifier stays (null last; of one
+    identifier's texts that of the smallest hash), once."""
+    marks = {"__near_null": F.col("doc_id").isNull(), "__near_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__near_hash": F.xxhash64("text")}
+    keyed = docs.withColumns(marks)
+    # a group by its fingerprint: identifiers may repeat in several groups
+    first = (simhash_dedup(keyed, shingle=3, radius=2, carry=tuple(marks)).groupBy("root")
+             .agg(F.min(F.struct(*marks)).alias("k")).select("k.*"))
+    return keyed.join(first, list(marks), "left_semi").dropDuplicates(list(marks)).drop(*marks)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
