@@ -701,6 +701,31 @@ def q_corr_pairs_nullable(spark, sf):
     return assoc.corr_pairs(I.customer_orders(spark, sf), CO_NUM)
 
 
+def _kendall_sql(tbl, cols):
+    """tau-b over all ordered pairs of rows; each pair of columns over the rows where both are present."""
+    both = " UNION ALL ".join(f"SELECT '{a}' AS feature1, '{b}' AS feature2, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y FROM {tbl} "
+                              f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for i, a in enumerate(cols) for b in cols[i + 1:])
+    return f"""
+WITH v AS ({both}),
+s AS (SELECT p.feature1, p.feature2, sign(p.x - q.x) AS sx, sign(p.y - q.y) AS sy
+      FROM v p JOIN v q ON p.feature1 = q.feature1 AND p.feature2 = q.feature2),
+n AS (SELECT feature1, feature2, count(*) AS n FROM v GROUP BY ALL),
+t AS (SELECT feature1, feature2, sum(sx * sy) / nullif(sqrt(sum(abs(sx))) * sqrt(sum(abs(sy))), 0) AS tau FROM s GROUP BY ALL)
+SELECT feature1, feature2, CAST(n AS BIGINT) AS n, round(tau, 4) AS kendall FROM t JOIN n USING (feature1, feature2)"""
+
+
+@register("corr_kendall", _kendall_sql(CO, CO_NUM))
+def q_corr_kendall(spark, sf):
+    from tablescope.operators import kendall
+    return kendall.corr_kendall(I.customer_orders(spark, sf), CO_NUM)
+
+
+@register("corr_kendall_part", _kendall_sql("part", ["p_size", "p_retailprice", "p_partkey"]))
+def q_corr_kendall_part(spark, sf):
+    from tablescope.operators import kendall
+    return kendall.corr_kendall(I.table(spark, sf, "part"), ["p_size", "p_retailprice", "p_partkey"])
+
+
 @register("corr_top_pairs", f"""
 WITH p AS ({_pairs_cte(CO, CO_NUM)})
 SELECT feature1, feature2, CAST(n AS BIGINT) AS n, round(r, 4) AS pearson FROM p WHERE r IS NOT NULL
@@ -1548,6 +1573,40 @@ def q_cluster_projection(spark, sf):
     return segment.cluster_projection(I.customer_orders(spark, sf), _SEG_NUM, ["c_mktsegment"], k=3)
 
 
+_DENSITY_SQL = f"""
+WITH RECURSIVE t AS (SELECT c_custkey, n_orders / 4 AS u, c_acctbal / 1000 AS v FROM {CO}),
+p AS (SELECT u, v, count(*) AS w FROM t WHERE u IS NOT NULL AND v IS NOT NULL GROUP BY u, v),
+near AS (SELECT a.u, a.v, b.u AS bu, b.v AS bv, b.w AS bw FROM p a JOIN p b
+         ON (a.u - b.u) * (a.u - b.u) + (a.v - b.v) * (a.v - b.v) <= 0.25::DOUBLE * 0.25::DOUBLE),
+core AS (SELECT u, v FROM near GROUP BY u, v HAVING sum(bw) >= 5),
+link AS (SELECT n.u, n.v, n.bu, n.bv FROM near n JOIN core a ON a.u = n.u AND a.v = n.v JOIN core b ON b.u = n.bu AND b.v = n.bv),
+reach AS (SELECT u, v, u AS ru, v AS rv FROM core
+          UNION SELECT l.u, l.v, r.ru, r.rv FROM link l JOIN reach r ON r.u = l.bu AND r.v = l.bv),
+named AS (SELECT u, v, min({{'x': ru, 'y': rv}}) AS c FROM reach GROUP BY u, v),
+placed AS (SELECT n.u, n.v, min(m.c) AS c FROM near n JOIN named m ON m.u = n.bu AND m.v = n.bv GROUP BY n.u, n.v)
+SELECT t.c_custkey, k.u IS NOT NULL AS core, coalesce(m.c, pl.c).x AS cluster_x, coalesce(m.c, pl.c).y AS cluster_y
+FROM t LEFT JOIN core k ON k.u = t.u AND k.v = t.v LEFT JOIN named m ON m.u = t.u AND m.v = t.v
+LEFT JOIN placed pl ON pl.u = t.u AND pl.v = t.v"""
+
+
+def _customer_plane(spark, sf):
+    return I.customer_orders(spark, sf).selectExpr("c_custkey", "n_orders / 4 AS u", "c_acctbal / 1000 AS v")
+
+
+@register("density_clusters", _DENSITY_SQL)
+def q_density_clusters(spark, sf):
+    from tablescope.operators import density
+    return density.density_clusters(_customer_plane(spark, sf), "u", "v", 0.25, 5).drop("u", "v")
+
+
+@register("density_clusters_projection")
+def q_density_clusters_projection(spark, sf):
+    """Number of density clusters and of noise rows of the first two principal components."""
+    from tablescope.operators import density, segment
+    plane = segment.pca(I.customer_orders(spark, sf), CO_NUM, k=2)["projection"]
+    return density.density_summary(density.density_clusters(plane, "pc1", "pc2", 0.5, 5))
+
+
 _TOT = ", ".join(f"round(avg({c}), 2) AS {c}" for c in _SEG_NUM)
 
 
