@@ -34,6 +34,8 @@ MAX_BUCKETS = 4096
 # the number of equal cells a bracket is ranked in.
 SKETCH_ACCURACY = 10_000
 BRACKET_CELLS = 1024
+# Counts of one scan.
+MARK_BATCH = 60
 # Rows a side may hold to be broadcast when its size is only known at run time.
 BROADCAST_ROWS = 2_000_000
 
@@ -161,9 +163,11 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
 def _selected_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column, p, q) without ranking the columns: nothing runs before the result is used.
 
-    The sketch is off by at most rows / SKETCH_ACCURACY ranks, so three times that on either side
-    surely holds both order statistics of an interpolated quantile; columns of up to SKETCH_ACCURACY
-    values are bracketed whole.  A rank outside its bracket would be an error, never a wrong value.
+    The sketch is off by at most rows / SKETCH_ACCURACY ranks, always and not by chance, so three times
+    that on either side holds both order statistics of an interpolated quantile; columns of up to
+    SKETCH_ACCURACY values are bracketed whole.  One scan only counts what lies below each bracket, a
+    second ranks what lies in one, the sole rows that are made.  A rank outside its bracket would mean a
+    broken sketch: an error, never a wrong value.
     """
     margin = 3.0 / SKETCH_ACCURACY
     points = [x for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
@@ -187,18 +191,26 @@ def _selected_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[floa
         lo, hi = F.col(f"b{i}_{j}.lo"), F.col(f"b{i}_{j}.hi")
         share = F.floor(F.try_divide(v[i] - lo, hi - lo) * BRACKET_CELLS)
         cell = F.coalesce(F.least(share, F.lit(BRACKET_CELLS - 1)), F.lit(0)).cast("int")
-        # what lies below is only counted, in a cell of its own; what lies above is not needed
-        return F.when(v[i] <= hi, F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.when(v[i] < lo, -1).otherwise(cell)
-                                           .alias("cell"), F.when(v[i] >= lo, v[i]).alias("value")))
+        return F.when(v[i].between(lo, hi), F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), cell.alias("cell"), v[i].alias("value")))
 
-    hist = (with_scalars(x, bounds).select(F.explode(F.array(*[placed(i, j) for i, j in marks])).alias("r"))
+    within = with_scalars(x, bounds)
+    hist = (within.select(F.explode(F.array(*[placed(i, j) for i, j in marks])).alias("r"))
             .where(F.col("r").isNotNull()).select("r.*")
             .groupBy("c", "j", "cell", "value").agg(F.count(F.lit(1)).alias("n")))
+    under = None
+    for at in range(0, len(marks), MARK_BATCH):
+        some = marks[at:at + MARK_BATCH]
+        one = (with_scalars(x, bounds.select(*[f"b{i}_{j}" for i, j in some]))
+               .agg(*[F.count_if(v[i] < F.col(f"b{i}_{j}.lo")).alias(f"u{i}_{j}") for i, j in some])
+               .select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.col(f"u{i}_{j}").alias("under")) for i, j in some]))))
+        under = one if under is None else under.union(one)
     before = Window.partitionBy("c", "j", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("c", "j").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (hist.groupBy("c", "j", "cell").agg(F.sum("n").alias("cn"))
-             .select("c", "j", "cell", F.coalesce(F.sum("cn").over(earlier), F.lit(0)).alias("off")))
-    ranked = (hist.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("cell") >= 0)
+             .select("c", "j", "cell", F.coalesce(F.sum("cn").over(earlier), F.lit(0)).alias("off"))
+             .join(F.broadcast(under), ["c", "j"])  # one row per column and probability
+             .select("c", "j", "cell", (F.col("off") + F.col("under")).alias("off")))
+    ranked = (hist.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0)))
               .join(cells, ["c", "j", "cell"]))
     first = F.col("off") + F.col("inner")
     last = first + F.col("n") - 1
@@ -207,9 +219,9 @@ def _selected_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[floa
                          & (first <= high) & (last >= low))  # one row per column and probability
              .groupBy("column", "p", "pos").agg(F.min("value").alias("vlo"), F.max("value").alias("vhi"),
                                                 F.min(first).alias("from"), F.max(last).alias("to")))
+    held = (F.col("from") <= low) & (F.col("to") >= high)
     q = F.col("vlo") + (F.col("pos") - low) * (F.col("vhi") - F.col("vlo"))
-    return found.select("column", "p", F.when((F.col("from") <= low) & (F.col("to") >= high), q)
-                        .otherwise(F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("q"))
+    return found.select("column", "p", F.when(held, q).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("q"))
 
 
 def wide_quantiles(qtall: DataFrame, keys: Sequence[str], names: dict[float, str]) -> DataFrame:
