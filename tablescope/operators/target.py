@@ -18,7 +18,7 @@ from tablescope.functions.exprs import (
 )
 from tablescope.operators.assoc import pearson_pairs, spearman_pairs
 from tablescope.operators.histogram import exact_quantiles
-from tablescope.operators.stat_tests import chi_square
+from tablescope.operators.stat_tests import chi_square_pairs
 
 DECILES = [i / 10 for i in range(1, 10)]
 
@@ -47,10 +47,10 @@ def target_associations(df: DataFrame, target: str, features: Sequence[str] | No
             F.struct(F.lit("spearman").alias("method"), F.col("rho").alias("score")))
         parts.append(t.select(F.col("feature1").alias("feature"), "n", best.alias("b")).select(
             "feature", "n", "b.method", "b.score"))
-    for c in cats:
-        v = chi_square(df, c, target, fill="Missing").select(
-            F.lit(c).alias("feature"), "n", F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("score"))
-        parts.append(v)
+    if cats:
+        v = chi_square_pairs(df, [(c, target) for c in cats], fill="Missing")
+        parts.append(v.select(F.col("feature1").alias("feature"), "n", F.lit("cramers_v").alias("method"),
+                              F.col("cramers_v").alias("score")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, n long, method string, score double")
     u = parts[0]
@@ -70,9 +70,9 @@ def feature_importance(df: DataFrame, target: str, features: Sequence[str] | Non
         p = pearson_pairs(df, nums + [target], [(f, target) for f in nums]).where(F.col("n") > 10)
         parts.append(p.select(F.col("feature1").alias("feature"), F.lit("abs_pearson").alias("method"),
                               F.abs("r").alias("importance")))
-    for c in cats:
-        parts.append(chi_square(df, c, target, fill="Missing").select(
-            F.lit(c).alias("feature"), F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("importance")))
+    if cats:
+        parts.append(chi_square_pairs(df, [(c, target) for c in cats], fill="Missing").select(
+            F.col("feature1").alias("feature"), F.lit("cramers_v").alias("method"), F.col("cramers_v").alias("importance")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, method string, importance double")
     u = parts[0]

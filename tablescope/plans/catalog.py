@@ -899,16 +899,12 @@ def q_contingency(spark, sf):
     return stat_tests.contingency(I.docs_labels(spark, sf), "quality", "lang")
 
 
-_OB = ("(SELECT o_orderstatus, o_orderpriority, CASE WHEN o_totalprice > 200000 THEN 'Yes' ELSE 'No' END AS big_order "
-       "FROM orders)")
-
-
 def _cat_deps_sql() -> str:
-    cols = ["o_orderstatus", "o_orderpriority", "big_order"]
+    cols = ["length_band", "quality", "toxic"]
     parts = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            parts.append(f"SELECT * FROM ({_chi_square_sql(_OB, a, b, 'Missing')})")
+            parts.append(f"SELECT * FROM ({_chi_square_sql(I.BANDED_DOCUMENTS_SQL, a, b, 'Missing')})")
     return f"""
 WITH u AS ({U(parts)})
 SELECT feature1, feature2, cramers_v, chi2, p_value,
@@ -919,12 +915,8 @@ FROM u WHERE rows * cols >= 4 AND p_value < 0.05 AND cramers_v > 0.1"""
 
 @register("categorical_dependencies", _cat_deps_sql())
 def q_categorical_dependencies(spark, sf):
-    from pyspark.sql import functions as F
     from tablescope.operators import stat_tests
-    o = I.table(spark, sf, "orders").select(
-        "o_orderstatus", "o_orderpriority",
-        F.when(F.col("o_totalprice") > 200000, "Yes").otherwise("No").alias("big_order"))
-    return stat_tests.categorical_dependencies(o, ["o_orderstatus", "o_orderpriority", "big_order"])
+    return stat_tests.categorical_dependencies(I.banded_documents(spark, sf), ["length_band", "quality", "toxic"])
 
 
 def _group_effect_sql(src: str, g: str, x: str, kruskal: bool) -> str:
@@ -1812,10 +1804,34 @@ def q_preview_shape(spark, sf):
     return io.preview(I.table(spark, sf, "lineitem"))[1]
 
 
-@register("mixed_interactions")
+def _mixed_sql(src: str, pairs) -> str:
+    """Every pair with the test its groups call for; three groups each, so both tail probabilities are closed forms."""
+    parts = []
+    for g, x in pairs:
+        parts.append(f"""
+SELECT * FROM (WITH d AS (SELECT coalesce({g}, 'Missing') AS g, CAST({x} AS DOUBLE) AS x FROM {src} s WHERE {x} IS NOT NULL),
+mm AS (SELECT g, count(*) AS n, avg(x) AS m FROM d GROUP BY g HAVING count(*) > 2),
+sk AS (SELECT d.g, avg(pow(x - m, 3)) / NULLIF(pow(avg(pow(x - m, 2)), 1.5), 0) AS s, max(n) AS n
+       FROM d JOIN mm ON d.g = mm.g GROUP BY d.g),
+pick AS (SELECT bool_and(n < 30 OR coalesce(abs(s) < 2, false)) AS anova FROM sk),
+a AS ({_group_effect_sql(src, g, x, kruskal=False)}),
+h AS ({_group_effect_sql(src, g, x, kruskal=True)}),
+raw AS (SELECT (sum(mm.n * pow(mm.m - t.m, 2)) / (count(*) - 1)) / (max(w.w) / (sum(mm.n) - count(*))) AS f,
+               sum(mm.n) - count(*) AS d2
+        FROM mm, (SELECT avg(x) AS m FROM d JOIN mm ON d.g = mm.g) t,
+             (SELECT sum(pow(x - mm.m, 2)) AS w FROM d JOIN mm ON d.g = mm.g) w)
+SELECT a.categorical_feature, a.numeric_feature, a.test, a.statistic,
+       round(pow(1 + 2 * f / d2, -d2 / 2.0), 6) AS p_value, pow(1 + 2 * f / d2, -d2 / 2.0) < 0.05 AS significant,
+       a.eta_squared, a.effect, a.groups FROM a, raw, pick WHERE anova
+UNION ALL SELECT h.* FROM h, pick WHERE NOT anova)""")
+    return f"SELECT * FROM ({U(parts)}) WHERE significant"
+
+
+@register("mixed_interactions", _mixed_sql(I.BANDED_DOCUMENTS_SQL, [
+    (g, x) for g in ("length_band", "quality") for x in ("n_chars", "root_chars")]))
 def q_mixed_interactions(spark, sf):
     from tablescope.operators import stat_tests
-    return stat_tests.mixed_interactions(I.table(spark, sf, "events"), ["event_type"], ["value", "user_id"])
+    return stat_tests.mixed_interactions(I.banded_documents(spark, sf), ["length_band", "quality"], ["n_chars", "root_chars"])
 
 
 @register("quality_score", f"""

@@ -82,3 +82,18 @@ def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", "c_acctbal", "c_mktsegment", "c_nationkey",
                     F.coalesce("n_orders", F.lit(0)).cast("double").alias("n_orders"),
                     "total_spent", "avg_order"))
+
+
+def banded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with a band of their length, its root, and their labels as text (NULL where unlabelled)."""
+    n = F.col("n_chars")
+    return docs_labels(spark, sf_dir).select(
+        F.when(n <= 1000, "short").when(n <= 2500, "middle").otherwise("long").alias("length_band"),
+        F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"),
+        "n_chars", F.sqrt(n.cast("double")).alias("root_chars"))
+
+
+BANDED_DOCUMENTS_SQL = (
+    "(SELECT CASE WHEN n_chars <= 1000 THEN 'short' WHEN n_chars <= 2500 THEN 'middle' ELSE 'long' END AS length_band, "
+    "CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic, n_chars, sqrt(n_chars) AS root_chars "
+    f"FROM {DOCS_LABELS_SQL} x)")
