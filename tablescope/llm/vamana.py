@@ -3,10 +3,13 @@
 Vectors are dealt to shards by hash.  In a shard, points are inserted in rounds: beam searches from
 the medoid propose neighbours, and of the visited points robust pruning keeps an edge only if no
 kept one is nearer to the candidate by the factor ``alpha`` (relaxed in a second pass); edges are
-mirrored and pruned again.  Every query runs a beam search in every shard; the shards' candidates
-are scored exactly in double precision and merged.
+mirrored and pruned again.  The graphs are written once; every query runs a beam search in every
+shard, in blocks of a bounded number of queries.  The shards' candidates are scored exactly in double
+precision and merged.
 
-Equal vectors are one point: it carries its smallest identifiers, as many as a query can return.
+Vectors of one direction (equal up to positive scale, to twelve decimals of the unit vector) have one
+cosine to any query and are one point: it carries its smallest identifiers, as many as a query can
+return, so ties among them go to the smaller ones.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescope.llm.common import shuffle_partitions, staged
 
 #: Points that a shard is planned for.
 SHARD_POINTS = 3_000
+#: Queries that a block is planned for: one task holds a shard's graph and a block.
+BLOCK_QUERIES = 8_192
 DEGREE = 24
 BEAM_BUILD = 48
 BEAM_QUERY = 96
@@ -138,14 +143,26 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _build_shard(table: pa.Table) -> pa.Table:
+    """The graph of a shard, a row for each point: its place, its vector, its neighbours' places."""
+    unit = _unit(np.array(table.column("v").to_pylist(), dtype=float))
+    graph, entry = build_graph(unit)
+    n = len(unit)
+    return pa.table({"dims": table.column("dims"), "shard": table.column("shard"), "place": np.arange(n, dtype=np.int32),
+                     "entry": np.arange(n) == entry, "unit": pa.array(list(unit), pa.list_(pa.float64())),
+                     "near": pa.array(list(graph.astype(np.int32)), pa.list_(pa.int32())),
+                     "ids": table.column("ids").cast(pa.list_(pa.int64()))})
+
+
 def _search_shard(k: int, beam: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        raw = np.array(left.column("v").to_pylist(), dtype=float)
-        unit = _unit(raw)
-        graph, entry = build_graph(unit)
+        left = left.sort_by("place")
+        unit = np.array(left.column("unit").to_pylist(), dtype=float)
+        graph = np.array(left.column("near").to_pylist(), dtype=np.int64)
+        entry = int(np.argmax(left.column("entry").to_numpy(zero_copy_only=False)))
         holders = left.column("ids").to_pylist()
         out: list[list] = [[], [], []]
         query_ids = right.column("query_id").to_pylist()
@@ -164,37 +181,54 @@ def _search_shard(k: int, beam: int):
     return run
 
 
+def _direction(v: Column) -> Column:
+    """The unit vector as integers, twelve decimals each; scaled first, so that nothing overflows."""
+    big = F.array_max(F.transform(v, F.abs))
+    scaled = F.transform(v, lambda x: x / big)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
+    return F.transform(scaled, lambda x: F.round(x / norm * 1e12).cast("long"))
+
+
 def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding",
-            beam: int = BEAM_QUERY, shard_points: int = SHARD_POINTS) -> DataFrame:
+            beam: int = BEAM_QUERY, shard_points: int = SHARD_POINTS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every query.
 
     Queries are the rows whose identifier is divisible by ``every``; candidates are all rows but the
     query's own identifier; nearness is the cosine in double precision, ties to the smaller
     identifier.  Defined cases: null identifiers, and vectors that are null, empty, zero or hold null
     or non-finite components, take no part; only vectors of one length are compared; rows that repeat
-    an identifier count once each as candidates if their vectors differ; with fewer candidates than
-    ``k`` all are returned; an empty table gives no rows.
+    an identifier count once each as candidates if their directions differ, and a query identifier with
+    several vectors gets the nearest to any of them; with fewer candidates than ``k`` all are returned;
+    an empty table gives no rows.
     """
     spark = df.sparkSession
     v = F.col(vector_col).cast("array<double>")
     ok = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
-    # distinct vectors with their k + 1 smallest identifiers, found in salted groups first
-    slim = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    small = Window.partitionBy("v", "salt").orderBy("vec_id")
-    ids = Window.partitionBy("v").orderBy("vec_id")
+    # distinct directions with their k + 1 smallest identifiers, found in salted groups first
+    slim = (rows.withColumn("way", _direction(F.col("v"))).groupBy("vec_id", "way").agg(F.min("v").alias("v"))
+            .withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))))
+    small = Window.partitionBy("way", "salt").orderBy("vec_id")
+    ids = Window.partitionBy("way").orderBy("vec_id")
     points = (slim.withColumn("r", F.row_number().over(small)).where(F.col("r") <= k + 1)
               .withColumn("r", F.row_number().over(ids)).where(F.col("r") <= k + 1)
-              .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
+              .groupBy("way").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min_by("v", "vec_id").alias("v"))
+              .select("v", "ids", F.size("v").alias("dims"), F.xxhash64("way").alias("hash")))
     points = staged(points, "vamana-points")
     shards = max(1, -(-points.count() // shard_points))
-    dealt = points.select("v", "ids", F.size("v").alias("dims"), F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
-    queries = (rows.where(F.col("vec_id") % every == 0).distinct()
-               .select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dims"))
-               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))))
     n = shuffle_partitions(spark)
-    found = (dealt.repartition(n, "dims", "shard").groupBy("dims", "shard")
-             .cogroup(queries.repartition(n, "dims", "shard").groupBy("dims", "shard"))
+    dealt = points.select("v", "ids", "dims", F.pmod("hash", F.lit(shards)).alias("shard"))
+    graphs = staged(dealt.repartition(n, "dims", "shard").groupBy("dims", "shard").applyInArrow(
+        _build_shard, "dims int, shard long, place int, entry boolean, unit array<double>, near array<int>, ids array<long>"),
+        "vamana-graphs")
+    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    blocks = max(1, -(-asked.count() // block_queries))
+    queries = (asked.select(F.col("vec_id").alias("query_id"), "v", F.size("v").alias("dims"),
+                            F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).alias("block"))
+               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))))
+    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    at = ("dims", "shard", "block")
+    found = (spread.repartition(n, *at).groupBy(*at).cogroup(queries.repartition(n, *at).groupBy(*at))
              .applyInArrow(_search_shard(k, beam), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -361,6 +361,33 @@ def test_nearest(spark):
     assert got[3250] == [(3300, pytest.approx(0.8))]
 
 
+def test_nearest_of_scaled_copies(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(600, 12))
+    data = [(i, base[i].tolist()) for i in range(600)]
+    # 500 vectors of one direction, of every size; and two identifiers that repeat with other sizes
+    data += [(10_000 + i, (base[9] * (0.37 + 1.13 * i) * 10.0 ** (i % 80 - 40)).tolist()) for i in range(500)]
+    data += [(10_003, (base[9] * 3).tolist()), (50, (base[50] * 7).tolist())]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vamana.nearest(df, k=5, every=50, shard_points=200, block_queries=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got.keys() == {v for v, _ in data if v % 50 == 0}
+    for q in got:
+        if q >= 10_000:
+            assert [v for v, _ in got[q]] == [v for v in [9, *range(10_000, 10_006)] if v != q][:5]
+            assert all(s == pytest.approx(1.0, abs=1e-12) for _, s in got[q])
+    unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+    hits = 0
+    few = [q for q in got if q < 600]
+    for q in few:
+        near = unit @ unit[q]
+        every = [(-near[i], i) for i in range(600) if i != q] + [(-near[9], 10_000 + i) for i in range(5)]
+        exp = [i for s, i in sorted((round(s, 12), i) for s, i in every)][:5]
+        hits += len(set(exp) & {v for v, _ in got[q]})
+    assert hits >= 0.9 * 5 * len(few)
+
+
 def _pages(spark, data):
     return spark.createDataFrame(data, "page_id long, url string, html string")
 
