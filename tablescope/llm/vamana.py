@@ -14,6 +14,7 @@ return, so ties among them go to the smaller ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -181,12 +182,17 @@ def _search_shard(k: int, beam: int):
     return run
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once, however often a lambda inside reads it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _direction(v: Column) -> Column:
     """The unit vector as integers, twelve decimals each; scaled first, so that nothing overflows."""
-    big = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / big)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
-    return F.transform(scaled, lambda x: F.round(x / norm * 1e12).cast("long"))
+    def units(scaled: Column) -> Column:
+        norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda total, x: total + x * x))
+        return _let(norm, lambda n: F.transform(scaled, lambda x: F.floor(x / n * 1e12 + 0.5)))
+    return _let(F.array_max(F.transform(v, F.abs)), lambda big: _let(F.transform(v, lambda x: x / big), units))
 
 
 def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding",
