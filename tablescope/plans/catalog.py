@@ -1834,6 +1834,52 @@ def q_mixed_interactions(spark, sf):
     return stat_tests.mixed_interactions(I.banded_documents(spark, sf), ["length_band", "quality"], ["n_chars", "root_chars"])
 
 
+@register("suggest_target", """
+SELECT 'l_shipdate' AS "column", 'low_cardinality_last_column' AS reason FROM lineitem
+HAVING count(DISTINCT l_shipdate) < 0.3 * count(*)""")
+def q_suggest_target(spark, sf):
+    return types.suggest_target(I.table(spark, sf, "lineitem").select("l_discount", "l_tax", "l_shipdate"))
+
+
+def _filled(share: float) -> str:
+    """Customer features of the rows that are filled to at least ``share``."""
+    have = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE 1 END" for c in CO_NUM)
+    return f"(SELECT {', '.join(CO_NUM)} FROM {CO} t WHERE {have} >= {share * len(CO_NUM)})"
+
+
+@register("feature_matrix", f"""
+SELECT {', '.join(f'coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {_filled(0.5)} m)) AS {c}' for c in CO_NUM)}
+FROM {_filled(0.5)} x""")
+def q_feature_matrix(spark, sf):
+    from tablescope.operators import assoc
+    return assoc.feature_matrix(I.customer_orders(spark, sf), CO_NUM)
+
+
+def _feature_clusters_sql(cols, threshold: float) -> str:
+    """Seeds in column order: a column that no earlier seed is linked to; each takes what is linked and free."""
+    at = range(len(cols))
+    link = ", ".join(f"coalesce(abs(corr({cols[i]}, {cols[j]})) > {threshold}, false) AS l{i}_{j}" for i in at for j in at if i < j)
+    steps = [f"e AS (SELECT {link} FROM {_filled(0.7)} x)"]
+    for j in at:
+        taken = " OR ".join(f"(s{i} AND l{i}_{j})" for i in range(j)) or "false"
+        steps.append(f"e{j} AS (SELECT *, NOT ({taken}) AS s{j} FROM {f'e{j - 1}' if j else 'e'})")
+    parts = []
+    for i in at:
+        free = [f"CASE WHEN l{i}_{j} AND NOT ({' OR '.join(f'(s{k} AND l{k}_{j})' for k in range(i)) or 'false'}) THEN '{cols[j]}' END"
+                for j in at if j > i]
+        if free:
+            size = " + ".join(f"CAST(({c}) IS NOT NULL AS BIGINT)" for c in free)
+            parts.append(f"SELECT '{cols[i]}' AS seed, concat_ws(',', '{cols[i]}', {', '.join(free)}) AS features, "
+                         f"CAST(1 + {size} AS BIGINT) AS size FROM e{len(cols) - 1} WHERE s{i}")
+    return f"WITH {', '.join(steps)} SELECT * FROM ({U(parts)}) WHERE size > 1"
+
+
+@register("feature_clusters", _feature_clusters_sql(CO_NUM, 0.7))
+def q_feature_clusters(spark, sf):
+    from tablescope.operators import assoc
+    return assoc.feature_clusters(I.customer_orders(spark, sf), CO_NUM)
+
+
 @register("quality_score", f"""
 WITH t AS {DL},
 a AS (SELECT count(*) AS r, {' + '.join(f'count_if({c} IS NULL)' for c in DL_COLS)} AS mc,
