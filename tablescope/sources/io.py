@@ -4,21 +4,27 @@ collected to the driver."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import CSV_DELIMITERS, CSV_ENCODINGS
+from tablescope.functions.exprs import with_scalars
+from tablescope.sources.csv_records import LINE_ENCODINGS, read_csv_records
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8",
              infer_schema: bool = True, multi_line: bool = True) -> DataFrame:
     """Header CSV with inferred types; a doubled quote stands for a quote.
 
-    ``multi_line`` lets quoted fields hold line breaks, at the price of one task per file; switch it
-    off for large files without them, which are then split.
+    With ``multi_line`` quoted fields may hold line breaks: the borders of records are found in parallel
+    (``csv_records``) for the encodings of ``LINE_ENCODINGS``, at the price of writing the records once;
+    other encodings take Spark's reader, one task per file.  Without it lines are records.
     """
+    if multi_line and encoding.lower() in LINE_ENCODINGS:
+        return read_csv_records(spark, path, sep, encoding, infer_schema)
     return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
             .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
             .option("inferSchema", infer_schema).option("mode", "PERMISSIVE").csv(path))
@@ -68,7 +74,7 @@ def preview(df: DataFrame, n: int = 5) -> tuple[DataFrame, DataFrame]:
 
 
 def _write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -124,13 +130,33 @@ def write_clustered_csv(df: DataFrame, numeric: Sequence[str], categorical: Sequ
     return out
 
 
-def write_findings_json(results: dict[str, DataFrame], path: str, dataset_name: str = "dataset") -> None:
-    """Each result table as JSON lines under ``path/<name>``, plus a metadata record."""
+def findings_document(results: dict[str, DataFrame], dataset_name: str = "dataset") -> DataFrame:
+    """(place, item, text): the pieces of one JSON document, in the order of (place, item).
+
+    Metadata first (data set, time, names of the results), then each result as an array of its rows, fields
+    that are null included, ordered by their text."""
     spark = next(iter(results.values())).sparkSession
-    for name, frame in results.items():
-        frame.withColumn("_dataset", F.lit(dataset_name)).write.mode("overwrite").json(f"{path}/{name}")
-    meta = spark.createDataFrame([(dataset_name, ",".join(results))], "dataset string, results string")
-    meta.withColumn("generated_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/_metadata")
+    meta = F.to_json(F.struct(F.lit(dataset_name).alias("dataset"), F.current_timestamp().alias("generated_at"),
+                              F.array(*[F.lit(n) for n in results]).alias("results")))
+    pieces = spark.range(1).select(F.lit(-1).alias("place"), F.lit("").alias("item"),
+                                   F.concat(F.lit('{"metadata": '), meta, F.lit(',\n"results": {')).alias("text"))
+    marks = []
+    for i, (name, frame) in enumerate(results.items()):
+        marks += [(3 * i, "", (",\n" if i else "") + json.dumps(name) + ": ["), (3 * i + 2, "", "]")]
+        rows = frame.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("item"))
+        rows = rows.groupBy("item").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        comma = F.when(F.col("item") == F.col("first"), "").otherwise(",\n")
+        pieces = pieces.unionAll(with_scalars(rows, rows.agg(F.min("item").alias("first"))).select(
+            F.lit(3 * i + 1).alias("place"), "item",
+            F.concat(comma, F.array_join(F.array_repeat("item", F.col("n")), ",\n")).alias("text")))
+    marks.append((3 * len(results), "", "}}"))
+    return pieces.unionAll(spark.createDataFrame(marks, "place int, item string, text string"))
+
+
+def write_findings_json(results: dict[str, DataFrame], path: str, dataset_name: str = "dataset") -> None:
+    """One JSON document of all results, the only file below ``path``; the sort that orders it spills."""
+    document = findings_document(results, dataset_name).orderBy("place", "item").select("text")
+    document.coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_key_findings_csv(findings: DataFrame, path: str) -> DataFrame:
