@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.constants import (
     PRIORITY_BAND_LOWEST, PRIORITY_BANDS, SIZE_FACTOR_LOWEST, SIZE_FACTORS, WIDTH_FACTOR_LOWEST, WIDTH_FACTORS,
 )
-from tablescope.functions.exprs import as_double, head, is_numeric, ladder, nan_to_null, r4, with_scalars
+from tablescope.functions.exprs import as_double, head, is_numeric, ladder, nan_to_null, r4, tall_agg, with_scalars
 from tablescope.operators.quality import dataset_profile
 
 
@@ -59,9 +59,49 @@ def investment_priority(df: DataFrame, target: str | None = None) -> DataFrame:
                     ladder(score, PRIORITY_BANDS, PRIORITY_BAND_LOWEST).alias("priority_band"))
 
 
+def rule_facts(df: DataFrame, target: str | None = None) -> DataFrame:
+    """One row of what the rules read beside the profile.
+
+    ``related_pairs`` numeric pairs with |r| > 0.3 over more than 10 rows, ``collinear`` whether three numeric
+    columns or more hold a pair above 0.8, ``highly_skewed_columns`` (|skewness| > 2), ``quality_issues``,
+    and of the target its task, the severity of its imbalance and whether Jarque-Bera takes it as normal
+    (null where that does not apply).  The target is not a feature."""
+    from tablescope.operators.assoc import pearson_pairs
+    from tablescope.operators.profile import class_balance
+    from tablescope.operators.quality import quality_issues
+    from tablescope.operators.types import task_type
+    df = nan_to_null(df)
+    nums = [c for c in df.columns if c != target and is_numeric(df.schema[c].dataType)]
+    one = quality_issues(df).agg(F.count(F.lit(1)).cast("long").alias("quality_issues"))
+    r = F.abs("r")
+    one = with_scalars(one, pearson_pairs(df, nums).agg(
+        F.count_if((r > 0.3) & (F.col("n") > 10)).cast("long").alias("related_pairs"),
+        (F.lit(len(nums) >= 3) & (F.count_if(r > 0.8) > 0)).alias("collinear")))
+    if nums:
+        skew = tall_agg(df, nums, lambda c: {"skewness": F.skewness(as_double(df, c))}, ["skewness"])
+        one = with_scalars(one, skew.agg(F.count_if(F.abs("skewness") > 2).cast("long").alias("highly_skewed_columns")))
+    else:
+        one = one.withColumn("highly_skewed_columns", F.lit(0).cast("long"))
+    if target is None:
+        return one.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
+                                 (("task_type", "string"), ("imbalance", "string"), ("target_normal", "boolean"))])
+    one = with_scalars(with_scalars(one, task_type(df, target).select("task_type")),
+                       class_balance(df, target).agg(F.max("severity").alias("imbalance")))
+    if not is_numeric(df.schema[target].dataType):
+        return one.withColumn("target_normal", F.lit(None).cast("boolean"))
+    x = as_double(df, target)
+    jb = F.count(x) / 6.0 * (F.pow(F.skewness(x), 2) + F.pow(F.kurtosis(x), 2) / 4.0)
+    return with_scalars(one, df.agg((F.exp(-jb / 2.0) > 0.05).alias("target_normal")))
+
+
 def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool]]:
     c = F.col
     n, k = c("rows"), c("columns")
+    classes, regression = c("task_type") == "classification", c("task_type") == "regression"
+    imbalanced = c("imbalance") == "high"
+    normal = F.coalesce(c("target_normal"), F.lit(True))
+    poor = [c("missing_pct") > 20, c("duplicate_pct") > 5, c("constant_columns") > 0, c("mixed_type_columns") > 0,
+            c("id_like_columns") > 1]
     return [
         # structure
         ("structure", "high_missing_columns", c("columns_over_half_missing") > 0, "data_quality", "high", 8, True),
@@ -74,13 +114,21 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("preprocessing", "scaling", c("n_numeric") > 1, "scaling", "medium", 4, False),
         ("preprocessing", "outliers", c("outlier_warnings") > 0, "outliers", "medium", 6, True),
         # feature engineering
+        ("feature_engineering", "transformations", c("highly_skewed_columns") > 0, "transformations", "medium", 5, False),
+        ("feature_engineering", "interactions", c("related_pairs") > 0, "feature_interactions", "low", 4, False),
         ("feature_engineering", "dimensionality", c("n_numeric") > 10, "dimensionality", "medium", 5, False),
         ("feature_engineering", "datetime_features", c("n_datetime") > 0, "datetime_features", "medium", 5, False),
         # modelling
         ("modelling", "small_dataset", n < 1000, "small_dataset", "high", 8, True),
         ("modelling", "large_dataset", n > 100000, "large_dataset", "medium", 5, False),
         ("modelling", "more_features_than_rows", k > n, "dimensionality", "high", 9, True),
+        ("modelling", "imbalanced_classes", classes & imbalanced, "classification_imbalanced", "high", 9, True),
+        ("modelling", "balanced_classes", classes & ~imbalanced, "classification_balanced", "medium", 5, False),
+        ("modelling", "non_normal_target", regression & ~normal, "regression_non_normal", "medium", 6, True),
+        ("modelling", "normal_target", regression & normal, "regression_normal", "medium", 5, False),
+        ("modelling", "multicollinearity", c("collinear"), "multicollinearity", "medium", 6, True),
         # data collection
+        ("data_collection", "quality_issues", c("quality_issues") > 0, "data_quality", "medium", 6, True),
         ("data_collection", "incomplete", c("missing_pct") > 20, "completeness", "high", 8, True),
         ("data_collection", "too_few_rows", n < 100, "sample_size", "high", 8, True),
         ("data_collection", "few_rows", (n >= 100) & (n < 1000), "sample_size", "medium", 6, True),
@@ -113,16 +161,23 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
         ("key", "some_high_warnings", (c("high_warnings") > 0) & (c("high_warnings") <= 5), "warnings", "medium", 7, True),
         ("key", "high_value", _priority(has_target) > 0.8, "business_value", "low", 6, False),
         ("key", "low_value", _priority(has_target) < 0.4, "business_value", "high", 8, True),
-        ("key", "target_present", F.lit(has_target), "target", "medium", 6, False),
+        ("key", "class_imbalance", classes & imbalanced, "target", "high", 9, True),
+        ("key", "target_suitable", (classes & ~imbalanced) | regression, "target", "medium", 6, False),
+        ("key", "many_related_pairs", c("related_pairs") > 10, "relationships", "medium", 7, True),
+        ("key", "related_pairs", c("related_pairs").between(1, 10), "relationships", "low", 5, False),
         # quality report
-        ("quality", "missing_rate", c("missing_pct") > 20, "missing", "high", 8, True),
-        ("quality", "duplicates", c("duplicate_pct") > 5, "duplicates", "medium", 6, True),
+        ("quality", "missing_rate", poor[0], "missing", "high", 8, True),
+        ("quality", "duplicates", poor[1], "duplicates", "medium", 6, True),
+        ("quality", "constant_columns", poor[2], "constants", "medium", 6, True),
+        ("quality", "type_issues", poor[3], "types", "medium", 6, True),
+        ("quality", "id_like_columns", poor[4], "identifiers", "low", 4, True),
+        ("quality", "good_condition", ~(poor[0] | poor[1] | poor[2] | poor[3] | poor[4]), "condition", "low", 3, False),
     ]
 
 
 def findings(df: DataFrame, target: str | None = None) -> DataFrame:
     """Every triggered rule: rule_set, rule, category, severity, priority, action_needed."""
-    prof = scores_row(dataset_profile(df, target))
+    prof = with_scalars(scores_row(dataset_profile(df, target)), rule_facts(df, target))
     rules = _rules(target is not None)
     arr = F.array(*[F.struct(F.lit(rs).alias("rule_set"), F.lit(name).alias("rule"), pred.alias("hit"),
                              F.lit(cat).alias("category"), F.lit(sev).alias("severity"),
@@ -133,17 +188,20 @@ def findings(df: DataFrame, target: str | None = None) -> DataFrame:
 
 
 def key_findings(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
-    """Key findings by priority (the top k if asked for), plus a summary row (priority 5) when any needs action."""
+    """Key findings by priority (the top k if asked for), plus a summary row (priority 5) when any of them
+    needs action; the summary itself needs action when more than half of them do."""
     f = findings(df, target).where(F.col("rule_set") == "key")
     # at most one entry per rule: gathered in one row, so that the dataset is profiled once
     entry = F.struct((-F.col("priority")).alias("rank"), "rule", "rule_set", "category", "severity", "priority", "action_needed")
-    one = f.agg(F.array_sort(F.collect_list(entry)).alias("top"), F.count_if("action_needed").alias("to_do"))
+    one = f.agg(F.array_sort(F.collect_list(entry)).alias("top"))
+    if k is not None:
+        one = one.select(F.slice("top", 1, k).alias("top"))
+    to_do = F.size(F.filter("top", lambda e: e["action_needed"]))
     summary = F.struct(F.lit(0).cast("long").alias("rank"), F.lit("summary").alias("rule"), F.lit("key").alias("rule_set"),
                        F.lit("summary").alias("category"), F.lit("medium").alias("severity"),
-                       F.lit(5).cast("long").alias("priority"), F.lit(True).alias("action_needed"))
-    top = F.col("top") if k is None else F.slice("top", 1, k)
-    last = F.when(F.col("to_do") > 0, F.array(summary)).otherwise(F.slice("top", 1, 0))
-    return one.select(F.inline(F.concat(top, last))).select("rule_set", "rule", "category", "severity", "priority", "action_needed")
+                       F.lit(5).cast("long").alias("priority"), (to_do > F.floor(F.size("top") / 2)).alias("action_needed"))
+    last = F.when(to_do > 0, F.array(summary)).otherwise(F.slice("top", 1, 0))
+    return one.select(F.inline(F.concat("top", last))).select("rule_set", "rule", "category", "severity", "priority", "action_needed")
 
 
 def action_items(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:

@@ -160,6 +160,20 @@ def column_bytes(df: DataFrame) -> DataFrame:
             .orderBy("position"))
 
 
+def basic_info(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, bytes held, and the names of the numeric, categorical and datetime columns
+    by data type (joined by commas, null where there are none)."""
+    from tablescope.operators.types import basic_types
+    df = nan_to_null(df)
+    names = basic_types(df).agg(*[
+        F.expr(f"nullif(array_join(transform(array_sort(collect_list(CASE WHEN basic_type = '{kind}' "
+               "THEN struct(position, `column`) END)), x -> x.`column`), ','), '')").alias(f"{kind}_columns")
+        for kind in ("numeric", "categorical", "datetime")])
+    size = with_scalars(df.agg(F.count(F.lit(1)).cast("long").alias("rows")).withColumn(
+        "columns", F.lit(len(df.columns)).cast("long")), column_bytes(df).agg(F.sum("bytes").cast("long").alias("bytes")))
+    return with_scalars(size, names)
+
+
 # --------------------------------------------------------------------------- numeric
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from tablescope.functions.exprs import (
     with_scalars,
 )
 from tablescope.operators.histogram import value_histogram
-from tablescope.operators.types import mixed_type_columns
+from tablescope.operators.types import mixed_type_columns, typed_columns
 
 
 def mixed_numeric_text(df: DataFrame) -> DataFrame:
@@ -97,6 +97,37 @@ def format_checks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
                     ((F.col("with_sep") > F.col("n") * 0.3) & (seps > 1)).alias("mixed_separators"))
 
 
+def quality_issues(df: DataFrame) -> DataFrame:
+    """(column, issue, n_values): every consistency, validity and formatting issue found.
+
+    Consistency: text that is partly numeric, dates written in several ways.  Validity: values outside
+    the range rules.  Formatting: what ``format_checks`` finds in text columns.  Case variants count
+    distinct values; several date forms and mixed separators count no values (null)."""
+    df = nan_to_null(df)
+    c = F.col
+    strs = [n for n in df.columns if is_string(df.schema[n].dataType)]
+    parts = [range_rules(df).where(c("n_invalid") > 0).select("column", c("rule").alias("issue"),
+                                                            c("n_invalid").alias("n_values"))]
+    if strs:
+        typed = typed_columns(df.select(*[col(n) for n in strs]))
+        dates = mixed_date_formats(df, strs).where("inconsistent").join(
+            F.broadcast(typed.where(c("semantic_type") == "datetime").select("column")), "column")  # a row per column
+        parts += [
+            mixed_type_columns(df).select("column", F.lit("mixed_types").alias("issue"), c("numeric_values").alias("n_values")),
+            dates.select("column", F.lit("date_formats").alias("issue"), F.lit(None).cast("long").alias("n_values"))]
+        found = [("padded", c("padded"), c("padded") > 0), ("case_variants", c("case_variants"), c("case_variants") > 0),
+                 ("unusual_characters", c("unusual"), c("encoding_issue")), ("escapes", c("escapes"), c("escapes") > 0),
+                 ("null_like", c("null_like"), c("null_like") > 0),
+                 ("mixed_separators", F.lit(None).cast("long"), c("mixed_separators"))]
+        each = F.array(*[F.struct(F.lit(name).alias("issue"), n.alias("n_values"), hit.alias("hit"))
+                         for name, n, hit in found])
+        parts.append(format_checks(df, strs).select("column", F.inline(each)).where("hit").drop("hit"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # --------------------------------------------------------------------------- warnings
 
 def _numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -163,7 +194,7 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row that the scores, bands and findings read: size, type counts, density,
     missing / duplicate rates, high-cardinality and warning counts."""
     from tablescope.operators.profile import duplicate_rows
-    from tablescope.operators.types import many_categories, typed_columns, usable_categorical
+    from tablescope.operators.types import many_categories, usable_categorical
     df = nan_to_null(df)
     k = len(df.columns)
     feature = F.lit(True) if target is None else F.col("column") != target
@@ -174,7 +205,10 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
         *[F.count_if(feature & (F.col("semantic_type") == t)).cast("long").alias(f"n_{t}")
           for t in ["numeric", "categorical", "datetime", "boolean"]],
         F.count_if(many_categories()).cast("long").alias("high_cardinality_columns"),
-        F.count_if(usable_categorical()).cast("long").alias("n_robust_categorical"))
+        F.count_if(usable_categorical()).cast("long").alias("n_robust_categorical"),
+        F.count_if(F.col("n_distinct") <= 1).cast("long").alias("constant_columns"),
+        F.count_if((F.col("numeric_ok") > 0) & (F.col("numeric_ok") < F.col("non_null"))).cast("long").alias("mixed_type_columns"),
+        F.count_if((F.col("n_distinct") == F.col("rows")) & (F.col("rows") > 0)).cast("long").alias("id_like_columns"))
     miss = df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
                   sum([F.count_if(col(c).isNull()) for c in df.columns], F.lit(0)).cast("long").alias("missing_cells"),
                   sum([F.when(F.count_if(col(c).isNull()) > 0, 1).otherwise(0) for c in df.columns], F.lit(0))
@@ -192,4 +226,5 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
         pct(F.col("missing_cells"), cells).alias("missing_pct"), "columns_with_missing", "columns_over_half_missing",
         "duplicate_rows", pct(F.col("duplicate_rows"), F.col("rows")).alias("duplicate_pct"),
         "high_cardinality_columns", "n_robust_categorical", "many_valued_categorical", "high_warnings", "outlier_warnings",
+        "constant_columns", "mixed_type_columns", "id_like_columns",
         F.lit(sum(name_contains(c, PII_NAME_PARTS) for c in df.columns)).cast("long").alias("pii_columns"))

@@ -1091,7 +1091,8 @@ def q_mi_bands(spark, sf):
 
 # --------------------------------------------------------------------------- quality checks
 
-@register("format_checks", U([f"""
+def _format_checks_sql(tbl: str, cols: Sequence[str]) -> str:
+    return U([f"""
 SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count_if(regexp_matches({c}, '^\\s|\\s$')) AS BIGINT) AS padded,
        CAST(count(DISTINCT {c}) - count(DISTINCT lower({c})) AS BIGINT) AS case_variants,
        CAST(count_if(regexp_matches({c}, '[^\\w\\s\\-\\.\\,\\(\\)\\[\\]]')) AS BIGINT) AS unusual,
@@ -1101,7 +1102,10 @@ SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count_if(regexp_
        count_if(regexp_matches({c}, '[,;|]')) > count({c}) * 0.3 AND
        (CASE WHEN bool_or(contains({c}, ',')) THEN 1 ELSE 0 END + CASE WHEN bool_or(contains({c}, ';')) THEN 1 ELSE 0 END
         + CASE WHEN bool_or(contains({c}, '|')) THEN 1 ELSE 0 END) > 1 AS mixed_separators
-FROM part""" for c in PART_STR]))
+FROM {tbl}""" for c in cols])
+
+
+@register("format_checks", _format_checks_sql("part", PART_STR))
 def q_format_checks(spark, sf):
     from tablescope.operators import quality
     return quality.format_checks(I.table(spark, sf, "part"), PART_STR)
@@ -1277,6 +1281,35 @@ def q_investment_priority(spark, sf):
     return findings.investment_priority(I.table(spark, sf, "orders"), target="o_orderpriority")
 
 
+def _issues_sql(tbl: str, strs: Sequence[str], range_sql: str | None = None) -> str:
+    """Issues of text columns (no dates among them) and of the range rules, from the SQL of the single checks."""
+    fc = _format_checks_sql(tbl, strs)
+    parts = [f"""SELECT "column", '{name}' AS issue, {n} AS n_values FROM ({fc}) WHERE {cond}""" for name, n, cond in [
+        ("padded", "padded", "padded > 0"), ("case_variants", "case_variants", "case_variants > 0"),
+        ("unusual_characters", "unusual", "encoding_issue"), ("escapes", "escapes", "escapes > 0"),
+        ("null_like", "null_like", "null_like > 0"), ("mixed_separators", "CAST(NULL AS BIGINT)", "mixed_separators")]]
+    parts += [f"""SELECT '{c}', 'mixed_types', CAST(count(try_cast({c} AS DOUBLE)) AS BIGINT) FROM {tbl}
+HAVING count(try_cast({c} AS DOUBLE)) > 0 AND count(try_cast({c} AS DOUBLE)) < count({c})""" for c in strs]
+    if range_sql:
+        parts.append(f'SELECT "column", rule, n_invalid FROM ({range_sql}) WHERE n_invalid > 0')
+    return U(parts)
+
+
+def _rule_facts_ctes(tbl: str, cols, nums, strs, classes: str, range_sql: str | None = None) -> str:
+    """CTE ``facts``: what the rules read beside the profile, for a target of classes."""
+    skewed = " + ".join(f"CASE WHEN abs((SELECT avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5) FROM {tbl} x, "
+                        f"(SELECT avg({c}) AS m FROM {tbl} y) z)) > 2 THEN 1 ELSE 0 END" for c in nums)
+    corrs = U([f"SELECT corr({a}, {b}) AS r, count_if({a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM {tbl} x" for a, b in _pairs(nums)])
+    return f"""fk AS (SELECT count_if(abs(r) > 0.3 AND n > 10) AS related, {f"count_if(abs(r) > 0.8)" if len(nums) > 2 else "0"} AS collinear FROM ({corrs})),
+fc AS (SELECT count(*) AS classes, max(n) / min(n) AS ratio FROM (SELECT count(*) AS n FROM {tbl} x WHERE {classes} IS NOT NULL GROUP BY {classes})),
+fi AS (SELECT count(*) AS issues FROM ({_issues_sql(tbl, strs, range_sql)})),
+fn AS (SELECT {' + '.join(f'CASE WHEN count(DISTINCT {c}) <= 1 THEN 1 ELSE 0 END' for c in cols)} AS const,
+              {' + '.join(f'CASE WHEN count(DISTINCT {c}) = count(*) THEN 1 ELSE 0 END' for c in cols)} AS ids,
+              {' + '.join(f'CASE WHEN count(try_cast({c} AS DOUBLE)) > 0 AND count(try_cast({c} AS DOUBLE)) < count({c}) THEN 1 ELSE 0 END' for c in strs)} AS mixed,
+              {skewed} AS skewed FROM {tbl} x),
+facts AS (SELECT * FROM fk, fc, fi, fn)"""
+
+
 def _findings_orders_sql() -> str:
     """Every rule over orders with a target: three numeric columns, one categorical, one date."""
     rules = [
@@ -1317,15 +1350,30 @@ def _findings_orders_sql() -> str:
         ("key", "warnings", "medium", [("some_high_warnings", 7, True, "high BETWEEN 1 AND 5")]),
         ("key", "business_value", "low", [("high_value", 6, False, "score > 0.8")]),
         ("key", "business_value", "high", [("low_value", 8, True, "score < 0.4")]),
-        ("key", "target", "medium", [("target_present", 6, False, "true")]),
         ("quality", "missing", "high", [("missing_rate", 8, True, "miss > 20")]),
         ("quality", "duplicates", "medium", [("duplicates", 6, True, "dup > 5")]),
+        ("feature_engineering", "transformations", "medium", [("transformations", 5, False, "skewed > 0")]),
+        ("feature_engineering", "feature_interactions", "low", [("interactions", 4, False, "related > 0")]),
+        ("modelling", "classification_imbalanced", "high", [("imbalanced_classes", 9, True, "r >= 10 AND classes >= 2 AND ratio > 10")]),
+        ("modelling", "classification_balanced", "medium", [("balanced_classes", 5, False, "r >= 10 AND NOT (classes >= 2 AND ratio > 10)")]),
+        ("modelling", "multicollinearity", "medium", [("multicollinearity", 6, True, "collinear > 0")]),
+        ("data_collection", "data_quality", "medium", [("quality_issues", 6, True, "issues > 0")]),
+        ("key", "target", "high", [("class_imbalance", 9, True, "r >= 10 AND classes >= 2 AND ratio > 10")]),
+        ("key", "target", "medium", [("target_suitable", 6, False, "r >= 10 AND NOT (classes >= 2 AND ratio > 10)")]),
+        ("key", "relationships", "medium", [("many_related_pairs", 7, True, "related > 10")]),
+        ("key", "relationships", "low", [("related_pairs", 5, False, "related BETWEEN 1 AND 10")]),
+        ("quality", "constants", "medium", [("constant_columns", 6, True, "const > 0")]),
+        ("quality", "types", "medium", [("type_issues", 6, True, "mixed > 0")]),
+        ("quality", "identifiers", "low", [("id_like_columns", 4, True, "ids > 1")]),
+        ("quality", "condition", "low", [("good_condition", 3, False, "NOT (miss > 20 OR dup > 5 OR const > 0 OR mixed > 0 OR ids > 1)")]),
     ]
     return _PRIORITY_ORDERS + f""",
 s AS (SELECT round(30 * least(k / 100.0, 1.0) + 20 * least(hc / 10.0, 1.0) + 25.0 * cm / k + 25.0 * rc / k, 4) AS cs FROM f),
 h AS (SELECT {' + '.join(f'CASE WHEN 2 * count({c}) < count(*) THEN 1 ELSE 0 END' for c, _ in ORDERS_COLS)} AS half FROM orders),
 u AS (SELECT round(((SELECT count(*) FROM orders) - count(*)) * 100.0 / (SELECT count(*) FROM orders), 2) AS dup FROM (SELECT DISTINCT * FROM orders)),
-e AS (SELECT * FROM z, s, h, u), fs AS ({U([f"SELECT '{rs}' AS rule_set, '{name}' AS rule, '{cat}' AS category, '{sev}' AS severity, "
+{_rule_facts_ctes("orders", [c for c, _ in ORDERS_COLS], ["o_orderkey", "o_custkey", "o_totalprice"],
+                  ["o_orderstatus", "o_orderpriority"], "o_orderpriority")},
+e AS (SELECT * FROM z, s, h, u, facts), fs AS ({U([f"SELECT '{rs}' AS rule_set, '{name}' AS rule, '{cat}' AS category, '{sev}' AS severity, "
                                              f"CAST({pri} AS BIGINT) AS priority, {str(act).lower()} AS action_needed FROM e WHERE {cond}"
                                              for rs, cat, sev, entries in rules for name, pri, act, cond in entries])})"""
 
@@ -1334,7 +1382,8 @@ ORACLE["findings"] = _findings_orders_sql() + " SELECT * FROM fs"
 
 
 @register("key_findings_orders", _findings_orders_sql() + """ SELECT * FROM fs WHERE rule_set = 'key'
-UNION ALL SELECT 'key', 'summary', 'summary', 'medium', 5, true FROM fs WHERE rule_set = 'key' AND action_needed HAVING count(*) > 0""")
+UNION ALL SELECT 'key', 'summary', 'summary', 'medium', 5, count_if(action_needed) > floor(count(*) / 2)
+FROM fs WHERE rule_set = 'key' HAVING count_if(action_needed) > 0""")
 def q_key_findings_orders(spark, sf):
     from tablescope.operators import findings
     return findings.key_findings(I.table(spark, sf, "orders"), target="o_orderpriority")
@@ -1939,3 +1988,253 @@ SELECT cs AS complexity_score, CASE WHEN cs > 70 THEN 'High' WHEN cs < 30 THEN '
 def q_readiness(spark, sf):
     from tablescope.operators import findings
     return findings.readiness(I.table(spark, sf, "orders"))
+
+
+_DOUBTFUL_SQL = ("(SELECT o_orderkey, o_custkey, o_orderkey + 1 AS next_key, o_orderpriority, o_totalprice, "
+                 "o_totalprice / 5000 - 20 AS customer_age, o_totalprice / 5000 AS discount_rate, 'x' AS tag, "
+                 "CASE WHEN o_orderkey < 100 THEN 1000.0 ELSE 1.0 END AS spikes, "
+                 "CASE WHEN o_orderkey % 20 = 0 THEN 'rare' ELSE 'common' END AS outcome, "
+                 "CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS VARCHAR) ELSE o_orderpriority END AS mixed_text FROM orders)")
+_DOUBTFUL_NUM = ["o_orderkey", "o_custkey", "next_key", "o_totalprice", "customer_age", "discount_rate", "spikes"]
+_DOUBTFUL_STR = ["o_orderpriority", "tag", "mixed_text"]
+_DOUBTFUL_RANGES = (f"SELECT 'o_totalprice' AS \"column\", 'negative_money' AS rule, CAST(count_if(o_totalprice < 0) AS BIGINT) AS n_invalid FROM {_DOUBTFUL_SQL} x "
+                    f"UNION ALL SELECT 'customer_age', 'age_range', CAST(count_if(customer_age < 0 OR customer_age > 150) AS BIGINT) FROM {_DOUBTFUL_SQL} x "
+                    f"UNION ALL SELECT 'discount_rate', 'percent_range', CAST(count_if(discount_rate < 0 OR discount_rate > 100) AS BIGINT) FROM {_DOUBTFUL_SQL} x")
+
+
+def _doubtful_orders(spark, sf):
+    """orders with names that range rules read, a constant, two identifiers, a spike, rare classes and mixed text."""
+    from pyspark.sql import functions as F
+    c = F.col
+    return I.table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", (c("o_orderkey") + 1).alias("next_key"), "o_orderpriority", "o_totalprice",
+        (c("o_totalprice") / 5000 - 20).alias("customer_age"), (c("o_totalprice") / 5000).alias("discount_rate"),
+        F.lit("x").alias("tag"), F.when(c("o_orderkey") < 100, 1000.0).otherwise(1.0).alias("spikes"),
+        F.when(c("o_orderkey") % 20 == 0, "rare").otherwise("common").alias("outcome"),
+        F.when(c("o_orderstatus") == "F", c("o_totalprice").cast("string")).otherwise(c("o_orderpriority")).alias("mixed_text"))
+
+
+@register("quality_issues", _issues_sql(_DOUBTFUL_SQL + " x", _DOUBTFUL_STR + ["outcome"], _DOUBTFUL_RANGES))
+def q_quality_issues(spark, sf):
+    from tablescope.operators import quality
+    return quality.quality_issues(_doubtful_orders(spark, sf))
+
+
+@register("rule_facts", f"""
+WITH {_rule_facts_ctes(_DOUBTFUL_SQL, _DOUBTFUL_NUM + _DOUBTFUL_STR + ["outcome"], _DOUBTFUL_NUM, _DOUBTFUL_STR + ["outcome"], "outcome", _DOUBTFUL_RANGES)}
+SELECT CAST(issues AS BIGINT) AS quality_issues, CAST(related AS BIGINT) AS related_pairs, collinear > 0 AS collinear,
+       CAST(skewed AS BIGINT) AS highly_skewed_columns, 'classification' AS task_type,
+       CASE WHEN classes < 2 THEN 'critical' WHEN ratio > 10 THEN 'high' WHEN ratio > 3 THEN 'medium' ELSE 'low' END AS imbalance FROM facts""")
+def q_rule_facts(spark, sf):
+    from tablescope.operators import findings
+    return findings.rule_facts(_doubtful_orders(spark, sf), target="outcome").drop("target_normal")
+
+
+@register("findings_doubtful", f"""
+WITH {_rule_facts_ctes(_DOUBTFUL_SQL, _DOUBTFUL_NUM + _DOUBTFUL_STR + ["outcome"], _DOUBTFUL_NUM, _DOUBTFUL_STR + ["outcome"], "outcome", _DOUBTFUL_RANGES)}
+SELECT rule_set, rule, CAST(priority AS BIGINT) AS priority, action_needed FROM (
+SELECT 'feature_engineering' AS rule_set, 'transformations' AS rule, 5 AS priority, false AS action_needed, skewed > 0 AS hit FROM facts
+UNION ALL SELECT 'feature_engineering', 'interactions', 4, false, related > 0 FROM facts
+UNION ALL SELECT 'modelling', 'imbalanced_classes', 9, true, ratio > 10 FROM facts
+UNION ALL SELECT 'modelling', 'balanced_classes', 5, false, ratio <= 10 FROM facts
+UNION ALL SELECT 'modelling', 'multicollinearity', 6, true, collinear > 0 FROM facts
+UNION ALL SELECT 'data_collection', 'quality_issues', 6, true, issues > 0 FROM facts
+UNION ALL SELECT 'key', 'class_imbalance', 9, true, ratio > 10 FROM facts
+UNION ALL SELECT 'key', 'target_suitable', 6, false, ratio <= 10 FROM facts
+UNION ALL SELECT 'key', 'many_related_pairs', 7, true, related > 10 FROM facts
+UNION ALL SELECT 'key', 'related_pairs', 5, false, related BETWEEN 1 AND 10 FROM facts
+UNION ALL SELECT 'quality', 'constant_columns', 6, true, const > 0 FROM facts
+UNION ALL SELECT 'quality', 'type_issues', 6, true, mixed > 0 FROM facts
+UNION ALL SELECT 'quality', 'id_like_columns', 4, true, ids > 1 FROM facts) WHERE hit""")
+def q_findings_doubtful(spark, sf):
+    """The findings that rest on facts beside the profile and on constant, mixed and identifier columns."""
+    from pyspark.sql import functions as F
+    from tablescope.operators import findings
+    f = findings.findings(_doubtful_orders(spark, sf), target="outcome").where(
+        (F.col("rule_set").isin("feature_engineering", "quality") & ~F.col("rule").isin(
+            "missing_rate", "duplicates", "datetime_features", "dimensionality"))
+        | F.col("rule").isin("imbalanced_classes", "balanced_classes", "multicollinearity", "quality_issues", "class_imbalance",
+                             "target_suitable", "many_related_pairs", "related_pairs"))
+    return f.select("rule_set", "rule", "priority", "action_needed")
+
+
+@register("findings_regression", """
+WITH m AS (SELECT avg(o_totalprice) AS m FROM orders),
+a AS (SELECT count(o_totalprice) AS n, count(DISTINCT o_totalprice) AS d, avg(pow(o_totalprice - m.m, 3)) / pow(avg(pow(o_totalprice - m.m, 2)), 1.5) AS sk,
+             avg(pow(o_totalprice - m.m, 4)) / pow(avg(pow(o_totalprice - m.m, 2)), 2) - 3 AS ku FROM orders, m),
+b AS (SELECT n, exp(-n / 12.0 * (sk * sk + ku * ku / 4.0)) > 0.05 AS normal FROM a)
+SELECT 'modelling' AS rule_set, 'non_normal_target' AS rule, 'medium' AS severity FROM b WHERE n >= 10 AND NOT normal
+UNION ALL SELECT 'modelling', 'normal_target', 'medium' FROM b WHERE n >= 10 AND normal
+UNION ALL SELECT 'key', 'target_suitable', 'medium' FROM b WHERE n >= 10""")
+def q_findings_regression(spark, sf):
+    """The findings about a regression target."""
+    from pyspark.sql import functions as F
+    from tablescope.operators import findings
+    f = findings.findings(I.table(spark, sf, "orders"), target="o_totalprice")
+    return f.where(F.col("rule").contains("target") | F.col("rule").contains("class")).select("rule_set", "rule", "severity")
+
+
+# --------------------------------------------------------------------------- names and types of columns
+
+def _described(tbl: str) -> str:
+    """(column, position, data_type) of a table, with the names Spark gives the types."""
+    return f"""(SELECT column_name AS "column", CAST(row_number() OVER () - 1 AS INTEGER) AS position,
+        CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string'
+             WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS data_type
+        FROM (DESCRIBE SELECT * FROM {tbl}))"""
+
+
+_BASIC = ("CASE WHEN data_type IN ('bigint', 'int', 'double') THEN 'numeric' WHEN data_type IN ('date', 'timestamp_ntz') THEN 'datetime' "
+          "ELSE 'categorical' END")
+
+
+@register("basic_types", f"""SELECT *, {_BASIC} AS basic_type FROM {_described('lineitem')}""")
+def q_basic_types(spark, sf):
+    return types.basic_types(I.table(spark, sf, "lineitem"))
+
+
+@register("dtype_summary", f"""SELECT data_type, count(*) AS n_columns FROM {_described('lineitem')} GROUP BY data_type""")
+def q_dtype_summary(spark, sf):
+    return types.dtype_summary(I.table(spark, sf, "lineitem"))
+
+
+@register("name_flags", f"""
+SELECT "column", position, regexp_matches("column", 'id|key|index|uuid') AS potential_id,
+       regexp_matches("column", 'name|email|phone|address|ssn|social|id|user|customer|account|person|individual|contact|zip|postal|credit|card|license|passport|birth|age') AS potential_pii,
+       regexp_matches("column", 'target|label|class|y|outcome') AS target_like FROM {_described('customer')}""")
+def q_name_flags(spark, sf):
+    return types.name_flags(I.table(spark, sf, "customer"))
+
+
+def _names(kind: str) -> str:
+    return f"(SELECT string_agg(\"column\", ',' ORDER BY position) FROM {_described('orders')} WHERE {_BASIC} = '{kind}')"
+
+
+@register("basic_info", f"""
+SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(6 AS BIGINT) AS columns,
+       CAST(8 * (count(o_orderkey) + count(o_custkey) + count(o_totalprice) + count(o_orderdate))
+            + sum(strlen(o_orderstatus)) + sum(strlen(o_orderpriority)) AS BIGINT) AS bytes,
+       {_names('numeric')} AS numeric_columns, {_names('categorical')} AS categorical_columns, {_names('datetime')} AS datetime_columns
+FROM orders""")
+def q_basic_info(spark, sf):
+    return profile.basic_info(I.table(spark, sf, "orders"))
+
+
+# --------------------------------------------------------------------------- files written and read back
+
+def _csv_copy(df: DataFrame, name: str, **options) -> str:
+    """The rows as CSV with a header below the checkpoint folder; the writer is Spark's."""
+    from tablescope.session import work_path
+    path = work_path(df.sparkSession, name)
+    df.write.option("header", True).option("escape", '"').options(**options).csv(path)
+    return path
+
+
+@register("read_csv", """SELECT doc_id, text, lang, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents""")
+def q_read_csv(spark, sf):
+    """documents as CSV, line breaks inside the quoted texts included, read back."""
+    from tablescope.sources import io
+    out = io.read_csv(spark, _csv_copy(I.table(spark, sf, "documents"), "documents-csv"))
+    return out.withColumns({c: out[c].cast("long") for c in ("doc_id", "n_chars")})
+
+
+@register("read_csv_auto", """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def q_read_csv_auto(spark, sf):
+    """customer as CSV with ';', the delimiter, the encoding and the types found from the files."""
+    from tablescope.sources import io
+    out = io.read_csv_auto(spark, _csv_copy(I.table(spark, sf, "customer"), "customer-csv", sep=";"))
+    return out.withColumn("c_custkey", out.c_custkey.cast("long"))
+
+
+@register("read_table", "SELECT * FROM nation")
+def q_read_table(spark, sf):
+    from tablescope.sources import io
+    return io.read_table(spark, f"{sf.rstrip('/')}/nation.parquet")
+
+
+@register("write_contingency_csv", ORACLE["contingency"])
+def q_write_contingency_csv(spark, sf):
+    from tablescope.session import work_path
+    from tablescope.sources import io
+    path = work_path(spark, "contingency")
+    written = io.write_contingency_csv(I.docs_labels(spark, sf), "quality", "lang", path)
+    back = io.read_csv(spark, path)
+    return back.select(*[back[f.name].cast(f.dataType).alias(f.name) for f in written.schema])
+
+
+@register("write_key_findings_csv", f"""
+SELECT CAST(priority AS BIGINT) AS "Priority", category AS "Category", rule AS "Insight",
+       CASE WHEN action_needed THEN 'Yes' ELSE 'No' END AS "Action Needed" FROM ({ORACLE['key_findings_orders']})""")
+def q_write_key_findings_csv(spark, sf):
+    from tablescope.operators import findings
+    from tablescope.session import work_path
+    from tablescope.sources import io
+    path = work_path(spark, "key-findings")
+    io.write_key_findings_csv(findings.key_findings(I.table(spark, sf, "orders"), target="o_orderpriority"), path)
+    back = io.read_csv(spark, path)
+    return back.withColumn("Priority", back.Priority.cast("long"))
+
+
+@register("write_findings_json", f"""
+SELECT 'contingency' AS result, concat_ws('|', quality, lang, n) AS item FROM ({ORACLE['contingency']})
+UNION ALL SELECT 'missing', concat_ws('|', "column", missing_count, severity) FROM ({ORACLE['missing_profile']})""")
+def q_write_findings_json(spark, sf):
+    """Two results as one JSON document, read back as one document."""
+    from pyspark.sql import functions as F
+    from tablescope.operators import stat_tests
+    from tablescope.session import work_path
+    from tablescope.sources import io
+    df = I.docs_labels(spark, sf)
+    path = work_path(spark, "findings-json")
+    io.write_findings_json({"contingency": stat_tests.contingency(df, "quality", "lang"),
+                            "missing": missing.missing_profile(df)}, path, "documents")
+    doc = spark.read.option("multiLine", True).json(path)
+    parts = [doc.select(F.inline(f"results.{name}")).select(F.lit(name).alias("result"), F.concat_ws("|", *cols).alias("item"))
+             for name, cols in (("contingency", ["quality", "lang", "n"]), ("missing", ["column", "missing_count", "severity"]))]
+    return parts[0].unionAll(parts[1])
+
+
+_QC_TYPES = ", ".join(f"('{c}', '{dt}')" for c, dt in ORDERS_COLS)
+_QC_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@register("write_quality_csv", f"""
+WITH ty(c, dt) AS (VALUES {_QC_TYPES}), r AS (SELECT count(*) AS r FROM orders),
+mz AS ({U([f"SELECT '{c}' AS c, 'Missing Values' AS a, count_if({c} IS NULL) AS n, 50 AS hi, 20 AS mid, 'missing cells' AS d FROM orders" for c, _ in ORDERS_COLS]
+          + [f"SELECT '{c}', 'Zero Values', count_if({c} = 0), 70, 30, 'zero values' FROM orders" for c in _QC_NUM])}),
+mp AS (SELECT *, {PCT('n', 'r')} AS p FROM mz, r),
+q AS ({_iqr_cte('orders', _QC_NUM)}),
+b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
+o AS ({_iqr_count('orders', _QC_NUM)}),
+op AS (SELECT b.c, oc, {PCT('oc', 'n')} AS p FROM b JOIN o ON b.c = o.c)
+SELECT x.*, ty.dt AS "Data_Type" FROM (
+SELECT a AS "Assessment_Type", c AS "Column", CAST(n AS BIGINT) AS "Issue_Count", p AS "Issue_Percentage",
+       CASE WHEN p > hi THEN 'High' WHEN p > mid THEN 'Medium' ELSE 'Low' END AS "Severity" FROM mp WHERE n > 0
+UNION ALL SELECT 'Outliers', c, CAST(oc AS BIGINT), p, CASE WHEN p > 10 THEN 'High' WHEN p > 5 THEN 'Medium' ELSE 'Low' END FROM op WHERE oc > 0
+UNION ALL SELECT 'Cardinality', "column", unique_count, unique_pct, cardinality FROM ({ORACLE['cardinality_profile']})) x
+JOIN ty ON x."Column" = ty.c""")
+def q_write_quality_csv(spark, sf):
+    """The quality table of orders as CSV, read back; the free text of ``Details`` is left out."""
+    from tablescope.session import work_path
+    from tablescope.sources import io
+    path = work_path(spark, "quality")
+    written = io.write_quality_csv(I.table(spark, sf, "orders"), path).drop("Details")
+    back = io.read_csv(spark, path)
+    return back.select(*[back[f.name].cast(f.dataType).alias(f.name) for f in written.schema])
+
+
+@register("write_clustered_csv", f"""
+SELECT c_custkey, round(c_acctbal, 4) AS c_acctbal, round(coalesce(avg_order, (SELECT median(avg_order) FROM {CO})), 4) AS avg_order,
+       true AS labelled FROM {CO}""")
+def q_write_clustered_csv(spark, sf):
+    """Customers with gaps filled and a cluster of three each, written and read back."""
+    from pyspark.sql import functions as F
+    from tablescope.session import work_path
+    from tablescope.sources import io
+    path = work_path(spark, "clusters")
+    df = I.customer_orders(spark, sf).select("c_custkey", "c_acctbal", "avg_order")
+    io.write_clustered_csv(df, ["c_acctbal", "avg_order"], [], 3, path)
+    back = io.read_csv(spark, path)
+    return back.select(back.c_custkey.cast("long").alias("c_custkey"), *[
+        (F.round(F.col(c) * 10000) / 10000).alias(c) for c in ("c_acctbal", "avg_order")],
+        back.Cluster.between(0, 2).alias("labelled"))

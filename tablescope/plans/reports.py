@@ -23,7 +23,8 @@ def quality_report(df: DataFrame) -> dict[str, DataFrame]:
     from tablescope.operators import missing, outliers, profile, quality, scores, types
     base = _base(df)
     return {
-        "basic_info": profile.data_density(base),
+        "basic_info": profile.basic_info(base),
+        "density": profile.data_density(base),
         "missing": missing.missing_profile(base),
         "zero_values": profile.zero_values(base),
         "duplicates": profile.duplicate_rows_subset(base),
