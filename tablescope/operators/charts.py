@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.exprs import as_double, col, nan_to_null, pct, r4, with_scalars
 from tablescope.operators.clean import filter_top_categories, sample_n
 from tablescope.operators.histogram import (
-    exact_quantiles, numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles,
+    exact_quantiles, grouped_quantiles, hot_groups, join_groups, numeric_histogram, wide_quantiles,
 )
 
 
@@ -54,15 +54,14 @@ def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     df = nan_to_null(df)
     keys = [group] if group else []
     d = df.where(col(group).isNotNull()) if group else df
-    hist = numeric_histogram(d, [value], keys=keys).persist()
+    hist = numeric_histogram(d, [value], keys=keys)
     allk = keys + ["column"]
-    q = wide_quantiles(quantiles_from_ranked(ranked_histogram(hist, allk, small_keys=not keys), allk,
-                                             [0.25, 0.5, 0.75], small_keys=not keys), allk,
-                       {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    hot = hot_groups(hist, allk)
+    q = wide_quantiles(grouped_quantiles(hist, allk, [0.25, 0.5, 0.75], hot), allk, {0.25: "q1", 0.5: "median", 0.75: "q3"})
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
-    j = hist.join(q if keys else F.broadcast(q), allk)
+    j = join_groups(hist, q, allk, hot)
     out = j.groupBy(*allk, "q1", "median", "q3").agg(
         F.sum("n").cast("long").alias("n"),
         F.min(F.when(inside, F.col("value"))).alias("whisker_low"),

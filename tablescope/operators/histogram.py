@@ -36,6 +36,11 @@ SKETCH_ACCURACY = 10_000
 BRACKET_CELLS = 1024
 # Counts of one scan.
 MARK_BATCH = 60
+# A group is hot when it holds more than this many distinct values and more than one in HOT_GROUPS of all;
+# so there are fewer than HOT_GROUPS hot groups, and their bounds of CELL_STEP ** 2 cells may be broadcast.
+HOT_VALUES = 1_000_000
+HOT_GROUPS = 200
+CELL_STEP = 32
 # Rows a side may hold to be broadcast when its size is only known at run time.
 BROADCAST_ROWS = 2_000_000
 
@@ -146,6 +151,76 @@ def quantiles_from_ranked(ranked: DataFrame, keys: Sequence[str], probs: Sequenc
                        (F.col("_vhi") - F.col("_vlo"))).alias("q"))
 
 
+def _same_group(keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for j, k in enumerate(keys):
+        cond = cond & col(k).eqNullSafe(F.col(f"_h{j}"))
+    return cond
+
+
+def hot_groups(hist: DataFrame, keys: Sequence[str], hot_values: int | None = None) -> DataFrame:
+    """(_h0.., _total): the keys of the hot groups of a histogram and their rows; fewer than HOT_GROUPS."""
+    hot_values = HOT_VALUES if hot_values is None else hot_values
+    size = hist.groupBy(*[col(k).alias(f"_h{j}") for j, k in enumerate(keys)]).agg(
+        F.count(F.lit(1)).alias("_d"), F.sum("n").cast("long").alias("_total"))
+    share = size.agg((F.sum("_d") / HOT_GROUPS).alias("_share"))
+    return with_scalars(size, share).where((F.col("_d") > F.col("_share")) & (F.col("_d") > hot_values)).drop("_d", "_share")
+
+
+def join_groups(hist: DataFrame, groups: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """The rows of a histogram with what ``groups`` (one row a key) holds of their group: hot groups by a
+    broadcast of their rows of ``groups``, the others by a join on the keys."""
+    names = [f"_h{j}" for j in range(len(keys))]
+    small = F.broadcast(hot.select(*names))  # fewer than HOT_GROUPS rows
+    chosen = groups.join(small, _same_group(keys)).drop(*keys)
+    of_hot = hist.join(F.broadcast(chosen), _same_group(keys)).drop(*names)
+    return of_hot.unionByName(hist.join(small, _same_group(keys), "left_anti").join(groups, list(keys)))
+
+
+def grouped_ranks(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], hot: DataFrame) -> DataFrame:
+    """A ranked histogram per group that holds what the quantiles ``probs`` need, without a task for a group.
+
+    A group that is not hot is ranked in its window.  A hot one is cut into cells at sketched quantiles of its
+    distinct values; the rows of each cell are counted, and only cells that hold a wanted rank are ranked."""
+    keys = list(keys)
+    kcols = [col(k) for k in keys]
+    names = [f"_h{j}" for j in range(len(keys))]
+    small = F.broadcast(hot)  # fewer than HOT_GROUPS rows
+    cold = ranked_histogram(hist.join(small, _same_group(keys), "left_anti"), keys, buckets=1, small_keys=False)
+
+    cells = CELL_STEP * CELL_STEP
+    bounds = hist.join(small, _same_group(keys)).groupBy(*names, "_total").agg(F.percentile_approx(
+        "value", F.array(*[F.lit(i / cells) for i in range(1, cells)]), SKETCH_ACCURACY).alias("_bounds"))
+    # every CELL_STEP-th bound first, then the bounds between two of them
+    bounds = bounds.withColumn("_coarse", F.filter("_bounds", lambda b, i: (i + 1) % CELL_STEP == 0))
+    value = F.col("value")
+    rows = hist.join(F.broadcast(bounds), _same_group(keys))
+    rows = rows.withColumn("_c", F.size(F.filter("_coarse", lambda b: b < value)))
+    fine = F.slice("_bounds", F.col("_c") * CELL_STEP + 1, F.lit(CELL_STEP - 1))
+    rows = rows.withColumn("_cell", F.col("_c") * CELL_STEP + F.size(F.filter(fine, lambda b: b < value)))
+    rows = rows.select(*kcols, "value", "n", "_total", "_cell")
+
+    counts = rows.groupBy(*[col(k).alias(h) for k, h in zip(keys, names)], F.col("_cell").alias("_hc"), "_total").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy("_hc").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    wanted = F.lit(False)
+    for p in probs:
+        at = (F.col("_total") - 1) * float(p)
+        for k in (F.floor(at), F.ceil(at)):
+            wanted = wanted | ((k >= F.col("_off")) & (k < F.col("_off") + F.col("_n")))
+    need = counts.where(wanted).drop("_total", "_n")  # at most two cells a hot group and probability
+    rows = rows.join(F.broadcast(need), _same_group(keys) & (F.col("_cell") == F.col("_hc"))).drop(*names, "_hc")
+    before = Window.partitionBy(*kcols, "_cell").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_off") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    ranked = rows.withColumn("below", below.cast("long")).withColumn("total", F.col("_total")).drop("_cell", "_off", "_total")
+    return cold.unionByName(ranked)
+
+
+def grouped_quantiles(hist: DataFrame, keys: Sequence[str], probs: Sequence[float], hot: DataFrame) -> DataFrame:
+    """(keys..., p, q): exact quantiles of the groups of a histogram; ``hot`` as of ``hot_groups``."""
+    return quantiles_from_ranked(grouped_ranks(hist, keys, probs, hot), keys, probs, small_keys=False)
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     keys: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(keys..., column, p, q): exact quantiles of numeric columns, optionally per group.
@@ -156,6 +231,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         return _selected_quantiles(df, list(cols), [float(p) for p in probs])
     hist = numeric_histogram(df, cols, keys)
     allk = list(keys) + ["column"]
+    if keys and buckets is None:
+        return grouped_quantiles(hist, allk, probs, hot_groups(hist, allk))
     ranked = ranked_histogram(hist, allk, buckets=buckets, small_keys=not keys)
     return quantiles_from_ranked(ranked, allk, probs, small_keys=not keys)
 

@@ -17,7 +17,7 @@ from tablescope.functions.exprs import (
     as_double, col, is_numeric, nan_to_null, pct, r4, scalar_structs, tall_agg, with_scalars,
 )
 from tablescope.operators.histogram import (
-    exact_quantiles, numeric_histogram, quantiles_from_ranked, ranked_histogram, wide_quantiles,
+    exact_quantiles, grouped_quantiles, hot_groups, join_groups, numeric_histogram, wide_quantiles,
 )
 
 
@@ -37,10 +37,8 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                         ["column"])
 
 
-def _group_bounds(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    ranked = ranked_histogram(hist, keys, small_keys=False)
-    return _with_bounds(wide_quantiles(quantiles_from_ranked(ranked, keys, [0.25, 0.75], small_keys=False),
-                                       keys, {0.25: "q1", 0.75: "q3"}), keys)
+def _group_bounds(hist: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    return _with_bounds(wide_quantiles(grouped_quantiles(hist, keys, [0.25, 0.75], hot), keys, {0.25: "q1", 0.75: "q3"}), keys)
 
 
 def _iqr_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -162,8 +160,9 @@ def outliers_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """IQR bounds per category and the number of outliers in each group."""
     df = nan_to_null(df)
     hist = numeric_histogram(df.where(col(group).isNotNull()), [value], keys=[group])
-    b = _group_bounds(hist, [group, "column"])
-    out = hist.join(b, [group, "column"]).groupBy(group, "lower", "upper").agg(
+    keys = [group, "column"]
+    hot = hot_groups(hist, keys)
+    out = join_groups(hist, _group_bounds(hist, keys, hot), keys, hot).groupBy(group, "lower", "upper").agg(
         F.sum("n").cast("long").alias("n"),
         F.sum(F.when((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper")), F.col("n"))
               .otherwise(0)).cast("long").alias("n_outliers"))
