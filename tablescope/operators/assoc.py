@@ -1,8 +1,9 @@
 """Associations between columns: correlation pair tables and what is derived from them.
 
-* Pearson: one wide aggregate per batch of pairs, pairwise-complete rows, computed as
-  ``covar_samp / sqrt(var_a var_b)`` so a constant column gives NULL instead of the
-  DIVIDE_BY_ZERO that ``corr`` raises under ANSI mode.
+* Pearson: one wide aggregate for up to ``PAIR_BATCH`` pairs, pairwise-complete rows, computed
+  as ``covar_samp / sqrt(var_a var_b)`` so a constant column gives NULL instead of the
+  DIVIDE_BY_ZERO that ``corr`` raises under ANSI mode; more pairs than that come from Gram
+  matrices of Arrow blocks, all of them in one scan.
 * Spearman: rows are first collapsed to distinct value tuples with a weight (copies of
   a row never pile up in one task), exact average ranks are attached per column from
   the ranked histogram, and the weighted Pearson of the ranks is taken.  Pairs that
@@ -16,16 +17,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.constants import CORR_STRENGTH
 from tablescope.functions.exprs import (
-    as_double, col, head, is_numeric, nan_to_null, r4, rnd, strength_label, tall_agg,
+    as_double, col, head, is_numeric, nan_to_null, r4, rnd, strength_label, tall_agg, with_scalars,
 )
 from tablescope.functions.stats import corr_pvalue
 from tablescope.operators.histogram import attach_rank_columns, exact_quantiles, wide_quantiles
 
+# Pairs of one wide aggregate.
 PAIR_BATCH = 100
 
 
@@ -44,31 +48,88 @@ def _empty_pairs(df: DataFrame, extra: str = "n long, r double") -> DataFrame:
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None,
                   pairs: Sequence[tuple[str, str]] | None = None) -> DataFrame:
-    """(feature1, feature2, n, r): pairwise-complete Pearson correlation, r unrounded."""
+    """(feature1, feature2, n, r): pairwise-complete Pearson correlation, r unrounded.
+
+    r is null where a column is constant on the rows of the pair or holds an infinite value there."""
     df = nan_to_null(df)
     cols = _numeric(df, cols)
     pairs = list(pairs if pairs is not None else _pairs(cols))
     if not pairs:
         return _empty_pairs(df)
+    if len(pairs) > PAIR_BATCH:
+        return _gram_pairs(df, pairs)
     x = {c: as_double(df, c) for c in {c for p in pairs for c in p}}
-    parts = []
-    for start in range(0, len(pairs), PAIR_BATCH):
-        chunk = pairs[start:start + PAIR_BATCH]
-        aggs = []
-        for i, (a, b) in enumerate(chunk):
-            both = x[a].isNotNull() & x[b].isNotNull()
-            aggs += [F.count_if(both).alias(f"n{i}"), F.covar_samp(x[a], x[b]).alias(f"c{i}"),
-                     F.var_samp(F.when(both, x[a])).alias(f"va{i}"), F.var_samp(F.when(both, x[b])).alias(f"vb{i}")]
-        one = df.agg(*aggs)
-        arr = F.array(*[F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                                 F.col(f"n{i}").cast("long").alias("n"),
-                                 F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"va{i}") * F.col(f"vb{i}"))).alias("r"))
-                        for i, (a, b) in enumerate(chunk)])
-        parts.append(one.select(F.explode(arr).alias("p")).select("p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("r", F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))))
+    aggs = []
+    for i, (a, b) in enumerate(pairs):
+        both = x[a].isNotNull() & x[b].isNotNull()
+        xa, xb = F.when(both, x[a]), F.when(both, x[b])
+        aggs += [F.count_if(both).alias(f"n{i}"), F.covar_samp(x[a], x[b]).alias(f"c{i}"),
+                 _variance(xa).alias(f"va{i}"), _variance(xb).alias(f"vb{i}")]
+    arr = F.array(*[F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
+                             F.col(f"n{i}").cast("long").alias("n"),
+                             F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"va{i}") * F.col(f"vb{i}"))).alias("r"))
+                    for i, (a, b) in enumerate(pairs)])
+    out = df.agg(*aggs).select(F.explode(arr).alias("p")).select("p.*")
+    return out.withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))))
+
+
+def _variance(x: Column) -> Column:
+    """Sample variance; null where it is only what merging partial means of one value rounds to."""
+    v = F.var_samp(x)
+    return F.when(F.isnan(v) | (v > 1e-28 * F.pow(F.avg(x), 2)), v)
+
+
+def _gram_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """The pairs of ``pearson_pairs`` from one scan for the centres and one for all products.
+
+    A task adds up Gram matrices of its Arrow blocks (values with gaps as zeros, and masks of the gaps) and
+    emits a row per pair; counts, sums, squares and products of centred values then only need sums."""
+    used = sorted({c for p in pairs for c in p})
+    at = {c: i for i, c in enumerate(used)}
+    left = np.array([at[a] for a, _ in pairs])
+    right = np.array([at[b] for _, b in pairs])
+    x = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(used)])
+    finite = [F.when(F.abs(f"v{i}") < float("inf"), F.col(f"v{i}")) for i in range(len(used))]
+    # a constant column is centred on its value exactly
+    centre = x.agg(*[F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)).alias(f"m{i}") for i, v in enumerate(finite)])
+    x = with_scalars(x, centre).select(*[(F.col(f"v{i}") - F.coalesce(f"m{i}", F.lit(0.0))).alias(f"v{i}") for i in range(len(used))])
+    schema = "a int, b int, n long, sa double, sb double, qa double, qb double, p double, odd long"
+
+    def sums(batches):
+        k = len(used)
+        n, s, q, p, odd = (np.zeros((k, k)) for _ in range(5))
+        for batch in batches:
+            block = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64)
+            here = (~np.isnan(block)).astype(np.float64)
+            wild = np.isinf(block)
+            value = np.where(wild | np.isnan(block), 0.0, block)
+            n += here.T @ here
+            s += value.T @ here
+            q += (value * value).T @ here
+            p += value.T @ value
+            if wild.any():
+                odd += wild.T.astype(np.float64) @ here
+        yield pa.RecordBatch.from_arrays([
+            pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(n[left, right].astype(np.int64)),
+            pa.array(s[left, right]), pa.array(s[right, left]), pa.array(q[left, right]), pa.array(q[right, left]),
+            pa.array(p[left, right]), pa.array((odd[left, right] + odd[right, left]).astype(np.int64))],
+            names=["a", "b", "n", "sa", "sb", "qa", "qb", "p", "odd"])
+
+    total = x.mapInArrow(sums, schema).groupBy("a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p", "odd")])
+    c = F.col
+
+    def spread(q, s):
+        """n times the sum of squares about the mean; null where it is rounding alone."""
+        d = c("n") * c(q) - c(s) * c(s)
+        return F.when(d > 1e-13 * c("n") * c(q), d)
+
+    r = (c("n") * c("p") - c("sa") * c("sb")) / F.sqrt(spread("qa", "sa")) / F.sqrt(spread("qb", "sb"))
+    names = df.sparkSession.createDataFrame([(a, b, at[a], at[b]) for a, b in pairs], "feature1 string, feature2 string, a int, b int")
+    found = total.select("a", "b", "n", F.when(c("odd") == 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+                         r.isNotNull().alias("known"))
+    return names.join(found, ["a", "b"], "left").select(
+        "feature1", "feature2", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(c("known"), c("r")).alias("r"))
 
 
 def _rank_corr(tuples: DataFrame, cols: Sequence[str], pairs: Sequence[tuple[str, str]],
