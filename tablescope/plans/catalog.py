@@ -2238,3 +2238,49 @@ def q_write_clustered_csv(spark, sf):
     return back.select(back.c_custkey.cast("long").alias("c_custkey"), *[
         (F.round(F.col(c) * 10000) / 10000).alias(c) for c in ("c_acctbal", "avg_order")],
         back.Cluster.between(0, 2).alias("labelled"))
+
+
+# --------------------------------------------------------------------------- reports
+
+@register("quality_report", f"""
+WITH r AS (SELECT count(*) AS r FROM orders),
+q AS ({_iqr_cte('orders', _QC_NUM)}),
+b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q),
+o AS ({_iqr_count('orders', _QC_NUM)}),
+x AS (SELECT 'basic_info' AS section, CAST(NULL AS VARCHAR) AS "column", r AS value FROM r
+UNION ALL SELECT 'density', NULL, r FROM r
+UNION ALL SELECT 'duplicates', NULL, r FROM r, (VALUES ('all_columns'), ('without_id_columns'), ('without_last_column')) s(subset)
+UNION ALL {U([f"SELECT 'missing', '{c}', count_if({c} IS NULL) FROM orders" for c, _ in ORDERS_COLS])}
+UNION ALL {U([f"SELECT 'zero_values', '{c}', count_if({c} = 0) FROM orders HAVING count_if({c} = 0) > 0" for c in _QC_NUM])}
+UNION ALL {U([f"SELECT 'cardinality', '{c}', count(DISTINCT {c}) FROM orders" for c, _ in ORDERS_COLS])}
+UNION ALL {U([f"SELECT 'constant_columns', '{c}', NULL FROM orders HAVING count(DISTINCT {c}) <= 1" for c, _ in ORDERS_COLS])}
+UNION ALL SELECT 'outliers', c, oc FROM o WHERE oc > 0
+UNION ALL {U([f"SELECT 'mixed_types', '{c}', count(try_cast({c} AS DOUBLE)) FROM orders HAVING count(try_cast({c} AS DOUBLE)) > 0 AND count(try_cast({c} AS DOUBLE)) < count({c})" for c in ('o_orderstatus', 'o_orderpriority')])}
+UNION ALL {U([f"SELECT 'format_checks', '{c}', count({c}) FROM orders" for c in ('o_orderstatus', 'o_orderpriority')])})
+SELECT section, "column", CAST(value AS BIGINT) AS value FROM x""")
+def q_quality_report(spark, sf):
+    """The report over orders as one tall frame, with the count that each section holds of a column."""
+    from pyspark.sql import functions as F
+    from tablescope.plans import reports
+    tall = reports.quality_report(I.table(spark, sf, "orders")).written()
+    counts = {"basic_info": "rows", "density": "rows", "duplicates": "rows", "missing": "missing_count",
+              "zero_values": "zero_count", "cardinality": "unique_count", "constant_columns": "none", "outliers": "n_outliers",
+              "mixed_types": "numeric_values", "format_checks": "n"}
+    value = F.coalesce(*[F.when(F.col("section") == s, F.get_json_object("row", f"$.{field}")) for s, field in counts.items()])
+    return tall.where(F.col("section").isin(*counts)).select(
+        "section", F.get_json_object("row", "$.column").alias("column"), value.cast("long").alias("value"))
+
+
+@register("analysis_report")
+def q_analysis_report(spark, sf):
+    """Structure, missing values, components, mutual information and interactions of customers, one tall frame."""
+    from tablescope.plans import reports
+    co = I.customer_orders(spark, sf).select("c_nationkey", "c_acctbal", "total_spent", "avg_order", "n_orders")
+    return reports.analysis_report(co, target="c_nationkey").written()
+
+
+@register("insight_report")
+def q_insight_report(spark, sf):
+    """All stages of the insight report over orders, one tall frame."""
+    from tablescope.plans import reports
+    return reports.insight_report(I.table(spark, sf, "orders"), target="o_orderpriority").written()

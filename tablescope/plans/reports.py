@@ -1,28 +1,60 @@
 """Composite reports: the quality report, the analysis report and the insight report.
 
-Each report persists the (NaN-normalised) input once and returns a dict of result
-DataFrames built by the operators; nothing runs until a result is used or written.
-The input is persisted with MEMORY_AND_DISK so a lost executor only recomputes its
-own partitions from the source.
+Each report persists the (NaN-normalised) input once and holds the result frames built by
+the operators; nothing runs until a result is used or written.  The input is persisted with
+MEMORY_AND_DISK so a lost executor only recomputes its own partitions from the source;
+``release`` drops it, and ``written`` keeps the whole report as one tall frame without it.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import is_numeric, is_string, nan_to_null
+from tablescope.session import staged
+
+
+class Report(dict):
+    """Result frames by section, in the order of the report."""
+
+    def __init__(self, base: DataFrame):
+        super().__init__()
+        self.base = base
+
+    def release(self) -> None:
+        """Drop the persisted input; frames that are used later read the source again."""
+        self.base.unpersist()
+
+    def tall(self) -> DataFrame:
+        """(position, section, row): every row of every section as JSON, fields that are null included."""
+        parts = [frame.select(F.lit(i).alias("position"), F.lit(name).alias("section"),
+                              F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+                 for i, (name, frame) in enumerate(self.items())]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionAll(part)
+        return out
+
+    def written(self) -> DataFrame:
+        """``tall`` written below the checkpoint folder and read back; the persisted input is dropped."""
+        try:
+            return staged(self.tall(), "report")
+        finally:
+            self.release()
 
 
 def _base(df: DataFrame) -> DataFrame:
     return nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def quality_report(df: DataFrame) -> dict[str, DataFrame]:
+def quality_report(df: DataFrame) -> Report:
     """All data-quality operators over one persisted input, plus the health score."""
     from tablescope.operators import missing, outliers, profile, quality, scores, types
     base = _base(df)
-    return {
+    out = Report(base)
+    out.update({
         "basic_info": profile.basic_info(base),
         "density": profile.data_density(base),
         "missing": missing.missing_profile(base),
@@ -36,16 +68,18 @@ def quality_report(df: DataFrame) -> dict[str, DataFrame]:
         "outliers": outliers.outlier_report(base),
         "format_checks": quality.format_checks(base),
         "health_score": scores.health_score(base),
-    }
+    })
+    return out
 
 
-def analysis_report(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+def analysis_report(df: DataFrame, target: str | None = None) -> Report:
     """Structure + missingness + PCA + mutual information + interactions."""
     from tablescope.operators import missing, segment, target as tgt, types
     base = _base(df)
-    out = {"structure": types.structure_flags(base, target),
-           "missing_summary": missing.missing_summary(base),
-           "missing_combinations": missing.missing_combinations(base)}
+    out = Report(base)
+    out.update({"structure": types.structure_flags(base, target),
+                "missing_summary": missing.missing_summary(base),
+                "missing_combinations": missing.missing_combinations(base)})
     nums = [c for c in base.columns if c != target and is_numeric(base.schema[c].dataType)]
     if len(nums) >= 2:
         out.update({f"pca_{k}": v for k, v in segment.pca(base, nums, target=target).items()})
@@ -56,14 +90,19 @@ def analysis_report(df: DataFrame, target: str | None = None) -> dict[str, DataF
     return out
 
 
-def insight_report(df: DataFrame, target: str | None = None) -> dict[str, DataFrame]:
+def insight_report(df: DataFrame, target: str | None = None) -> Report:
     """The nine insight stages in order: composition, target, feature patterns, warnings,
-    quality, relationships, recommendations, business flags, key findings."""
+    quality, relationships, recommendations, business flags, key findings.
+
+    Raises ValueError for fewer than two rows."""
     from tablescope.operators import assoc, findings, profile, quality, stat_tests, types
+    if len(df.select(F.lit(1)).take(2)) < 2:
+        raise ValueError("an insight report needs at least two rows")
     base = _base(df)
     nums = [c for c in base.columns if c != target and is_numeric(base.schema[c].dataType)]
     strs = [c for c in base.columns if c != target and is_string(base.schema[c].dataType)]
-    out = {"composition": quality.dataset_profile(base, target), "types": types.schema_types(base, target)}
+    out = Report(base)
+    out.update({"composition": quality.dataset_profile(base, target), "types": types.schema_types(base, target)})
     if target is not None:
         out["target"] = profile.target_overview(base, target)
     if nums:
@@ -73,6 +112,7 @@ def insight_report(df: DataFrame, target: str | None = None) -> dict[str, DataFr
     out["warnings"] = quality.warnings_report(base)
     out["consistency"] = types.mixed_type_columns(base)
     out["validity"] = quality.range_rules(base)
+    out["quality_issues"] = quality.quality_issues(base)
     if len(nums) >= 2:
         out["correlations"] = assoc.corr_detailed(base, nums)
         out["multicollinearity"] = assoc.multicollinearity_groups(base, nums)
