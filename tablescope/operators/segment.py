@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import as_double, col, is_numeric, nan_to_null, r4, tall_agg, with_scalars
 from tablescope.operators.histogram import exact_quantiles, wide_quantiles
+from tablescope.session import staged
 
 
 def scale(df: DataFrame, cols: Sequence[str], method: str = "standard", suffix: str = "") -> DataFrame:
@@ -180,9 +181,17 @@ def _features(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
     return _assemble(scaled, [f"{c}__s" for c in feats]), enc, feats
 
 
+def _held(vec: DataFrame) -> DataFrame:
+    """The features alone, written below the checkpoint folder, read back and cached.
+
+    An estimator runs dozens of jobs on them, and each task of these would report the metrics of every step that
+    made the features to the driver; the files also are cut by their size, not by the partitions of a shuffle."""
+    return staged(vec.select("features"), "features").cache()
+
+
 def _fit(estimator, vec: DataFrame):
     """Fit on the features alone, held while the estimator runs and released afterwards."""
-    train = vec.select("features").cache()
+    train = _held(vec)
     try:
         return estimator.fit(train)
     finally:
@@ -209,7 +218,7 @@ def kmeans(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (
 def elbow(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), ks: Sequence[int] = range(2, 11),
           seed: int = 42, **options: str) -> DataFrame:
     """Inertia (within-cluster sum of squares) for each k on one feature frame, held for the sweep only."""
-    vec = _features(df, numeric, categorical, **options)[0].select("features").cache()
+    vec = _held(_features(df, numeric, categorical, **options)[0])
     rows = [(int(k), float(KMeans(k=k, seed=seed, featuresCol="features").fit(vec).summary.trainingCost)) for k in ks]
     vec.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
