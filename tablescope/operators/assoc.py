@@ -29,8 +29,8 @@ from tablescope.functions.exprs import (
 from tablescope.functions.stats import corr_pvalue
 from tablescope.operators.histogram import attach_rank_columns, exact_quantiles, wide_quantiles
 
-# Pairs of one wide aggregate.
-PAIR_BATCH = 100
+# Pairs of one wide aggregate: code generated for more is too long to be compiled and runs interpreted.
+PAIR_BATCH = 6
 
 
 def _numeric(df: DataFrame, cols: Sequence[str] | None, exclude: Sequence[str] = ()) -> list[str]:

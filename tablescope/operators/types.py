@@ -38,22 +38,27 @@ def _kind(dt: T.DataType) -> str:
 
 
 def column_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, position, data_type, kind, rows, non_null, numeric_ok, date_ok) in one pass."""
+    """(column, position, data_type, kind, rows, non_null, numeric_ok, date_ok): one pass, and the distinct
+    values of text columns."""
     df = nan_to_null(df)
     cols = [c for c in (cols or df.columns) if is_atomic(df.schema[c].dataType)]
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(cols):
-        dt = df.schema[c].dataType
-        aggs.append(F.count(col(c)).cast("long").alias(f"{i}__non_null"))
-        if is_string(dt):
-            aggs.append(F.count(F.expr(f"try_cast({q(c)} AS DOUBLE)")).cast("long").alias(f"{i}__numeric_ok"))
-            aggs.append(F.count(parse_timestamp(col(c))).cast("long").alias(f"{i}__date_ok"))
-        else:
-            aggs.append(F.lit(None).cast("long").alias(f"{i}__numeric_ok"))
-            aggs.append(F.lit(None).cast("long").alias(f"{i}__date_ok"))
-    one = df.agg(*aggs)
+    one = df.agg(F.count(F.lit(1)).alias("rows"),
+                 *[F.count(col(c)).cast("long").alias(f"{i}__non_null") for i, c in enumerate(cols)])
     t = tall(one.select("*", *[F.lit(j).alias(f"{j}__position") for j in range(len(cols))]),
-             cols, ["position", "non_null", "numeric_ok", "date_ok"], shared=["rows"])
+             cols, ["position", "non_null"], shared=["rows"])
+    strs = [c for c in cols if is_string(df.schema[c].dataType)]
+    if strs:
+        # text is parsed once for each distinct value: a format that fails costs far more than a row
+        hist = value_histogram(df, strs).where(F.col("value").isNotNull())
+        parsed = hist.groupBy("column").agg(
+            F.sum(F.when(F.expr("try_cast(value AS DOUBLE)").isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("numeric_ok"),
+            F.sum(F.when(parse_timestamp(F.col("value")).isNotNull(), F.col("n")).otherwise(0)).cast("long").alias("date_ok"))
+        t = t.join(F.broadcast(parsed), "column", "left")  # one row per column
+        is_text = F.col("column").isin(strs)
+        t = t.withColumns({c: F.when(is_text, F.coalesce(c, F.lit(0).cast("long"))) for c in ("numeric_ok", "date_ok")})
+    else:
+        t = t.select("*", *[F.lit(None).cast("long").alias(c) for c in ("numeric_ok", "date_ok")])
+    t = t.select("column", "position", "non_null", "numeric_ok", "date_ok", "rows")
     meta = df.sparkSession.createDataFrame(
         [(c, df.schema[c].dataType.simpleString(), _kind(df.schema[c].dataType)) for c in cols],
         "column string, data_type string, kind string")

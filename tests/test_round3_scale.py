@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablescope.operators import segment
+from tablescope.operators import assoc, histogram, segment, types
 
 
 def test_features_of_a_fit_carry_none_of_the_steps_that_made_them(spark):
@@ -14,3 +14,32 @@ def test_features_of_a_fit_carry_none_of_the_steps_that_made_them(spark):
     assert "Join" not in plan and "Aggregate" not in plan
     assert held.count() == 400 and held.rdd.getNumPartitions() < 40
     held.unpersist()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_is_parsed_once_for_each_distinct_value(spark):
+    df = spark.createDataFrame([("1",), ("1",), ("2024-01-02",), ("x",), (None,)], "s string")
+    stats = types.column_stats(df)
+    assert "gettimestamp(value" in _plan(stats) and "gettimestamp(s" not in _plan(stats)
+    row = stats.first()
+    assert (row.non_null, row.numeric_ok, row.date_ok, row["rows"]) == (4, 2, 1, 5)
+    empty = types.column_stats(spark.createDataFrame([(None, 1)], "s string, n int")).orderBy("position").collect()
+    assert [(r.numeric_ok, r.date_ok) for r in empty] == [(0, 0), (None, None)]
+
+
+def test_many_pairs_are_products_of_blocks(spark):
+    df = spark.range(50).select(*[(F.col("id") * (i + 1) % 7).cast("double").alias(f"c{i}") for i in range(8)])
+    assert "MapInArrow" in _plan(assoc.pearson_pairs(df))
+
+
+def test_columns_are_counted_in_their_type(spark, monkeypatch):
+    df = spark.createDataFrame([(0.0, 1, "a"), (-0.0, 1, "b"), (2.5, 2, "a"), (None, None, None)], "x double, n int, s string")
+    want = {("x", "0.0", 2), ("x", "2.5", 1), ("x", None, 1), ("n", "1", 2), ("n", "2", 1), ("n", None, 1),
+            ("s", "a", 2), ("s", "b", 1), ("s", None, 1)}
+    hist = histogram.value_histogram(df)
+    assert {tuple(r) for r in hist.collect()} == want and "Generate" not in _plan(hist)
+    monkeypatch.setattr(histogram, "HISTOGRAM_COLUMNS", 1)
+    assert {tuple(r) for r in histogram.value_histogram(df).collect()} == want
