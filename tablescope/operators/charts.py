@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablescope.functions.exprs import as_double, col, nan_to_null, pct, r4, with_scalars
 from tablescope.operators.clean import filter_top_categories, sample_n
 from tablescope.operators.histogram import (
-    exact_quantiles, grouped_quantiles, hot_groups, join_groups, numeric_histogram, wide_quantiles,
+    exact_quantiles, grouped_quantiles, held_histogram, hot_groups, join_groups, wide_quantiles,
 )
 
 
@@ -54,7 +54,7 @@ def box_stats(df: DataFrame, value: str, group: str | None = None) -> DataFrame:
     df = nan_to_null(df)
     keys = [group] if group else []
     d = df.where(col(group).isNotNull()) if group else df
-    hist = numeric_histogram(d, [value], keys=keys)
+    hist = held_histogram(d, [value], keys=keys)
     allk = keys + ["column"]
     hot = hot_groups(hist, allk)
     q = wide_quantiles(grouped_quantiles(hist, allk, [0.25, 0.5, 0.75], hot), allk, {0.25: "q1", 0.5: "median", 0.75: "q3"})

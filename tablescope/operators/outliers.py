@@ -17,7 +17,7 @@ from tablescope.functions.exprs import (
     as_double, col, is_numeric, nan_to_null, pct, r4, scalar_structs, tall_agg, with_scalars,
 )
 from tablescope.operators.histogram import (
-    exact_quantiles, grouped_quantiles, hot_groups, join_groups, numeric_histogram, wide_quantiles,
+    exact_quantiles, grouped_quantiles, held_histogram, hot_groups, join_groups, wide_quantiles,
 )
 
 
@@ -159,7 +159,7 @@ def outliers_pairwise(df: DataFrame, x: str, y: str) -> DataFrame:
 def outliers_by_group(df: DataFrame, group: str, value: str) -> DataFrame:
     """IQR bounds per category and the number of outliers in each group."""
     df = nan_to_null(df)
-    hist = numeric_histogram(df.where(col(group).isNotNull()), [value], keys=[group])
+    hist = held_histogram(df.where(col(group).isNotNull()), [value], keys=[group])
     keys = [group, "column"]
     hot = hot_groups(hist, keys)
     out = join_groups(hist, _group_bounds(hist, keys, hot), keys, hot).groupBy(group, "lower", "upper").agg(

@@ -43,3 +43,14 @@ def test_columns_are_counted_in_their_type(spark, monkeypatch):
     assert {tuple(r) for r in hist.collect()} == want and "Generate" not in _plan(hist)
     monkeypatch.setattr(histogram, "HISTOGRAM_COLUMNS", 1)
     assert {tuple(r) for r in histogram.value_histogram(df).collect()} == want
+
+
+def test_quantiles_of_groups_read_the_table_once(spark, tmp_path):
+    from tablescope.operators import charts, outliers
+    path = str(tmp_path / "t")
+    spark.range(300).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").cast("double").alias("x")).write.parquet(path)
+    df = spark.read.parquet(path)
+    for out in (outliers.outliers_by_group(df, "g", "x"), charts.box_stats(df, "x", "g")):
+        assert not [f for f in out.inputFiles() if "/t/" in f] and out.count() == 3
+    med = {r.category: r["median"] for r in charts.bar_aggregate(df, "g", "x", "median").collect()}
+    assert med == {"0": 148.5, "1": 149.5, "2": 150.5}
