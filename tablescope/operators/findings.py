@@ -59,20 +59,21 @@ def investment_priority(df: DataFrame, target: str | None = None) -> DataFrame:
                     ladder(score, PRIORITY_BANDS, PRIORITY_BAND_LOWEST).alias("priority_band"))
 
 
-def rule_facts(df: DataFrame, target: str | None = None) -> DataFrame:
+def rule_facts(df: DataFrame, target: str | None = None, issues: DataFrame | None = None) -> DataFrame:
     """One row of what the rules read beside the profile.
 
     ``related_pairs`` numeric pairs with |r| > 0.3 over more than 10 rows, ``collinear`` whether three numeric
     columns or more hold a pair above 0.8, ``highly_skewed_columns`` (|skewness| > 2), ``quality_issues``,
     and of the target its task, the severity of its imbalance and whether Jarque-Bera takes it as normal
-    (null where that does not apply).  The target is not a feature."""
+    (null where that does not apply).  The target is not a feature.  ``issues``: the frame's ``quality_issues``
+    where they are known already."""
     from tablescope.operators.assoc import pearson_pairs
     from tablescope.operators.profile import class_balance
     from tablescope.operators.quality import quality_issues
     from tablescope.operators.types import task_type
     df = nan_to_null(df)
     nums = [c for c in df.columns if c != target and is_numeric(df.schema[c].dataType)]
-    one = quality_issues(df).agg(F.count(F.lit(1)).cast("long").alias("quality_issues"))
+    one = (quality_issues(df) if issues is None else issues).agg(F.count(F.lit(1)).cast("long").alias("quality_issues"))
     r = F.abs("r")
     one = with_scalars(one, pearson_pairs(df, nums).agg(
         F.count_if((r > 0.3) & (F.col("n") > 10)).cast("long").alias("related_pairs"),
@@ -175,9 +176,13 @@ def _rules(has_target: bool) -> list[tuple[str, str, Column, str, str, int, bool
     ]
 
 
-def findings(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Every triggered rule: rule_set, rule, category, severity, priority, action_needed."""
-    prof = with_scalars(scores_row(dataset_profile(df, target)), rule_facts(df, target))
+def findings(df: DataFrame, target: str | None = None, profile: DataFrame | None = None,
+             issues: DataFrame | None = None) -> DataFrame:
+    """Every triggered rule: rule_set, rule, category, severity, priority, action_needed.
+
+    ``profile``, ``issues``: the frame's ``dataset_profile`` and ``quality_issues`` where they are known already."""
+    prof = dataset_profile(df, target) if profile is None else profile
+    prof = with_scalars(scores_row(prof), rule_facts(df, target, issues))
     rules = _rules(target is not None)
     arr = F.array(*[F.struct(F.lit(rs).alias("rule_set"), F.lit(name).alias("rule"), pred.alias("hit"),
                              F.lit(cat).alias("category"), F.lit(sev).alias("severity"),
@@ -187,10 +192,11 @@ def findings(df: DataFrame, target: str | None = None) -> DataFrame:
             .drop("hit"))
 
 
-def key_findings(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
+def key_findings(df: DataFrame, target: str | None = None, k: int | None = None, found: DataFrame | None = None) -> DataFrame:
     """Key findings by priority (the top k if asked for), plus a summary row (priority 5) when any of them
-    needs action; the summary itself needs action when more than half of them do."""
-    f = findings(df, target).where(F.col("rule_set") == "key")
+    needs action; the summary itself needs action when more than half of them do.  ``found``: the frame's ``findings``
+    where they are known already."""
+    f = (findings(df, target) if found is None else found).where(F.col("rule_set") == "key")
     # at most one entry per rule: gathered in one row, so that the dataset is profiled once
     entry = F.struct((-F.col("priority")).alias("rank"), "rule", "rule_set", "category", "severity", "priority", "action_needed")
     one = f.agg(F.array_sort(F.collect_list(entry)).alias("top"))
@@ -204,9 +210,9 @@ def key_findings(df: DataFrame, target: str | None = None, k: int | None = None)
     return one.select(F.inline(F.concat("top", last))).select("rule_set", "rule", "category", "severity", "priority", "action_needed")
 
 
-def action_items(df: DataFrame, target: str | None = None, k: int | None = None) -> DataFrame:
-    """High-priority structure rows first, then other actionable findings."""
-    f = findings(df, target).where(F.col("action_needed"))
+def action_items(df: DataFrame, target: str | None = None, k: int | None = None, found: DataFrame | None = None) -> DataFrame:
+    """High-priority structure rows first, then other actionable findings.  ``found``: as for ``key_findings``."""
+    f = (findings(df, target) if found is None else found).where(F.col("action_needed"))
     order = F.when((F.col("rule_set") == "structure") & (F.col("severity") == "high"), 0).otherwise(1)
     return head(f.orderBy(order, F.desc("priority"), "rule_set", "rule"), k)
 

@@ -179,7 +179,12 @@ def warnings_report(df: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.orderBy(F.desc(severity_rank(F.col("severity"))), "warning", "column")
+    return in_order(out)
+
+
+def in_order(warnings: DataFrame) -> DataFrame:
+    """Warnings from high to low severity."""
+    return warnings.orderBy(F.desc(severity_rank(F.col("severity"))), "warning", "column")
 
 
 def _warned(stats: DataFrame, rules: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
@@ -190,9 +195,10 @@ def _warned(stats: DataFrame, rules: Sequence[tuple[str, str, Column, Column]])
     return stats.select("column", F.inline(F.array(*each))).where("hit").drop("hit")
 
 
-def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
+def dataset_profile(df: DataFrame, target: str | None = None, warnings: DataFrame | None = None) -> DataFrame:
     """One row that the scores, bands and findings read: size, type counts, density,
-    missing / duplicate rates, high-cardinality and warning counts."""
+    missing / duplicate rates, high-cardinality and warning counts.  ``warnings``: the frame's
+    ``warnings_report`` where there is one already."""
     from tablescope.operators.profile import duplicate_rows
     from tablescope.operators.types import many_categories, usable_categorical
     df = nan_to_null(df)
@@ -216,7 +222,7 @@ def dataset_profile(df: DataFrame, target: str | None = None) -> DataFrame:
                   sum([F.when(F.count_if(col(c).isNull()) * 2 > F.count(F.lit(1)), 1).otherwise(0)
                        for c in df.columns], F.lit(0)).cast("long").alias("columns_over_half_missing"))
     dup = duplicate_rows(df).select("duplicate_rows")
-    w = warnings_report(df).agg(F.count_if(F.col("severity") == "high").cast("long").alias("high_warnings"),
+    w = (warnings_report(df) if warnings is None else warnings).agg(F.count_if(F.col("severity") == "high").cast("long").alias("high_warnings"),
                                 F.count_if(F.col("warning") == "many_outliers").cast("long").alias("outlier_warnings"))
     t = with_scalars(with_scalars(with_scalars(miss, tc), dup), w)
     cells = F.col("rows") * k

@@ -1,7 +1,8 @@
 """Composite reports: the quality report, the analysis report and the insight report.
 
 Each report persists the (NaN-normalised) input once and holds the result frames built by
-the operators; nothing runs until a result is used or written.  The input is persisted with
+the operators; except for the small tables that several stages of the insight report share, nothing runs until a
+result is used or written.  The input is persisted with
 MEMORY_AND_DISK so a lost executor only recomputes its own partitions from the source;
 ``release`` drops it, and ``written`` keeps the whole report as one tall frame without it.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescope.functions.exprs import is_numeric, is_string, nan_to_null
-from tablescope.session import staged
+from tablescope.session import staged, work_path
 
 
 class Report(dict):
@@ -27,22 +28,33 @@ class Report(dict):
         """Drop the persisted input; frames that are used later read the source again."""
         self.base.unpersist()
 
+    def _parts(self) -> list[DataFrame]:
+        return [frame.select(F.lit(i).alias("position"), F.lit(name).alias("section"),
+                             F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+                for i, (name, frame) in enumerate(self.items())]
+
     def tall(self) -> DataFrame:
         """(position, section, row): every row of every section as JSON, fields that are null included."""
-        parts = [frame.select(F.lit(i).alias("position"), F.lit(name).alias("section"),
-                              F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
-                 for i, (name, frame) in enumerate(self.items())]
+        parts = self._parts()
         out = parts[0]
         for part in parts[1:]:
             out = out.unionAll(part)
         return out
 
     def written(self) -> DataFrame:
-        """``tall`` written below the checkpoint folder and read back; the persisted input is dropped."""
+        """``tall`` written below the checkpoint folder and read back; the persisted input is dropped.
+
+        One section after another: in a single job the stages of all sections queue at once, and small broadcasts
+        wait behind them until they time out."""
+        parts = self._parts()
+        folder = work_path(self.base.sparkSession, "report")
+        paths = [f"{folder}/{i}" for i in range(len(parts))]
         try:
-            return staged(self.tall(), "report")
+            for part, path in zip(parts, paths, strict=True):
+                part.write.parquet(path)
         finally:
             self.release()
+        return self.base.sparkSession.read.schema(parts[0].schema).parquet(*paths)
 
 
 def _base(df: DataFrame) -> DataFrame:
@@ -102,23 +114,28 @@ def insight_report(df: DataFrame, target: str | None = None) -> Report:
     nums = [c for c in base.columns if c != target and is_numeric(base.schema[c].dataType)]
     strs = [c for c in base.columns if c != target and is_string(base.schema[c].dataType)]
     out = Report(base)
-    out.update({"composition": quality.dataset_profile(base, target), "types": types.schema_types(base, target)})
+    # what several stages read is worked out once, a few rows each
+    warnings = staged(quality.warnings_report(base), "warnings")
+    issues = staged(quality.quality_issues(base), "issues")
+    profiled = staged(quality.dataset_profile(base, target, warnings), "profile")
+    found = staged(findings.findings(base, target, profiled, issues), "findings")
+    out.update({"composition": profiled, "types": types.schema_types(base, target)})
     if target is not None:
         out["target"] = profile.target_overview(base, target)
     if nums:
         out["numeric_patterns"] = profile.numeric_profile(base, nums)
     if strs:
         out["categorical_patterns"] = profile.categorical_profile(base, strs)
-    out["warnings"] = quality.warnings_report(base)
+    out["warnings"] = quality.in_order(warnings)
     out["consistency"] = types.mixed_type_columns(base)
     out["validity"] = quality.range_rules(base)
-    out["quality_issues"] = quality.quality_issues(base)
+    out["quality_issues"] = issues
     if len(nums) >= 2:
         out["correlations"] = assoc.corr_detailed(base, nums)
         out["multicollinearity"] = assoc.multicollinearity_groups(base, nums)
     if len(strs) >= 2:
         out["categorical_dependencies"] = stat_tests.categorical_dependencies(base, strs)
-    out["findings"] = findings.findings(base, target)
-    out["key_findings"] = findings.key_findings(base, target)
-    out["action_items"] = findings.action_items(base, target)
+    out["findings"] = found
+    out["key_findings"] = findings.key_findings(base, target, found=found)
+    out["action_items"] = findings.action_items(base, target, found=found)
     return out

@@ -54,3 +54,15 @@ def test_quantiles_of_groups_read_the_table_once(spark, tmp_path):
         assert not [f for f in out.inputFiles() if "/t/" in f] and out.count() == 3
     med = {r.category: r["median"] for r in charts.bar_aggregate(df, "g", "x", "median").collect()}
     assert med == {"0": 148.5, "1": 149.5, "2": 150.5}
+
+
+def test_report_sections_are_written_one_after_another(spark):
+    from tablescope.plans.reports import Report
+    base = spark.range(4).persist()
+    report = Report(base)
+    report["a"] = base.selectExpr("id", "nullif(id, 2) AS x")
+    report["b"] = base.selectExpr("id + 1 AS y").where("id > 1")
+    out = report.written()
+    assert {f.split("/")[-2] for f in out.inputFiles()} == {"0", "1"} and not base.is_cached
+    rows = sorted(tuple(r) for r in out.collect())
+    assert len(rows) == 6 and rows[2] == (0, "a", '{"id":2,"x":null}') and rows[4] == (1, "b", '{"y":3}')
