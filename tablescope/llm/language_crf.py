@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tablescope.llm import chains
 from tablescope.llm.chains import BUCKETS
-from tablescope.llm.common import byte_chunks, crc_mod, labelled_sample
+from tablescope.llm.common import byte_chunks, crc_mod, labelled_sample, release_memory, tidy
 
 #: Labelled texts of each language that the model is fitted on (whole texts; see ``fit_model``).
 TRAIN_TEXTS = 700
@@ -126,7 +126,10 @@ def train(texts: list[str], labels: list[str], epochs: int = EPOCHS, seed: int =
         for w in counts.index:
             lexicon[w] = lexicon.get(w, 0) | (1 << k)
     members = Model(languages, np.zeros((0, L)), lexicon, np.zeros((L, L)), np.zeros((L, L))).member(words.vocab)
-    weights, extra, transitions = chains.fit(words.vocab, codes, np.array([len(c) for c in cut]), tag, L, members, epochs, seed=seed)
+    lengths, vocab = np.array([len(c) for c in cut]), words.vocab
+    del words, cut, tags, lower, counts
+    release_memory()  # the driver has little, and keeps what it has freed
+    weights, extra, transitions = chains.fit(vocab, codes, lengths, tag, L, members, epochs, seed=seed)
     return Model(languages, weights, lexicon, extra, transitions)
 
 
@@ -139,7 +142,10 @@ def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             .where((crc_mod("__id", folds) != held) & F.col("__label").isNotNull() & F.col("__text").rlike(r"\p{L}"))
             .withColumn("__h", F.xxhash64("__text")))
     sample = labelled_sample(rows.drop("__label"), rows.drop("__text"), max_texts)
-    return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
+    model = train([t for t, _ in sample], [x for _, x in sample]) if sample else None
+    del sample
+    release_memory()
+    return model
 
 
 def _predictions(shared, text: str, with_words: bool):
@@ -185,7 +191,7 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text", with_wor
     fields = [*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     if with_words:
         fields.append(T.StructField("word_langs", T.ArrayType(T.StringType())))
-    return kept.mapInArrow(_predictions(shared, text_col, with_words), T.StructType(fields))
+    return kept.mapInArrow(tidy(_predictions(shared, text_col, with_words)), T.StructType(fields))
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 4,

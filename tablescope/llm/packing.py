@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablescope.llm.common import byte_chunks, shuffle_partitions, staged
+from tablescope.llm.common import byte_chunks, shuffle_partitions, staged, tidy
 from tablescope.llm.tokens import Encoder, default_path
 
 WINDOW = 1024
@@ -27,6 +27,8 @@ END_ID = 0
 #: Triples have a first length that is a multiple of this.
 TRIPLE_STEP = 64
 SWEEPS = 60
+#: Bytes of the texts that are encoded at once.
+CHUNK = 2 << 20
 #: Sequences of whole windows are numbered apart, by task and place.
 _WHOLE = 1 << 40
 
@@ -37,7 +39,7 @@ def _measure(tokenizer: str, window: int):
         part, serial, whole = TaskContext.get().partitionId(), 0, 0
         encoder = Encoder.of(tokenizer)
         end = np.array([END_ID], dtype="<u4").tobytes()
-        for b in byte_chunks(batches, "text", 4 << 20):
+        for b in byte_chunks(batches, "text", CHUNK):
             docs = b.column("doc_id").to_pylist()
             out: dict[str, list] = {k: [] for k in ("row", "doc_id", "n", "rest", "crcs", "first_whole", "rest_crc", "rest_ids")}
             ids, sizes = encoder.batch(b.column("text"))
@@ -185,7 +187,7 @@ def pack(df: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_c
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = staged(docs.mapInArrow(_measure(tokenizer or default_path(), window),
+    measured = staged(docs.mapInArrow(tidy(_measure(tokenizer or default_path(), window)),
                       "row long, doc_id long, n long, rest int, crcs array<long>, first_whole long, rest_crc long, rest_ids binary"), "packing")
     sizes = measured.where("rest > 0").select("row", "rest")
     salts = max(16, shuffle_partitions(spark))
@@ -201,7 +203,7 @@ def pack(df: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_c
     starts = cells.select("rest", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = (salted.withColumn("inner", F.row_number().over(Window.partitionBy("rest", "salt").orderBy("row")))
               .join(starts.drop("n"), ["rest", "salt"]).select("row", "rest", (F.col("base") + F.col("inner") - 1).alias("rank")))
-    placed = staged(ranked.mapInArrow(_place(slots), "row long, rest int, sequence_id long, offset long"), "packing-plan")
+    placed = staged(ranked.mapInArrow(tidy(_place(slots)), "row long, rest int, sequence_id long, offset long"), "packing-plan")
     # residual rests end to end: inside a group, after the groups before
     loose = placed.where("sequence_id < 0").withColumn("g", F.pmod(F.xxhash64("row"), F.lit(salts)))
     group_before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row for each group
@@ -224,5 +226,5 @@ def pack(df: DataFrame, window: int = WINDOW, tokenizer: str | None = None, id_c
     some = (measured.where("rest > 0").select("row", "doc_id", "n", "rest", "rest_ids").join(F.broadcast(spare), "rest")
             .where(F.pmod(F.xxhash64("row"), F.lit(salts)) >= F.col("first_salt")))
     residual = (some.join(laid, "row").select("doc_id", "n", "at", "rest_ids")
-                .mapInArrow(_cut(window, int(repeat.sum())), schema))
+                .mapInArrow(tidy(_cut(window, int(repeat.sum()))), schema))
     return whole.union(planned).union(residual)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescope.llm.common import as_bytes, byte_chunks, shuffle_partitions, staged
+from tablescope.llm.common import as_bytes, byte_chunks, shuffle_partitions, staged, tidy
 from tablescope.llm.components import components
 
 SEED = 42
@@ -190,9 +190,9 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     all pairs within ``radius`` bits."""
     spark = fps.sparkSession
     tiles = _tile_blocks(fps)
-    dealt = fps.select("fp").mapInArrow(_deal(tiles, radius), "tiles long, blocks long, fp long, is_left boolean, is_right boolean")
+    dealt = fps.select("fp").mapInArrow(tidy(_deal(tiles, radius)), "tiles long, blocks long, fp long, is_left boolean, is_right boolean")
     return (dealt.repartition(shuffle_partitions(spark), "tiles", "blocks").sortWithinPartitions("tiles", "blocks")
-            .mapInArrow(_compare(radius), "u long, v long"))
+            .mapInArrow(tidy(_compare(radius)), "u long, v long"))
 
 
 def _tile_blocks(fps: DataFrame) -> dict[int, int]:
@@ -218,7 +218,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__text"), *carry)
     schema = T.StructType([f for f in kept.schema if f.name != "__text"]).add("fp", "long")
-    rows = staged(kept.mapInArrow(_fingerprints("__text", shingle), schema), "simhash")
+    rows = staged(kept.mapInArrow(tidy(_fingerprints("__text", shingle)), schema), "simhash")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(fps, radius))
     named = (fps.join(roots, fps.fp == roots.node, "left")

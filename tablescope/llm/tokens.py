@@ -129,7 +129,8 @@ class Encoder:
         starts = np.cumsum(sizes) - sizes
         each = sizes[codes]
         ends = np.cumsum(each)
-        at = np.repeat(starts[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+        at = np.repeat(starts[codes] - (ends - each), each)
+        at += np.arange(len(at))
         return store[at], np.diff(np.concatenate([[0], ends])[offsets])
 
     def ids(self, text: str) -> bytes:
