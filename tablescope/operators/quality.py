@@ -73,22 +73,19 @@ def format_checks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     df = nan_to_null(df)
     cols = list(cols or [c for c in df.columns if is_string(df.schema[c].dataType)])
 
-    def make(c):
-        s = col(c)
-        return {"n": F.count(s).cast("long"),
-                "padded": F.count_if(s != strip(s)).cast("long"),
-                "unusual": F.count_if(s.rlike(UNUSUAL_CHAR_PATTERN)).cast("long"),
-                "escapes": F.count_if(s.rlike(ESCAPED_UNICODE_PATTERN)).cast("long"),
-                "null_like": F.count_if(F.lower(s).isin(NULL_LIKE_FORMAT)).cast("long"),
-                "with_sep": F.count_if(s.rlike("[,;|]")).cast("long"),
-                "has_comma": F.bool_or(s.contains(",")), "has_semicolon": F.bool_or(s.contains(";")),
-                "has_pipe": F.bool_or(s.contains("|"))}
-
-    fields = ["n", "padded", "unusual", "escapes", "null_like", "with_sep", "has_comma", "has_semicolon", "has_pipe"]
-    t = tall_agg(df, cols, make, fields)
+    # patterns are matched once for each distinct value: they cost far more than a row
     hist = value_histogram(df, cols).where(F.col("value").isNotNull())
+    s = F.col("value")
+    hits = {"n": F.lit(True), "padded": s != strip(s), "unusual": s.rlike(UNUSUAL_CHAR_PATTERN),
+            "escapes": s.rlike(ESCAPED_UNICODE_PATTERN), "null_like": F.lower(s).isin(NULL_LIKE_FORMAT), "with_sep": s.rlike("[,;|]")}
+    seen = {"has_comma": s.contains(","), "has_semicolon": s.contains(";"), "has_pipe": s.contains("|")}
+    found = hist.groupBy("column").agg(*[F.sum(F.when(hit, F.col("n")).otherwise(0)).cast("long").alias(k) for k, hit in hits.items()],
+                                       *[F.bool_or(hit).alias(k) for k, hit in seen.items()])
     case = hist.groupBy("column").agg(F.count(F.lit(1)).alias("_u"), F.count_distinct(F.lower("value")).alias("_ul"))
-    t = t.join(case, "column", "left")
+    # columns without a value have a row too
+    t = df.sparkSession.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("column"))
+    t = t.join(F.broadcast(found), "column", "left").join(F.broadcast(case), "column", "left")  # one row per column
+    t = t.withColumns({k: F.coalesce(k, F.lit(0).cast("long")) for k in hits})
     seps = (F.when(F.col("has_comma"), 1).otherwise(0) + F.when(F.col("has_semicolon"), 1).otherwise(0)
             + F.when(F.col("has_pipe"), 1).otherwise(0))
     return t.select("column", "n", "padded", F.coalesce(F.col("_u") - F.col("_ul"), F.lit(0)).cast("long")

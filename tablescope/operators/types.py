@@ -20,7 +20,7 @@ from tablescope.functions.exprs import (
     as_string, bool_pair_match, col, is_atomic, is_boolean, is_datetime, is_integral,
     is_numeric, is_string, name_contains, nan_to_null, parse_timestamp, q, rnd, sig, strip, tall,
 )
-from tablescope.operators.histogram import value_histogram
+from tablescope.operators.histogram import HISTOGRAM_COLUMNS, TYPED, value_histogram
 
 SEMANTIC_TYPES = ["numeric", "categorical", "datetime", "boolean"]
 
@@ -66,9 +66,23 @@ def column_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def distinct_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, n_distinct, lo, hi) from the value histogram; lo/hi are trimmed extremes."""
+    """(column, n_distinct, lo, hi) of columns with a value; lo/hi are the trimmed texts of the extremes in the
+    column's order, the smaller text first.
+
+    An aggregate for each column, without a key: the extremes of texts by a key would be sorted by it."""
     df = nan_to_null(df)
     cols = [c for c in (cols or df.columns) if is_atomic(df.schema[c].dataType)]
+    if 0 < len(cols) <= HISTOGRAM_COLUMNS:
+        out = None
+        for c in cols:
+            typed = isinstance(df.schema[c].dataType, TYPED)
+            distinct = df.select((col(c) if typed else as_string(c)).alias("value")).where(F.col("value").isNotNull()).distinct()
+            text = F.col("value") if typed else strip("value")
+            part = distinct.agg(F.count(F.lit(1)).cast("long").alias("n_distinct"), F.min(text).cast("string").alias("a"),
+                                F.max(text).cast("string").alias("b")).where("n_distinct > 0")
+            part = part.select(F.lit(c).alias("column"), "n_distinct", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+            out = part if out is None else out.unionAll(part)
+        return out
     hist = value_histogram(df, cols).where(F.col("value").isNotNull())
     return hist.groupBy("column").agg(
         F.count(F.lit(1)).cast("long").alias("n_distinct"),

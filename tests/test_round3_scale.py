@@ -66,3 +66,25 @@ def test_report_sections_are_written_one_after_another(spark):
     assert {f.split("/")[-2] for f in out.inputFiles()} == {"0", "1"} and not base.is_cached
     rows = sorted(tuple(r) for r in out.collect())
     assert len(rows) == 6 and rows[2] == (0, "a", '{"id":2,"x":null}') and rows[4] == (1, "b", '{"y":3}')
+
+
+def test_patterns_are_matched_once_for_each_distinct_value(spark):
+    from tablescope.operators import quality
+    rows = [(" a", None), ("A", None), ("a", None), ("a", None), ("x,y;z", None), ("null", None), (None, None)]
+    df = spark.createDataFrame(rows, "s string, t string")
+    out = quality.format_checks(df)
+    assert "RLIKE(value" in _plan(out).replace(" ", "") and "RLIKE(s" not in _plan(out).replace(" ", "")
+    got = {r.column: tuple(r)[1:] for r in out.collect()}
+    assert got == {"s": (6, 1, 1, 1, True, 0, 1, False), "t": (0, 0, 0, 0, False, 0, 0, False)}
+    none = quality.format_checks(df.where("false")).collect()
+    assert sorted(tuple(r)[:3] for r in none) == [("s", 0, 0), ("t", 0, 0)]
+
+
+def test_extremes_of_distinct_values_are_not_sorted(spark):
+    df = spark.createDataFrame([(0.0, 10, " b", None), (-0.0, 9, "a", None), (1.0, 9, "a ", None), (None, 10, None, None)],
+                               "x double, n int, s string, e string")
+    out = types.distinct_stats(df)
+    assert {tuple(r) for r in out.collect()} == {("x", 2, "0.0", "1.0"), ("n", 2, "10", "9"), ("s", 3, "a", "b")}
+    assert "Sort " not in out._jdf.queryExecution().executedPlan().toString()
+    kinds = {r.column: r.semantic_type for r in types.typed_columns(df).collect()}
+    assert kinds == {"x": "boolean", "n": "numeric", "s": "categorical", "e": "empty"}
