@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescope.functions.constants import ID_NAME_PARTS, IQR_FACTOR, NULL_LIKE_PROFILE
 from tablescope.functions.exprs import (
@@ -21,7 +22,7 @@ from tablescope.functions.exprs import (
     tall_agg, rnd, with_scalars,
 )
 from tablescope.operators.histogram import (
-    exact_quantiles, numeric_histogram, top_k_per_group, value_histogram, wide_quantiles,
+    TYPED, exact_quantiles, numeric_histogram, top_k_per_group, value_histogram, wide_quantiles,
 )
 
 
@@ -353,13 +354,21 @@ def cardinality_profile(df: DataFrame) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    """Columns with at most one distinct value (all-null included), the value and type."""
+    """Columns with at most one distinct value (all-null included), the value and type.
+
+    Such a column's smallest value is its largest: one scan, and nothing is shuffled."""
     df = nan_to_null(df)
     cols = _atomic(df)
-    hist = value_histogram(df, cols).where(F.col("value").isNotNull())
-    g = hist.groupBy("column").agg(F.count(F.lit(1)).alias("_d"), F.min("value").alias("value"))
-    return (_positions(df, cols).join(F.broadcast(g), "column", "left")
-            .where(F.coalesce(F.col("_d"), F.lit(0)) <= 1)
+
+    def make(c):
+        x = col(c) if isinstance(df.schema[c].dataType, TYPED) else as_string(c)
+        lo = F.min(x)
+        if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+            lo = lo + F.lit(0.0).cast(df.schema[c].dataType)  # -0.0 counts as 0.0
+        return {"value": lo.cast("string"), "same": F.min(x) == F.max(x)}
+
+    g = tall_agg(df, cols, make, ["value", "same"]).where(F.coalesce("same", F.lit(True)))
+    return (_positions(df, cols).join(F.broadcast(g), "column")
             .select("column", "data_type", "value").orderBy("column"))
 
 

@@ -88,3 +88,15 @@ def test_extremes_of_distinct_values_are_not_sorted(spark):
     assert "Sort " not in out._jdf.queryExecution().executedPlan().toString()
     kinds = {r.column: r.semantic_type for r in types.typed_columns(df).collect()}
     assert kinds == {"x": "boolean", "n": "numeric", "s": "categorical", "e": "empty"}
+
+
+def test_constant_columns_shuffle_no_values(spark):
+    from tablescope.operators import profile
+    df = spark.sql("""SELECT * FROM VALUES (0.0D, -0.0D, 1, ' a', CAST(NULL AS STRING), TIMESTAMP'2024-01-02 03:04:05', DOUBLE('NaN')),
+                      (-0.0D, -0.0D, 2, ' a', NULL, TIMESTAMP'2024-01-02 03:04:05', 3.5D), (NULL, 0.0D, 2, ' a', NULL, NULL, DOUBLE('NaN'))
+                      t(x, y, n, s, e, t, f)""")
+    out = profile.constant_columns(df)
+    assert [tuple(r) for r in out.collect()] == [("e", "string", None), ("f", "double", "3.5"), ("s", "string", " a"),
+                                                 ("t", "timestamp", "2024-01-02 03:04:05"), ("x", "double", "0.0"), ("y", "double", "0.0")]
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert profile.constant_columns(df.where("false")).count() == 7
